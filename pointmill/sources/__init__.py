@@ -1 +1 @@
-
+"""Readers and writers of clouds and skeletons."""
