@@ -55,7 +55,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, *, exclude_coincident: bo
     points = points.select("id", "x", "y", "z").where(geom.is_valid(F.col("x"), F.col("y"), F.col("z")))
     at_place = Window.partitionBy("x", "y", "z").orderBy("id")
     few = materialize(points.withColumn("n", F.row_number().over(at_place)).where(F.col("n") <= k + 1).drop("n"), "places")
-    n, diagonal, longest = spread(few)
+    n, _, longest = spread(few)
+    _, diagonal, _ = spread(few.select("x", "y", "z").union(queries.select("x", "y", "z")))  # a query may lie far outside
     size = cell or max(longest / max(1.0, (n / max(k, 1)) ** (1 / 3)), 1e-9)
     left = queries.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
     done = None

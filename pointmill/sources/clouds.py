@@ -37,7 +37,7 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     tokens = numbered(lines.select(F.explode("t").alias("v")), "n").select("n", F.col("v").cast("double").alias("v"))
     if tokens.count() % 3:
         raise ValueError("the last point is incomplete")
-    return tokens.groupBy(F.floor(F.col("n") / 3).cast("long").alias("id")).pivot((F.col("n") % 3).cast("int"), [0, 1, 2]).agg(F.first("v")).toDF("id", "x", "y", "z")
+    return tokens.groupBy(F.floor(F.col("n") / 3).cast("long").alias("id")).agg(*[F.max(F.when(F.col("n") % 3 == i, F.col("v"))).alias(a) for i, a in enumerate("xyz")])
 
 
 def read_obj(spark: SparkSession, path: str) -> DataFrame:

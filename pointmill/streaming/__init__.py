@@ -1 +1 @@
-
+"""Point clouds that arrive as streams."""
