@@ -93,6 +93,26 @@ def weighted_local_median(points: DataFrame, key: str, *, s: float = 100.0) -> D
     return optimised_centre(points, key, local_weight(s))
 
 
+def joint_centres(points: DataFrame, key: str, starts: int, *, s: float = 100.0) -> DataFrame:
+    """``key, centre, x, y, z``: ``starts`` centres of each group that minimise the sum of d exp(-s d^2) together, begun at points
+    spread evenly over the group in the order of their coordinates."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[["x", "y", "z"]].to_numpy(dtype=float)
+        p = p[np.lexsort(p.T)]
+        begin = p[np.linspace(0, len(p) - 1, starts).round().astype(int)]
+        one = local_weight(s)
+
+        def cost(q: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
+            parts = [one(q, c) for c in flat.reshape(-1, 3)]
+            return sum(v for v, _ in parts), np.concatenate([g for _, g in parts])
+
+        c = descend(p, cost, begin.ravel()).reshape(-1, 3)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * starts, "centre": range(starts), "x": c[:, 0], "y": c[:, 1], "z": c[:, 2]})
+
+    return points.select(key, "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} {points.schema[key].dataType.simpleString()}, centre int, x double, y double, z double")
+
+
 def line_fit(points: DataFrame, *keys: str, x: str = "x", y: str = "y") -> DataFrame:
     """``keys, slope, intercept`` of y over x by least squares; null where x has no extent."""
     n, sx, sy, sxx, sxy = F.count("*").cast("double"), F.sum(x), F.sum(y), F.sum(F.col(x) * F.col(x)), F.sum(F.col(x) * F.col(y))

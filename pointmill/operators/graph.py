@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..functions.scratch import materialize
-from .spatial import knn_graph, radius_join, spread, voxel_neighbours
+from .spatial import knn_graph, radius_join, ranked, spread, voxel_neighbours
 from .stats import incident_mean
 
 
@@ -187,9 +189,11 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def drop_longest(edges: DataFrame, keep: float = 0.825) -> DataFrame:
-    """Edges up to a rank of length, in percent of all. The cut length is found by a quantile, so no task sees all edges."""
-    bound = edges.approxQuantile("weight", [keep], 0.0)
-    return edges.where(F.col("weight") <= bound[0]) if bound else edges
+    """Edges up to a rank of length, in percent of all. No task sees all edges."""
+    order = materialize(ranked(edges, "weight", "src", "dst"), "ranked")
+    at = math.ceil(keep * order.count())
+    bound = order.where(F.col("rank") == at).first()
+    return order.where(F.col("weight") <= bound["weight"]).drop("rank") if bound else edges
 
 
 def sliding_levels(distances: DataFrame, *, width: float = 0.04, step: float = 0.02) -> DataFrame:

@@ -116,6 +116,18 @@ def knn_graph(points: DataFrame, k: int) -> DataFrame:
     return e.union(e.select("dst", "src", "weight")).dropDuplicates(["src", "dst"])
 
 
+def ranked(df: DataFrame, value: str, *ties: str, buckets: int = 64) -> DataFrame:
+    """``df`` with ``rank``, 1 for the least ``value``, ties by further columns. Rows are ranked in buckets between approximate
+    quantiles and only the buckets' sizes come together, so no task orders the whole table."""
+    cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(value) > c)) if cuts else F.lit(0)
+    held = df.withColumn("__bucket", bucket)
+    sizes = {r["__bucket"]: r["n"] for r in held.groupBy("__bucket").agg(F.count("*").alias("n")).collect()}
+    before = [sum(n for b, n in sizes.items() if b < i) for i in range(len(cuts) + 1)]
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(value, *ties))
+    return held.withColumn("rank", place + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__bucket") + 1)).drop("__bucket")
+
+
 def trimmed_knn_graph(points: DataFrame, k: int = 5, *, cut: float = 0.03) -> tuple[DataFrame, float]:
     """The k-nearest edges without the longest ones, and the mean length of all edges. Of n edges ceil(cut n / (1 + cut)) go."""
     e = materialize(knn(points, points, k).select("src", "dst", "dist"), "edges")
@@ -123,8 +135,7 @@ def trimmed_knn_graph(points: DataFrame, k: int = 5, *, cut: float = 0.03) -> tu
     drop = math.ceil(cut * n / (1 + cut))
     if not drop:
         return e, mean
-    longest = e.orderBy(F.desc("dist"), F.desc("src"), F.desc("dst")).limit(drop)
-    return e.join(longest.select("src", "dst"), ["src", "dst"], "left_anti"), mean
+    return ranked(e, "dist", "src", "dst").where(F.col("rank") <= n - drop).drop("rank"), mean
 
 
 def with_self(edges: DataFrame, points: DataFrame) -> DataFrame:
@@ -133,6 +144,13 @@ def with_self(edges: DataFrame, points: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "dist").union(own).distinct()
 
 
+def within_component(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Neighbour edges whose ends lie in one component of ``found(node, component)``: neighbours along the surface, not across a gap."""
+    a = found.select(F.col("node").alias("src"), F.col("component").alias("ca"))
+    b = found.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
+    return edges.join(a, "src").join(b, "dst").where("ca = cb").select(*edges.columns)
+
+
 def hops(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """``src, dst, hop``: nodes within ``depth`` edges of each start, by the fewest edges."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()

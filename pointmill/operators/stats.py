@@ -149,6 +149,13 @@ def density(points: DataFrame, radius: float, *, invert: bool = False, root: boo
     return points.select("id").join(sums, "id", "left").select("id", (1.0 / rho if invert else F.sqrt(rho) if root else rho).alias("rho"))
 
 
+def count_density(edges: DataFrame) -> DataFrame:
+    """``id, rho``: 1 plus the weights exp(-16 d^2 / k^2) of the k neighbours ``edges(src, dst, dist)`` of each point, k being how many there are."""
+    k = edges.groupBy("src").agg(F.count("*").alias("k"))
+    w = F.exp(-16.0 * F.col("dist") * F.col("dist") / (F.col("k") * F.col("k")))
+    return edges.join(k, "src").groupBy(F.col("src").alias("id")).agg((1.0 + F.sum(w)).alias("rho"))
+
+
 def histogram_mode(values: DataFrame, column: str, *, bins: int = 13) -> DataFrame:
     """``mode``: the middle of the fullest of equal bins between least and greatest distinct value, the first of equals; 0 without extent."""
     v = values.select(F.col(column).alias("v")).where("v is not null").distinct()

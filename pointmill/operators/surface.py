@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..functions.scratch import materialize
 from .graph import ancestors, subtree_sizes, tree_depths
 
 
@@ -107,3 +108,32 @@ def smooth_radii(tree: DataFrame, radii: DataFrame, *, steps: int = 7) -> DataFr
     j = radii.join(first, "node", "left").join(fr, "fork", "left")
     t = F.col("hops") / float(steps)
     return j.select("node", F.when(F.col("hops").isNull(), F.col("radius")).otherwise(F.col("fr") + (F.col("radius") - F.col("fr")) * t).alias("radius"))
+
+
+def member_radii(members: DataFrame, tree: DataFrame, *, bins: int = 13) -> DataFrame:
+    """``node, radius`` from the members ``node, id, x, y, z`` of a tree's nodes: a leaf has the mean distance of its members from its
+    centre, a node with one child the mode of its members' distances from the axis to the child, a fork the root of the sum of its
+    children's squares. Forks are filled in from the tips down."""
+    kids = tree.where("parent <> node").select(F.col("parent").alias("node"), F.col("node").alias("kid"), *[F.col(a).alias(f"k{a}") for a in "xyz"])
+    count = kids.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct("kx", "ky", "kz"), "kid").alias("k"))
+    at = tree.select("node", *[F.col(a).alias(f"c{a}") for a in "xyz"]).join(count, "node", "left")
+    m = members.join(at, "node")
+    p, c = geom.vec("x", "y", "z"), geom.vec("cx", "cy", "cz")
+    axis = geom.vec(F.col("k.kx"), F.col("k.ky"), F.col("k.kz"))
+    m = m.withColumn("d", F.when(F.col("n").isNull(), geom.distance(p, c)).otherwise(F.coalesce(geom.distance_to_line(p, c, axis), geom.distance(p, c))))
+    leaf = m.where("n is null").groupBy("node").agg(F.avg("d").alias("radius"))
+    chain = m.where("n = 1").select("node", "d").distinct()
+    span = chain.groupBy("node").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    binned = chain.join(span, "node").withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("d") - F.col("lo")) / width).cast("int"), F.lit(bins - 1))).otherwise(F.lit(0)))
+    full = binned.groupBy("node", "bin").agg(F.count("*").alias("m"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    mode = full.groupBy("node").agg(F.max(F.struct(F.col("m"), (-F.col("bin")).alias("b"), "lo", "hi")).alias("t"))
+    mode = mode.select("node", F.when(F.col("t.hi") > F.col("t.lo"), F.col("t.lo") + (F.lit(0.5) - F.col("t.b")) * (F.col("t.hi") - F.col("t.lo")) / bins).otherwise(F.lit(0.0)).alias("radius"))
+    known = materialize(leaf.union(mode), "radii")
+    forks = count.where("n > 1").select("node", "n")
+    while True:
+        ready = kids.join(forks, "node").join(known.select(F.col("node").alias("kid"), "radius"), "kid").groupBy("node", "n").agg(F.count("*").alias("m"), F.sqrt(F.sum(F.col("radius") * F.col("radius"))).alias("radius")).where("m = n")
+        new = materialize(ready.select("node", "radius").join(known.select("node"), "node", "left_anti"), "radii")
+        if new.isEmpty():
+            return known
+        known = known.union(new)

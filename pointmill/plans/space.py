@@ -23,7 +23,7 @@ def knn3(spark, sf_dir):
 
 def knn_events(spark, sf_dir):
     p = cloud_e(spark, sf_dir).select("id", "x", "y", "z")
-    return _round(spatial.knn(p.where("y % 7 = 0"), p, 2).select("src", "dist", "rank"), "dist", digits=4)
+    return _round(spatial.knn(p, p, 2).select("src", "dist", "rank"), "dist", digits=4)
 
 
 def knn_distinct_places(spark, sf_dir):
@@ -83,7 +83,7 @@ def knn_graph_trim(spark, sf_dir):
 
 def hop_neighbourhood(spark, sf_dir):
     p = _p(spark, sf_dir)
-    return spatial.hops(spatial.knn_graph(p, 3), p.where("id < 20"), 2)
+    return spatial.hops(spatial.knn_graph(p, 3), p, 2)
 
 
 def covered_cells(spark, sf_dir):
@@ -333,12 +333,42 @@ def smooth_radii(spark, sf_dir):
     return surface.smooth_radii(t, surface.branch_radii(t))
 
 
+def _subtree_members(spark, sf_dir):
+    """A tree and, as the members of each node, the points of its subtree."""
+    t = tree(spark, sf_dir)
+    below = graph.ancestors(t).select(F.col("node").alias("id"), F.col("ancestor").alias("node"))
+    return t, below.join(_p(spark, sf_dir), "id").select("node", "id", "x", "y", "z")
+
+
 def fission(spark, sf_dir):
-    t = tree(spark, sf_dir).where("node < 15")
-    m = pts(spark, sf_dir).select((F.col("id") % 7).alias("node"), "id", "x", "y", "z")
+    t, m = _subtree_members(spark, sf_dir)
     return surface.fission(m, t)
 
 
+def member_radii(spark, sf_dir):
+    t, m = _subtree_members(spark, sf_dir)
+    return _round(surface.member_radii(m, t), "radius")
+
+
+def surface_neighbours(spark, sf_dir):
+    """Nearest neighbours that lie in one component of the trimmed graph."""
+    p = _p(spark, sf_dir)
+    e = spatial.radius_join(p, p, 0.05).where("src < dst")
+    found = graph.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), p)
+    return spatial.within_component(spatial.knn(p, p, 3).select("src", "dst"), found)
+
+
+def count_density(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return _round(stats.count_density(spatial.knn(p, p, 3)), "rho")
+
+
+def joint_centres(spark, sf_dir):
+    from ..operators import fit
+
+    return fit.joint_centres(pts(spark, sf_dir), "label", 2)
+
+
 def set_operations(spark, sf_dir):
     """Union of neighbour sets, those not visited, and what is left of a cluster once its parts have gone."""
     p = pts(spark, sf_dir)
@@ -360,8 +390,8 @@ def xyz_round_trip(spark, sf_dir):
 
 
 def skeleton_obj(spark, sf_dir):
-    """The lines of an OBJ document of a small skeleton, by kind."""
-    t = tree(spark, sf_dir).where("node < 100")
+    """The edges of a skeleton as lines of an OBJ document."""
+    t = tree(spark, sf_dir)
     nodes = t.select(F.col("node").alias("node_id"), "x", "y", "z")
     lines = clouds.skeleton_obj(nodes, t.where("node <> parent").select(F.col("node").alias("src"), F.col("parent").alias("dst")))
     return lines.where("value like 'l %'").select("value")
@@ -376,7 +406,7 @@ QUERIES = {
         components, big_components, dbscan_eps, knn_clusters, sssp, level_sets, level_components, density_edges, incident_mean, cluster_tree,
         kmeans5, sliding_levels, drop_longest, lowest_point, split_at_median, undirected_edges, path_edges, seeds, cylinder_filter, furthest_five,
         skinning, recenter, resample_lines, component_bridge, repair_components, tree_measures, branch_ends, spline_densify, circles, triangles, smooth_radii, fission,
-        set_operations, xyz_round_trip, skeleton_obj,
+        set_operations, xyz_round_trip, skeleton_obj, member_radii, surface_neighbours, count_density, joint_centres,
     )
 }
 
@@ -422,7 +452,6 @@ _ASSIGN = f"nn AS (SELECT a.id, b.id AS node_id, sqrt({D2}) AS dist, row_number(
 
 SQL = {
     "knn3": f"WITH {PTS}, {_knn(3)} SELECT src, dst, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM nn",
-    "knn_events": f"WITH {CLOUD_E}, q AS (SELECT * FROM ce WHERE user_id % 7 = 0), nn AS (SELECT a.id AS src, sqrt({D2}) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS rank FROM q a JOIN ce b ON a.id <> b.id QUALIFY rank <= 2) SELECT src, round(dist, 4) AS dist, CAST(rank AS INTEGER) AS rank FROM nn",
     "knn_distinct_places": f"WITH {PTS}, r AS (SELECT id, round(x, 1) AS x, round(y, 1) AS y, round(z, 1) AS z FROM pts), {_knn(2, 'r', f' AND {D2} > 0')} SELECT src, dst, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM nn",
     "radius_counts": f"WITH {CLOUD_E} SELECT a.id, count(*) AS n FROM ce a JOIN ce b ON a.x < b.x + 5 AND a.x > b.x - 5 AND {D2} < 25 GROUP BY a.id",
     "radius_two_sets": f"WITH {PTS} SELECT a.id AS src, b.id AS dst, round(sqrt({D2}), 6) AS dist FROM pts a JOIN pts b ON a.label = 0 AND b.label <> 0 AND {D2} < 0.1*0.1",
@@ -433,7 +462,7 @@ SQL = {
     "isolated_voxels": _CELLS + f" SELECT cell, n FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE {_NEAR.format(r=1)})",
     "knn_graph": f"WITH {_SYM3} SELECT src, dst, round(weight, 6) AS weight FROM sym",
     "knn_graph_trim": f"WITH {PTS}, {_knn(5)}, r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, src DESC, dst DESC) AS n, count(*) OVER () AS total FROM nn) SELECT count(*) FILTER (n > ceil(0.03*total/1.03)) AS n, round(max(dist) FILTER (n > ceil(0.03*total/1.03)), 6) AS longest, round(avg(dist), 6) AS mean FROM r",
-    "hop_neighbourhood": f"WITH {_SYM3}, h AS (SELECT id AS src, id AS dst, 0 AS hop FROM pts WHERE id < 20 UNION ALL SELECT src, dst, 1 FROM sym WHERE src < 20 UNION ALL SELECT a.src, b.dst, 2 FROM sym a JOIN sym b ON a.dst = b.src WHERE a.src < 20) SELECT src, dst, min(hop) AS hop FROM h GROUP BY src, dst",
+    "hop_neighbourhood": f"WITH {_SYM3}, h AS (SELECT id AS src, id AS dst, 0 AS hop FROM pts UNION ALL SELECT src, dst, 1 FROM sym UNION ALL SELECT a.src, b.dst, 2 FROM sym a JOIN sym b ON a.dst = b.src) SELECT src, dst, min(hop) AS hop FROM h GROUP BY src, dst",
     "covered_cells": f"WITH {PTS} SELECT CAST(floor(x/0.2) AS BIGINT) AS cx, CAST(floor(y/0.2) AS BIGINT) AS cy, CAST(floor(z/0.2) AS BIGINT) AS cz, count(*) AS n FROM pts GROUP BY ALL",
     "neighbours_with_self": f"WITH {PTS}, {_knn(2)} SELECT src, dst, round(dist, 6) AS dist FROM nn UNION ALL SELECT id, id, 0.0 FROM pts",
     "grid_downsample": "WITH " + weiszfeld_sql(_voxel_sql(PTS, "pts", 0.2).removeprefix("WITH "), "w", "cell", 3) + ", n AS (SELECT cell, count(*) AS n FROM w GROUP BY cell) SELECT cell AS id, round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z, n FROM m3 JOIN n USING (cell)",
@@ -469,7 +498,11 @@ SQL = {
     "spline_densify": f"WITH {TREE}, kid AS (SELECT parent, arg_min(struct_pack(x := x, y := y, z := z), node) AS k FROM tree WHERE parent <> node GROUP BY parent), j AS (SELECT t.node, n, n/CAST(8 AS DOUBLE) AS u, g.x AS ax, g.y AS ay, g.z AS az, p.x AS bx, p.y AS \"by\", p.z AS bz, t.x AS cx, t.y AS cy, t.z AS cz, coalesce(k.x, t.x) AS dx, coalesce(k.y, t.y) AS dy, coalesce(k.z, t.z) AS dz FROM tree t JOIN tree p ON p.node = t.parent JOIN tree g ON g.node = p.parent LEFT JOIN kid ON kid.parent = t.node CROSS JOIN (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS n) WHERE t.node <> t.parent) SELECT node, n, {_SPLINE8.replace('by*', chr(34) + 'by' + chr(34) + '*')} FROM j",
     "circles": _TREE_UP + ", leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent <> node)), n AS (SELECT ancestor AS node, count(*) AS leaves FROM anc JOIN leaf USING (node) GROUP BY ancestor) SELECT node, side, round(0.18*pow(leaves/CAST((SELECT count(*) FROM leaf) AS DOUBLE), CAST(1 AS DOUBLE)/3), 6) AS radius FROM tree JOIN n USING (node) CROSS JOIN (SELECT CAST(unnest(range(12)) AS INTEGER) AS side) WHERE parent <> node",
     "triangles": f"WITH {TREE}, e AS (SELECT c.node FROM tree c JOIN tree p ON p.node = c.parent WHERE c.parent <> c.node AND p.parent <> p.node) SELECT part, count(*)*12 AS n, count(DISTINCT node) AS nodes FROM e CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS part) GROUP BY part",
+    "surface_neighbours": _reach(f"{PTS}, {_knn(3)}", _E05, "pts", "SELECT src, dst FROM nn JOIN cc a ON a.node = src JOIN cc b ON b.node = dst WHERE a.component = b.component"),
+    "count_density": f"WITH {PTS}, {_knn(3)}, k AS (SELECT *, count(*) OVER (PARTITION BY src) AS k FROM nn) SELECT src AS id, round(1 + sum(exp(-16.0*dist*dist/(k*k))), 6) AS rho FROM k GROUP BY src",
+    "resample_lines": f"WITH {CLOUD_E}, s AS (SELECT user_id, z, x, id, lead(z) OVER w AS nz, sqrt((x-lead(x) OVER w)*(x-lead(x) OVER w)+(y-lead(y) OVER w)*(y-lead(y) OVER w)+(z-lead(z) OVER w)*(z-lead(z) OVER w)) AS len FROM ce WINDOW w AS (PARTITION BY user_id ORDER BY x, id)), r AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS upto FROM s WHERE nz IS NOT NULL), t AS (SELECT user_id, z + (n*1000.0-(upto-len))/len*(nz-z) AS z FROM (SELECT *, unnest(range(CAST(ceil((upto-len)/1000.0) AS BIGINT), CAST(ceil(upto/1000.0) AS BIGINT))) AS n FROM r WHERE len > 0)) SELECT user_id, count(*) AS n, round(avg(z), 3) AS z FROM t GROUP BY user_id",
+    "sliding_levels": _SSSP + ", rd AS (SELECT node, round(dist, 4) AS dist FROM d), t AS (SELECT node, dist / (SELECT max(dist) FROM rd) AS share FROM rd), w AS (SELECT node, unnest(range(greatest(0, CAST(ceil((1.0-share-0.04)/0.02 - 1e-9) AS BIGINT)), least(49, CAST(floor((1.0-share)/0.02 + 1e-9) AS BIGINT)) + 1)) AS win FROM t) SELECT CAST(win AS INTEGER) AS \"window\", count(*) AS n FROM w GROUP BY win",
     "set_operations": f"WITH {PTS} SELECT 'union' AS kind, id FROM pts WHERE x > 0 OR y > 0 UNION ALL SELECT 'difference', id FROM pts WHERE x > 0 AND NOT y > 0 UNION ALL SELECT 'except', id FROM pts WHERE NOT x > 0",
     "xyz_round_trip": f"WITH {PTS}, t AS (SELECT " + ", ".join(f"CAST(format('{{:.4f}}', {a}) AS DOUBLE) AS {a}" for a in "xyz") + " FROM pts) SELECT x, y, z, count(*) AS n FROM t GROUP BY ALL",
-    "skeleton_obj": f"WITH {TREE}, e AS (SELECT node+1 AS i, parent+1 AS j FROM tree WHERE node < 100 AND node <> parent) SELECT 'l ' || i || ' ' || j AS value FROM e UNION SELECT 'l ' || j || ' ' || i FROM e",
+    "skeleton_obj": f"WITH {TREE}, e AS (SELECT node+1 AS i, parent+1 AS j FROM tree WHERE node <> parent) SELECT 'l ' || i || ' ' || j AS value FROM e UNION SELECT 'l ' || j || ' ' || i FROM e",
 }

@@ -9,32 +9,44 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spatial import ranked
+
 CLOUD = "id long, x double, y double, z double"
 
 
+_PLACE = ["__file", "__block"]
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value`` of every line, with the file and block it stands in."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+
+
 def numbered(rows: DataFrame, name: str = "id") -> DataFrame:
-    """``rows`` with numbers 0, 1, ... in their order. Only the partitions' sizes come together, not the rows."""
-    tagged = rows.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i"))
-    sizes = sorted((r["__p"], r["n"]) for r in tagged.groupBy("__p").agg(F.count("*").alias("n")).collect())
-    begins, at = {}, 0
-    for p, n in sizes:
-        begins[p], at = at, at + n
-    start = F.element_at(F.create_map(*[F.lit(v).cast(t) for p, b in begins.items() for v, t in ((p, "int"), (b, "long"))]), F.col("__p")) if begins else F.lit(0).cast("long")
-    return tagged.select((start + F.col("__i")).alias(name), *rows.columns)
+    """Rows made from ``text_lines``, which keep its columns of place, with numbers 0, 1, ... in the order of files, blocks and lines.
+    Only the sizes of blocks come together, not the rows."""
+    tagged = rows.select("*", F.monotonically_increasing_id().alias("__i"))
+    blocks = sorted(tuple(r) for r in tagged.groupBy(*_PLACE).agg(F.min("__i").alias("i"), F.count("*").alias("n")).collect())
+    begins, at = [], 0
+    for file, block, i, n in blocks:
+        begins.append((file, block, at - i))
+        at += n
+    start = rows.sparkSession.createDataFrame(begins, "__file string, __block long, __shift long")
+    return tagged.join(start, _PLACE).select((F.col("__i") + F.col("__shift")).alias(name), *[c for c in rows.columns if c not in _PLACE])
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """White-space separated numbers, three for each point, wherever lines break. A number left over at the end is an error."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t")).where("t[0] <> ''")
+    lines = text_lines(spark, path).select(F.split(F.trim("value"), r"\s+").alias("t"), *_PLACE).where("t[0] <> ''")
     sizes = lines.agg(F.min(F.size("t")).alias("a"), F.max(F.size("t")).alias("b")).first()
     if sizes["a"] is None:
         return spark.createDataFrame([], CLOUD)
     if sizes["a"] == sizes["b"] == 3:
-        return numbered(lines.select(*[F.col("t")[i].cast("double").alias(a) for i, a in enumerate("xyz")]))
-    tokens = numbered(lines.select(F.explode("t").alias("v")), "n").select("n", F.col("v").cast("double").alias("v"))
+        return numbered(lines.select(*[F.col("t")[i].cast("double").alias(a) for i, a in enumerate("xyz")], *_PLACE))
+    tokens = numbered(lines.select(F.explode("t").alias("v"), *_PLACE), "n").select("n", F.col("v").cast("double").alias("v"))
     if tokens.count() % 3:
         raise ValueError("the last point is incomplete")
     return tokens.groupBy(F.floor(F.col("n") / 3).cast("long").alias("id")).agg(*[F.max(F.when(F.col("n") % 3 == i, F.col("v"))).alias(a) for i, a in enumerate("xyz")])
@@ -43,12 +55,12 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
 def read_obj(spark: SparkSession, path: str) -> DataFrame:
     """The vertices of an OBJ file."""
     t = F.split(F.trim("value"), r"\s+")
-    return numbered(spark.read.text(path).where(F.col("value").rlike(r"^\s*v\s")).select(*[t[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")]))
+    return numbered(text_lines(spark, path).where(F.col("value").rlike(r"^\s*v\s")).select(*[t[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")], *_PLACE))
 
 
 def read_off(spark: SparkSession, path: str) -> DataFrame:
     """The vertices of an OFF file, as single precision."""
-    rows = numbered(spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("v")).where("v <> ''"), "n")
+    rows = numbered(text_lines(spark, path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("v"), *_PLACE).where("v <> ''"), "n")
     head = rows.where("n < 2").orderBy("n").collect()
     first = head[0]["v"].removeprefix("OFF").split()
     begin, counts = (1, first) if first else (2, head[1]["v"].split())
@@ -112,7 +124,7 @@ def load_cloud(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return numbered(spark.read.text(path).select(F.trim("value").alias("v")), "n").withColumn("t", F.split("v", r"\s+"))
+    return numbered(text_lines(spark, path).select(F.trim("value").alias("v"), *_PLACE), "n").withColumn("t", F.split("v", r"\s+"))
 
 
 def _weighted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,8 +141,8 @@ def read_skelz(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     that are passed over, rows ``a b``."""
     rows = _lines(spark, path)
     end = rows.where("n > 0 and size(t) < 4").agg(F.min("n")).first()[0]
-    nodes = rows.where((F.col("n") > 0) & (F.col("n") < end)).select(F.col("t")[0].cast("int").alias("node_id"), *[F.col("t")[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")])
-    edges = rows.where((F.col("n") > end + 5) & (F.size("t") >= 2)).select(F.col("t")[0].cast("int").alias("src"), F.col("t")[1].cast("int").alias("dst"))
+    nodes = rows.where((F.col("n") > 0) & (F.col("n") < end)).select(F.col("t")[0].try_cast("int").alias("node_id"), *[F.col("t")[i + 1].try_cast("double").alias(a) for i, a in enumerate("xyz")])
+    edges = rows.where((F.col("n") > end + 5) & (F.size("t") >= 2)).select(F.col("t")[0].try_cast("int").alias("src"), F.col("t")[1].try_cast("int").alias("dst"))
     return nodes, _weighted(nodes, edges)
 
 
@@ -139,8 +151,8 @@ def read_cg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = _lines(spark, path)
     head = rows.where("n = 0").first()["v"]
     nv, ne = (int(next(w for w in head.replace(":", ": ").split(key)[1].split() if w.strip(":").isdigit())) for key in ("NV", "NE"))
-    nodes = rows.where((F.col("n") >= 1) & (F.col("n") <= nv)).select(F.col("n").cast("int").alias("node_id"), *[F.col("t")[i + 1].cast("double").alias(a) for i, a in enumerate("xyz")])
-    edges = rows.where((F.col("n") > nv) & (F.col("n") <= nv + ne)).select(F.col("t")[1].cast("int").alias("src"), F.col("t")[2].cast("int").alias("dst"))
+    nodes = rows.where((F.col("n") >= 1) & (F.col("n") <= nv)).select(F.col("n").cast("int").alias("node_id"), *[F.col("t")[i + 1].try_cast("double").alias(a) for i, a in enumerate("xyz")])
+    edges = rows.where((F.col("n") > nv) & (F.col("n") <= nv + ne)).select(F.col("t")[1].try_cast("int").alias("src"), F.col("t")[2].try_cast("int").alias("dst"))
     return nodes, _weighted(nodes, edges)
 
 
@@ -167,15 +179,12 @@ def points_text(points: DataFrame) -> DataFrame:
 
 
 def skeleton_obj(nodes: DataFrame, edges: DataFrame, comment: str = "skeleton") -> DataFrame:
-    """``line, value``: an OBJ document with nodes renumbered from 1 and every undirected edge in both directions.
-
-    A skeleton is small next to its cloud; numbering it orders it in one task.
-    """
-    no = nodes.withColumn("no", F.row_number().over(Window.orderBy("node_id")))
+    """``line, value``: an OBJ document with nodes renumbered from 1 in the order of their ids and every undirected edge in both directions."""
+    no = ranked(nodes.withColumn("__v", F.col("node_id").cast("double")), "__v", "node_id").drop("__v").withColumnRenamed("rank", "no")
     a, b = no.select(F.col("node_id").alias("src"), F.col("no").alias("i")), no.select(F.col("node_id").alias("dst"), F.col("no").alias("j"))
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().join(a, "src").join(b, "dst")
-    head = nodes.sparkSession.range(1).select(F.struct(F.lit(0), F.lit(0), F.lit(0)).alias("line"), F.lit(f"# {comment}").alias("value"))
-    v = no.select(F.struct(F.lit(1), F.col("no"), F.lit(0)).alias("line"), F.concat(F.lit("v "), _fixed(F.col("x"), F.col("y"), F.col("z"))).alias("value"))
+    head = nodes.sparkSession.range(1).select(F.struct(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")).alias("line"), F.lit(f"# {comment}").alias("value"))
+    v = no.select(F.struct(F.lit(1), F.col("no"), F.lit(0).cast("long")).alias("line"), F.concat(F.lit("v "), _fixed(F.col("x"), F.col("y"), F.col("z"))).alias("value"))
     l = both.select(F.struct(F.lit(2), F.col("i"), F.col("j")).alias("line"), F.format_string("l %d %d", "i", "j").alias("value"))
     return head.union(v).union(l)
 
