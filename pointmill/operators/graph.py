@@ -19,7 +19,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, *, max_rounds:
     Alternates two rewritings of the edge set until it is a set of stars around the smallest nodes: the *large star* hands each
     node's larger neighbours to its smallest neighbour, the *small star* does so for the smaller ones. Rounds grow with the
     logarithm of the longest path, edges never more than double, and every step is a hash aggregate with a join on its result, so
-    a node with many neighbours is combined before the shuffle. Nothing is broadcast. Each round's edges are written to the shared
+    a node with many neighbours is combined before the shuffle or split in the join. Nothing is broadcast. Each round's edges are written to the shared
     folder.
     """
     start = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
@@ -27,7 +27,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, *, max_rounds:
     mark = None
     for _ in range(max_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written first, so that both sides of the join are plain exchanges and a node with very many neighbours can be split.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         down = large.where("a <> b").distinct()
         small_least = down.groupBy("b").agg(F.min("a").alias("m"))

@@ -160,6 +160,26 @@ def knn_contraction(spark, sf_dir):
     return pipelines.knn_contraction(pts(spark, sf_dir), pipelines.KnnContractionParams(sample_num=200, iter_num=2, cell_size=0.05, contraction=contract.ContractionParams(max_iterations=4)))
 
 
+def skeleton_edges(spark, sf_dir):
+    """Branches traced in the cloud as it is, and bridges between them."""
+    from . import pipelines
+
+    p, e = _contraction(spark, sf_dir)
+    state = p.join(stats.linearity(e, p), "id").withColumn("sigma", F.greatest("sigma", F.lit(0.95)))
+    params = skeleton.ConnectionParams(diagonal_count=10, point_threshold=2)
+    return pipelines.skeleton_edges(state, skeleton.trace_branches(state, params), params, mend=False)
+
+
+def matrix_round_trip(spark, sf_dir):
+    """The first 16 dimensions as a 4 x 4 matrix, its second row, and back."""
+    from .views import table
+
+    m = F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double"))
+    d = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), m.alias("m")).withColumn("rows", geom.matrix_rows(F.col("m")))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6)
+    return d.select("id", total(F.col("rows")[1]).alias("second"), total(geom.matrix_flat(F.col("rows"))).alias("total"))
+
+
 def level_set_tree(spark, sf_dir):
     """Octree, voxel graph, level sets, cluster tree, spline: the whole chain."""
     from . import pipelines
@@ -406,7 +426,7 @@ QUERIES = {
         components, big_components, dbscan_eps, knn_clusters, sssp, level_sets, level_components, density_edges, incident_mean, cluster_tree,
         kmeans5, sliding_levels, drop_longest, lowest_point, split_at_median, undirected_edges, path_edges, seeds, cylinder_filter, furthest_five,
         skinning, recenter, resample_lines, component_bridge, repair_components, tree_measures, branch_ends, spline_densify, circles, triangles, smooth_radii, fission,
-        set_operations, xyz_round_trip, skeleton_obj, member_radii, surface_neighbours, count_density, joint_centres,
+        set_operations, xyz_round_trip, skeleton_obj, member_radii, surface_neighbours, count_density, joint_centres, skeleton_edges, matrix_round_trip,
     )
 }
 
@@ -502,6 +522,7 @@ SQL = {
     "count_density": f"WITH {PTS}, {_knn(3)}, k AS (SELECT *, count(*) OVER (PARTITION BY src) AS k FROM nn) SELECT src AS id, round(1 + sum(exp(-16.0*dist*dist/(k*k))), 6) AS rho FROM k GROUP BY src",
     "resample_lines": f"WITH {CLOUD_E}, s AS (SELECT user_id, z, x, id, lead(z) OVER w AS nz, sqrt((x-lead(x) OVER w)*(x-lead(x) OVER w)+(y-lead(y) OVER w)*(y-lead(y) OVER w)+(z-lead(z) OVER w)*(z-lead(z) OVER w)) AS len FROM ce WINDOW w AS (PARTITION BY user_id ORDER BY x, id)), r AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS upto FROM s WHERE nz IS NOT NULL), t AS (SELECT user_id, z + (n*1000.0-(upto-len))/len*(nz-z) AS z FROM (SELECT *, unnest(range(CAST(ceil((upto-len)/1000.0) AS BIGINT), CAST(ceil(upto/1000.0) AS BIGINT))) AS n FROM r WHERE len > 0)) SELECT user_id, count(*) AS n, round(avg(z), 3) AS z FROM t GROUP BY user_id",
     "sliding_levels": _SSSP + ", rd AS (SELECT node, round(dist, 4) AS dist FROM d), t AS (SELECT node, dist / (SELECT max(dist) FROM rd) AS share FROM rd), w AS (SELECT node, unnest(range(greatest(0, CAST(ceil((1.0-share-0.04)/0.02 - 1e-9) AS BIGINT)), least(49, CAST(floor((1.0-share)/0.02 + 1e-9) AS BIGINT)) + 1)) AS win FROM t) SELECT CAST(win AS INTEGER) AS \"window\", count(*) AS n FROM w GROUP BY win",
+    "matrix_round_trip": "WITH m AS (SELECT vec_id AS id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS m FROM embeddings) SELECT id, round(list_sum(m[5:8]), 6) AS second, round(list_sum(m), 6) AS total FROM m",
     "set_operations": f"WITH {PTS} SELECT 'union' AS kind, id FROM pts WHERE x > 0 OR y > 0 UNION ALL SELECT 'difference', id FROM pts WHERE x > 0 AND NOT y > 0 UNION ALL SELECT 'except', id FROM pts WHERE NOT x > 0",
     "xyz_round_trip": f"WITH {PTS}, t AS (SELECT " + ", ".join(f"CAST(format('{{:.4f}}', {a}) AS DOUBLE) AS {a}" for a in "xyz") + " FROM pts) SELECT x, y, z, count(*) AS n FROM t GROUP BY ALL",
     "skeleton_obj": f"WITH {TREE}, e AS (SELECT node+1 AS i, parent+1 AS j FROM tree WHERE node <> parent) SELECT 'l ' || i || ' ' || j AS value FROM e UNION SELECT 'l ' || j || ' ' || i FROM e",
