@@ -2,44 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL_SCRATCH: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset (tests, one machine)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="pointmill-"))
-    return _LOCAL_SCRATCH[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/pointmill-{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def text_bytes(column: str | Column = "text") -> Column:
-    """A text as UTF-8 bytes; null counts as empty."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
-
+from ..functions.scratch import materialize, scratch_path  # noqa: F401  one place for the operators to take them from
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""

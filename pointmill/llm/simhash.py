@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import bytes_of, empty_if_null, map_batches, materialize
-from .components import components
 
 SEED = 42
 
@@ -91,11 +91,11 @@ def links(fps: DataFrame, *, radius: int = 2, crowd: int = 1024) -> DataFrame:
     sizes = spread.groupBy("point").agg(F.sum(F.col("own").cast("long")).alias("owns"), F.count("*").alias("n"))
     # Most grid points have one owner and nobody else who asks for it: they take no part.
     met = materialize(sizes.where("owns > 0 and n > 1").select("point", (F.col("owns") * F.col("n") > crowd).alias("crowded")), "points")
-    placed = materialize(spread.join(met, "point"), "placed")
+    placed = materialize(spread.join(met.hint("merge"), "point"), "placed")
     calm = placed.where("not crowded")
     owners, askers = calm.where("own").select("point", F.col("fp").alias("a")), calm.select("point", F.col("fp").alias("b"), F.col("own").alias("same"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = owners.join(askers, (owners["point"] == askers["point"]) & (apart <= radius) & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
+    pairs = owners.join(askers.hint("merge"), (owners["point"] == askers["point"]) & (apart <= radius) & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
     crowded = placed.where("crowded").select("fp").distinct()
     return pairs.union(_crowded_links(crowded, radius))
 
@@ -110,17 +110,17 @@ def _crowded_links(fps: DataFrame, radius: int) -> DataFrame:
     if radius == 2:
         near = fps.select("fp", F.explode(F.concat(F.array(F.col("fp")), F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m)))).alias("near"))
         tied = near.groupBy("near").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("near", "least")
-        return near.join(tied, "near").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+        return near.join(tied.hint("merge"), "near").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     if radius == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     one = fps.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
-    direct = one.join(fps.withColumnRenamed("fp", "near"), "near", "left_semi").select(F.col("fp").alias("a"), F.col("near").alias("b"))
+    direct = one.join(fps.withColumnRenamed("fp", "near").hint("merge"), "near", "left_semi").select(F.col("fp").alias("a"), F.col("near").alias("b"))
     if radius == 1:
         return direct
     # radius 3: within 2 as above; then neighbours one bit off that are themselves one bit from another's neighbour
     two = _crowded_links(fps, 2)
     ball = one.groupBy("near").agg(F.min("fp").alias("least"))
-    across = ball.select("least", F.explode(F.transform(flips, lambda m: F.col("near").bitwiseXOR(m))).alias("near")).join(ball.select("near", F.col("least").alias("other")), "near").where("least <> other").select(F.col("least").alias("a"), F.col("other").alias("b"))
+    across = ball.select("least", F.explode(F.transform(flips, lambda m: F.col("near").bitwiseXOR(m))).alias("near")).join(ball.select("near", F.col("least").alias("other")).hint("merge"), "near").where("least <> other").select(F.col("least").alias("a"), F.col("other").alias("b"))
     return two.union(across.distinct())
 
 
