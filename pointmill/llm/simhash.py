@@ -19,6 +19,8 @@ smallest id that is not null; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,33 +33,66 @@ from .common import bytes_of, empty_if_null, map_batches, materialize
 SEED = 42
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The unsigned SimHash of a text's word shingles, repeats included: a bit is 1 if it is set in over half of the hashes."""
-    words = text.lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, joined by spaces; of all words if there are fewer."""
     n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.r_[0, ends[:-1]][:n].tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     bits = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         bits += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * bits > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The unsigned SimHash of a text's word shingles, repeats included."""
+    words = text.lower().split()
+    return majority(shingle_hashes(words, shingle)) if words else 0
+
+
+def block_keys(words: list[bytes], hashes: np.ndarray, *, every: int = 24, least: int = 4, take: int = 6) -> list[int]:
+    """Keys of at most ``take`` blocks of a text, the ones with the least keys. A block ends where a word's checksum says so, every
+    ``every`` words on average, and its key is the sum of its shingles' hashes; blocks of under ``least`` shingles do not count."""
+    cuts = np.flatnonzero(np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % every == 0) + 1
+    starts = np.r_[0, cuts]
+    sizes = np.minimum(np.r_[cuts, len(words)], len(hashes) + 4) - starts - 4
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(_scrambled(hashes), dtype=np.uint64)]
+        full = sizes >= least
+        keys = _scrambled(sums[np.minimum(starts[full] + sizes[full], len(hashes))] - sums[starts[full]])
+    return np.sort(np.unique(keys))[:take].view(np.int64).tolist()
+
 
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+
+def fingerprints(docs: DataFrame, *, shingle: int = 3, blocks: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long. With ``blocks`` also its ``block_keys``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = np.array([fingerprint(t, shingle) for t in bytes_of(batch.column(1))], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["doc_id", "fp"])
+        prints, keys = [], []
+        for t in bytes_of(batch.column(1)):
+            words = t.lower().split()
+            hashes = shingle_hashes(words, shingle) if words else np.zeros(0, dtype="<u8")
+            prints.append(majority(hashes) if words else 0)
+            if blocks:
+                keys.append(block_keys(words, hashes) if words else [])
+        more = [pa.array(keys, pa.list_(pa.int64()))] if blocks else []
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), *more], names=["doc_id", "fp", "blocks"][: 2 + len(more)])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
-    return map_batches(source, run, "doc_id long, fp long")
+    return map_batches(source, run, "doc_id long, fp long" + ", blocks array<long>" * blocks)
 
 
 def segment_counts(bits: Column) -> Column:
@@ -124,25 +159,76 @@ def _crowded_links(fps: DataFrame, radius: int) -> DataFrame:
     return two.union(across.distinct())
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row: fingerprints within ``radius`` bits are linked, a component is named by its smallest id."""
-    held = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct shingle hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def similar_links(docs: DataFrame, held: DataFrame, classes: DataFrame, *, shingle: int, least: float, far: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a, b``: pairs of fingerprints whose texts have a similarity of at least ``least`` and share a block.
+
+    A 64-bit fingerprint cannot tell similarity 0.8 (some ten differing bits) from chance within a radius that a grid can search, so
+    candidates come from blocks of words. Of the texts with a block each meets two: the one with the least id, the original if
+    copies came later, and one picked by a hash. That bounds candidates by twice the number of blocks taken from a text, however
+    many texts share a block. Candidates more than ``far`` bits apart are left out (the odds
+    of a similar pair beyond 24 bits are about one in a million); the rest are compared by their shingles.
+    """
+    one = held.join(classes.select("fp", F.col("rep").alias("doc_id")).hint("merge"), ["fp", "doc_id"]).select("fp", "doc_id", F.explode("blocks").alias("block"))
+    me = F.struct("doc_id", "fp")
+    lead = one.groupBy("block").agg(F.min(me).alias("first"), F.min(F.struct(F.xxhash64("doc_id", "block").alias("h"), "doc_id", "fp")).alias("other"), F.count("*").alias("n"))
+    lead = materialize(lead.where("n > 1").select("block", F.array("first", F.struct("other.doc_id", "other.fp")).alias("leads")), "blocks")
+    met = one.join(lead.hint("merge"), "block").select("doc_id", "fp", F.explode("leads").alias("l"))
+    met = met.where((F.col("fp") != F.col("l.fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= far))
+    low, high = F.least(F.struct("doc_id", "fp"), F.struct("l.doc_id", "l.fp")), F.greatest(F.struct("doc_id", "fp"), F.struct("l.doc_id", "l.fp"))
+    pairs = materialize(met.select(low.alias("a"), high.alias("b")).distinct(), "pairs")
+    wanted = pairs.select("a.doc_id", "a.fp").union(pairs.select("b.doc_id", "b.fp")).distinct()
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
+    texts = materialize(source.join(wanted.hint("shuffle_hash"), "doc_id").select("fp", "t"), "texts")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known: dict[int, np.ndarray] = {}
+
+        def bag(fp: int, text: bytes) -> np.ndarray:
+            if fp not in known:
+                if len(known) > 256:
+                    known.clear()
+                words = text.lower().split()
+                known[fp] = np.unique(shingle_hashes(words, shingle)) if words else np.zeros(0, dtype="<u8")
+            return known[fp]
+
+        a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        good = [similarity(bag(x, s), bag(y, t)) >= least for x, s, y, t in zip(a, bytes_of(batch.column(1)), b, bytes_of(batch.column(3)), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ta, tb = texts.select(F.col("fp").alias("a"), F.col("t").alias("s")), texts.select(F.col("fp").alias("b"), "t")
+    both = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "s", "b", "t")
+    return map_batches(both, run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, least_similarity: float | None = None, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` for every row: fingerprints within ``radius`` bits are linked, and with ``least_similarity`` those
+    that ``similar_links`` finds; a component is named by its smallest id."""
+    held = materialize(fingerprints(docs, shingle=shingle, blocks=least_similarity is not None, id_col=id_col, text_col=text_col), "fingerprints")
     classes = materialize(held.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     edges = links(classes.select("fp"), radius=radius, crowd=crowd)
+    if least_similarity is not None:
+        edges = edges.union(similar_links(docs, held, classes, shingle=shingle, least=least_similarity, id_col=id_col, text_col=text_col))
     groups = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("group"))
-    named = classes.join(groups, "fp", "left").select("fp", "rep", F.coalesce("group", "fp").alias("group"))
+    named = materialize(classes.join(groups.hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("group", "fp").alias("group")), "groups")
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
-    return held.join(materialize(named.join(least, "group").select("fp", "component_id"), "named"), "fp").select("doc_id", "fp", "component_id")
+    names = materialize(named.join(least.hint("merge"), "group").select("fp", "component_id"), "named")
+    return held.select("doc_id", "fp").join(names.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int = 5, radius: int = 2, least_similarity: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that name their component, with all their columns. Of equal ids all rows stay, as they share one name;
     so do rows without an id, which no other row can stand for."""
-    found = near_duplicates(docs, shingle=shingle, radius=radius, id_col=id_col, text_col=text_col)
+    found = near_duplicates(docs, shingle=shingle, radius=radius, least_similarity=least_similarity, id_col=id_col, text_col=text_col)
     leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("__leader")).distinct()
     kept = docs.join(leaders.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__leader"), "left_semi")
     return kept.union(docs.where(F.col(id_col).isNull()))
