@@ -96,6 +96,46 @@ def test_near_duplicate_components(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], ROWS)).count() == 0
 
 
+def plain_groups(ids, texts, radius=2, least=0.8):
+    """Components by fingerprints within the radius or five-word similarity, by comparing all pairs."""
+    prints = {i: plain_fingerprint(texts[i] or "", 5) for i in ids}
+    bags = {i: {tuple(w[k : k + 5]) for w in [(texts[i] or "").encode().lower().split()] for k in range(max(1, len(w) - 4))} for i in ids}
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(bags[i] & bags[j])
+            if (prints[i] ^ prints[j]).bit_count() <= radius or both >= least * (len(bags[i]) + len(bags[j]) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_near_copies_of_similarity_0_8(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    rows, groups = [], {}
+    for g in range(30):
+        base = [word() for _ in range(rng.randint(120, 400))]
+        if g % 3 == 0:
+            base += passage.split()
+        for c in range(4):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) // 120) if c else 0):
+                copy[at] = word()
+            groups[g * 10 + c] = g * 10
+            rows.append((g * 10 + c, " ".join(copy)))
+    rows.append((999, passage))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, ROWS), shingle=5, least_similarity=0.8).collect()}
+    assert got == groups | {999: 999}
+
+
 def plain_removal(texts, length):
     seen = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
@@ -233,9 +273,10 @@ def test_pipeline_stages(spark, sf):
     kept = {r["doc_id"] for r in quality_rules.quality_measures(docs).where("kept").collect()}
     assert {r["doc_id"] for r in q.collect()} == kept and q.columns == docs.columns
     d = corpus_pipeline.near_duplicate_stage(spark, q, sf)
-    prints = {r["doc_id"]: plain_fingerprint(r["text"], 5) for r in q.collect()}
-    ids = sorted(prints)
-    assert {r["doc_id"] for r in d.collect()} == set(plain_components(ids, [prints[i] for i in ids], 3).values()) and d.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in q.collect()}
+    ids = sorted(texts)
+    kept = {r["doc_id"] for r in d.collect()}
+    assert set(plain_groups(ids, texts).values()) == kept and d.columns == docs.columns
     c = corpus_pipeline.decontamination_stage(spark, d, sf)
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     left = {r["doc_id"]: r["text"] for r in c.collect()}
