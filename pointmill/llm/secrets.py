@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, scratch_path
+from .common import empty_if_null, materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,9 @@ def findings(docs: DataFrame, ledger_path: str | None = None, *, rules: tuple[Ru
 
 def _held(spark: SparkSession, ledger_path: str, rule_version: str) -> DataFrame:
     """Blobs with findings, each once: a path that is listed twice may have put its blob into the ledger twice."""
-    return read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    found = read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    # Written first, so that the join to all paths can split a blob that very many of them hold.
+    return materialize(found, "findings")
 
 
 def _no_spans() -> Column:
