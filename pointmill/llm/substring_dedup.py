@@ -203,7 +203,8 @@ def removed_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = 2000, i
     """``id, h, spans``: for each row that loses something the spans [start, end) of bytes, not yet merged."""
     rows = _row_key(docs, id_col, text_col)
     parsed = materialize(_parsed(rows, length), "parse")
-    twice = parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written first, so that both sides of the join are plain exchanges and a hot trigger's partition can be split.
+    twice = materialize(parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "triggers")
     held = materialize(parsed.join(twice, "gram"), "repeated")
     kinds = materialize(held.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "first", "count")).alias("at")), "phrases")
     triggers = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
