@@ -19,7 +19,8 @@ smallest id that is not null; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import zlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from ..operators.graph import components
 from .common import bytes_of, empty_if_null, map_batches, materialize
 
 SEED = 42
+#: Shingles are counted in so many buckets, to put the frequent ones last.
+BUCKETS = 1 << 18
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -58,41 +61,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return majority(shingle_hashes(words, shingle)) if words else 0
 
 
-def block_keys(words: list[bytes], hashes: np.ndarray, *, every: int = 24, least: int = 4, take: int = 6) -> list[int]:
-    """Keys of at most ``take`` blocks of a text, the ones with the least keys. A block ends where a word's checksum says so, every
-    ``every`` words on average, and its key is the sum of its shingles' hashes; blocks of under ``least`` shingles do not count."""
-    cuts = np.flatnonzero(np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % every == 0) + 1
-    starts = np.r_[0, cuts]
-    sizes = np.minimum(np.r_[cuts, len(words)], len(hashes) + 4) - starts - 4
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(_scrambled(hashes), dtype=np.uint64)]
-        full = sizes >= least
-        keys = _scrambled(sums[np.minimum(starts[full] + sizes[full], len(hashes))] - sums[starts[full]])
-    return np.sort(np.unique(keys))[:take].view(np.int64).tolist()
-
-
-def _scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def fingerprints(docs: DataFrame, *, shingle: int = 3, blocks: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long. With ``blocks`` also its ``block_keys``."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints, keys = [], []
-        for t in bytes_of(batch.column(1)):
-            words = t.lower().split()
-            hashes = shingle_hashes(words, shingle) if words else np.zeros(0, dtype="<u8")
-            prints.append(majority(hashes) if words else 0)
-            if blocks:
-                keys.append(block_keys(words, hashes) if words else [])
-        more = [pa.array(keys, pa.list_(pa.int64()))] if blocks else []
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), *more], names=["doc_id", "fp", "blocks"][: 2 + len(more)])
+        prints = np.array([fingerprint(t, shingle) for t in bytes_of(batch.column(1))], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
-    return map_batches(source, run, "doc_id long, fp long" + ", blocks array<long>" * blocks)
+    return map_batches(source, run, "doc_id long, fp long")
 
 
 def segment_counts(bits: Column) -> Column:
@@ -159,66 +136,181 @@ def _crowded_links(fps: DataFrame, radius: int) -> DataFrame:
     return two.union(across.distinct())
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct shingle hashes."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def distinct_shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text; none for a text without words."""
+    words = text.lower().split()
+    return np.unique(shingle_hashes(words, shingle)) if words else np.zeros(0, dtype="<u8")
 
 
-def similar_links(docs: DataFrame, held: DataFrame, classes: DataFrame, *, shingle: int, least: float, far: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``a, b``: pairs of fingerprints whose texts have a similarity of at least ``least`` and share a block.
+def set_key(shingles: np.ndarray) -> int:
+    """A signed 64-bit key of a set of shingles."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def prefix_length(size: int, least: float) -> int:
+    """How many of a set's rarest shingles are listed: two sets of similarity ``least`` or more share one of them."""
+    return size - math.ceil(least * size - 1e-9) + 1 if size else 0
+
+
+def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, place, t``: the text, and a key by which it is found again, whatever its id."""
+    text = empty_if_null(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h")).alias("place"), text.alias("t"))
+
+
+def fingerprints_and_counts(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fp, sid, bucket, n``: each row's fingerprint and set key, and, in rows with a ``bucket``, how many texts of a task hold
+    shingles of each of ``BUCKETS`` buckets."""
+    names = ["doc_id", "fp", "sid", "bucket", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            prints, keys = [], []
+            for t in bytes_of(batch.column(1)):
+                words = t.lower().split()
+                hashes = shingle_hashes(words, shingle) if words else np.zeros(0, dtype="<u8")
+                kinds = np.unique(hashes)
+                prints.append(majority(hashes) if words else 0)
+                keys.append(set_key(kinds))
+                np.add.at(held, (kinds % np.uint64(BUCKETS)).astype(np.int64), 1)
+            none = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.int64()), *none], names=names)
+        at = np.flatnonzero(held)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64())] * 3 + [pa.array(at.astype(np.int32)), pa.array(held[at])], names=names)
 
-    A 64-bit fingerprint cannot tell similarity 0.8 (some ten differing bits) from chance within a radius that a grid can search, so
-    candidates come from blocks of words. Of the texts with a block each meets two: the one with the least id, the original if
-    copies came later, and one picked by a hash. That bounds candidates by twice the number of blocks taken from a text, however
-    many texts share a block. Candidates more than ``far`` bits apart are left out (the odds
-    of a similar pair beyond 24 bits are about one in a million); the rest are compared by their shingles.
-    """
-    one = held.join(classes.select("fp", F.col("rep").alias("doc_id")).hint("merge"), ["fp", "doc_id"]).select("fp", "doc_id", F.explode("blocks").alias("block"))
-    me = F.struct("doc_id", "fp")
-    lead = one.groupBy("block").agg(F.min(me).alias("first"), F.min(F.struct(F.xxhash64("doc_id", "block").alias("h"), "doc_id", "fp")).alias("other"), F.count("*").alias("n"))
-    lead = materialize(lead.where("n > 1").select("block", F.array("first", F.struct("other.doc_id", "other.fp")).alias("leads")), "blocks")
-    met = one.join(lead.hint("merge"), "block").select("doc_id", "fp", F.explode("leads").alias("l"))
-    met = met.where((F.col("fp") != F.col("l.fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= far))
-    low, high = F.least(F.struct("doc_id", "fp"), F.struct("l.doc_id", "l.fp")), F.greatest(F.struct("doc_id", "fp"), F.struct("l.doc_id", "l.fp"))
-    pairs = materialize(met.select(low.alias("a"), high.alias("b")).distinct(), "pairs")
-    wanted = pairs.select("a.doc_id", "a.fp").union(pairs.select("b.doc_id", "b.fp")).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
-    texts = materialize(source.join(wanted.hint("shuffle_hash"), "doc_id").select("fp", "t"), "texts")
+    return source.mapInArrow(run, "doc_id long, fp long, sid long, bucket int, n long")
+
+
+def frequent_buckets(counts: DataFrame) -> np.ndarray:
+    """The count of each bucket that stands out from chance, 0 for the others. Any order of shingles keeps the prefix filter exact; this
+    one puts shingles of frequent passages last."""
+    summed = materialize(counts.groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+    mean = (summed.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    rank = np.zeros(BUCKETS, dtype=np.int64)
+    for r in summed.where(F.col("n") > mean + 6 * math.sqrt(mean) + 1).toLocalIterator():
+        rank[r["bucket"]] = r["n"]
+    return rank
+
+
+def prefixes(docs: DataFrame, rank: np.ndarray, *, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``sid, place, size, prefix``: for each distinct set of shingles one text that has it, its size, and its rarest shingles in order."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[int, np.ndarray] = {}
+        keys, sizes, firsts = [], [], []
+        for t in bytes_of(batch.column(1)):
+            kinds = distinct_shingles(t, shingle)
+            order = np.lexsort((kinds, rank[(kinds % np.uint64(BUCKETS)).astype(np.int64)]))
+            keys.append(set_key(kinds))
+            sizes.append(len(kinds))
+            firsts.append(kinds[order[: prefix_length(len(kinds), least)]].view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["sid", "place", "size", "prefix"])
+
+    found = map_batches(_located(docs, id_col, text_col).select("place", "t"), run, "sid long, place struct<id:long,h:long>, size int, prefix array<long>")
+    return found.where("size > 0").groupBy("sid").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+
+
+def _like_sizes(least: float) -> Column:
+    """Whether the sizes of ``x`` and ``y`` allow the similarity."""
+    return F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * least - 1e-6
+
+
+def _enough(least: float) -> Column:
+    """Whether ``x`` and ``y``, which share ``n`` listed shingles, may have the similarity. Of the two lists let A's end first in the
+    common order: what A and B share up to there is in both lists, and after it A has only its unlisted shingles."""
+    rest = [F.ceil(F.col(f"{c}.size") * least - 1e-6) - 1 for c in ("x", "y")]
+    return (F.col("n") + F.greatest(*rest)) * (1 + least) >= (F.col("x.size") + F.col("y.size")) * least - 1e-6
+
 
-        def bag(fp: int, text: bytes) -> np.ndarray:
-            if fp not in known:
-                if len(known) > 256:
-                    known.clear()
-                words = text.lower().split()
-                known[fp] = np.unique(shingle_hashes(words, shingle)) if words else np.zeros(0, dtype="<u8")
-            return known[fp]
+def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, *, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a, b``: the ``node`` of either side of those pairs ``x, y (sid, size, node)`` whose sets have the similarity, compared exactly."""
+    wanted = pairs.select("x.sid").union(pairs.select("y.sid")).distinct()
+    wanted = materialize(places.join(wanted.hint("merge"), "sid").select("place", "sid"), "wanted")
+    texts = _located(docs, id_col, text_col).select("place", "t").join(wanted.hint("shuffle_hash"), "place").select("sid", "t")
 
-        a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        good = [similarity(bag(x, s), bag(y, t)) >= least for x, s, y, t in zip(a, bytes_of(batch.column(1)), b, bytes_of(batch.column(3)), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # In small slices: the sets of a whole batch would take many times the memory of its texts.
+        for batch in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
+            found = [distinct_shingles(t, shingle) for t in bytes_of(batch.column(1))]
+            good = pa.array([set_key(x) == k for x, k in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["sid", "bag"]).filter(good)
 
-    ta, tb = texts.select(F.col("fp").alias("a"), F.col("t").alias("s")), texts.select(F.col("fp").alias("b"), "t")
-    both = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "s", "b", "t")
-    return map_batches(both, run, "a long, b long")
+    bags = materialize(texts.mapInArrow(shingles, "sid long, bag array<long>").groupBy("sid").agg(F.first("bag").alias("bag")), "bags")
+    one, two = bags.select(F.col("sid").alias("p"), F.col("bag").alias("s")), bags.select(F.col("sid").alias("q"), F.col("bag").alias("t"))
+    both = pairs.select(F.col("x.sid").alias("p"), F.col("x.node").alias("a"), F.col("y.sid").alias("q"), F.col("y.node").alias("b"))
+    both = both.join(one.hint("merge"), "p").join(two.hint("merge"), "q")
+    common = both.select("a", "b", (F.size("s") + F.size("t")).alias("n"), F.size(F.array_intersect("s", "t")).alias("both"))
+    return materialize(common.where(F.col("both") / (F.col("n") - F.col("both")) >= least).select("a", "b").distinct(), "verified")
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """Distinct pairs ``x, y``, the one with the smaller set key first, and how often they met."""
+    x, y = (F.struct(*(F.col(f"{c}.{k}").alias(k) for k in ("sid", "size", "node"))) for c in ("x", "y"))
+    return met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+def similar_groups(docs: DataFrame, held: DataFrame, edges: DataFrame, *, shingle: int, least: float, far: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``node, component`` of fingerprints that are linked by ``edges``, by equal sets of shingles or by a similarity of at least
+    ``least``, all such pairs counted.
+
+    A 64-bit fingerprint cannot tell similarity 0.8 (some ten differing bits) from chance within a radius that a grid can search, so
+    an exact prefix filter finds the pairs: equal sets are one; each distinct set lists its ``prefix_length`` rarest shingles, and
+    sets that share none of those cannot be similar. Sizes and the number of shared ones rule out more; the rest is compared.
+
+    Only components are asked for, so pairs are met in two rounds. First each set meets one of the sets of like size under each of its
+    listed shingles, if their fingerprints are within ``far`` bits, which ties large groups of copies together. Then, under each shingle, all pairs that are not yet in one component are
+    met, with the sets outside the shingle's largest component on the left: those within it need no comparison.
+    """
+    more = {"shingle": shingle, "least": least, "id_col": id_col, "text_col": text_col}
+    nodes = materialize(held.where("bucket is null").groupBy("sid").agg(F.min("fp").alias("node")), "nodes")
+    equal = held.where("bucket is null").select("sid", "fp").distinct().join(nodes.hint("merge"), "sid").where("fp <> node").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+    sets = materialize(prefixes(docs, frequent_buckets(held.where("bucket is not null")), **more), "sets")
+    listed = sets.select("sid", "size", F.explode("prefix").alias("s"))
+    shared = materialize(listed.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "shared")
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / least) + 1e-9).cast("int")
+    posts = materialize(listed.join(shared.hint("merge"), "s").join(nodes.hint("merge"), "sid").select("s", band.alias("band"), F.struct("sid", "size", "node").alias("x")), "posts")
+
+    lead = materialize(posts.groupBy("s", "band").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").select("s", "band", "y"), "leads")
+    met = posts.join(lead.hint("merge"), ["s", "band"]).where((F.col("x.node") != F.col("y.node")) & (F.bit_count(F.col("x.node").bitwiseXOR(F.col("y.node"))) <= far)).where(_like_sizes(least))
+    first = verified(docs, materialize(_counted(met).select("x", "y"), "pairs"), sets.select("sid", "place"), **more)
+    groups = materialize(components(edges.union(equal).union(first)), "first-groups")
+
+    # A set's node is now its component.
+    named = materialize(nodes.join(groups.hint("merge"), "node", "left").select("sid", F.coalesce("component", "node").alias("c")), "set-groups")
+    placed = materialize(posts.withColumn("sid", F.col("x.sid")).join(named.hint("merge"), "sid").select("s", "band", F.struct("sid", "x.size", F.col("c").alias("node")).alias("x")), "placed")
+    sizes = placed.groupBy("s", F.col("x.node").alias("c")).agg(F.count("*").alias("n"))
+    split = materialize(sizes.groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("s", F.col("top.c").alias("top")), "split")
+    live = materialize(placed.join(split.hint("merge"), "s").select("s", "band", "x", (F.col("x.node") == F.col("top")).alias("main")), "live")
+    left = live.where("not main").select("s", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "x")
+    right = live.select("s", "band", F.col("x").alias("y"), "main")
+    met = left.join(right.hint("merge"), ["s", "band"]).where((F.col("x.node") != F.col("y.node")) & (F.col("main") | (F.col("x.sid") < F.col("y.sid")))).where(_like_sizes(least))
+    last = components(verified(docs, materialize(_counted(met).where(_enough(least)).select("x", "y"), "pairs"), sets.select("sid", "place"), **more)).select(F.col("node").alias("component"), F.col("component").alias("c"))
+    all_nodes = groups.select("node", "component").union(last.select("component", "component").join(groups.select(F.col("node").alias("component")).hint("merge"), "component", "left_anti").select("component", F.col("component").alias("c")))
+    return all_nodes.join(last.hint("merge"), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, least_similarity: float | None = None, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row: fingerprints within ``radius`` bits are linked, and with ``least_similarity`` those
-    that ``similar_links`` finds; a component is named by its smallest id."""
-    held = materialize(fingerprints(docs, shingle=shingle, blocks=least_similarity is not None, id_col=id_col, text_col=text_col), "fingerprints")
-    classes = materialize(held.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    """``doc_id, fp, component_id`` for every row: fingerprints within ``radius`` bits are linked, and with ``least_similarity`` all
+    whose texts have that similarity (``similar_groups``); a component is named by its smallest id."""
+    if least_similarity is None:
+        held = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
+        rows = held
+    else:
+        held = materialize(fingerprints_and_counts(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
+        rows = held.where("bucket is null")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     edges = links(classes.select("fp"), radius=radius, crowd=crowd)
-    if least_similarity is not None:
-        edges = edges.union(similar_links(docs, held, classes, shingle=shingle, least=least_similarity, id_col=id_col, text_col=text_col))
-    groups = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    if least_similarity is None:
+        found = components(edges)
+    else:
+        found = similar_groups(docs, held, edges, shingle=shingle, least=least_similarity, id_col=id_col, text_col=text_col)
+    groups = found.select(F.col("node").alias("fp"), F.col("component").alias("group"))
     named = materialize(classes.join(groups.hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("group", "fp").alias("group")), "groups")
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     names = materialize(named.join(least.hint("merge"), "group").select("fp", "component_id"), "named")
-    return held.select("doc_id", "fp").join(names.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    return rows.select("doc_id", "fp").join(names.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -136,6 +136,38 @@ def test_near_copies_of_similarity_0_8(spark):
     assert got == groups | {999: 999}
 
 
+def test_all_pairs_of_similarity_0_8_among_short_texts_and_under_a_frequent_passage(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 9)))
+    passage = [word() for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(20, 60))]
+        texts += [base, base[:-1] + [word()], base + [word()], [word()] + base, base[: len(base) // 2] + [word()] + base[len(base) // 2 :]]
+    for _ in range(1200):
+        own = [word() for _ in range(rng.randint(2, 14))]
+        texts += [passage + own] + ([passage + own[:-1] + [word()]] if rng.random() < 0.1 else [])
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    bags = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    prints = [plain_fingerprint(t, 5) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(bags[i] & bags[j])
+            if both / (len(bags[i]) + len(bags[j]) - both) >= 0.8 or (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, ROWS), shingle=5, least_similarity=0.8).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def plain_removal(texts, length):
     seen = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
