@@ -11,14 +11,25 @@ from pyspark.sql import types as T
 
 from ..functions.scratch import materialize, scratch_path  # noqa: F401  one place for the operators to take them from
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+#: Rows of a batch that are worked on at a time: what a function makes of them is handed on before the next ones are read.
+SLICE = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into pieces of at most ``rows`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with a function of one piece of a batch, which returns a batch or yields several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
+        for batch in slices(batches):
+            made = fn(batch)
+            for out in (made,) if isinstance(made, pa.RecordBatch) else made or ():
+                if out.num_rows:
                     yield out
 
     return df.mapInArrow(run, schema)
@@ -28,11 +39,10 @@ def keep_rows(df: DataFrame, decide: Callable[[pa.RecordBatch], pa.Array]) -> Da
     """Rows of ``df``, all columns untouched, for which ``decide(batch)`` is true. Names of columns cannot clash: none is added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = batch.filter(decide(batch))
-                if out.num_rows:
-                    yield out
+        for batch in slices(batches):
+            out = batch.filter(decide(batch))
+            if out.num_rows:
+                yield out
 
     return df.mapInArrow(run, df.schema)
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, empty_if_null, map_batches
-from .words import WordPieces, default_path, piece_processor
+from .words import default_path, piece_processor, word_pieces
 
 MARK = "▁".encode()
 
@@ -152,8 +153,8 @@ class Encoder:
     """Encodes blocks of texts; one per task."""
 
     def __init__(self, path: str, add_end: bool = True):
-        self.path, self.add_end, self.sp, self.norm, self.table = path, add_end, piece_processor(path), normalizer(path), WordPieces(path)
-        self.end = np.array([self.sp.eos_id()] * add_end, dtype=np.int64)
+        self.path, self.add_end, self.sp, self.norm, self.table = path, add_end, piece_processor(path), normalizer(path), word_pieces(path)
+        self.end = np.array([self.sp.eos_id()] * add_end, dtype=np.int32)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them for the whole text."""
@@ -173,7 +174,7 @@ class Encoder:
                 got = flat[ends[i] : ends[i + 1]]
             else:
                 got = np.array(self.sp.encode(text.decode("utf-8", "replace"), num_threads=1), dtype=np.int64)
-            out.append(np.r_[got, self.end].astype(np.int64))
+            out.append(np.concatenate([got, self.end]).astype(np.int32))
         return out
 
     def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +206,7 @@ def _with_spaces(parts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _blocks(texts: list[bytes], most: int = 4_000_000):
+def _blocks(texts: list[bytes], most: int = 2_000_000):
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -216,22 +217,28 @@ def _blocks(texts: list[bytes], most: int = 4_000_000):
         at = end
 
 
-def encode(docs: DataFrame, *, model_path: str | None = None, add_end: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, starts, ends``: the ids of every text and the original bytes each of them stands for."""
+def encode(docs: DataFrame, *, model_path: str | None = None, add_end: bool = True, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, starts, ends``: the ids of every text and the original bytes each of them stands for. With ``decoded`` also
+    ``decoded_sha256``, the digest of the text that the ids decode to. What a few megabytes of text become is handed on at once."""
     path = model_path or default_path("piece_bpe_32k.model")
     held: list[Encoder] = []
+    names = ["doc_id", "ids", "starts", "ends"] + ["decoded_sha256"] * decoded
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not held:
             held.append(Encoder(path, add_end))
         texts = bytes_of(batch.column(1))
-        ids = [x for a, b in _blocks(texts) for x in held[0].ids(texts[a:b])]
-        spans = [held[0].spans(t, i) for t, i in zip(texts, ids, strict=True)]
-        arrays = [ids, [s for s, _ in spans], [e for _, e in spans]]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(a, pa.list_(k)) for a, k in zip(arrays, (pa.int32(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "ids", "starts", "ends"])
+        for a, b in _blocks(texts):
+            ids = held[0].ids(texts[a:b])
+            spans = [held[0].spans(t, i) for t, i in zip(texts[a:b], ids, strict=True)]
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32))) for x in (ids, [s for s, _ in spans], [e for _, e in spans])]
+            if decoded:
+                lists.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in held[0].decode(ids)], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=names)
 
     source = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
-    return map_batches(source, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, starts array<long>, ends array<long>")
+    return map_batches(source, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>" + ", decoded_sha256 string" * decoded)
 
 
 def decode(encoded: DataFrame, *, model_path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -1,7 +1,6 @@
 """Removal of byte strings that occur more than once, by a distributed prefix-free parse.
 
-A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else in the corpus. The corpus is never
-sorted suffix by suffix. Instead
+A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else in the corpus.
 
 * *Parse.* A rolling hash of every ``GRAM`` bytes picks triggers: in each string of ``length`` bytes the gram with the least hash
   (the first of equals) is its trigger, so equal strings have equal triggers at equal offsets. A phrase is what the strings of one
@@ -9,22 +8,29 @@ sorted suffix by suffix. Instead
   one phrase. A text is the sequence of its phrases, each given by the hashes of its trigger and of its content.
 * *Dictionary.* Triggers that occur once belong to strings that occur once, and are done with. A phrase that occurs twice is
   removed whole. What remains, the distinct phrases of repeated triggers with differing content (the ends of repeated passages),
-  is the dictionary whose suffixes must be put in order, and only its bytes are fetched from the texts.
-* *Order.* Every suffix of the corpus begins with a dictionary suffix of at least ``length`` bytes, so the order of dictionary
-  suffixes, cut to ``length``, with the number of times each phrase occurs, gives the corpus order: strings that occur again are
-  neighbours. As only equality of neighbours is asked for, suffixes are ordered by a hash of their first ``length`` bytes and
-  neighbours with equal hashes are compared byte by byte. Suffixes with different triggers differ, so the dictionary is dealt out
-  by trigger, in buckets of bounded size. A trigger with more than ``crowd`` phrases is dealt out by the suffixes' own hashes.
+  is the dictionary whose suffixes must be told apart. How often a phrase occurs in the parse is the weight of its suffixes.
+* *Suffixes.* Every suffix of the corpus begins with a dictionary suffix of at least ``length`` bytes. Suffixes are named in two
+  steps, longer common parts first, as parallel suffix sorting by naming does. A *strip* is ``STRIP`` neighbouring suffixes at fixed
+  distances from their trigger; what all of them share is the strip's core, named by a hash, and what its suffixes have beyond the
+  core is at most ``STRIP`` - 1 bytes on either side. Strips with a core that occurs once hold no repeated string; equal strips
+  that occur twice hold nothing else; only in the others are single suffixes compared, by the bytes beyond the core.
 
-Hashes have 64 bits; phrases are equal if trigger and content hashes, 128 bits, are.
+Everything after the parse is a hash aggregate or a join, so a trigger, core or string that a large share of the corpus holds is
+combined before it is dealt out; there is one way for all sizes. Only equality is asked for, so names stand in for ranks and no
+suffix array is sorted.
+
+A phrase is named by 128 bits (hashes of trigger and content), a core by 128 bits (hashes of trigger and core), a row by 128 bits of
+its id and text.
 
 Defined cases: a null text is empty; a text shorter than ``length`` loses nothing; copies and repeated rows lose everything if they
-are at least that long; a null id is a row like any other; an empty table gives an empty result; other columns are not read.
-Texts of any length are parsed in blocks with ``length`` - 1 bytes of overlap.
+are at least that long; a null id is a row like any other, and ids may have any type; an empty table gives an empty result; other
+columns are not read. Texts of any length are parsed in blocks with ``length`` - 1 bytes of overlap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, empty_if_null, map_batches, materialize
 
-LENGTH, GRAM, BLOCK = 200, 24, 1 << 20
+LENGTH, GRAM, BLOCK, STRIP = 200, 24, 1 << 20, 16
 _ODD = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(7).integers(1 << 62, (1 << 63) - 1, 256, dtype=np.int64).astype(np.uint64)
 _POWERS: list[np.ndarray] = []
@@ -104,120 +110,105 @@ def parse(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows told apart by id and a hash of the text, so that rows with one id but different texts stay apart."""
-    text = empty_if_null(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("h"), text.cast("binary").alias("t"))
+    """``doc_id, k1, k2, t``: rows told apart by 128 bits of their id and text."""
+    text, name = empty_if_null(text_col), F.col(id_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, name).alias("k1"), F.xxhash64(F.lit("row"), name, text).alias("k2"), text.cast("binary").alias("t"))
 
 
 def _parsed(rows: DataFrame, length: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [parse(t, length) for t in bytes_of(batch.column(2))]
-        of = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+        of = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
         first, count, offset, gram, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(first), pa.array(count.astype(np.int32)), pa.array(offset.astype(np.int32)), pa.array(gram), pa.array(phrase)],
-            names=["id", "h", "first", "count", "offset", "gram", "phrase"],
+            [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(x.astype(np.int32)) for x in (first, count, offset)), pa.array(gram), pa.array(phrase)],
+            names=["k1", "k2", "first", "count", "offset", "gram", "phrase"],
         )
 
-    return map_batches(rows.select("id", "h", "t").where(F.octet_length("t") >= length), run, "id long, h int, first long, count int, offset int, gram long, phrase long")
-
-
-def _fetched(rows: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
-    """The bytes of each phrase, from the text of the row that stands for it."""
-    wanted = phrases.groupBy("id", "h").agg(F.collect_list(F.struct("first", "count", "gram", "phrase")).alias("w"))
-    joined = rows.select("id", "h", "t").join(wanted.hint("shuffle_hash"), ["id", "h"]).select("t", "w")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = batch.column(1)
-        of = np.repeat(np.arange(batch.num_rows), np.asarray(w.value_lengths()))
-        first, count, gram, phrase = w.flatten().flatten()
-        texts = bytes_of(batch.column(0))
-        cut = [texts[i][a : a + n + length - 1] for i, a, n in zip(of.tolist(), first.to_pylist(), count.to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([gram, phrase, count, pa.array(cut, pa.binary())], names=["gram", "phrase", "count", "bytes"])
-
-    # A doubled row may fetch its phrases twice.
-    return map_batches(joined, run, "gram long, phrase long, count int, bytes binary").groupBy("gram", "phrase").agg(F.first("count").alias("count"), F.first("bytes").alias("bytes"))
-
-
-def repeated_strings(phrases: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each phrase of a dictionary the runs (start, number) of suffixes whose first ``length`` bytes begin another suffix too."""
-    sizes = np.array([len(p) for p in phrases])
-    ends = np.cumsum(sizes)
-    raw = np.frombuffer(b"".join(phrases), dtype=np.uint8)
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(phrases)), counts)
-    starts = np.repeat(ends - sizes - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    hashes = Rolling(raw).of(starts, starts + length)
-    order = np.argsort(hashes, kind="stable")
-    near = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
-    again = np.zeros(len(starts), dtype=bool)
-    steps = np.arange(length)
-    for at in range(0, len(near), 1 << 14):
-        a, b = order[near[at : at + (1 << 14)]], order[near[at : at + (1 << 14)] + 1]
-        same = (raw[starts[a][:, None] + steps] == raw[starts[b][:, None] + steps]).all(axis=1)
-        again[a[same]] = again[b[same]] = True
-    edges = np.flatnonzero(np.diff(np.r_[False, again, False].astype(np.int8)) != 0)
-    begins = np.r_[0, np.cumsum(counts)[:-1]]
-    runs: list[list[tuple[int, int]]] = [[] for _ in phrases]
-    for lo, hi in edges.reshape(-1, 2).tolist():
-        for p in range(owner[lo], owner[hi - 1] + 1):
-            a, b = max(lo, begins[p]), min(hi, begins[p] + counts[p])
-            if a < b:
-                runs[p].append((int(a - begins[p]), int(b - a)))
-    return runs
-
-
-_RUNS = "array<struct<start:int,number:int>>"
-
-
-def _runs_by_bucket(fetched: DataFrame, buckets: int, length: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        runs = repeated_strings(table["bytes"].to_pylist(), length)
-        return pa.table([table["gram"], table["phrase"], pa.array([[{"start": a, "number": n} for a, n in r] for r in runs], pa.list_(pa.struct([("start", pa.int32()), ("number", pa.int32())])))], names=["gram", "phrase", "runs"])
-
-    return fetched.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, f"gram long, phrase long, runs {_RUNS}")
-
-
-def _runs_by_suffix(fetched: DataFrame, length: int) -> DataFrame:
-    """For triggers with very many phrases: suffixes are counted by 128 bits of hash, combined before the shuffle."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of, at, one, two = [], [], [], []
-        for i, p in enumerate(batch.column(2).to_pylist()):
-            raw = np.frombuffer(p, dtype=np.uint8)
-            n = len(p) - length + 1
-            of.append(np.full(n, i))
-            at.append(np.arange(n, dtype=np.int32))
-            one.append(Rolling(raw).every(length).view(np.int64))
-            two.append(Rolling(raw[::-1]).every(length)[::-1].view(np.int64))
-        take = pa.array(np.concatenate(of))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.concatenate(x)) for x in (at, one, two))], names=["gram", "phrase", "at", "one", "two"])
-
-    spread = materialize(map_batches(fetched.select("gram", "phrase", "bytes"), run, "gram long, phrase long, at int, one long, two long"), "suffixes")
-    again = spread.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    return spread.join(again, ["one", "two"]).groupBy("gram", "phrase").agg(F.transform(F.array_sort(F.collect_list("at")), lambda a: F.struct(a.alias("start"), F.lit(1).alias("number"))).alias("runs"))
-
-
-def removed_spans(docs: DataFrame, *, length: int = LENGTH, crowd: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, h, spans``: for each row that loses something the spans [start, end) of bytes, not yet merged."""
+    return map_batches(rows.select("k1", "k2", "t").where(F.octet_length("t") >= length), run, "k1 long, k2 long, first int, count int, offset int, gram long, phrase long")
+
+
+def strips(text: bytes, first: np.ndarray, count: np.ndarray, offset: np.ndarray, length: int = LENGTH) -> tuple:
+    """The strips of some phrases of a text: phrase's number, strip's number, hash of its core, least and greatest distance of its
+    suffixes from the trigger, and the bytes of the text before and after the core that its suffixes reach."""
+    low, high = offset - count + 1, offset
+    many = high // STRIP - low // STRIP + 1
+    of = np.repeat(np.arange(len(first)), many)
+    strip = low[of] // STRIP + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    lo, hi = np.maximum(low[of], strip * STRIP), np.minimum(high[of], strip * STRIP + STRIP - 1)
+    trigger = (first + offset)[of]
+    begin = trigger - strip * STRIP
+    end = begin + length - STRIP + 1
+    core = np.zeros(len(of), dtype=np.uint64)
+    block = begin // BLOCK
+    for k in np.unique(block):
+        own = block == k
+        raw = np.frombuffer(text, dtype=np.uint8)[k * BLOCK : int(end[own].max())]
+        core[own] = Rolling(raw).of(begin[own] - k * BLOCK, end[own] - k * BLOCK)
+    left = [text[a:b] for a, b in zip((trigger - hi).tolist(), begin.tolist(), strict=True)]
+    right = [text[a:b] for a, b in zip(end.tolist(), (trigger - lo + length).tolist(), strict=True)]
+    return of, strip, core.view(np.int64), lo, hi, left, right
+
+
+def _strips(rows: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
+    """The strips of each phrase of the dictionary, read from the text of the row that stands for it. A repeated row reads its phrases
+    twice; these occur twice anyway, and more than that makes no difference."""
+    wanted = phrases.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "count", "offset", "gram", "phrase", "n")).alias("w"))
+    joined = rows.select("k1", "k2", "t").join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("t", "w")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for text, w in zip(bytes_of(batch.column(0)), batch.column(1), strict=True):
+            first, count, offset, gram, phrase, n = w.values.flatten()
+            of, strip, core, lo, hi, left, right = strips(text, *(np.asarray(x).astype(np.int64) for x in (first, count, offset)), length)
+            take = pa.array(of)
+            ints = [pa.array(x.astype(np.int32)) for x in (strip, lo, hi)]
+            yield pa.RecordBatch.from_arrays(
+                [gram.take(take), phrase.take(take), n.take(take), offset.take(take), *ints, pa.array(core), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                names=["gram", "phrase", "n", "offset", "strip", "lo", "hi", "core", "left", "right"],
+            )
+
+    return map_batches(joined, run, "gram long, phrase long, n long, offset int, strip int, lo int, hi int, core long, left binary, right binary")
+
+
+_CORE = ["gram", "strip", "core"]
+_STRIP = [*_CORE, "lo", "hi", "left", "right"]
+
+
+def _repeated_in_dictionary(found: DataFrame) -> DataFrame:
+    """``gram, phrase, start, number``: the suffixes of phrases of weight 1 that occur elsewhere in the dictionary."""
+    # A strip of weight 1 has one phrase, whose name and offset it keeps.
+    kinds = materialize(found.groupBy(*_STRIP).agg(F.sum("n").alias("weight"), F.min("phrase").alias("phrase"), F.min("offset").alias("offset")), "strip-kinds")
+    twice = materialize(kinds.where("weight > 1").select(*_STRIP), "strips-twice")
+    equal = found.where("n = 1").join(twice.hint("merge"), _STRIP).select("gram", "phrase", (F.col("offset") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("number"))
+    unlike = materialize(kinds.groupBy(*_CORE).agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1").select(*_CORE), "cores")
+    j = F.col("o") - F.col("strip") * STRIP
+    single = kinds.join(unlike.hint("merge"), _CORE).select("*", F.explode(F.sequence("lo", "hi")).alias("o"))
+    single = single.select(*_CORE, "o", F.concat(F.substring("left", F.octet_length("left") - j + 1, j), F.substring("right", F.lit(1), STRIP - 1 - j)).alias("beyond"), "weight", "phrase", "offset")
+    single = materialize(single, "suffixes")
+    name = [*_CORE, "o", "beyond"]
+    again = materialize(single.groupBy(*name).agg(F.sum("weight").alias("all")).where("all > 1").select(*name), "suffixes-twice")
+    return equal.union(single.where("weight = 1").join(again.hint("merge"), name).select("gram", "phrase", (F.col("offset") - F.col("o")).alias("start"), F.lit(1).alias("number")))
+
+
+def removed_spans(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``k1, k2, spans``: for each row that loses something the spans [start, end) of bytes, not yet merged."""
+    if length < GRAM + STRIP:
+        raise ValueError(f"length must be at least {GRAM + STRIP}")
     rows = _row_key(docs, id_col, text_col)
     parsed = materialize(_parsed(rows, length), "parse")
     # Written first, so that both sides of the join are plain exchanges and a hot trigger's partition can be split.
     twice = materialize(parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "triggers")
-    held = materialize(parsed.join(twice, "gram"), "repeated")
-    kinds = materialize(held.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "first", "count")).alias("at")), "phrases")
-    triggers = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    unlike = materialize(kinds.join(triggers.where("kinds > 1"), "gram").select("gram", "phrase", "kinds", "at.*"), "dictionary")
-    size = unlike.agg(F.count("*")).first()[0]
-    fetched = materialize(_fetched(rows, unlike, length).join(unlike.select("gram", "phrase", "kinds"), ["gram", "phrase"]), "bytes") if size else None
+    held = materialize(parsed.join(twice.hint("merge"), "gram"), "repeated")
+    kinds = materialize(held.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "count", "offset")).alias("at")), "phrases")
+    forked = materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram"), "forked")
+    unlike = kinds.join(forked.hint("merge"), "gram").select("gram", "phrase", "n", "at.*")
+    found = materialize(_strips(rows, unlike, length), "strips")
+    part = _repeated_in_dictionary(found).groupBy("gram", "phrase").agg(F.collect_list(F.struct("start", "number")).alias("runs"))
     whole = kinds.where("n > 1").select("gram", "phrase", F.array(F.struct(F.lit(0).alias("start"), F.col("at.count").alias("number"))).alias("runs"))
-    runs = whole
-    if fetched is not None:
-        runs = runs.union(_runs_by_bucket(fetched.where(F.col("kinds") <= crowd), -(-size // 4000), length)).union(_runs_by_suffix(fetched.where(F.col("kinds") > crowd), length))
-        runs = materialize(runs.where(F.size("runs") > 0), "runs")
-    spans = held.join(runs, ["gram", "phrase"]).select("id", "h", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["start"]).alias("start"), (F.col("first") + r["start"] + r["number"] + (length - 1)).alias("end")))).alias("span"))
-    return spans.groupBy("id", "h").agg(F.collect_list("span").alias("spans"))
+    runs = materialize(whole.union(part), "runs")
+    spans = held.join(runs.hint("merge"), ["gram", "phrase"]).select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["start"]).alias("start"), (F.col("first") + r["start"] + r["number"] + (length - 1)).alias("end")))).alias("span"))
+    # A set: repeated rows lose the same spans.
+    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -231,9 +222,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, crowd: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, removed, kept`` for every row: the merged spans removed and the bytes that remain."""
-    found = _with_spans(docs, length, crowd, id_col, text_col)
+    found = _with_spans(docs, length, id_col, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [_cut(t, s) for t, s in zip(bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
@@ -243,12 +234,12 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, crowd: int = 2000,
             names=["doc_id", "n_bytes", "n_removed", "removed", "kept"],
         )
 
-    return map_batches(found, run, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+    return map_batches(found, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
 
 
-def _with_spans(docs: DataFrame, length: int, crowd: int, id_col: str, text_col: str) -> DataFrame:
-    spans = removed_spans(docs, length=length, crowd=crowd, id_col=id_col, text_col=text_col)
-    return _row_key(docs, id_col, text_col).join(spans.hint("shuffle_hash"), ["id", "h"], "left").select("doc_id", "t", "spans")
+def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    spans = removed_spans(docs, length=length, id_col=id_col, text_col=text_col)
+    return _row_key(docs, id_col, text_col).join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "t", "spans")
 
 
 def _cut(text: bytes, spans: list[dict] | None) -> tuple[int, list[tuple[int, int]], bytes]:
@@ -257,8 +248,8 @@ def _cut(text: bytes, spans: list[dict] | None) -> tuple[int, list[tuple[int, in
     return len(text), gone, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def digests(docs: DataFrame, *, length: int = LENGTH, crowd: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``remove_repeats`` with a digest in place of the spans and bytes: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    found = remove_repeats(docs, length=length, crowd=crowd, id_col=id_col, text_col=text_col)
+    found = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -31,13 +31,13 @@ def byte_piece_ids(path: str) -> np.ndarray:
 class WordPieces:
     """The pieces of each distinct word, as arrays indexed by a number given to the word. Emptied when full, so memory is bounded."""
 
-    def __init__(self, piece_path: str, limit: int = 500_000):
+    def __init__(self, piece_path: str, limit: int = 200_000):
         self.piece_path, self.limit = piece_path, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.ends = np.empty(1 << 20, dtype=np.int32), np.zeros(self.limit + 1, dtype=np.int64)
+        self.flat, self.ends = np.empty(1 << 19, dtype=np.int32), np.zeros(self.limit + 1, dtype=np.int32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The number of each word; unseen ones are tokenised first. Numbers hold until the next call."""
@@ -46,7 +46,7 @@ class WordPieces:
             self.clear()
             new = list(set(words))
             if len(new) > self.limit:
-                self.ends = np.zeros(len(new) + 1, dtype=np.int64)
+                self.ends = np.zeros(len(new) + 1, dtype=np.int32)
         if new:
             ids = piece_processor(self.piece_path).encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
             n = len(self.index)
@@ -62,7 +62,13 @@ class WordPieces:
 
     def pieces(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many pieces each word has, and the pieces of all of them in order."""
-        starts = self.ends[numbers]
+        starts = self.ends[numbers].astype(np.int64)
         sizes = self.ends[numbers + 1] - starts
         shift = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
         return sizes, self.flat[shift + np.arange(len(shift))]
+
+
+@lru_cache(maxsize=2)
+def word_pieces(piece_path: str) -> WordPieces:
+    """The table of a vocabulary, one for all that a worker process does."""
+    return WordPieces(piece_path)

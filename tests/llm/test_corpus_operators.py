@@ -181,8 +181,7 @@ def plain_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
-def test_substring_removal_against_brute_force(spark, crowd):
+def test_substring_removal_against_brute_force(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcdef é", k=rng.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -190,11 +189,35 @@ def test_substring_removal_against_brute_force(spark, crowd):
     texts = [prose(30) + rng.choice(shared) + prose(30) for _ in range(25)] + ["x" * 700, "ab" * 300, "x" * 199, "x" * 200, prose(60) * 2, None, ""]
     texts += [texts[0], shared[0], shared[1][:250]]
     rows = list(enumerate(texts)) + [(None, texts[1]), (0, texts[0])]
-    got = substring_dedup.digests(spark.createDataFrame(rows, ROWS), crowd=crowd).collect()
+    df = spark.createDataFrame([(i, t, 1, b"x", 2) for i, t in rows], "doc_id long, text string, gram int, t binary, spans int")
     want = plain_removal([(t or "").encode() for _, t in rows], 200)
+    assert sorted(map(str, (tuple(r) for r in substring_dedup.digests(df).collect()))) == sorted(map(str, ((i, *w) for (i, _), w in zip(rows, want, strict=True))))
+    named = substring_dedup.digests(df.select(F.concat(F.lit("n"), "doc_id").alias("doc_id"), "text")).collect()
+    assert sorted(map(str, (tuple(r)[1:] for r in named))) == sorted(map(str, want))
+
+
+def test_substring_removal_in_a_large_group_of_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"{rng.choice('bcdfgh')}{rng.getrandbits(20):x}" for _ in range(70)]
+    rows = []
+    for i in range(5000):
+        own = list(base)
+        for at in rng.sample(range(70), rng.randint(0, 3)):
+            own[at] = f"w{rng.getrandbits(24):x}"
+        rows.append((None if i % 3 else i, " ".join(own)))
+    got = substring_dedup.digests(spark.createDataFrame(rows, ROWS)).collect()
+    want = plain_removal([t.encode() for _, t in rows], 200)
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, ((i, *w) for (i, _), w in zip(rows, want, strict=True))))
 
 
+def test_rows_without_id_are_told_apart(spark):
+    rng = random.Random(3)
+    twin = "".join(rng.choices("abcdefgh ", k=320))
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"))
+    rows = rows.union(spark.createDataFrame([(None, twin), (None, "".join(rng.choices("abcdefgh ", k=320))), (None, "x" + twin)], ROWS))
+    assert [tuple(r) for r in substring_dedup.digests(rows).where("n_removed > 0").select("n_bytes", "n_removed").orderBy("n_bytes").collect()] == [(320, 320), (321, 320)]
+
+
 def test_parse_in_blocks(monkeypatch):
     rng = np.random.default_rng(2)
     text = bytes(rng.integers(97, 101, 5000, dtype=np.uint8))
