@@ -61,3 +61,15 @@ def empty_if_null(column: str = "text") -> Column:
 def held_out(column: str = "doc_id") -> Column:
     """True for rows whose crc32(id as text) mod 5 is 0: labels of these are never learned from. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def id_type(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()

@@ -14,7 +14,7 @@ group is tied to its smallest member.
 
 Defined cases: a text without words has fingerprint zero and is linked like any other; a null text is empty; a text of fewer words
 than a shingle is one shingle; repeated rows and copies fall into one component; a null id takes part, and a component's id is the
-smallest id that is not null; an empty table gives an empty result; other columns are not read. Texts are read whole.
+smallest id that is not null; ids may have any type that has an order; an empty table gives an empty result; other columns are not read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bytes_of, empty_if_null, map_batches, materialize
+from .common import bytes_of, empty_if_null, fresh, id_type, map_batches, materialize, slices
 
 SEED = 42
 #: Shingles are counted in so many buckets, to put the frequent ones last.
@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
         prints = np.array([fingerprint(t, shingle) for t in bytes_of(batch.column(1))], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
-    return map_batches(source, run, "doc_id long, fp long")
+    source = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
+    return map_batches(source, run, f"doc_id {id_type(docs, id_col)}, fp long")
 
 
 def segment_counts(bits: Column) -> Column:
@@ -153,9 +153,9 @@ def prefix_length(size: int, least: float) -> int:
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, place, t``: the text, and a key by which it is found again, whatever its id."""
-    text = empty_if_null(text_col).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("h")).alias("place"), text.alias("t"))
+    """``place, t``: the text, and 128 bits of id and text by which it is found again."""
+    text, name = empty_if_null(text_col), F.col(id_col).cast("string")
+    return docs.select(F.struct(F.xxhash64(text, name).alias("one"), F.xxhash64(F.lit("row"), name, text).alias("two")).alias("place"), text.cast("binary").alias("t"))
 
 
 def fingerprints_and_counts(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,8 +164,8 @@ def fingerprints_and_counts(docs: DataFrame, *, shingle: int, id_col: str = "doc
     names = ["doc_id", "fp", "sid", "bucket", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        held, kind = np.zeros(BUCKETS, dtype=np.int64), None
+        for batch in slices(batches):
             prints, keys = [], []
             for t in bytes_of(batch.column(1)):
                 words = t.lower().split()
@@ -174,14 +174,15 @@ def fingerprints_and_counts(docs: DataFrame, *, shingle: int, id_col: str = "doc
                 prints.append(majority(hashes) if words else 0)
                 keys.append(set_key(kinds))
                 np.add.at(held, (kinds % np.uint64(BUCKETS)).astype(np.int64), 1)
+            kind = batch.column(0).type
             none = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.int64()), *none], names=names)
         at = np.flatnonzero(held)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64())] * 3 + [pa.array(at.astype(np.int32)), pa.array(held[at])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), *[pa.nulls(len(at), pa.int64())] * 2, pa.array(at.astype(np.int32)), pa.array(held[at])], names=names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
-    return source.mapInArrow(run, "doc_id long, fp long, sid long, bucket int, n long")
+    source = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
+    return source.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, fp long, sid long, bucket int, n long")
 
 
 def frequent_buckets(counts: DataFrame) -> np.ndarray:
@@ -195,100 +196,119 @@ def frequent_buckets(counts: DataFrame) -> np.ndarray:
     return rank
 
 
+def parity(shingles: np.ndarray) -> list[int]:
+    """A set's shingles dealt into 128 bins, and whether each bin holds an odd number: two signed longs. Two sets' parities differ in at
+    most as many bits as the sets have elements that only one of them holds."""
+    odd = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def prefixes(docs: DataFrame, rank: np.ndarray, *, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``sid, place, size, prefix``: for each distinct set of shingles one text that has it, its size, and its rarest shingles in order."""
+    """``sid, place, size, p0, p1, prefix``: for each distinct set of shingles one text that has it, its size, its parity and its rarest
+    shingles in order."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, firsts = [], [], []
+        keys, sizes, odd, firsts = [], [], [], []
         for t in bytes_of(batch.column(1)):
             kinds = distinct_shingles(t, shingle)
             order = np.lexsort((kinds, rank[(kinds % np.uint64(BUCKETS)).astype(np.int64)]))
             keys.append(set_key(kinds))
             sizes.append(len(kinds))
+            odd.append(parity(kinds))
             firsts.append(kinds[order[: prefix_length(len(kinds), least)]].view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["sid", "place", "size", "prefix"])
-
-    found = map_batches(_located(docs, id_col, text_col).select("place", "t"), run, "sid long, place struct<id:long,h:long>, size int, prefix array<long>")
-    return found.where("size > 0").groupBy("sid").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-
+        bits = [pa.array([o[k] for o in odd], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(sizes, pa.int32()), *bits, pa.array(firsts, pa.list_(pa.int64()))], names=["sid", "place", "size", "p0", "p1", "prefix"])
 
-def _like_sizes(least: float) -> Column:
-    """Whether the sizes of ``x`` and ``y`` allow the similarity."""
-    return F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * least - 1e-6
+    found = map_batches(_located(docs, id_col, text_col).select("place", "t"), run, "sid long, place struct<one:long,two:long>, size int, p0 long, p1 long, prefix array<long>")
+    same = [F.first(c).alias(c) for c in ("size", "p0", "p1", "prefix")]
+    return found.where("size > 0").groupBy("sid").agg(F.min("place").alias("place"), *same)
 
 
-def _enough(least: float) -> Column:
-    """Whether ``x`` and ``y``, which share ``n`` listed shingles, may have the similarity. Of the two lists let A's end first in the
-    common order: what A and B share up to there is in both lists, and after it A has only its unlisted shingles."""
-    rest = [F.ceil(F.col(f"{c}.size") * least - 1e-6) - 1 for c in ("x", "y")]
-    return (F.col("n") + F.greatest(*rest)) * (1 + least) >= (F.col("x.size") + F.col("y.size")) * least - 1e-6
+def _may_be_similar(least: float) -> Column:
+    """Whether ``x`` and ``y``, which have met under a listed shingle, may have the similarity. Three exact bounds: on the sizes; on what
+    two sets can share if this shingle, at places ``at`` of their lists, is the first that they share (a similar pair also meets under
+    its first one); and on the elements that only one of them holds, by their parities."""
+    x, y = F.col("x.size"), F.col("y.size")
+    common, apart = (x + y) * (least / (1 + least)) - 1e-6, (x + y) * ((1 - least) / (1 + least)) + 1e-6
+    odd = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
+    return (F.least(x, y) >= F.greatest(x, y) * least - 1e-6) & (F.least(x - F.col("x.at"), y - F.col("y.at")) >= common) & (odd <= apart)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, *, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``a, b``: the ``node`` of either side of those pairs ``x, y (sid, size, node)`` whose sets have the similarity, compared exactly."""
-    wanted = pairs.select("x.sid").union(pairs.select("y.sid")).distinct()
+def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, *, shingle: int, least: float, few: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a, b``: the components of either side of those pairs ``p, a, q, b`` (set, its component) whose sets have the similarity,
+    compared exactly. Texts are looked up by a broadcast of their places if those are at most ``few``, else by a shuffle."""
+    wanted = pairs.select(F.col("p").alias("sid")).union(pairs.select("q")).distinct()
     wanted = materialize(places.join(wanted.hint("merge"), "sid").select("place", "sid"), "wanted")
-    texts = _located(docs, id_col, text_col).select("place", "t").join(wanted.hint("shuffle_hash"), "place").select("sid", "t")
+    small = wanted.limit(few + 1).count() <= few
+    texts = _located(docs, id_col, text_col).join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "place").select("sid", "t")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # In small slices: the sets of a whole batch would take many times the memory of its texts.
-        for batch in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
+        for batch in slices(batches, 128):
             found = [distinct_shingles(t, shingle) for t in bytes_of(batch.column(1))]
             good = pa.array([set_key(x) == k for x, k in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["sid", "bag"]).filter(good)
 
     bags = materialize(texts.mapInArrow(shingles, "sid long, bag array<long>").groupBy("sid").agg(F.first("bag").alias("bag")), "bags")
     one, two = bags.select(F.col("sid").alias("p"), F.col("bag").alias("s")), bags.select(F.col("sid").alias("q"), F.col("bag").alias("t"))
-    both = pairs.select(F.col("x.sid").alias("p"), F.col("x.node").alias("a"), F.col("y.sid").alias("q"), F.col("y.node").alias("b"))
-    both = both.join(one.hint("merge"), "p").join(two.hint("merge"), "q")
+    both = pairs.join(one.hint("merge"), "p").join(two.hint("merge"), "q")
     common = both.select("a", "b", (F.size("s") + F.size("t")).alias("n"), F.size(F.array_intersect("s", "t")).alias("both"))
     return materialize(common.where(F.col("both") / (F.col("n") - F.col("both")) >= least).select("a", "b").distinct(), "verified")
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    """Distinct pairs ``x, y``, the one with the smaller set key first, and how often they met."""
-    x, y = (F.struct(*(F.col(f"{c}.{k}").alias(k) for k in ("sid", "size", "node"))) for c in ("x", "y"))
-    return met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+def _merged(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """``sid, c``: every set with its component's name after joining components ``c`` by ``edges``."""
+    groups = components(edges).select(F.col("node").alias("c"), F.col("component").alias("now"))
+    return materialize(named.join(groups.hint("merge"), "c", "left").select("sid", F.coalesce("now", "c").alias("c")), "set-components")
 
 
-def similar_groups(docs: DataFrame, held: DataFrame, edges: DataFrame, *, shingle: int, least: float, far: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, held: DataFrame, edges: DataFrame, *, shingle: int, least: float, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node, component`` of fingerprints that are linked by ``edges``, by equal sets of shingles or by a similarity of at least
     ``least``, all such pairs counted.
 
     A 64-bit fingerprint cannot tell similarity 0.8 (some ten differing bits) from chance within a radius that a grid can search, so
     an exact prefix filter finds the pairs: equal sets are one; each distinct set lists its ``prefix_length`` rarest shingles, and
-    sets that share none of those cannot be similar. Sizes and the number of shared ones rule out more; the rest is compared.
+    sets that share none of those cannot be similar. Sizes, places in the lists and parities rule out more
+    (``_may_be_similar``); the rest is compared.
 
-    Only components are asked for, so pairs are met in two rounds. First each set meets one of the sets of like size under each of its
-    listed shingles, if their fingerprints are within ``far`` bits, which ties large groups of copies together. Then, under each shingle, all pairs that are not yet in one component are
-    met, with the sets outside the shingle's largest component on the left: those within it need no comparison.
+    Only components are asked for. In each of ``rounds`` rounds every component compares one pair: of its sets that meet, under some
+    shingle, the set that lists this shingle foremost, the pair with the closest parities. That joins large groups of copies. Then
+    all pairs that are not yet in one component are met, with the sets outside a shingle's largest component on the left: those
+    within it need no comparison. Shingles whose sets are all in one component are left out from the start of each round.
     """
     more = {"shingle": shingle, "least": least, "id_col": id_col, "text_col": text_col}
     nodes = materialize(held.where("bucket is null").groupBy("sid").agg(F.min("fp").alias("node")), "nodes")
     equal = held.where("bucket is null").select("sid", "fp").distinct().join(nodes.hint("merge"), "sid").where("fp <> node").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+    groups = materialize(components(edges.union(equal)), "first-groups")
+    named = materialize(nodes.join(groups.hint("merge"), "node", "left").select("sid", F.coalesce("component", "node").alias("c")), "set-components")
     sets = materialize(prefixes(docs, frequent_buckets(held.where("bucket is not null")), **more), "sets")
-    listed = sets.select("sid", "size", F.explode("prefix").alias("s"))
-    shared = materialize(listed.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"), "shared")
+    places = sets.select("sid", "place")
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / least) + 1e-9).cast("int")
-    posts = materialize(listed.join(shared.hint("merge"), "s").join(nodes.hint("merge"), "sid").select("s", band.alias("band"), F.struct("sid", "size", "node").alias("x")), "posts")
-
-    lead = materialize(posts.groupBy("s", "band").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").select("s", "band", "y"), "leads")
-    met = posts.join(lead.hint("merge"), ["s", "band"]).where((F.col("x.node") != F.col("y.node")) & (F.bit_count(F.col("x.node").bitwiseXOR(F.col("y.node"))) <= far)).where(_like_sizes(least))
-    first = verified(docs, materialize(_counted(met).select("x", "y"), "pairs"), sets.select("sid", "place"), **more)
-    groups = materialize(components(edges.union(equal).union(first)), "first-groups")
-
-    # A set's node is now its component.
-    named = materialize(nodes.join(groups.hint("merge"), "node", "left").select("sid", F.coalesce("component", "node").alias("c")), "set-groups")
-    placed = materialize(posts.withColumn("sid", F.col("x.sid")).join(named.hint("merge"), "sid").select("s", "band", F.struct("sid", "x.size", F.col("c").alias("node")).alias("x")), "placed")
-    sizes = placed.groupBy("s", F.col("x.node").alias("c")).agg(F.count("*").alias("n"))
-    split = materialize(sizes.groupBy("s").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("s", F.col("top.c").alias("top")), "split")
-    live = materialize(placed.join(split.hint("merge"), "s").select("s", "band", "x", (F.col("x.node") == F.col("top")).alias("main")), "live")
-    left = live.where("not main").select("s", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "x")
-    right = live.select("s", "band", F.col("x").alias("y"), "main")
-    met = left.join(right.hint("merge"), ["s", "band"]).where((F.col("x.node") != F.col("y.node")) & (F.col("main") | (F.col("x.sid") < F.col("y.sid")))).where(_like_sizes(least))
-    last = components(verified(docs, materialize(_counted(met).where(_enough(least)).select("x", "y"), "pairs"), sets.select("sid", "place"), **more)).select(F.col("node").alias("component"), F.col("component").alias("c"))
-    all_nodes = groups.select("node", "component").union(last.select("component", "component").join(groups.select(F.col("node").alias("component")).hint("merge"), "component", "left_anti").select("component", F.col("component").alias("c")))
-    return all_nodes.join(last.hint("merge"), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    live = None
+    pair = (F.col("x.sid").alias("p"), F.col("x.c").alias("a"), F.col("y.sid").alias("q"), F.col("y.c").alias("b"))
+    for k in range(rounds + 1):
+        listed = sets.join(named.hint("merge"), "sid").select("sid", "size", "p0", "p1", "c", F.posexplode("prefix").alias("at", "s"))
+        if live is not None:
+            listed = listed.join(live.select("s").hint("merge"), "s", "left_semi")
+        live = materialize(listed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s"), "live")
+        posts = materialize(listed.join(live.hint("merge"), "s").select("s", band.alias("band"), F.struct("at", "size", "sid", "c", "p0", "p1").alias("x")), "posts")
+        if k < rounds:
+            leads = materialize(posts.groupBy("s", "band").agg(F.min("x").alias("y")), "leads")
+            met = posts.join(leads.hint("merge"), ["s", "band"]).where((F.col("x.c") != F.col("y.c")) & _may_be_similar(least))
+            odd = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
+            best = met.groupBy("x.c").agg(F.min(F.struct(odd.alias("odd"), F.struct(*pair).alias("pair"))).alias("best")).select("best.pair.*")
+        else:
+            sizes = posts.groupBy("s", F.col("x.c").alias("c")).agg(F.count("*").alias("n"))
+            top = materialize(sizes.groupBy("s").agg(F.max(F.struct("n", "c")).alias("top")).select("s", F.col("top.c").alias("top")), "largest")
+            told = materialize(posts.join(top.hint("merge"), "s").select("s", "band", "x", (F.col("x.c") == F.col("top")).alias("main")), "told")
+            left = told.where("not main").select("s", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "x")
+            met = left.join(told.select("s", "band", F.col("x").alias("y"), "main").hint("merge"), ["s", "band"])
+            best = met.where((F.col("x.c") != F.col("y.c")) & (F.col("main") | (F.col("x.sid") < F.col("y.sid"))) & _may_be_similar(least)).select(*pair).distinct()
+        pairs = materialize(best, "pairs")
+        named = _merged(named, verified(docs, pairs, places, **more))
+    # The sets' components, handed to all fingerprints of the first groups.
+    moved = nodes.join(named.hint("merge"), "sid").join(groups.hint("merge"), "node", "left").select(F.coalesce("component", "node").alias("component"), "c").distinct()
+    every = groups.select("node", "component").union(nodes.select("node").distinct().join(groups.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return every.join(moved.hint("merge"), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, least_similarity: float | None = None, crowd: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,6 +341,7 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, radius: int = 2, least_simila
     """The rows of ``docs`` that name their component, with all their columns. Of equal ids all rows stay, as they share one name;
     so do rows without an id, which no other row can stand for."""
     found = near_duplicates(docs, shingle=shingle, radius=radius, least_similarity=least_similarity, id_col=id_col, text_col=text_col)
-    leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias("__leader")).distinct()
-    kept = docs.join(leaders.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("__leader"), "left_semi")
+    leader = fresh(docs, "leader")
+    leaders = found.where("doc_id = component_id").select(F.col("doc_id").alias(leader)).distinct()
+    kept = docs.join(leaders.hint("shuffle_hash"), F.col(id_col) == F.col(leader), "left_semi")
     return kept.union(docs.where(F.col(id_col).isNull()))

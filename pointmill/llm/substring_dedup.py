@@ -177,9 +177,9 @@ _STRIP = [*_CORE, "lo", "hi", "left", "right"]
 def _repeated_in_dictionary(found: DataFrame) -> DataFrame:
     """``gram, phrase, start, number``: the suffixes of phrases of weight 1 that occur elsewhere in the dictionary."""
     # A strip of weight 1 has one phrase, whose name and offset it keeps.
-    kinds = materialize(found.groupBy(*_STRIP).agg(F.sum("n").alias("weight"), F.min("phrase").alias("phrase"), F.min("offset").alias("offset")), "strip-kinds")
-    twice = materialize(kinds.where("weight > 1").select(*_STRIP), "strips-twice")
-    equal = found.where("n = 1").join(twice.hint("merge"), _STRIP).select("gram", "phrase", (F.col("offset") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("number"))
+    kinds = materialize(found.groupBy("name", *_STRIP).agg(F.sum("n").alias("weight"), F.min("phrase").alias("phrase"), F.min("offset").alias("offset")), "strip-kinds")
+    twice = materialize(kinds.where("weight > 1").select("gram", "name"), "strips-twice")
+    equal = found.where("n = 1").select("gram", "name", "phrase", "offset", "lo", "hi").join(twice.hint("merge"), ["gram", "name"]).select("gram", "phrase", (F.col("offset") - F.col("hi")).alias("start"), (F.col("hi") - F.col("lo") + 1).alias("number"))
     unlike = materialize(kinds.groupBy(*_CORE).agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 and least = 1").select(*_CORE), "cores")
     j = F.col("o") - F.col("strip") * STRIP
     single = kinds.join(unlike.hint("merge"), _CORE).select("*", F.explode(F.sequence("lo", "hi")).alias("o"))
@@ -202,7 +202,7 @@ def removed_spans(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_i
     kinds = materialize(held.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "count", "offset")).alias("at")), "phrases")
     forked = materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram"), "forked")
     unlike = kinds.join(forked.hint("merge"), "gram").select("gram", "phrase", "n", "at.*")
-    found = materialize(_strips(rows, unlike, length), "strips")
+    found = materialize(_strips(rows, unlike, length).withColumn("name", F.xxhash64(*_STRIP)), "strips")
     part = _repeated_in_dictionary(found).groupBy("gram", "phrase").agg(F.collect_list(F.struct("start", "number")).alias("runs"))
     whole = kinds.where("n > 1").select("gram", "phrase", F.array(F.struct(F.lit(0).alias("start"), F.col("at.count").alias("number"))).alias("runs"))
     runs = materialize(whole.union(part), "runs")
