@@ -35,8 +35,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, how many there are, and the original bytes each stands for."""
-    return spm.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends")
+    """The ids of every text, how many there are, the original bytes each stands for, and the digest of what the ids decode to."""
+    return spm.encode(docs, decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends", "decoded_sha256")
 
 
 STAGES = [
