@@ -11,10 +11,12 @@ _LOCAL: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset (tests, one machine)."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one, if everything runs on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="pointmill-"))
     return _LOCAL[0]
@@ -28,4 +30,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``materialize`` has written, once nothing that is still to run reads it."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None) if table is not None else None
+        if path:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..functions.scratch import materialize
+from ..functions.scratch import discard, materialize
 from .spatial import knn_graph, radius_join, ranked, spread, voxel_neighbours
 from .stats import incident_mean
 
@@ -33,7 +33,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, *, max_rounds:
         down = large.where("a <> b").distinct()
         small_least = down.groupBy("b").agg(F.min("a").alias("m"))
         small = down.join(small_least.hint("merge"), "b").select(F.col("m"), F.col("a"), F.col("b"))
-        now = materialize(small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "edges")
+        old, now = now, materialize(small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct(), "edges")
+        discard(old, least)
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (got["n"], got["h"]):
             break
