@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scratch import materialize, scratch_path  # noqa: F401  one place for the operators to take them from
+from ..functions.scratch import discard, materialize, scratch_path  # noqa: F401  one place for the operators to take them from
 
 #: Rows of a batch that are worked on at a time: what a function makes of them is handed on before the next ones are read.
 SLICE = 1024

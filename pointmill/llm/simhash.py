@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bytes_of, empty_if_null, fresh, id_type, map_batches, materialize, slices
+from .common import bytes_of, discard, empty_if_null, fresh, id_type, map_batches, materialize, slices
 
 SEED = 42
 #: Shingles are counted in so many buckets, to put the frequent ones last.
@@ -252,7 +252,14 @@ def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, *, shingle: i
     one, two = bags.select(F.col("sid").alias("p"), F.col("bag").alias("s")), bags.select(F.col("sid").alias("q"), F.col("bag").alias("t"))
     both = pairs.join(one.hint("merge"), "p").join(two.hint("merge"), "q")
     common = both.select("a", "b", (F.size("s") + F.size("t")).alias("n"), F.size(F.array_intersect("s", "t")).alias("both"))
-    return materialize(common.where(F.col("both") / (F.col("n") - F.col("both")) >= least).select("a", "b").distinct(), "verified")
+    found = materialize(common.where(F.col("both") / (F.col("n") - F.col("both")) >= least).select("a", "b").distinct(), "verified")
+    discard(wanted, bags)
+    return found
+
+
+def _shared(listed: DataFrame) -> DataFrame:
+    """``s``: the shingles listed by sets ``(c, s)`` of several components."""
+    return listed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
 
 
 def _merged(named: DataFrame, edges: DataFrame) -> DataFrame:
@@ -273,7 +280,7 @@ def similar_groups(docs: DataFrame, held: DataFrame, edges: DataFrame, *, shingl
     Only components are asked for. In each of ``rounds`` rounds every component compares one pair: of its sets that meet, under some
     shingle, the set that lists this shingle foremost, the pair with the closest parities. That joins large groups of copies. Then
     all pairs that are not yet in one component are met, with the sets outside a shingle's largest component on the left: those
-    within it need no comparison. Shingles whose sets are all in one component are left out from the start of each round.
+    within it need no comparison. Shingles whose sets are all in one component are left out.
     """
     more = {"shingle": shingle, "least": least, "id_col": id_col, "text_col": text_col}
     nodes = materialize(held.where("bucket is null").groupBy("sid").agg(F.min("fp").alias("node")), "nodes")
@@ -281,30 +288,34 @@ def similar_groups(docs: DataFrame, held: DataFrame, edges: DataFrame, *, shingl
     groups = materialize(components(edges.union(equal)), "first-groups")
     named = materialize(nodes.join(groups.hint("merge"), "node", "left").select("sid", F.coalesce("component", "node").alias("c")), "set-components")
     sets = materialize(prefixes(docs, frequent_buckets(held.where("bucket is not null")), **more), "sets")
-    places = sets.select("sid", "place")
+    places, facts = sets.select("sid", "place"), sets.select("sid", "size", "p0", "p1")
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / least) + 1e-9).cast("int")
-    live = None
+    listed = sets.select("sid", F.posexplode("prefix").alias("at", "s"))
+    live = materialize(_shared(sets.select("sid", "prefix").join(named.hint("merge"), "sid").select("c", F.explode("prefix").alias("s"))), "live")
+    posts = materialize(listed.join(live.hint("merge"), "s").join(facts.hint("merge"), "sid").select("s", band.alias("band"), "at", "size", "sid", "p0", "p1"), "posts")
+    discard(live)
     pair = (F.col("x.sid").alias("p"), F.col("x.c").alias("a"), F.col("y.sid").alias("q"), F.col("y.c").alias("b"))
+    odd = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
     for k in range(rounds + 1):
-        listed = sets.join(named.hint("merge"), "sid").select("sid", "size", "p0", "p1", "c", F.posexplode("prefix").alias("at", "s"))
-        if live is not None:
-            listed = listed.join(live.select("s").hint("merge"), "s", "left_semi")
-        live = materialize(listed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s"), "live")
-        posts = materialize(listed.join(live.hint("merge"), "s").select("s", band.alias("band"), F.struct("at", "size", "sid", "c", "p0", "p1").alias("x")), "posts")
+        told = materialize(posts.join(named.hint("merge"), "sid").select("s", "band", F.struct("at", "size", "sid", "c", "p0", "p1").alias("x")), "told")
+        live = materialize(_shared(told.select("s", "x.c")), "live")
         if k < rounds:
-            leads = materialize(posts.groupBy("s", "band").agg(F.min("x").alias("y")), "leads")
-            met = posts.join(leads.hint("merge"), ["s", "band"]).where((F.col("x.c") != F.col("y.c")) & _may_be_similar(least))
-            odd = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
+            # The set that lists a shingle foremost, of those whose shingles are in several components.
+            leads = materialize(told.groupBy("s", "band").agg(F.min("x").alias("y")).join(live.hint("merge"), "s"), "leads")
+            met = told.join(leads.hint("merge"), ["s", "band"]).where((F.col("x.c") != F.col("y.c")) & _may_be_similar(least))
             best = met.groupBy("x.c").agg(F.min(F.struct(odd.alias("odd"), F.struct(*pair).alias("pair"))).alias("best")).select("best.pair.*")
         else:
-            sizes = posts.groupBy("s", F.col("x.c").alias("c")).agg(F.count("*").alias("n"))
-            top = materialize(sizes.groupBy("s").agg(F.max(F.struct("n", "c")).alias("top")).select("s", F.col("top.c").alias("top")), "largest")
-            told = materialize(posts.join(top.hint("merge"), "s").select("s", "band", "x", (F.col("x.c") == F.col("top")).alias("main")), "told")
-            left = told.where("not main").select("s", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "x")
-            met = left.join(told.select("s", "band", F.col("x").alias("y"), "main").hint("merge"), ["s", "band"])
+            sizes = told.join(live.hint("merge"), "s").groupBy("s", F.col("x.c").alias("c")).agg(F.count("*").alias("n"))
+            leads = materialize(sizes.groupBy("s").agg(F.max(F.struct("n", "c")).alias("top")).select("s", F.col("top.c").alias("top")), "largest")
+            split = told.join(leads.hint("merge"), "s").select("s", "band", "x", (F.col("x.c") == F.col("top")).alias("main"))
+            left = split.where("not main").select("s", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "x")
+            met = left.join(split.select("s", "band", F.col("x").alias("y"), "main").hint("merge"), ["s", "band"])
             best = met.where((F.col("x.c") != F.col("y.c")) & (F.col("main") | (F.col("x.sid") < F.col("y.sid"))) & _may_be_similar(least)).select(*pair).distinct()
         pairs = materialize(best, "pairs")
-        named = _merged(named, verified(docs, pairs, places, **more))
+        found = verified(docs, pairs, places, **more)
+        old, named = named, _merged(named, found)
+        discard(told, live, leads, pairs, found, old)
+    discard(posts, sets)
     # The sets' components, handed to all fingerprints of the first groups.
     moved = nodes.join(named.hint("merge"), "sid").join(groups.hint("merge"), "node", "left").select(F.coalesce("component", "node").alias("component"), "c").distinct()
     every = groups.select("node", "component").union(nodes.select("node").distinct().join(groups.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, empty_if_null, map_batches, materialize
+from .common import bytes_of, discard, empty_if_null, id_type, map_batches, materialize
 
 LENGTH, GRAM, BLOCK, STRIP = 200, 24, 1 << 20, 16
 _ODD = 0x9E3779B97F4A7C15
@@ -174,8 +174,9 @@ _CORE = ["gram", "strip", "core"]
 _STRIP = [*_CORE, "lo", "hi", "left", "right"]
 
 
-def _repeated_in_dictionary(found: DataFrame) -> DataFrame:
-    """``gram, phrase, start, number``: the suffixes of phrases of weight 1 that occur elsewhere in the dictionary."""
+def _repeated_in_dictionary(found: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``gram, phrase, start, number``: the suffixes of phrases of weight 1 that occur elsewhere in the dictionary; and the tables to
+    discard after use."""
     # A strip of weight 1 has one phrase, whose name and offset it keeps.
     kinds = materialize(found.groupBy("name", *_STRIP).agg(F.sum("n").alias("weight"), F.min("phrase").alias("phrase"), F.min("offset").alias("offset")), "strip-kinds")
     twice = materialize(kinds.where("weight > 1").select("gram", "name"), "strips-twice")
@@ -187,7 +188,7 @@ def _repeated_in_dictionary(found: DataFrame) -> DataFrame:
     single = materialize(single, "suffixes")
     name = [*_CORE, "o", "beyond"]
     again = materialize(single.groupBy(*name).agg(F.sum("weight").alias("all")).where("all > 1").select(*name), "suffixes-twice")
-    return equal.union(single.where("weight = 1").join(again.hint("merge"), name).select("gram", "phrase", (F.col("offset") - F.col("o")).alias("start"), F.lit(1).alias("number")))
+    return equal.union(single.where("weight = 1").join(again.hint("merge"), name).select("gram", "phrase", (F.col("offset") - F.col("o")).alias("start"), F.lit(1).alias("number"))), [kinds, twice, unlike, single, again]
 
 
 def removed_spans(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,16 +200,21 @@ def removed_spans(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_i
     # Written first, so that both sides of the join are plain exchanges and a hot trigger's partition can be split.
     twice = materialize(parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "triggers")
     held = materialize(parsed.join(twice.hint("merge"), "gram"), "repeated")
+    discard(parsed, twice)
     kinds = materialize(held.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "count", "offset")).alias("at")), "phrases")
     forked = materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram"), "forked")
     unlike = kinds.join(forked.hint("merge"), "gram").select("gram", "phrase", "n", "at.*")
     found = materialize(_strips(rows, unlike, length).withColumn("name", F.xxhash64(*_STRIP)), "strips")
-    part = _repeated_in_dictionary(found).groupBy("gram", "phrase").agg(F.collect_list(F.struct("start", "number")).alias("runs"))
+    part, used = _repeated_in_dictionary(found)
+    part = part.groupBy("gram", "phrase").agg(F.collect_list(F.struct("start", "number")).alias("runs"))
     whole = kinds.where("n > 1").select("gram", "phrase", F.array(F.struct(F.lit(0).alias("start"), F.col("at.count").alias("number"))).alias("runs"))
     runs = materialize(whole.union(part), "runs")
+    discard(kinds, forked, found, *used)
     spans = held.join(runs.hint("merge"), ["gram", "phrase"]).select("k1", "k2", F.explode(F.transform("runs", lambda r: F.struct((F.col("first") + r["start"]).alias("start"), (F.col("first") + r["start"] + r["number"] + (length - 1)).alias("end")))).alias("span"))
     # A set: repeated rows lose the same spans.
-    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    spans = materialize(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(held, runs)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -234,7 +240,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_
             names=["doc_id", "n_bytes", "n_removed", "removed", "kept"],
         )
 
-    return map_batches(found, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+    return map_batches(found, run, f"doc_id {id_type(docs, id_col)}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def _with_spans(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
