@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -245,20 +246,64 @@ def test_decontamination(spark):
     rows += [(100, prose(30) + " " + " ".join(near) + " " + prose(9)), (101, " ".join(items[5][1].split()[:8]) + " " + prose(60)), (102, "so tiny item here"), *EDGE]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(rows, ROWS), bench).collect()}
-    h = lambda t: collections.Counter(decontamination.shingle_hashes(t.encode())[0].tolist())
-    weight, top = decontamination._weights(items, 5)
-    expect_near = decontamination.weighted_similarity(h(" ".join(near)), h(items[3][1]), weight, top) >= 0.8
+    weights = decontamination.item_weights(bench)
+    h = lambda t: decontamination.shingle_hashes(t.encode())[0]
+    expect_near = decontamination.weighted_similarity(h(" ".join(near)), h(items[3][1]), weights) >= 0.8
     assert got == {(200 + i, i) for i in range(20)} | {(102, 92)} | ({(100, 3)} if expect_near else set())
     kept = {r["doc_id"] for r in decontamination.drop_contaminated(spark.createDataFrame(rows, ROWS), bench).collect()}
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
     assert decontamination.contaminated(spark.createDataFrame(rows, ROWS), bench.where("item_id < 0")).count() == 0
-    by_groups = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(rows, ROWS), bench, max_items=7).collect()}
-    assert {p for p in by_groups if p[0] >= 200} == {p for p in got if p[0] >= 200}
+    assert decontamination.contaminated(spark.createDataFrame([], ROWS), bench).count() == 0
+
+
+def plain_windows(rows, items, weights):
+    """Every window of every document against every item, without any index."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    bag = lambda ws: decontamination.shingle_hashes(" ".join(ws).encode(), 5)[0]
+    found = {}
+    for d, text in rows:
+        own = words(text)
+        for i, item in items:
+            its = words(item)
+            if not own or not its:
+                continue
+            size = min(len(its), len(own))
+            scores = [(decontamination.weighted_similarity(bag(own[b : b + size]), bag(its), weights), -b) for b in range(len(own) - size + 1)]
+            s, b = max((round(s, 9), b) for s, b in scores)
+            if s >= 0.8:
+                found[d, i] = (-b, s)
+    return found
+
+
+def test_decontamination_against_every_window(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    header = prose(12)
+    items = [(i, header + prose(rng.randint(10, 60))) for i in range(8)] + [(20 + i, prose(rng.randint(10, 120))) for i in range(7)]
+    items += [(40, items[12][1]), (41, prose(3)), (42, prose(4)), (43, prose(5))]
+    rows = [(1, prose(60))]
+    for k, (_, ws) in enumerate(items):
+        half = len(ws) // 2
+        odd = list(ws)
+        odd[rng.randrange(len(ws))] = "changed"
+        rows += [(100 + k, prose(30) + ws[half:] + ws[:half] + prose(30)), (200 + k, prose(20) + odd + prose(20)), (300 + k, ws[: max(1, len(ws) * 9 // 10)]), (400 + k, header + prose(40)), (500 + k, prose(7) + ws + ws)]
+    items = [(i, " ".join(ws)) for i, ws in items]
+    rows = [(i, " ".join(ws)) for i, ws in rows] + [(9, "tiny"), *EDGE]
+    bench = spark.createDataFrame([(i, t, 1.0) for i, t in items], "item_id long, text string, similarity double")
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, item_id int, bits int")
+    weights = decontamination.item_weights(bench)
+    want = plain_windows([r for r in rows if r[0] not in (5, None)], items, weights)
+    for size in (8 << 20, 900):
+        got = {(r["doc_id"], r["item_id"]): (r["first_word"], round(r["similarity"], 9)) for r in decontamination.contaminated(docs, bench, group_bytes=size).collect()}
+        assert got == want
+    assert len({d for d, _ in want}) > 50
 
 
 def test_hamming_blocks_find_all_within_the_radius():
     rng = random.Random(9)
-    index = decontamination.ItemIndex([(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20))) for i in range(200)], 5, 19, {}, 1.0)
+    weights = decontamination.Weights(200, np.zeros(decontamination.BUCKETS))
+    index = decontamination.ItemIndex([(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20))) for i in range(200)], 5, 19, weights)
     for _ in range(200):
         fp = index.prints[rng.randrange(200)]
         for b in rng.sample(range(64), rng.randint(0, 22)):
