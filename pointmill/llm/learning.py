@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> DataFrame:
-    """``t, y``: the texts and labels of at most ``per_class`` rows of each class, never of held-out rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``t, k, y``: the texts, ids and labels of rows whose ids are at most ``per_class`` of each class, never of held-out rows; of rows with
+    one id that whose text has the least hash, so the sample has at most ``per_class`` rows of each class.
 
     The rows with the smallest hashes of their ids are taken. Their number bounds what is broadcast: an id and a label each. An id
     with several labels counts with the largest; null ids, labels and texts take no part.
@@ -21,7 +22,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    return docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == F.col("k")).select(F.col(text_col).cast("binary").alias("t"), F.col("k"), "y")
+    found = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == F.col("k")).select(F.col(text_col).cast("binary").alias("t"), F.col("k"), "y", *extra)
+    # One row for each id: the one whose text has the least hash.
+    return found.groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "y", *extra)).alias("r")).select("r.t", "k", "r.y", *(f"r.{c}" for c in extra))
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *, ridge: float = 1.0, intercept: bool = True, rounds: int = 30) -> np.ndarray:

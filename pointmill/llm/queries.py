@@ -48,7 +48,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_measures(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality_measures(docs, bands=quality_rules.fit_bands(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,16 +28,31 @@ def byte_piece_ids(path: str) -> np.ndarray:
     return np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
 
 
+@lru_cache(maxsize=2)
+def byte_encoder(path: str):
+    """A byte-level vocabulary, given as ranks of its tokens."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordPieces:
-    """The pieces of each distinct word, as arrays indexed by a number given to the word. Emptied when full, so memory is bounded."""
+    """The pieces of each distinct word, as arrays indexed by a number given to the word, and with ``byte_path`` the number of its
+    tokens in that vocabulary. Emptied when full, so memory is bounded."""
 
-    def __init__(self, piece_path: str, limit: int = 200_000):
-        self.piece_path, self.limit = piece_path, limit
+    def __init__(self, piece_path: str, byte_path: str | None = None, limit: int = 200_000):
+        self.piece_path, self.byte_path, self.limit = piece_path, byte_path, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat, self.ends = np.empty(1 << 19, dtype=np.int32), np.zeros(self.limit + 1, dtype=np.int32)
+        self.tokens = np.zeros(self.limit, dtype=np.int32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The number of each word; unseen ones are tokenised first. Numbers hold until the next call."""
@@ -46,10 +61,14 @@ class WordPieces:
             self.clear()
             new = list(set(words))
             if len(new) > self.limit:
-                self.ends = np.zeros(len(new) + 1, dtype=np.int32)
+                self.ends, self.tokens = np.zeros(len(new) + 1, dtype=np.int32), np.zeros(len(new), dtype=np.int32)
         if new:
-            ids = piece_processor(self.piece_path).encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
+            shown = [w.decode("utf-8", "replace") for w in new]
+            ids = piece_processor(self.piece_path).encode(shown, num_threads=1)
             n = len(self.index)
+            if self.byte_path:
+                encode = byte_encoder(self.byte_path).encode_ordinary
+                self.tokens[n : n + len(new)] = [len(encode(" " + w)) for w in shown]
             self.index.update(zip(new, range(n, n + len(new)), strict=True))
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             start = int(self.ends[n])
@@ -69,6 +88,6 @@ class WordPieces:
 
 
 @lru_cache(maxsize=2)
-def word_pieces(piece_path: str) -> WordPieces:
+def word_pieces(piece_path: str, byte_path: str | None = None) -> WordPieces:
     """The table of a vocabulary, one for all that a worker process does."""
-    return WordPieces(piece_path)
+    return WordPieces(piece_path, byte_path)

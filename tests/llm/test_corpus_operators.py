@@ -370,7 +370,8 @@ def test_grammar_composition():
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     q = corpus_pipeline.quality_stage(spark, docs, sf)
-    kept = {r["doc_id"] for r in quality_rules.quality_measures(docs).where("kept").collect()}
+    bands = quality_rules.fit_bands(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = {r["doc_id"] for r in quality_rules.quality_measures(docs, bands=bands).where("kept").collect()}
     assert {r["doc_id"] for r in q.collect()} == kept and q.columns == docs.columns
     d = corpus_pipeline.near_duplicate_stage(spark, q, sf)
     texts = {r["doc_id"]: r["text"] for r in q.collect()}

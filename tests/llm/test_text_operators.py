@@ -1,8 +1,11 @@
 """Licences, secrets, quality rules, tokens: against brute force and edge cases."""
 
+import collections
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from pointmill.llm import licenses, queries, quality_rules, secrets, spm, token_counts
-from pointmill.llm.words import default_path
+from pointmill.llm.common import held_out
+from pointmill.llm.words import byte_encoder, default_path
 
 MODEL = default_path("piece_bpe_32k.model")
 EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "a b " * 4000), (5, "a b " * 4000), (None, "null id"), (6, "é日本😀 ́x"), (7, "\x00\x1c\x85 z")]
@@ -132,13 +136,58 @@ def test_repeated_windows_with_many_distinct_words():
     assert quality_rules.repeated_window_words(inverse, int(inverse.max()) + 1) == brute_repeats(inverse.tolist())
 
 
-def test_quality_keeps_clean_and_drops_junk(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+def plain_fertility(text):
+    """Characters per piece and per token, share of byte pieces, entropy, number of pieces: word by word, without tables."""
+    sp, enc = sentencepiece.SentencePieceProcessor(model_file=MODEL), byte_encoder(default_path("byte_bpe_multi_50k.tiktoken"))
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    pieces = [i for w in words for i in sp.encode(w)]
+    tokens, chars = sum(len(enc.encode_ordinary(" " + w)) for w in words), sum(map(len, words))
+    shares = [n / len(pieces) for n in collections.Counter(pieces).values()]
+    return chars / max(1, len(pieces)), chars / max(1, tokens), sum(map(sp.is_byte, pieces)) / max(1, len(pieces)), -sum(x * math.log2(x) for x in shares), len(pieces)
+
+
+def test_fertility_and_bands_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("h", F.lit(1)).withColumn("y", F.lit(2))
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    r = quality_rules.quality_measures(docs).join(labels, "doc_id").where("n_words >= 20").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()
-    kept = {x["quality"]: x["k"] for x in r}
-    assert kept[1] > 0.97 and kept[0] < kept[1]
-    assert quality_rules.keep_good(docs).columns == docs.columns
+    bands = quality_rules.fit_bands(docs, labels, least=10)
+    rows = {r["doc_id"]: r for r in docs.where("n_chars < 4000").collect()}
+    got = {r["doc_id"]: r for r in quality_rules.quality_measures(docs, bands=bands).collect()}
+    sample, plain = collections.defaultdict(list), {i: plain_fertility(r["text"] or "") for i, r in rows.items()}
+    for i, r in rows.items():
+        assert np.allclose(plain[i], [got[i][c] for c in ("chars_per_piece", "chars_per_token", "byte_share", "entropy", "n_pieces")], atol=1e-9)
+    all_plain = {r["doc_id"]: plain.get(r["doc_id"]) or plain_fertility(r["text"] or "") for r in docs.collect()}
+    script, lang = {i: r["script"] for i, r in got.items()}, {r["doc_id"]: r["lang"] for r in docs.collect()}
+    for r in labels.where("quality = 1").collect():
+        i = r["doc_id"]
+        if i in got and zlib.crc32(str(i).encode()) % 5 and not got[i]["base_failed"]:
+            for key in (lang[i], script[i]):
+                sample[key, int(math.log2(all_plain[i][4]))].append(all_plain[i][:4])
+    fitted = {k: np.quantile(np.array(v), [0.002, 0.5, 0.998], axis=0) for k, v in sample.items() if len(v) >= 10}
+    assert fitted.keys() == bands.fitted.keys()
+    for i in rows:
+        x = np.array(plain[i][:4])
+        q = fitted.get((lang[i], int(math.log2(max(1, plain[i][4]))))) if plain[i][4] else None
+        q = q if q is not None else fitted.get((script[i], int(math.log2(max(1, plain[i][4])))))
+        if q is None:
+            low, high, most = quality_rules.FIXED[script[i]]
+            good = low <= x[0] <= high and x[2] <= most
+        else:
+            good = bool((x >= q[0] - 0.6 * (q[1] - q[0]) - 1e-3).all() and (x <= q[2] + 0.6 * (q[2] - q[1]) + 1e-3).all())
+        assert got[i]["kept"] == (good and not got[i]["base_failed"])
+
+
+def test_quality_keeps_clean_and_drops_junk_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    bands = quality_rules.fit_bands(docs, labels)
+    found = quality_rules.quality_measures(docs, bands=bands).join(labels, "doc_id").where(held_out()).where("not base_failed")
+    kept = {x["quality"]: x["k"] for x in found.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
+    assert kept[1] > 0.98 and kept[0] < 0.3
+    none = quality_rules.fit_bands(docs, labels.where("quality = 0"))
+    assert none.fitted == {} and quality_rules.keep_good(docs.limit(10), bands=none).columns == docs.columns
+    assert quality_rules.quality_measures(table(spark, EDGE), bands=bands).count() == len(EDGE)
+    assert quality_rules.keep_good(docs.limit(0), bands=bands).count() == 0
 
 
 def fuzz(n, seed=1):
