@@ -15,8 +15,8 @@ from pointmill.llm.common import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality_rules.keep_good(docs)
+    """Documents that the rules reject go. Bands are learned from the labelled rows that are not held out."""
+    return quality_rules.keep_good(docs, bands=quality_rules.fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
