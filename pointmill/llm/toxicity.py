@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-A text is cut into clauses. Every token of a clause has a class: insult, threat, target, negation, reported speech or other.
-Four small transducers read the classes one after the other and are composed into one machine when the grammar is built:
+A text is cut into clauses. Every token of a clause has a class: insult, threat, target, predicate, negation, reported speech or other.
+Three transducers read the classes one after the other and are composed into one machine when the grammar is built:
 
 * negation turns insults and threats in the few tokens after a negation into negated ones,
 * reported speech turns what follows a verb of saying into reported ones,
-* target turns insults and threats near somebody they are aimed at into aimed ones,
-* insult and threat emit the outcomes, which carry weights.
+* aim holds an insult or threat pending for a few tokens and emits an outcome once a second role is met, before or after it: a
+  *target* (somebody addressed or spoken of), a *predicate* (a copula or modal verb that says it of somebody), an *article* that makes it
+  somebody's name, or a second lexeme.
 
-A matched clause is worth its outcomes' weights times its lexemes' strengths; isolated words are never scored. A logistic function
-of a text's clause values gives the score; its weights are fitted to labels.
+A clause matches only by such an outcome, that is by at least two roles; a word by itself is worth nothing. An outcome is worth its
+lexeme's strength. A text's score is a logistic function of the damped sums of each outcome's worth, of its best clause and of its matched
+clauses; the weights, one for each kind of outcome, are fitted to labels.
 
-The lexicon has a fixed part and a learned one. In a bounded sample of labelled texts the stems (first four to six letters of a
-word) are counted by class; a stem that occurs in at least ``min_texts`` toxic texts and whose log odds exceed ``min_odds`` becomes
+The lexicon has a fixed part and a learned one. In a bounded sample of labelled texts the stems (first four to eight letters of a
+word, and whole words) are counted by class; a stem that occurs in at least ``min_texts`` toxic texts and a
+share ``min_share`` of them, and whose log odds exceed ``min_odds`` becomes
 an insult of that strength. At most ``max_stems`` are kept, the strongest first.
 
 Defined cases: a null text is empty; a text without matched clauses gets the score of no matches; with no labels of one class only
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, empty_if_null, held_out, map_batches, materialize
+from .common import bytes_of, empty_if_null, held_out, id_type, map_batches, materialize
 from .learning import labelled_sample, logistic_fit, sigmoid
 
 #: Words of each class.
@@ -41,11 +44,15 @@ INSULTS = "idiot idiots moron morons stupid scum trash loser losers worthless pa
 THREATS = "kill hurt destroy beat attack punish burn crush stab shoot".split()
 TARGETS = "you your yours they them he she him her these those people everyone".split()
 NEGATIONS = "not never no without nobody isn't aren't wasn't don't doesn't didn't won't nicht kein keine ne pas jamais nunca".split()
+PREDICATES = "is are was were am be been being will shall must should gonna going ist sind war waren bist wird werden soll est sont était suis es son eres soy era fue será sera".split()
+ARTICLES = "the a an this that such der die das den dem ein eine einen le la les un une des du el los las una unos".split()
 REPORTS = "said says wrote writes claimed claims called quoted reported told asked according sagte dijo dit".split()
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oityer"
+OTHER, INSULT, THREAT, TARGET, PREDICATE, ARTICLE, NEGATION, REPORT = "oitycaer"
 CLAUSE = re.compile(r"[.!?;:\n|]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+#: Marks the stem that is a whole word.
+WHOLE = "$"
 
 Transducer = dict[tuple[int, str], tuple[int, str]]
 
@@ -55,7 +62,7 @@ def negation(scope: int = 3) -> Transducer:
     arcs: Transducer = {}
     for s in range(scope + 1):
         left = max(0, s - 1)
-        for x in (OTHER, TARGET, REPORT):
+        for x in (OTHER, TARGET, PREDICATE, ARTICLE, REPORT):
             arcs[s, x] = left, x
         arcs[s, NEGATION] = scope, OTHER
         arcs[s, INSULT] = left, "j" if s else INSULT
@@ -67,7 +74,7 @@ def reported() -> Transducer:
     """State 1 once a verb of saying has been read: i, t become k, v."""
     arcs: Transducer = {}
     for s in (0, 1):
-        for x in (OTHER, TARGET, "j", "u"):
+        for x in (OTHER, TARGET, PREDICATE, ARTICLE, "j", "u"):
             arcs[s, x] = s, x
         arcs[s, REPORT] = 1, OTHER
         arcs[s, INSULT] = s, "k" if s else INSULT
@@ -75,21 +82,45 @@ def reported() -> Transducer:
     return arcs
 
 
-def aimed(reach: int = 4) -> Transducer:
-    """State: tokens for which a target is still near. Plain i and t become I and T."""
-    arcs: Transducer = {}
-    for s in range(reach + 1):
-        left = max(0, s - 1)
-        for x in (OTHER, "j", "u", "k", "v"):
-            arcs[s, x] = left, x
-        arcs[s, TARGET] = reach, OTHER
-        arcs[s, INSULT] = left, "I" if s else INSULT
-        arcs[s, THREAT] = left, "T" if s else THREAT
-    return arcs
+#: What becomes of a lexeme that meets a target, a predicate, an article or another lexeme.
+MET = {
+    TARGET: {"i": "I", "t": "T", "j": "J", "u": "U", "k": "K", "v": "V"},
+    PREDICATE: {"i": "A", "t": "B", "j": "D", "u": "F", "k": "E", "v": "G"},
+    ARTICLE: {"i": "N", "t": "M", "j": "D", "u": "F", "k": "E", "v": "G"},
+}
+PAIRED = "P"
+#: Weights of the outcomes where there are no labels to fit them to.
+OUTCOMES = {"I": 1.5, "T": 1.5, "A": 1.0, "B": 0.8, "N": 0.7, "M": 0.0, "P": 1.2, "J": 0.3, "D": 0.2, "K": 0.5, "E": 0.3, "U": 0.0, "F": 0.0, "V": 0.3, "G": 0.2}
 
 
-#: What an outcome is worth.
-OUTCOMES = {INSULT: 1.0, "I": 1.5, THREAT: 0.3, "T": 1.5, "j": 0.3, "u": 0.0, "k": 0.5, "v": 0.2}
+def aim(reach: int = 6) -> Transducer:
+    """State: the strongest role that is near (target, predicate, article or none), the tokens for which it is near, the lexeme that is pending (or none) and
+    the tokens for which it is. Emits an outcome where a lexeme and a second role meet."""
+    start = ("", 0, "", 0)
+    names, arcs, todo = {start: 0}, {}, [start]
+    while todo:
+        state = role, near, held, left = todo.pop()
+        for x in (OTHER, *MET, *MET[TARGET]):
+            now_near, now_left = max(0, near - 1), max(0, left - 1)
+            now = (role if now_near else "", now_near, held if now_left else "", now_left)
+            out = OTHER
+            if x in MET:
+                out = MET[x][held] if held else OTHER
+                # A weaker role does not hide a stronger one that is still near.
+                strongest = x if not now[0] else min(x, now[0], key=list(MET).index)
+                now = (x, reach, "", 0) if strongest == x else (*now[:2], "", 0)
+            elif x in MET[TARGET]:
+                if role:
+                    out, now = MET[role][x], (*now[:2], "", 0)
+                elif held:
+                    out, now = PAIRED, (*now[:2], x, reach)
+                else:
+                    now = (*now[:2], x, reach)
+            if now not in names:
+                names[now] = len(names)
+                todo.append(now)
+            arcs[names[state], x] = names[now], out
+    return arcs
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
@@ -115,31 +146,32 @@ class Grammar:
     """The composed machine and its lexicon: classes of words, strengths of stems."""
 
     stems: dict[str, float] = field(default_factory=dict)
-    machine: Transducer = field(default_factory=lambda: compose(compose(negation(), reported()), aimed()))
+    machine: Transducer = field(default_factory=lambda: compose(compose(negation(), reported()), aim()))
 
     def lexeme(self, word: str) -> tuple[str, float]:
         """Class and strength of a lower-case word."""
         fixed = FIXED.get(word)
         if fixed and fixed != INSULT:
             return fixed, 1.0
-        strength = max((self.stems.get(word[:n], 0.0) for n in STEMS), default=0.0)
+        strength = max(self.stems.get(word + WHOLE, 0.0), *(self.stems.get(word[:n], 0.0) for n in STEMS))
         if fixed or strength:
             return INSULT, max(strength, 1.0 if fixed else 0.0)
         return OTHER, 0.0
 
-    def clause(self, tokens: list[tuple[str, float]]) -> tuple[float, Counter]:
-        """Value of a clause and its outcomes."""
-        state, value, outcomes = 0, 0.0, Counter()
-        for kind, strength in tokens:
+    def clause(self, tokens: list[tuple[str, float]]) -> Counter:
+        """The worth of a clause's outcomes. An outcome takes the strength of the last lexeme, which is the one that it is about."""
+        state, strength, outcomes = 0, 0.0, Counter()
+        for kind, own in tokens:
+            if kind in (INSULT, THREAT):
+                strength = own
             state, out = self.machine[state, kind]
             if out in OUTCOMES:
-                value += OUTCOMES[out] * strength
-                outcomes[out] += 1
-        return value, outcomes
+                outcomes[out] += strength
+        return outcomes
 
 
-FIXED = {w: k for k, words in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-FEATURES = 5
+FIXED = {w: k for k, words in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (PREDICATE, PREDICATES), (ARTICLE, ARTICLES), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+KINDS = sorted(OUTCOMES)
 
 
 class Reader:
@@ -157,10 +189,9 @@ class Reader:
         return got
 
     def features(self, text: bytes) -> list[float]:
-        """Sum and greatest of the clause values, matched clauses, their share, and threats, all damped."""
+        """For each kind of outcome its worth in the text; then the worth of the best clause, the matched clauses and their share; damped."""
         low = text.decode("utf-8", "replace").lower()
-        total = best = 0.0
-        matched = threats = clauses = 0
+        total, best, matched, clauses = Counter(), 0.0, 0, 0
         for clause in CLAUSE.split(low):
             words = WORD.findall(clause)
             if not words:
@@ -168,12 +199,11 @@ class Reader:
             clauses += 1
             kinds = [self._known(w) for w in words]
             if any(k in (INSULT, THREAT) for k, _ in kinds):
-                value, outcomes = self.grammar.clause(kinds)
-                total += value
-                best = max(best, value)
-                matched += value > 0
-                threats += outcomes["T"]
-        return [math.log1p(total), math.log1p(best), math.log1p(matched), matched / max(1, clauses), math.log1p(threats)]
+                found = self.grammar.clause(kinds)
+                total.update(found)
+                best = max(best, sum(n * OUTCOMES[k] for k, n in found.items()))
+                matched += bool(found)
+        return [*(math.log1p(total[k]) for k in KINDS), math.log1p(best), math.log1p(matched), matched / max(1, clauses)]
 
 
 @dataclass(frozen=True)
@@ -185,7 +215,7 @@ class Model:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def learn_stems(sample: DataFrame, *, min_texts: int = 8, min_odds: float = 3.0, max_stems: int = 5_000) -> dict[str, float]:
+def learn_stems(sample: DataFrame, *, min_texts: int = 6, min_share: float = 0.006, min_odds: float = 3.0, max_stems: int = 5_000) -> dict[str, float]:
     """Stems that mark toxic texts, with their strengths. Counted in the tasks and summed by a hash aggregate."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -193,7 +223,7 @@ def learn_stems(sample: DataFrame, *, min_texts: int = 8, min_odds: float = 3.0,
         sizes = [0, 0]
         for text, y in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             words = set(WORD.findall(text.decode("utf-8", "replace").lower()))
-            for stem in {w[:n] for w in words if len(w) >= STEMS[0] for n in STEMS}:
+            for stem in {w[:n] for w in words if len(w) >= STEMS[0] for n in STEMS} | {w + WHOLE for w in words}:
                 counts.setdefault(stem, [0, 0])[y] += 1
             sizes[y] += 1
         counts[""] = sizes
@@ -205,7 +235,7 @@ def learn_stems(sample: DataFrame, *, min_texts: int = 8, min_odds: float = 3.0,
     if sizes is None or not sizes["clean"] or not sizes["toxic"]:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (sizes["toxic"] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes["clean"] + 1.0))
-    strong = counted.where("stem <> ''").withColumn("odds", odds).where(F.col("odds") >= min_odds).orderBy(F.desc("odds"), "stem").limit(max_stems)
+    strong = counted.where("stem <> ''").where(F.col("toxic") >= min_share * sizes["toxic"]).withColumn("odds", odds).where(F.col("odds") >= min_odds).orderBy(F.desc("odds"), "stem").limit(max_stems)
     return {r["stem"]: r["odds"] / min_odds for r in strong.collect()}
 
 
@@ -217,7 +247,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_cl
     share = labels.where(~held_out("doc_id")).agg(F.avg((F.col(label) == 1).cast("double")).alias("toxic")).first()["toxic"]
     y = np.array([r["y"] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
-        return Model(grammar, np.array([1.0, 1.0, 0.5, 0.0, 1.0, -1.5]))
+        return Model(grammar, np.array([*(OUTCOMES[k] for k in KINDS), 1.0, 0.5, 0.0, -2.0]))
     x = np.array([r["x"] for r in rows])
     order = np.lexsort((*x.T, y))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -244,7 +274,7 @@ def toxicity_scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
             held.append(Reader(model.grammar))
         x = np.array([held[0].features(t) for t in bytes_of(batch.column(2))])
         s = model.score(x)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, 2] > 0)], names=["doc_id", "held_out", "score", "predicted", "matched"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(x[:, -2] > 0)], names=["doc_id", "held_out", "score", "predicted", "matched"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), empty_if_null(text_col).cast("binary").alias("t"))
-    return map_batches(source, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int, matched boolean")
+    return map_batches(source, run, f"doc_id {id_type(docs, id_col)}, held_out boolean, score double, predicted int, matched boolean")

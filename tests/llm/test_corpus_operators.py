@@ -349,22 +349,68 @@ def test_toxicity_learns_clauses(spark):
     assert toxicity.fit_from(docs, labels.where("toxic = 0")).grammar.stems == {}
 
 
-def test_grammar_composition():
+def plain_outcomes(words, scope=3, reach=6):
+    """The grammar read off clause by clause, without a machine."""
+    found, negated, told, role, held, strength = collections.Counter(), 0, False, None, None, 0.0
     g = toxicity.Grammar()
-    worth = lambda s: g.clause([g.lexeme(w) for w in s.split()])
-    assert worth("you are an idiot")[0] > worth("what an idiot")[0] > worth("he is not an idiot")[0] > 0
-    assert worth("she said he is an idiot")[0] < worth("he is an idiot")[0]
-    assert worth("they will kill you")[1]["T"] == 1 and worth("never kill you")[0] == 0
-    a, b = toxicity.negation(), toxicity.reported()
-    both = toxicity.compose(a, b)
-    for line in ("oino", "neio", "ritn", "tnit"):
-        sa = sb = s = 0
-        for x in line.replace("e", "r"):
-            x = x if (sa, x) in a else "o"
-            sa, mid = a[sa, x]
-            sb, out = b[sb, mid]
-            s, direct = both[s, x]
-            assert out == direct
+    for w in words:
+        kind, own = g.lexeme(w)
+        if role:
+            role = (role[0], role[1] - 1) if role[1] > 1 or kind in "it" else None
+        if held:
+            held = (held[0], held[1] - 1)
+        x = kind
+        if kind in "it":
+            strength = own
+            x = {"i": "j", "t": "u"}[kind] if negated else {"i": "k", "t": "v"}[kind] if told else kind
+        negated = scope if kind == toxicity.NEGATION else max(0, negated - 1)
+        told = told or kind == toxicity.REPORT
+        if x in toxicity.MET:
+            if held:
+                found[toxicity.MET[x][held[0]]] += strength
+            order = list(toxicity.MET)
+            if not role or order.index(x) <= order.index(role[0]):
+                role = (x, reach)
+            held = None
+        elif x in "itjukv":
+            if role:
+                found[toxicity.MET[role[0]][x]] += strength
+                role = role if role[1] > 0 else None
+                held = None
+            elif held:
+                found[toxicity.PAIRED] += strength
+                held = (x, reach)
+            else:
+                held = (x, reach)
+        if held and held[1] == 0:
+            held = None
+    return found
+
+
+def test_grammar():
+    g = toxicity.Grammar()
+    found = lambda t: {k: round(v, 9) for k, v in g.clause([g.lexeme(w) for w in t.split()]).items()}
+    assert found("trash") == found("kill") == found("what idiots") == {}
+    assert found("you are an idiot") == {"I": 1.0} == found("what idiots you are")
+    assert found("i will kill you") == {"B": 1.0} and found("kill you") == {"T": 1.0} == found("they kill")
+    assert found("he is not an idiot") == {"J": 1.0} and found("she said he is an idiot") == {"K": 1.0}
+    assert found("stupid clown") == {"P": 1.0} and found("food is trash") == {"A": 1.0}
+    rng = random.Random(4)
+    words = ["idiot", "kill", "you", "is", "the", "not", "said", "x", "y", "z"]
+    for _ in range(3000):
+        clause = rng.choices(words, weights=[2, 1, 1, 1, 1, 1, 0.3, 3, 3, 3], k=rng.randint(1, 14))
+        assert found(" ".join(clause)) == {k: round(v, 9) for k, v in plain_outcomes(clause).items()}, clause
+
+
+def test_toxicity_on_labels_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    wide = docs.withColumn("matched", F.lit("x")).withColumn("t", F.lit(1))
+    model = toxicity.fit_from(wide, labels)
+    r = toxicity.toxicity_scores(wide, model).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg(F.col("predicted").cast("double")).alias("p")).collect()
+    share = {x["toxic"]: x["p"] for x in r}
+    assert share[1] > 0.84 and share[0] < 0.01
+    assert toxicity.toxicity_scores(docs.limit(0), model).count() == 0
 
 
 def test_pipeline_stages(spark, sf):
