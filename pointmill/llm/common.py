@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,14 +14,20 @@ from pyspark.sql import types as T
 from ..functions.scratch import discard, materialize, scratch_path  # noqa: F401  one place for the operators to take them from
 
 #: Rows of a batch that are worked on at a time: what a function makes of them is handed on before the next ones are read.
-SLICE = 1024
+SLICE = 512
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches, cut into pieces of at most ``rows`` rows."""
+    """The batches, cut into pieces of at most ``rows`` rows. After the last one freed memory goes back to the system: worker processes
+    live on, and what one stage keeps another one lacks."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: T.StructType | str) -> DataFrame:

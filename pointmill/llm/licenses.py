@@ -1,9 +1,12 @@
 """License scans by a positional index of rare words.
 
-Every licence template is indexed by its words: word -> (template, position). A word's weight is its inverse document frequency
-over the whole corpus. For a file the operator looks up its rarest licence words, lets each vote for (template, place in file minus
-place in template), and keeps the templates on which enough votes agree about the place. A candidate counts once its mandatory
-phrases stand in the file near the place the votes give. The score is the weighted share of the template's words found there.
+Every licence template is indexed by its words: word -> postings (template, position). A word's weight is its inverse document
+frequency over the whole corpus. A template's *keys* are its rarest words, as many as it takes until the words left over could not
+make up the share of the template that must agree. For a file the operator looks up the postings of its licence words, the rarest
+first; templates none of whose keys stand in the file are out, and so a file without keys is left at once. For the others the postings
+of all their words are intersected by relative position: each place of a word in the file votes for (template, place in file minus place
+in template), and a template whose votes for neighbouring places agree on enough weight is a candidate. A candidate counts once its
+mandatory phrases stand in the file near the place the votes give. The score is the weighted share of the template's words found there.
 
 Independently of votes the base phrases are counted wherever their words stand consecutively.
 
@@ -17,13 +20,13 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, empty_if_null, map_batches
+from .common import bytes_of, empty_if_null, id_type, map_batches
 
 #: Base phrases and their labels.
 BASE_PHRASES = {
@@ -61,6 +64,10 @@ TEMPLATES = (
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee is hereby granted")),
+    Template("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ("unless required by applicable law or agreed to in writing", "without warranties or conditions of any kind")),
+    Template("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name", "endorse or promote products derived from this software")),
+    Template("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license",)),
+    Template("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ("without any express or implied warranty", "in no event will the authors be held liable")),
     Template("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
 )
 
@@ -104,15 +111,43 @@ def word_frequencies(docs: DataFrame, index: Index, *, text_col: str = "text") -
     return counts.pop(b"", 0), counts
 
 
-def scan_words(words: list[bytes], index: Index, weight: dict[bytes, float], *, rare: int = 64, slack: int = 3, agree: float = 0.5) -> tuple[int, int | None, int | None, set[str], set[str], float]:
-    """Places of base phrases, first and last of them, base labels, all labels, and the score, for the words of one text.
-
-    ``rare``: how many different licence words of the text, the rarest first, may vote; more of equal rarity join them.
-    ``slack``: how far votes for one place may lie apart. ``agree``: the weighted share of a template's words that must vote.
-    """
+@dataclass(frozen=True)
+class Weighed:
+    """An index with the corpus's weights. ``agree``: the weighted share of a template's words that must vote for one place; ``slack``:
+    how far votes for one place may lie apart."""
+
+    index: Index
+    weight: dict[bytes, float]
+    agree: float = 0.5
+    slack: int = 3
+    keys: dict[bytes, list[int]] = field(init=False)
+    totals: list[float] = field(init=False)
+
+    def __post_init__(self):
+        keys: dict[bytes, list[int]] = defaultdict(list)
+        totals = [sum(self.weight[w] for w in own) for own in self.index.words]
+        for t, own in enumerate(self.index.words):
+            left = totals[t]
+            for w in sorted(set(own), key=lambda w: (-self.weight[w], w)):
+                # Without the keys so far, too little is left to agree.
+                if left < self.agree * totals[t] - 1e-9:
+                    break
+                keys[w].append(t)
+                left -= self.weight[w] * own.count(w)
+        object.__setattr__(self, "keys", dict(keys))
+        object.__setattr__(self, "totals", totals)
+
+
+def scan_words(words: list[bytes], weighed: Weighed) -> tuple[int, int | None, int | None, set[str], set[str], float]:
+    """Places of base phrases, first and last of them, base labels, all labels, and the score, for the words of one text."""
+    index, weight, slack = weighed.index, weighed.weight, weighed.slack
     seen = index.known.intersection(words)
     if not seen:
         return 0, None, None, set(), set(), 0.0
+    possible = {t for w in seen if w in weighed.keys for t in weighed.keys[w] if all(m[0] in seen for m in index.mandatory[t])}
+    starts = {p[0] for p in index.phrases} & seen
+    if not possible and not starts:
+        return 0, None, None, set(), set(), 0.0
     places: dict[bytes, list[int]] = {w: [] for w in seen}
     for i, w in enumerate(words):
         if w in places:
@@ -128,31 +163,24 @@ def scan_words(words: list[bytes], index: Index, weight: dict[bytes, float], *,
             hits += found
             base.add(label)
     labels, score = set(base), 0.0
-    ranked = sorted((w for w in seen if w in index.postings), key=lambda w: (-weight[w], w))
-    if len(ranked) > rare:
-        ranked = [w for w in ranked if weight[w] >= weight[ranked[rare - 1]]]
-    voters = set(ranked)
-    for t, template in enumerate(index.templates):
-        own = index.words[t]
-        total = sum(weight[w] for w in own)
-        if sum(weight[w] for w in own if w in seen) < agree * total or any(m[0] not in seen for m in index.mandatory[t]):
-            continue
-        votes: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for q, w in enumerate(own):
-            if w in voters:
-                for p in places[w]:
-                    votes[(p - q) // slack].append((q, weight[w]))
-        best = 0.0
-        for bin_no in votes:
-            got = {q: x for q, x in votes[bin_no]} | {q: x for q, x in votes.get(bin_no + 1, ())}
-            share = sum(got.values()) / total
-            if share >= agree and share > best:
-                low, high = bin_no * slack - slack, (bin_no + 2) * slack + len(own) + slack
-                if all(any(low <= i <= high and at(m, i) for i in places.get(m[0], ())) for m in index.mandatory[t]):
-                    best = share
-        if best:
-            labels.add(template.label)
-            score = max(score, min(1.0, best))
+    # Postings of the file's words, the rarest first, intersected by the place at which a template would begin.
+    votes: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
+    if possible:
+        for w in sorted(seen & index.postings.keys(), key=lambda w: (-weight[w], w)):
+            for t, q in index.postings[w]:
+                if t in possible:
+                    for p in places[w]:
+                        votes[t, (p - q) // slack][q] = weight[w]
+    best: dict[int, float] = {}
+    for t, bin_no in votes:
+        share = sum((votes[t, bin_no] | votes.get((t, bin_no + 1), {})).values()) / weighed.totals[t]
+        if share >= weighed.agree - 1e-9 and share > best.get(t, 0.0):
+            low, high = bin_no * slack - slack, (bin_no + 2) * slack + len(index.words[t]) + slack
+            if all(any(low <= i <= high and at(m, i) for i in places[m[0]]) for m in index.mandatory[t]):
+                best[t] = share
+    for t, share in best.items():
+        labels.add(index.templates[t].label)
+        score = max(score, min(1.0, share))
     if base:
         score = max(score, 0.5)
     return len(hits), min(hits, default=None), max(hits, default=None), base, labels, score
@@ -162,17 +190,17 @@ def license_scan(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row: two passes, no shuffle of texts."""
     index = Index(templates, phrases)
     n, counts = word_frequencies(docs, index, text_col=text_col)
-    weight = {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 0.1 for w in index.known}
+    weighed = Weighed(index, {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 0.1 for w in index.known})
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text in bytes_of(batch.column(1)):
             words = words_of(text)
-            places, first, last, base, labels, score = scan_words(words, index, weight)
+            places, first, last, base, labels, score = scan_words(words, weighed)
             rows.append((len(words), places, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *names])
 
     source = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
-    return map_batches(source, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_batches(source, run, f"doc_id {id_type(docs, id_col)}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

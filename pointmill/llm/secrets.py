@@ -8,19 +8,20 @@ path that holds the blob. Everything runs as DataFrame expressions.
 A rule is a regular expression with an optional length test of one of its groups. Matches are leftmost and do not overlap within
 a rule; a match that fails the length test is dropped, but what it covers is used up. Spans count code points, end exclusive.
 
-Defined cases: a null text is the empty blob; an empty blob has no findings; repeated rows and copies share one blob, which is
+Defined cases: a null text is the empty blob; an empty blob has no findings; a version of rules is a digest of the rules, so other rules scan anew; repeated rows and copies share one blob, which is
 scanned once; a null id is a path like any other; an empty table gives an empty result and leaves the ledger as it was; other
 columns are not read. A text of any length is scanned whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, materialize, scratch_path
+from .common import empty_if_null, fresh, materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ FORMAT_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+", hints=("xox",)),
 )
 RULES = BASE_RULES + FORMAT_RULES
-RULE_VERSION = "2"
+CHUNK = 256
 
 SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 
@@ -67,19 +68,26 @@ def _spans(text: Column, low: Column, rule: Rule, number: int) -> Column:
         lambda p, t: F.struct(F.length(p["part"]).cast("long").alias("gap"), F.length(p["hit"]).cast("long").alias("size"), (F.length(t) >= rule.min_length).alias("ok")),
     )
     none = F.from_json(F.lit("[]"), SPAN)
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    walked = F.aggregate(
-        pairs,
-        start,
-        lambda acc, x: F.struct(
+
+    def walk(some: Column, at: Column) -> Column:
+        return F.aggregate(some, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(
             (acc["at"] + x["gap"] + x["size"]).alias("at"),
             F.when(
                 x["ok"],
                 F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(number).alias("kind_no"), (acc["at"] + x["gap"] + x["size"]).alias("end"), F.lit(rule.kind).alias("kind")))),
             ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+        )
+
+    # A list grows by copying, so matches are walked in chunks, each from the end of the one before.
+    def chunked(found: Column) -> Column:
+        size = lambda x: x["gap"] + x["size"]
+        before = lambda c: F.aggregate(F.slice(found, F.lit(1), c), F.lit(0).cast("long"), lambda acc, x: acc + size(x))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), F.lit(CHUNK)), lambda c: walk(F.slice(found, c + 1, CHUNK), before(c))))
+
+    walked = F.transform(F.array(pairs), chunked)[0]
     if not rule.hints:
         return F.when(text.rlike(rule.pattern), walked).otherwise(none)
     hinted = F.lit(False)
@@ -93,6 +101,11 @@ def scan_text(text: Column, low: Column, rules: tuple[Rule, ...] = RULES) -> Col
     return F.array_sort(F.concat(*[_spans(text, low, r, i) for i, r in enumerate(rules)]))
 
 
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """The version of a set of rules: a digest of what they are and their order."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.min_length) for r in rules]).encode()).hexdigest()[:16]
+
+
 def blob_id(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -111,24 +124,25 @@ def _paths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("path"), blob_id(text).alias("blob"), text.alias("text"))
 
 
-def scan_unseen(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> None:
+def scan_unseen(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES, rule_version: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Scan the blobs of ``docs`` that the ledger does not hold for this rule version and append them to the ledger.
 
     For each unseen blob one path is chosen by a hash aggregate over paths and blob ids alone, which combines copies before the
     shuffle; only the chosen paths' texts are scanned. The texts are dealt out by path and blob, so copies do not meet in one task.
     """
-    spark = docs.sparkSession
+    spark, rule_version = docs.sparkSession, rule_version or version_of(rules)
     paths = _paths(docs, id_col, text_col)
     known = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).select("blob").distinct()
     chosen = paths.groupBy("blob").agg(F.min("path").alias("path")).join(known, "blob", "left_anti")
-    unseen = paths.join(chosen.hint("shuffle_hash"), ["path", "blob"], "left_semi")
+    # Repeated rows are combined before the shuffle and once more after it.
+    unseen = paths.groupBy("path", "blob").agg(F.first("text").alias("text")).join(chosen.hint("shuffle_hash"), ["path", "blob"], "left_semi")
     spans = scan_text(F.col("text"), F.lower("text"), rules)
     unseen.select("blob", F.lit(rule_version).alias("rule_version"), spans.alias("spans")).write.mode("append").parquet(ledger_path)
 
 
-def findings(docs: DataFrame, ledger_path: str | None = None, *, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def findings(docs: DataFrame, ledger_path: str | None = None, *, rules: tuple[Rule, ...] = RULES, rule_version: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scan what is unseen, then one row per row of ``docs``: ``doc_id, blob, spans``. Without ``ledger_path`` a new ledger is begun in the shared folder."""
-    ledger_path = ledger_path or scratch_path(docs.sparkSession, "secret-ledger")
+    rule_version, ledger_path = rule_version or version_of(rules), ledger_path or scratch_path(docs.sparkSession, "secret-ledger")
     scan_unseen(docs, ledger_path, rules=rules, rule_version=rule_version, id_col=id_col, text_col=text_col)
     return docs.select(F.col(id_col).alias("doc_id"), blob_id(empty_if_null(text_col)).alias("blob")).join(_held(docs.sparkSession, ledger_path, rule_version), "blob", "left").select("doc_id", "blob", F.coalesce("spans", _no_spans()).alias("spans"))
 
@@ -149,16 +163,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, ledger_path: str | None = None, *, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, ledger_path: str | None = None, *, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, rule_version: str | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mark``, overlapping spans by one; the same columns. ``length_col`` then holds the new length."""
     spark = docs.sparkSession
-    ledger_path = ledger_path or scratch_path(spark, "secret-ledger")
+    rule_version, ledger_path = rule_version or version_of(rules), ledger_path or scratch_path(spark, "secret-ledger")
+    blob, spans = fresh(docs, "blob"), fresh(docs, "spans")
     scan_unseen(docs, ledger_path, rules=rules, rule_version=rule_version, id_col=id_col, text_col=text_col)
-    held = _held(spark, ledger_path, rule_version).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    held = _held(spark, ledger_path, rule_version).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     text = F.col(text_col)
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
-        "__spans",
+        spans,
         begin,
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -166,8 +181,8 @@ def redact(docs: DataFrame, ledger_path: str | None = None, *, mark: str = "[SEC
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    found = docs.withColumn("__blob", blob_id(empty_if_null(text_col))).join(held, "__blob", "left")
-    out = found.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(cut))
+    found = docs.withColumn(blob, blob_id(empty_if_null(text_col))).join(held, blob, "left")
+    out = found.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(cut))
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("__spans").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
+        out = out.withColumn(length_col, F.when(F.col(spans).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
     return out.select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, empty_if_null, map_batches
-from .words import default_path, piece_processor, word_pieces
+from .words import WordPieces, default_path, piece_processor
 
 MARK = "▁".encode()
 
@@ -153,7 +153,7 @@ class Encoder:
     """Encodes blocks of texts; one per task."""
 
     def __init__(self, path: str, add_end: bool = True):
-        self.path, self.add_end, self.sp, self.norm, self.table = path, add_end, piece_processor(path), normalizer(path), word_pieces(path)
+        self.path, self.add_end, self.sp, self.norm, self.table = path, add_end, piece_processor(path), normalizer(path), WordPieces(path)
         self.end = np.array([self.sp.eos_id()] * add_end, dtype=np.int32)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -206,7 +206,7 @@ def _with_spaces(parts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _blocks(texts: list[bytes], most: int = 2_000_000):
+def _blocks(texts: list[bytes], most: int = 1_000_000):
     at = 0
     while at < len(texts):
         end, size = at, 0

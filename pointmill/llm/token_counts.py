@@ -1,12 +1,16 @@
 """Counts of unigram tokens by a Viterbi search that keeps only scores and counts.
 
 An Aho-Corasick automaton enumerates the vocabulary's pieces in a text. For every place the best score of a segmentation that ends
-there and its number of pieces are kept, never the pieces. Ties fall as in the unigram tokeniser: of equal scores the piece that
-begins first wins. A character that no piece covers alone is unknown, ten below the worst piece, and counts as one piece, or as its
-UTF-8 bytes where the vocabulary has byte fallback.
+there, its number of pieces and whether the last one is unknown are kept, never the pieces. The rules are the unigram tokeniser's:
 
-No piece holds a white space mark after another character (where one does, texts are searched whole), so every segmentation ends a
-piece before each word's mark: a text's best score and count are sums over its words, each distinct word searched once.
+* of equal scores the piece that begins first wins;
+* a character that no piece covers alone is unknown, ten below the worst ordinary piece. Neighbouring unknown characters make one
+  piece; where the vocabulary has byte fallback, each counts as its UTF-8 bytes;
+* a user-defined piece is worth its length in bytes times the best ordinary score, less 0.1.
+
+Texts are normalised first, as the model asks. No piece holds a white space mark after another character (where one does, or where
+the model has a character map or user-defined pieces, texts are searched whole), so every segmentation ends a piece before each word's mark: a text's best score and count are sums over its words, each
+distinct word searched once.
 
 Scores are summed in double precision. A tokeniser that sums in single precision can differ where a long text's sum no longer
 resolves the difference between two segmentations.
@@ -14,8 +18,8 @@ resolves the difference between two segmentations.
 Pieces and scores come from a sentencepiece model file; a BPE model's scores, minus the rank of each merge, serve as log
 probabilities.
 
-Defined cases: a null or empty text has no tokens and score 0; white space is text like any other; repeated rows are counted each;
-an empty table gives an empty result; other columns are not read. Texts are counted whole.
+Defined cases: a null or empty text, or one that normalises to nothing, has no tokens and score 0; white space is text like any other;
+repeated rows are counted each; an empty table gives an empty result; other columns are not read. Texts are counted whole.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, empty_if_null, map_batches
+from .common import bytes_of, empty_if_null, id_type, map_batches
 from .spm import normalizer
 from .words import default_path, piece_processor
 
@@ -40,25 +44,26 @@ class Lattice:
         import ahocorasick
 
         sp = piece_processor(path)
-        self.automaton, scores = ahocorasick.Automaton(), []
+        self.norm = normalizer(path)
+        self.automaton, own = ahocorasick.Automaton(), {p.decode() for p in self.norm.own}
+        pieces = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        ordinary = [sp.get_score(i) for i in pieces if sp.id_to_piece(i) not in own]
+        low, high = min(ordinary, default=0.0), max(ordinary, default=0.0)
         self.single: set[str] = set()
-        for i in range(sp.get_piece_size()):
-            if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i):
-                continue
-            piece, score = sp.id_to_piece(i), sp.get_score(i)
-            self.automaton.add_word(piece, (len(piece), score))
-            scores.append(score)
+        for i in pieces:
+            piece = sp.id_to_piece(i)
+            self.automaton.add_word(piece, (len(piece), len(piece.encode()) * high - 0.1 if piece in own else sp.get_score(i)))
             if len(piece) == 1:
                 self.single.add(piece)
         self.automaton.make_automaton()
-        self.unknown = min(scores) - UNKNOWN_PENALTY
+        self.unknown = low - UNKNOWN_PENALTY
         self.fallback = any(sp.is_byte(i) for i in range(sp.get_piece_size()))
-        self.norm = normalizer(path)
 
     def search(self, text: str) -> tuple[int, float]:
         """Number of pieces and score of the best segmentation of a normalised text."""
         low = float("-inf")
         best, count = [low] * (len(text) + 1), [0] * (len(text) + 1)
+        odd = bytearray(len(text) + 1)
         best[0], done = 0.0, 0
         single = self.single
         covered = all(c in single for c in text)
@@ -67,21 +72,22 @@ class Lattice:
             if not covered:
                 # Unknown characters bridge the places before this match; an unknown piece begins after all longer ones.
                 for at in range(done + 1, end):
-                    self._bridge(text, at, best, count)
+                    self._bridge(text, at, best, count, odd)
                 done = max(done, end - 1)
             start = end - size
             value = best[start] + score
             if value > best[end]:
-                best[end], count[end] = value, count[start] + 1
+                best[end], count[end], odd[end] = value, count[start] + 1, 0
         if not covered:
             for at in range(done + 1, len(text) + 1):
-                self._bridge(text, at, best, count)
+                self._bridge(text, at, best, count, odd)
         return count[-1], best[-1]
 
-    def _bridge(self, text: str, at: int, best: list[float], count: list[int]) -> None:
+    def _bridge(self, text: str, at: int, best: list[float], count: list[int], odd: bytearray) -> None:
         c = text[at - 1]
         if c not in self.single and best[at - 1] + self.unknown > best[at]:
-            best[at], count[at] = best[at - 1] + self.unknown, count[at - 1] + (len(c.encode()) if self.fallback else 1)
+            best[at], odd[at] = best[at - 1] + self.unknown, 1
+            count[at] = count[at - 1] + (len(c.encode()) if self.fallback else not odd[at - 1])
 
 
 @lru_cache(maxsize=2)
@@ -92,16 +98,15 @@ def lattice(path: str) -> Lattice:
 class Counter:
     """Counts tokens of texts; the results of distinct words are kept in a table of bounded size."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.lattice, self.limit, self.table = lattice(path), limit, {}
 
     def __call__(self, text: bytes) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        normal, _ = self.lattice.norm(text) if not self.lattice.norm.plain else (b"", None)
         if not self.lattice.norm.whole_words or "▁".encode() in text:
-            whole = normal if normal else (("▁" if self.lattice.norm.dummy else "") + text.decode("utf-8", "replace").replace(" ", "▁")).encode()
-            return self.lattice.search(whole.decode("utf-8", "replace"))
+            normal = self.lattice.norm(text)[0].decode("utf-8", "replace")
+            return self.lattice.search(normal) if normal else (0, 0.0)
         table, search = self.table, self.lattice.search
         words = text.split(b" ")
         if b"" in words:
@@ -139,4 +144,4 @@ def token_counts(docs: DataFrame, *, model_path: str | None = None, id_col: str
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).cast("binary").alias("t"))
-    return map_batches(source, run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double")
+    return map_batches(source, run, f"doc_id {id_type(docs, id_col)}, n_tokens long, score double")

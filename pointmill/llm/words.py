@@ -45,13 +45,13 @@ class WordPieces:
     """The pieces of each distinct word, as arrays indexed by a number given to the word, and with ``byte_path`` the number of its
     tokens in that vocabulary. Emptied when full, so memory is bounded."""
 
-    def __init__(self, piece_path: str, byte_path: str | None = None, limit: int = 200_000):
+    def __init__(self, piece_path: str, byte_path: str | None = None, limit: int = 100_000):
         self.piece_path, self.byte_path, self.limit = piece_path, byte_path, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.ends = np.empty(1 << 19, dtype=np.int32), np.zeros(self.limit + 1, dtype=np.int32)
+        self.flat, self.ends = np.empty(1 << 18, dtype=np.int32), np.zeros(self.limit + 1, dtype=np.int32)
         self.tokens = np.zeros(self.limit, dtype=np.int32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -85,9 +85,3 @@ class WordPieces:
         sizes = self.ends[numbers + 1] - starts
         shift = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
         return sizes, self.flat[shift + np.arange(len(shift))]
-
-
-@lru_cache(maxsize=2)
-def word_pieces(piece_path: str, byte_path: str | None = None) -> WordPieces:
-    """The table of a vocabulary, one for all that a worker process does."""
-    return WordPieces(piece_path, byte_path)

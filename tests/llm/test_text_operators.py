@@ -280,3 +280,96 @@ def test_empty_tables_and_clashing_columns(spark):
         assert make(some).count() == len(EDGE)
     encoded = spm.encode(some.where("doc_id = 6"))
     assert spm.decode(encoded).first()["text"] == "é日本😀 ́x"
+
+
+def small_unigram(tmp_path, nfkc, own, fallback):
+    """A unigram model written by hand, with or without a character map, user-defined pieces and byte fallback."""
+    m, kind = pb.ModelProto(), pb.ModelProto.SentencePiece
+    m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for piece, of in (("<unk>", kind.UNKNOWN), ("<s>", kind.CONTROL), ("</s>", kind.CONTROL)):
+        m.pieces.add(piece=piece, score=0.0, type=of)
+    if fallback:
+        m.trainer_spec.byte_fallback = True
+        for b in range(256):
+            m.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=kind.BYTE)
+    for n, piece in enumerate(["▁", "a", "b", "ab", "abc", "▁a", "▁abc", "ba", "bab", "1", "the", "▁the", "aa"]):
+        m.pieces.add(piece=piece, score=-2.0 - 0.37 * n, type=kind.NORMAL)
+    if own:
+        for piece in ("<tag>", "ab1"):
+            m.pieces.add(piece=piece, score=0.0, type=kind.USER_DEFINED)
+    if nfkc:
+        got = pb.ModelProto()
+        got.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+        m.normalizer_spec.precompiled_charsmap = got.normalizer_spec.precompiled_charsmap
+    m.normalizer_spec.add_dummy_prefix = m.normalizer_spec.escape_whitespaces = True
+    m.normalizer_spec.remove_extra_whitespaces = nfkc
+    path = str(tmp_path / f"small-{nfkc}-{own}-{fallback}.model")
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("nfkc,own,fallback", [(False, False, False), (True, False, False), (True, True, False), (False, True, True), (True, True, True)])
+def test_counts_equal_small_unigram_models(tmp_path, nfkc, own, fallback):
+    path = small_unigram(tmp_path, nfkc, own, fallback)
+    sp, count = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.Counter(path)
+    parts = ["a", "b", "c", "ab", "abc", "1", "the", " ", "  ", "日", "本語", "zz", "x", "<tag>", "ab1", "ﬁ", "Ａ", "\t", "é"]
+    rng = random.Random(3)
+    texts = ["日本語", "x日本 abc", "zz abc", "   ", "", *("".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000))]
+    wrong = [(t, count(t.encode())[0], sp.encode(t, out_type=str)) for t in texts if count(t.encode())[0] != len(sp.encode(t))]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def plain_labels(words, weighed):
+    """Every template at every place of the text, without keys, postings or bins."""
+    labels, index = set(), weighed.index
+    for t, own in enumerate(index.words):
+        total = sum(weighed.weight[w] for w in own)
+        where = {w: [i for i, x in enumerate(words) if x == w] for w in set(own)}
+        starts = {(p - q) // weighed.slack for q, w in enumerate(own) for p in where[w]}
+        for b in starts:
+            got = sum(weighed.weight[w] for q, w in enumerate(own) if any((p - q) // weighed.slack in (b, b + 1) for p in where[w]))
+            low, high = b * weighed.slack - weighed.slack, (b + 2) * weighed.slack + len(own) + weighed.slack
+            if got >= weighed.agree * total - 1e-9 and all(any(tuple(words[i : i + len(m)]) == m for i in range(max(0, low), high + 1)) for m in index.mandatory[t]):
+                labels.add(index.templates[t].label)
+    return labels
+
+
+def test_license_labels_against_every_place():
+    rng = random.Random(9)
+    index = licenses.Index()
+    weighed = licenses.Weighed(index, {w: rng.uniform(0.1, 9) for w in index.known})
+    found = 0
+    for n in range(300):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            own = list(rng.choice(index.words))
+            for _ in range(rng.randint(0, 6)):
+                k = rng.randrange(len(own))
+                own[k : k + 1] = rng.choice([[], [b"noise"], [own[k], b"more"]])
+                own = own or [b"x"]
+            words += [b"filler"] * rng.randint(0, 9) + own
+        base = {v for p, v in index.phrases.items() for i in range(len(words)) if tuple(words[i : i + len(p)]) == p}
+        want = plain_labels(words, weighed) | base
+        assert licenses.scan_words(words, weighed)[4] == want
+        found += len(want)
+    assert found > 300
+
+
+def test_other_rules_scan_anew_and_repeated_rows_scan_once(spark, tmp_path):
+    ledger = f"file://{tmp_path}/other"
+    docs = table(spark, [(1, "token = 0123456789abcdef01")] * 50 + [(2, "x y")])
+    secrets.findings(docs, ledger).collect()
+    assert secrets.read_ledger(spark, ledger).count() == 2
+    only = (secrets.Rule("word", "x+"),)
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.findings(docs, ledger, rules=only).collect()}
+    assert found == {1: [], 2: ["word"]}
+
+
+def test_many_secrets_in_one_text_and_clashing_columns(spark):
+    text = " ".join(f"{'0123456789abcdef'} AKIA{i:016d} x" for i in range(3000))
+    spans = secrets.findings(table(spark, [(1, text)])).first()["spans"]
+    assert [(s["start"], s["kind_no"], s["kind"], s["end"]) for s in spans] == brute_secrets(text)
+    docs = spark.createDataFrame([(1, "a token = 0123456789abcdef01 b", "k", "l")], "doc_id long, text string, blob string, spans string")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns and tuple(got.first()) == (1, "a [SECRET] b", "k", "l")
