@@ -196,31 +196,37 @@ def frequent_buckets(counts: DataFrame) -> np.ndarray:
     return rank
 
 
-def parity(shingles: np.ndarray) -> list[int]:
-    """A set's shingles dealt into 128 bins, and whether each bin holds an odd number: two signed longs. Two sets' parities differ in at
+def parity(shingles: np.ndarray, bins: int = 128) -> np.ndarray:
+    """A set's shingles dealt into bins (a power of two), and whether each bin holds an odd number: signed longs. Two sets' parities differ in at
     most as many bits as the sets have elements that only one of them holds."""
-    odd = np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=128) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bins - 1), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def long_parity(shingles: np.ndarray) -> np.ndarray:
+    """A parity of at least twice as many bins as the set has elements."""
+    return parity(shingles, 1 << max(6, int(2 * len(shingles) - 1).bit_length() if len(shingles) else 6))
 
 
 def prefixes(docs: DataFrame, rank: np.ndarray, *, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``sid, place, size, p0, p1, prefix``: for each distinct set of shingles one text that has it, its size, its parity and its rarest
-    shingles in order."""
+    """``sid, place, size, p0, p1, long, prefix``: for each distinct set of shingles one text that has it, its size, its parities and its
+    rarest shingles in order."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, odd, firsts = [], [], [], []
+        keys, sizes, odd, wide, firsts = [], [], [], [], []
         for t in bytes_of(batch.column(1)):
             kinds = distinct_shingles(t, shingle)
             order = np.lexsort((kinds, rank[(kinds % np.uint64(BUCKETS)).astype(np.int64)]))
             keys.append(set_key(kinds))
             sizes.append(len(kinds))
-            odd.append(parity(kinds))
+            odd.append(parity(kinds).tolist())
+            wide.append(long_parity(kinds))
             firsts.append(kinds[order[: prefix_length(len(kinds), least)]].view(np.int64))
         bits = [pa.array([o[k] for o in odd], pa.int64()) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(sizes, pa.int32()), *bits, pa.array(firsts, pa.list_(pa.int64()))], names=["sid", "place", "size", "p0", "p1", "prefix"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(sizes, pa.int32()), *bits, *(pa.array(x, pa.list_(pa.int64())) for x in (wide, firsts))], names=["sid", "place", "size", "p0", "p1", "long", "prefix"])
 
-    found = map_batches(_located(docs, id_col, text_col).select("place", "t"), run, "sid long, place struct<one:long,two:long>, size int, p0 long, p1 long, prefix array<long>")
-    same = [F.first(c).alias(c) for c in ("size", "p0", "p1", "prefix")]
+    found = map_batches(_located(docs, id_col, text_col).select("place", "t"), run, "sid long, place struct<one:long,two:long>, size int, p0 long, p1 long, long array<long>, prefix array<long>")
+    same = [F.first(c).alias(c) for c in ("size", "p0", "p1", "long", "prefix")]
     return found.where("size > 0").groupBy("sid").agg(F.min("place").alias("place"), *same)
 
 
@@ -234,11 +240,27 @@ def _may_be_similar(least: float) -> Column:
     return (F.least(x, y) >= F.greatest(x, y) * least - 1e-6) & (F.least(x - F.col("x.at"), y - F.col("y.at")) >= common) & (odd <= apart)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, *, shingle: int, least: float, few: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _close(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs whose long parities allow the similarity: an exact bound that leaves little else than similar pairs. The longer of two
+    parities is folded to the other's length; sizes that allow the similarity make them differ by one step at most."""
+    one, two = (sets.select(F.col("sid").alias(k), F.col("size").alias(f"n{k}"), F.col("long").alias(f"u{k}")) for k in "pq")
+
+    def folded(own: str, other: str) -> Column:
+        half = F.floor(F.size(own) / 2).cast("int")
+        fold = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(own) > F.size(other), fold).otherwise(F.col(own))
+
+    odd = F.aggregate(F.zip_with(folded("up", "uq"), folded("uq", "up"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    apart = (F.col("np") + F.col("nq")) * ((1 - least) / (1 + least)) + 1e-6
+    return pairs.join(one.hint("merge"), "p").join(two.hint("merge"), "q").where(odd <= apart).select("p", "a", "q", "b")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, *, shingle: int, least: float, few: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``a, b``: the components of either side of those pairs ``p, a, q, b`` (set, its component) whose sets have the similarity,
     compared exactly. Texts are looked up by a broadcast of their places if those are at most ``few``, else by a shuffle."""
+    pairs = materialize(_close(pairs, sets, least), "close")
     wanted = pairs.select(F.col("p").alias("sid")).union(pairs.select("q")).distinct()
-    wanted = materialize(places.join(wanted.hint("merge"), "sid").select("place", "sid"), "wanted")
+    wanted = materialize(sets.select("sid", "place").join(wanted.hint("merge"), "sid").select("place", "sid"), "wanted")
     small = wanted.limit(few + 1).count() <= few
     texts = _located(docs, id_col, text_col).join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "place").select("sid", "t")
 
@@ -248,12 +270,13 @@ def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, *, shingle: i
             good = pa.array([set_key(x) == k for x, k in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["sid", "bag"]).filter(good)
 
-    bags = materialize(texts.mapInArrow(shingles, "sid long, bag array<long>").groupBy("sid").agg(F.first("bag").alias("bag")), "bags")
+    bags = texts.mapInArrow(shingles, "sid long, bag array<long>").groupBy("sid").agg(F.first("bag").alias("bag"))
+    # Both sides of a pair read the same exchange of bags.
     one, two = bags.select(F.col("sid").alias("p"), F.col("bag").alias("s")), bags.select(F.col("sid").alias("q"), F.col("bag").alias("t"))
     both = pairs.join(one.hint("merge"), "p").join(two.hint("merge"), "q")
     common = both.select("a", "b", (F.size("s") + F.size("t")).alias("n"), F.size(F.array_intersect("s", "t")).alias("both"))
     found = materialize(common.where(F.col("both") / (F.col("n") - F.col("both")) >= least).select("a", "b").distinct(), "verified")
-    discard(wanted, bags)
+    discard(wanted, pairs)
     return found
 
 
@@ -288,7 +311,7 @@ def similar_groups(docs: DataFrame, held: DataFrame, edges: DataFrame, *, shingl
     groups = materialize(components(edges.union(equal)), "first-groups")
     named = materialize(nodes.join(groups.hint("merge"), "node", "left").select("sid", F.coalesce("component", "node").alias("c")), "set-components")
     sets = materialize(prefixes(docs, frequent_buckets(held.where("bucket is not null")), **more), "sets")
-    places, facts = sets.select("sid", "place"), sets.select("sid", "size", "p0", "p1")
+    facts = sets.select("sid", "size", "p0", "p1")
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(1 / least) + 1e-9).cast("int")
     listed = sets.select("sid", F.posexplode("prefix").alias("at", "s"))
     live = materialize(_shared(sets.select("sid", "prefix").join(named.hint("merge"), "sid").select("c", F.explode("prefix").alias("s"))), "live")
@@ -312,7 +335,7 @@ def similar_groups(docs: DataFrame, held: DataFrame, edges: DataFrame, *, shingl
             met = left.join(split.select("s", "band", F.col("x").alias("y"), "main").hint("merge"), ["s", "band"])
             best = met.where((F.col("x.c") != F.col("y.c")) & (F.col("main") | (F.col("x.sid") < F.col("y.sid"))) & _may_be_similar(least)).select(*pair).distinct()
         pairs = materialize(best, "pairs")
-        found = verified(docs, pairs, places, **more)
+        found = verified(docs, pairs, sets, **more)
         old, named = named, _merged(named, found)
         discard(told, live, leads, pairs, found, old)
     discard(posts, sets)
