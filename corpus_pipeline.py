@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 Quality rules, near-duplicate removal, benchmark decontamination and secret redaction return the columns of ``documents``; the last
-stage returns the texts' tokens. SQL cannot express a tokeniser, so ``ORACLE_SQL`` is None and the tests compare every stage with a
-brute-force version.
+stage returns the texts' tokens. SQL cannot express a tokeniser, so ``ORACLE_SQL`` is None; the tests compare the near-duplicate stage with
+a comparison of all pairs, the others with their operators, which have brute-force versions of their own in the tests.
 """
 
 from __future__ import annotations
