@@ -147,26 +147,30 @@ def kmeans(points: DataFrame, seeds: DataFrame, *, rounds: int = 5, cap: float =
 
 
 def tree_depths(nodes: DataFrame) -> DataFrame:
-    """``node, depth, root``: hops to the root, whose parent is itself or null, of ``nodes(node, parent)``, by doubling the jump."""
+    """``node, depth, root``: hops to the root, whose parent is itself or null, of ``nodes(node, parent)``, by doubling the jump. Raises
+    where parents form a cycle: after 30 doublings every node of a tree less than 2**30 high has arrived."""
     now = nodes.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.coalesce("parent", "node") == F.col("node"), 0).otherwise(1).alias("depth"))
-    while True:
+    for _ in range(30):
         u = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         new = materialize(now.join(u, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("d2") > 0).alias("moved")), "depths")
         if new.where("moved").isEmpty():
             return new.select("node", "depth", F.col("up").alias("root"))
         now = new.drop("moved")
+    raise ValueError("the parents form a cycle")
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """``node, ancestor, hops``: every node with itself and all nodes above it."""
+def ancestors(nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``node, ancestor, hops``: every node with itself and all nodes above it, or those at most ``max_hops`` above. Raises where parents
+    form a cycle."""
+    if max_hops is None:
+        max_hops = tree_depths(nodes.select("node", "parent")).agg(F.max("depth")).first()[0] or 0
     up = nodes.where("parent is not null and parent <> node").select(F.col("node").alias("ancestor"), "parent")
     edge = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"))
     found = edge
-    while True:
+    for _ in range(max_hops):
         edge = materialize(edge.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("hops") + 1).alias("hops")), "ancestors")
-        if edge.isEmpty():
-            return found
         found = found.union(edge)
+    return found
 
 
 def subtree_sizes(nodes: DataFrame) -> DataFrame:

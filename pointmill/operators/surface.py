@@ -102,7 +102,7 @@ def fission(members: DataFrame, tree: DataFrame, *, max_points: int = 500_000) -
 def smooth_radii(tree: DataFrame, radii: DataFrame, *, steps: int = 7) -> DataFrame:
     """``node, radius``: within ``steps`` nodes above a fork radii go linearly from the fork's to their own."""
     forks = tree.where("parent <> node").groupBy(F.col("parent").alias("fork")).agg(F.count("*").alias("n")).where("n > 1").select("fork")
-    near = ancestors(tree).where((F.col("hops") > 0) & (F.col("hops") <= steps)).join(forks, F.col("ancestor") == F.col("fork"), "left_semi")
+    near = ancestors(tree, steps).where((F.col("hops") > 0) & (F.col("hops") <= steps)).join(forks, F.col("ancestor") == F.col("fork"), "left_semi")
     first = near.groupBy("node").agg(F.min(F.struct("hops", "ancestor")).alias("m")).select("node", "m.hops", F.col("m.ancestor").alias("fork"))
     fr = radii.select(F.col("node").alias("fork"), F.col("radius").alias("fr"))
     j = radii.join(first, "node", "left").join(fr, "fork", "left")

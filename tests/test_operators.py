@@ -152,3 +152,12 @@ def test_tube_surface_counts(spark):
     assert rings.count() == 3 * 12
     assert surface.triangles(t, rings).count() == 2 * 12 * 2
     assert {r["node"]: (r["depth"], r["size"], r["height"]) for r in surface.tree_measures(t).collect()} == {0: (0, 4, 2), 1: (1, 3, 1), 2: (2, 1, 0), 3: (2, 1, 0)}
+
+
+def test_parents_in_a_cycle_raise(spark):
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long")
+    for walk in (graph.tree_depths, graph.ancestors):
+        with pytest.raises(ValueError):
+            walk(ring).collect()
+    line = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3)], "node long, parent long")
+    assert graph.ancestors(line, 1).where("node = 4").count() == 2 and graph.ancestors(line).where("node = 4").count() == 4
