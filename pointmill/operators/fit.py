@@ -11,20 +11,51 @@ from ..functions import geom
 from ..functions.scratch import materialize
 
 
-def l1_median(points: DataFrame, *keys: str, iterations: int = 5) -> DataFrame:
-    """``keys, x, y, z``: the point with the least sum of distances to each group, by Weiszfeld steps from the mean.
-
-    Every step is a hash aggregate that combines before the shuffle, so groups may be of any size. Points at the present median
-    have their distance taken as 1e-12.
+def l1_median(points: DataFrame, *keys: str, tol: float = 1e-11, rounds: int = 100) -> DataFrame:
+    """``keys, x, y, z``: the point with the least sum of distances to each group.
+
+    Rounds go on until every group has settled; only unsettled groups take part in the next one. A round is a hash aggregate of sums
+    at the present place and at the member nearest to the last one, so groups may be of any size. A place is the median if the unit
+    vectors to the members elsewhere add up to no more than the number of members at it, ``tol`` for each member allowed. Otherwise the
+    place moves by a Newton step, or by a Weiszfeld step after one that made the sum larger. Where many points are medians (two members, or an
+    even number on a line) the result is the one reached from the mean. A group also
+    settles when its step is below the resolution of its coordinates; one unsettled after ``rounds`` has the place it has reached.
     """
-    now = points.groupBy(*keys).agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
-    for i in range(iterations):
-        w = 1.0 / F.greatest(F.sqrt(geom.squared("x", "y", "z", "mx", "my", "mz")), F.lit(1e-12))
-        pulled = points.select(*keys, "x", "y", "z").join(now, list(keys)).withColumn("w", w)
-        now = pulled.groupBy(*keys).agg(*[(F.sum(F.col("w") * F.col(a)) / F.sum("w")).alias(f"m{a}") for a in "xyz"])
-        if i % 4 == 3 and i + 1 < iterations:
-            now = materialize(now, "median")
-    return now.select(*keys, *[F.col(f"m{a}").alias(a) for a in "xyz"])
+    p = points.select(*keys, "x", "y", "z")
+    at, near = {a: F.col(a) - F.col(f"m{a}") for a in "xyz"}, {a: F.col(a) - F.col(f"q{a}") for a in "xyz"}
+    d, e = F.col("d"), F.col("e")
+    unit = {a: F.when(d > 0, at[a] / d).otherwise(0.0) for a in "xyz"}
+    inverse = F.when(d > 0, 1.0 / d).otherwise(0.0)
+    sums = {"n": F.count("*"), "f": F.sum(d), "w": F.sum(inverse), "here": F.sum((d == 0).cast("long")), "there": F.sum((e == 0).cast("long"))}
+    sums |= {f"g{a}": F.sum(unit[a]) for a in "xyz"} | {f"r{a}": F.sum(F.when(e > 0, near[a] / e).otherwise(0.0)) for a in "xyz"}
+    sums |= {f"h{a}{b}": F.sum(inverse * (F.lit(float(a == b)) - unit[a] * unit[b])) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    sums |= {"close": F.min_by(F.struct("x", "y", "z"), F.struct("d", "x", "y", "z"))}
+    state = ["mx", "my", "mz", "qx", "qy", "qz", "sx", "sy", "sz", "best"]
+    nothing = F.lit(None).cast("double")
+    now = p.groupBy(*keys).agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"]).select(*keys, "mx", "my", "mz", *[nothing.alias(c) for c in state[3:]])
+    now, done = materialize(now, "median"), None
+    length = lambda c: F.sqrt(sum((F.col(f"{c}{a}") * F.col(f"{c}{a}") for a in "xyz"), F.lit(0.0)))
+    for _ in range(rounds):
+        j = p.join(now, list(keys)).withColumn("d", geom.distance(geom.vec("x", "y", "z"), geom.vec("mx", "my", "mz"))).withColumn("e", geom.distance(geom.vec("x", "y", "z"), geom.vec("qx", "qy", "qz")))
+        r = j.groupBy(*keys, *state).agg(*[v.alias(k) for k, v in sums.items()])
+        r = r.withColumn("at_q", F.col("qx").isNotNull() & (length("r") <= F.col("there") + tol * F.col("n")))
+        newton = _solve3([[F.col("h" + min(a, b) + max(a, b)) for b in "xyz"] for a in "xyz"], [F.col(f"g{a}") for a in "xyz"])
+        short = F.greatest(F.lit(0.0), 1.0 - F.col("here") / F.greatest(length("g"), F.lit(1e-300)))
+        worse = F.coalesce(F.col("f") > F.col("best"), F.lit(False))
+        slow = {a: F.when(F.col("w") > 0, F.col(f"m{a}") + short * F.col(f"g{a}") / F.col("w")).otherwise(F.col(f"m{a}")) for a in "xyz"}
+        step = {a: F.when(F.col("here") > 0, slow[a]).otherwise(F.coalesce(F.col(f"m{a}") + s, slow[a])) for a, s in zip("xyz", newton, strict=True)}
+        still = sum((F.abs(step[a] - F.col(f"m{a}")) for a in "xyz"), F.lit(0.0)) <= 1e-15 * sum((F.abs(f"m{a}") for a in "xyz"), F.lit(0.0))
+        r = r.withColumn("at_m", (length("g") <= F.col("here") + tol * F.col("n")) | (still & ~worse))
+        moved = {f"m{a}": F.when(worse, F.col(f"s{a}")).otherwise(step[a]) for a in "xyz"} | {f"q{a}": F.col(f"close.{a}") for a in "xyz"}
+        moved |= {f"s{a}": F.when(worse, F.col(f"s{a}")).otherwise(slow[a]) for a in "xyz"} | {"best": F.when(worse, nothing).otherwise(F.col("f"))}
+        end = [F.when(F.col("at_m"), F.col(f"m{a}")).otherwise(F.col(f"q{a}")).alias(a) for a in "xyz"]
+        r = materialize(r.select(*keys, (F.col("at_m") | F.col("at_q")).alias("settled"), *end, *[v.alias(k) for k, v in moved.items()]), "median")
+        part = r.where("settled").select(*keys, "x", "y", "z")
+        done = part if done is None else done.union(part)
+        now = r.where("not settled").select(*keys, *state)
+        if now.isEmpty():
+            return done
+    return done.union(now.select(*keys, *[F.col(f"m{a}").alias(a) for a in "xyz"]))
 
 
 def descend(p: np.ndarray, cost, start: np.ndarray, tol: float = 1e-10, rounds: int = 500) -> np.ndarray:

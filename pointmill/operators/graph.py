@@ -174,8 +174,23 @@ def ancestors(nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
 
 
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
-    """``node, size, height``: nodes below and including each node, and the greatest number of hops down from it."""
-    return ancestors(nodes).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("size"), F.max("hops").alias("height"))
+    """``node, size, height, leaves``: nodes below and including each node, the greatest number of hops down from it and the leaves among
+    them. One sum for each level, from the deepest up; no node is paired with all that lie above it."""
+    flat = nodes.select("node", F.coalesce("parent", "node").alias("parent"))
+    tree = materialize(flat.join(tree_depths(flat).select("node", "depth"), "node"), "levels")
+    below = out = None
+    for level in range(tree.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        here = tree.where(F.col("depth") == level).select("node", "parent")
+        if below is not None:
+            up = below.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("s"), F.max("height").alias("h"), F.sum("leaves").alias("l"))
+            here = here.join(up, "node", "left")
+        else:
+            here = here.select("*", *[F.lit(None).cast("long").alias(c) for c in "shl"])
+        size, height = F.coalesce("s", F.lit(0)) + 1, F.coalesce(F.col("h") + 1, F.lit(0)).cast("int")
+        below = materialize(here.select("node", "parent", size.alias("size"), height.alias("height"), F.coalesce("l", F.lit(1)).cast("long").alias("leaves")), "level")
+        part = below.drop("parent")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def branch_ends(nodes: DataFrame) -> DataFrame:

@@ -14,18 +14,18 @@ from .spatial import radius_join, spread
 from .stats import bounding_box, density, voxelize
 
 
-def grid_downsample(points: DataFrame, *, cell_size: float | None = None, ratio: float = 3.0, iterations: int = 5) -> DataFrame:
+def grid_downsample(points: DataFrame, *, cell_size: float | None = None, ratio: float = 3.0) -> DataFrame:
     """``id, x, y, z, n``: the L1 median of every voxel; the id is the voxel's cell."""
     v = voxelize(points, cell_size=cell_size, ratio=ratio)
     n = v.groupBy("cell").agg(F.count("*").alias("n"))
-    return l1_median(v, "cell", iterations=iterations).join(n, "cell").withColumnRenamed("cell", "id")
+    return l1_median(v, "cell").join(n, "cell").withColumnRenamed("cell", "id")
 
 
-def grid_downsample_auto(points: DataFrame, *, target: int = 8000, rounds: int = 12, iterations: int = 5) -> DataFrame:
+def grid_downsample_auto(points: DataFrame, *, target: int = 8000, rounds: int = 12) -> DataFrame:
     """A grid down-sample with about ``target`` voxels: the cell size is found by bisection on the number of occupied cells."""
     n, diagonal, longest = spread(points)
     if not n or not longest:
-        return grid_downsample(points, cell_size=1.0, iterations=iterations)
+        return grid_downsample(points, cell_size=1.0)
     low, high = longest / 2**19, longest
     for _ in range(rounds):
         size = math.sqrt(low * high)
@@ -33,7 +33,7 @@ def grid_downsample_auto(points: DataFrame, *, target: int = 8000, rounds: int =
         if abs(cells - target) <= target * 0.02:
             break
         low, high = (size, high) if cells > target else (low, size)
-    return grid_downsample(points, cell_size=size, iterations=iterations)
+    return grid_downsample(points, cell_size=size)
 
 
 def octree_cells(points: DataFrame, *, depth: int = 6) -> DataFrame:
@@ -49,11 +49,11 @@ def octree_cells(points: DataFrame, *, depth: int = 6) -> DataFrame:
     return out.withColumn("cell", geom.octree_code(F.col("ix"), F.col("iy"), F.col("iz"), depth))
 
 
-def octree_downsample(points: DataFrame, *, depth: int = 6, iterations: int = 5) -> DataFrame:
+def octree_downsample(points: DataFrame, *, depth: int = 6) -> DataFrame:
     """``id, x, y, z, n, ix, iy, iz``: the L1 median of every occupied leaf; the id is the leaf's path code."""
     v = octree_cells(points, depth=depth)
     n = v.groupBy("cell").agg(F.count("*").alias("n"), F.first("ix").alias("ix"), F.first("iy").alias("iy"), F.first("iz").alias("iz"))
-    return l1_median(v, "cell", iterations=iterations).join(n, "cell").withColumnRenamed("cell", "id")
+    return l1_median(v, "cell").join(n, "cell").withColumnRenamed("cell", "id")
 
 
 def random_sample(points: DataFrame, size: int, *, seed: int = 1) -> DataFrame:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
@@ -29,10 +27,9 @@ def spline_densify(tree: DataFrame, *, per_edge: int = 8, tension: float = 0.1)
 
 def branch_radii(tree: DataFrame, *, root_radius: float = 0.18, power: float = 3.0) -> DataFrame:
     """``node, radius``: radii that shrink with the share of leaves above a node, r^power being shared out between branches."""
-    leaves = tree.join(tree.where("parent <> node").select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("node")
-    count = ancestors(tree).join(leaves, "node", "left_semi").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("leaves"))
-    total = leaves.count()
-    return tree.join(count, "node", "left").select("node", (F.lit(root_radius) * F.pow(F.coalesce("leaves", F.lit(1)) / float(max(1, total)), F.lit(1 / power))).alias("radius"))
+    count = materialize(subtree_sizes(tree).select("node", "leaves"), "leaves")
+    total = tree.join(tree.where("parent <> node").select(F.col("parent").alias("node")).distinct(), "node", "left_anti").count()
+    return count.select("node", (F.lit(root_radius) * F.pow(F.col("leaves") / float(max(1, total)), F.lit(1 / power))).alias("radius"))
 
 
 def circles(tree: DataFrame, radii: DataFrame, *, sides: int = 12) -> DataFrame:
@@ -60,43 +57,39 @@ def triangles(tree: DataFrame, rings: DataFrame, *, sides: int = 12) -> DataFram
 
 def tree_measures(tree: DataFrame) -> DataFrame:
     """``node, depth, root, size, height`` of every node."""
-    return tree_depths(tree).join(subtree_sizes(tree), "node")
+    return tree_depths(tree).join(subtree_sizes(tree).drop("leaves"), "node")
 
 
-def _split(p: np.ndarray, seeds: np.ndarray, rounds: int = 5) -> np.ndarray:
-    """k-means labels after a fixed number of rounds from given seeds."""
-    c = seeds.copy()
-    for _ in range(rounds):
-        label = np.argmin(np.linalg.norm(p[:, None] - c[None], axis=2), axis=1)
-        c = np.array([p[label == i].mean(axis=0) if (label == i).any() else c[i] for i in range(len(c))])
-    return label
-
-
-def fission(members: DataFrame, tree: DataFrame, *, max_points: int = 500_000) -> DataFrame:
+def fission(members: DataFrame, tree: DataFrame, *, rounds: int = 5) -> DataFrame:
     """``node, part, id``: the members ``node, id, x, y, z`` of each forking node, split by k-means into one part per child where
-    the fork lies below the node: where the node's centre is at least the root of the sum of squared child radii away from the mean
-    of the parts' centres. Seeds are the children's centres drawn back by half an edge.
+    the fork lies below the node: where the mean distance of the parts' centres from the node's is at least the root of the sum of
+    squared part radii. Other forks have part 0 alone. Seeds are the children's centres drawn back by half an edge; a part without members
+    keeps its centre. Parts are numbered by child, ties go to the smaller one.
 
-    Forks are independent of each other once their children are given, so each is a group of its own, with at most ``max_points`` members.
+    All forks are split together: a round places members with the centres of their node, which are as many as its children, and
+    averages them in a hash aggregate, so a fork may have any number of members.
     """
     kids = tree.where("parent <> node").select(F.col("parent").alias("node"), F.col("node").alias("kid"), *[F.col(a).alias(f"k{a}") for a in "xyz"])
-    forks = kids.groupBy("node").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("kid", "kx", "ky", "kz"))).alias("kids")).where("n > 1")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_points:
-            raise ValueError(f"a fork of {len(pdf)} points")
-        pdf = pdf.sort_values("id")
-        p = pdf[["x", "y", "z"]].to_numpy()
-        seeds = np.array([[k["kx"], k["ky"], k["kz"]] for k in pdf["kids"].iloc[0]])
-        centre = p.mean(axis=0)
-        label = _split(p, (seeds + centre) / 2)
-        parts = [p[label == i] for i in range(len(seeds)) if (label == i).any()]
-        means = np.array([q.mean(axis=0) for q in parts])
-        radii = np.array([np.linalg.norm(q - m, axis=1).mean() for q, m in zip(parts, means, strict=True)])
-        apart = len(parts) > 1 and np.linalg.norm(means - centre, axis=1).mean() >= math.sqrt((radii**2).sum())
-        return pd.DataFrame({"node": pdf["node"], "part": (label if apart else np.zeros(len(p))).astype("int32"), "id": pdf["id"]})
-
-    return members.join(forks.select("node", "kids"), "node").groupBy("node").applyInPandas(run, "node long, part int, id long")
+    forks = kids.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    held = materialize(members.select("node", "id", "x", "y", "z").join(forks, "node", "left_semi"), "members")
+    middle = materialize(held.groupBy("node").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"]), "middle")
+    number = F.row_number().over(Window.partitionBy("node").orderBy("kid")) - 1
+    centres = kids.join(middle, "node").select("node", number.alias("part"), *[((F.col(f"k{a}") + F.col(f"c{a}")) / 2).alias(a) for a in "xyz"])
+    centres = materialize(centres, "centres")
+    for i in range(rounds):
+        listed = centres.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("part", "x", "y", "z"))).alias("at"))
+        options = F.transform("at", lambda c: F.struct(geom.distance(geom.vec("x", "y", "z"), geom.vec(c["x"], c["y"], c["z"])).alias("d"), c["part"].alias("part")))
+        placed = held.join(listed, "node").withColumn("part", F.array_min(options)["part"]).drop("at")
+        if i + 1 < rounds:
+            means = placed.groupBy("node", "part").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
+            centres = materialize(centres.join(means, ["node", "part"], "left").select("node", "part", *[F.coalesce(f"m{a}", a).alias(a) for a in "xyz"]), "centres")
+    placed = materialize(placed, "placed")
+    means = materialize(placed.groupBy("node", "part").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"]), "means")
+    off = geom.distance(geom.vec("x", "y", "z"), geom.vec("mx", "my", "mz"))
+    radii = placed.join(means, ["node", "part"]).groupBy("node", "part").agg(F.avg(off).alias("radius"))
+    out = geom.distance(geom.vec("mx", "my", "mz"), geom.vec("cx", "cy", "cz"))
+    verdict = means.join(radii, ["node", "part"]).join(middle, "node").groupBy("node").agg(((F.count("*") > 1) & (F.avg(out) >= F.sqrt(F.sum(F.col("radius") * F.col("radius"))))).alias("apart"))
+    return placed.join(verdict, "node").select("node", F.when(F.col("apart"), F.col("part")).otherwise(0).cast("int").alias("part"), "id")
 
 
 def smooth_radii(tree: DataFrame, radii: DataFrame, *, steps: int = 7) -> DataFrame:
@@ -112,25 +105,31 @@ def smooth_radii(tree: DataFrame, radii: DataFrame, *, steps: int = 7) -> DataFr
 
 def member_radii(members: DataFrame, tree: DataFrame, *, bins: int = 13) -> DataFrame:
     """``node, radius`` from the members ``node, id, x, y, z`` of a tree's nodes: a leaf has the mean distance of its members from its
-    centre, a node with one child the mode of its members' distances from the axis to the child, a fork the root of the sum of its
-    children's squares. Forks are filled in from the tips down."""
+    centre; the nodes of a chain, each with one child, have the mode of all their members' distances from the axis to the next
+    node, taken together and each distance once; a fork the root of the sum of its children's squares, filled in from the tips down.
+    Leaves and chains without members have radius 0."""
     kids = tree.where("parent <> node").select(F.col("parent").alias("node"), F.col("node").alias("kid"), *[F.col(a).alias(f"k{a}") for a in "xyz"])
     count = kids.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct("kx", "ky", "kz"), "kid").alias("k"))
-    at = tree.select("node", *[F.col(a).alias(f"c{a}") for a in "xyz"]).join(count, "node", "left")
-    m = members.join(at, "node")
+    at = materialize(tree.select("node", "parent", *[F.col(a).alias(f"c{a}") for a in "xyz"]).join(count, "node", "left"), "kids")
+    single = at.where("n = 1").select("node", F.coalesce("parent", "node").alias("parent"))
+    above = single.select(F.col("node").alias("parent"), F.col("node").alias("up"))
+    heads = tree_depths(single.join(above, "parent", "left").select("node", F.coalesce("up", "node").alias("parent"))).select("node", F.col("root").alias("head"))
+    heads = materialize(heads, "heads")
+    m = members.select("node", "id", "x", "y", "z").join(at.drop("parent"), "node")
     p, c = geom.vec("x", "y", "z"), geom.vec("cx", "cy", "cz")
     axis = geom.vec(F.col("k.kx"), F.col("k.ky"), F.col("k.kz"))
     m = m.withColumn("d", F.when(F.col("n").isNull(), geom.distance(p, c)).otherwise(F.coalesce(geom.distance_to_line(p, c, axis), geom.distance(p, c))))
-    leaf = m.where("n is null").groupBy("node").agg(F.avg("d").alias("radius"))
-    chain = m.where("n = 1").select("node", "d").distinct()
-    span = chain.groupBy("node").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    leaf = at.where("n is null").select("node").join(m.where("n is null").groupBy("node").agg(F.avg("d").alias("radius")), "node", "left")
+    chain = materialize(m.where("n = 1").select("node", "d").join(heads, "node").select("head", "d").distinct(), "chains")
+    span = chain.groupBy("head").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    binned = chain.join(span, "node").withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("d") - F.col("lo")) / width).cast("int"), F.lit(bins - 1))).otherwise(F.lit(0)))
-    full = binned.groupBy("node", "bin").agg(F.count("*").alias("m"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    mode = full.groupBy("node").agg(F.max(F.struct(F.col("m"), (-F.col("bin")).alias("b"), "lo", "hi")).alias("t"))
-    mode = mode.select("node", F.when(F.col("t.hi") > F.col("t.lo"), F.col("t.lo") + (F.lit(0.5) - F.col("t.b")) * (F.col("t.hi") - F.col("t.lo")) / bins).otherwise(F.lit(0.0)).alias("radius"))
-    known = materialize(leaf.union(mode), "radii")
-    forks = count.where("n > 1").select("node", "n")
+    binned = chain.join(span, "head").withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("d") - F.col("lo")) / width).cast("int"), F.lit(bins - 1))).otherwise(F.lit(0)))
+    full = binned.groupBy("head", "bin").agg(F.count("*").alias("m"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    mode = full.groupBy("head").agg(F.max(F.struct(F.col("m"), (-F.col("bin")).alias("b"), "lo", "hi")).alias("t"))
+    mode = mode.select("head", F.when(F.col("t.hi") > F.col("t.lo"), F.col("t.lo") + (F.lit(0.5) - F.col("t.b")) * (F.col("t.hi") - F.col("t.lo")) / bins).otherwise(F.lit(0.0)).alias("radius"))
+    known = leaf.union(heads.join(mode, "head", "left").select("node", "radius"))
+    known = materialize(known.select("node", F.coalesce("radius", F.lit(0.0)).alias("radius")), "radii")
+    forks = at.where("n > 1").select("node", "n")
     while True:
         ready = kids.join(forks, "node").join(known.select(F.col("node").alias("kid"), "radius"), "kid").groupBy("node", "n").agg(F.count("*").alias("m"), F.sqrt(F.sum(F.col("radius") * F.col("radius"))).alias("radius")).where("m = n")
         new = materialize(ready.select("node", "radius").join(known.select("node"), "node", "left_anti"), "radii")

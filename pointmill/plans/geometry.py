@@ -28,6 +28,11 @@ def voxel_centroid(spark, sf_dir):
     return _round(stats.centroids(v, "cell"), "x", "y", "z")
 
 
+def voxel_estimated(spark, sf_dir):
+    """Voxels of the size that the nearest neighbours suggest."""
+    return _round(stats.centroids(stats.voxelize(pts(spark, sf_dir)), "cell"), "x", "y", "z")
+
+
 def lineitem_voxels(spark, sf_dir):
     v = stats.voxelize(cloud_l(spark, sf_dir), cell_size=5.0)
     return _round(stats.centroids(v, "cell"), "x", "y", "z", digits=4)
@@ -188,7 +193,7 @@ def points_per_voxel(spark, sf_dir):
 
 
 def l1_median(spark, sf_dir):
-    return _round(fit.l1_median(pts(spark, sf_dir), "label", iterations=3), "x", "y", "z")
+    return _round(fit.l1_median(pts(spark, sf_dir), "label"), "x", "y", "z", digits=5)
 
 
 def ols_line(spark, sf_dir):
@@ -222,13 +227,25 @@ def moving_least_squares(spark, sf_dir):
     return fit.moving_least_squares(p, knn(p, p, 13))
 
 
-def weiszfeld_sql(cte: str, name: str, key: str, steps: int) -> str:
-    """CTEs m0..m<steps> of Weiszfeld steps over ``name`` grouped by ``key``."""
-    out = f"{cte}, m0 AS (SELECT {key}, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {name} GROUP BY {key})"
-    for i in range(steps):
-        w = f"(1.0 / greatest(sqrt((p.x-m.mx)*(p.x-m.mx)+(p.y-m.my)*(p.y-m.my)+(p.z-m.mz)*(p.z-m.mz)), CAST('1e-12' AS DOUBLE)))"
-        out += f", m{i + 1} AS (SELECT p.{key}, " + ", ".join(f"sum({w} * p.{a}) / sum({w}) AS m{a}" for a in "xyz") + f" FROM {name} p JOIN m{i} m USING ({key}) GROUP BY p.{key})"
-    return out
+def median_sql(cte: str, name: str, key: str, steps: int = 600) -> str:
+    """A CTE ``med`` with the L1 medians of the groups of ``name``: the mean where the unit vectors from it cancel out, the member that
+    balances the others, or else what over-relaxed Weiszfeld steps tend to."""
+    off = "(p.x-m.mx)*(p.x-m.mx)+(p.y-m.my)*(p.y-m.my)+(p.z-m.mz)*(p.z-m.mz)"
+    pull = ", ".join(f"sum((p.{a}-m.m{a})/nullif(sqrt({off}), 0)) AS g{a}" for a in "xyz")
+    unit = ", ".join(f"coalesce(sum((b.{a}-a.{a})/nullif(sqrt({D2}), 0)), 0) AS g{a}" for a in "xyz")
+    small = "sqrt(gx*gx+gy*gy+gz*gz) <= {c} + CAST('1e-11' AS DOUBLE)*n"
+    step = ", ".join(f"any_value(m.m{a}) + 1.5*sum((p.{a}-m.m{a})/greatest(sqrt({off}), CAST('1e-13' AS DOUBLE)))/sum(1/greatest(sqrt({off}), CAST('1e-13' AS DOUBLE)))" for a in "xyz")
+    return (
+        f"WITH RECURSIVE {cte}, m0 AS (SELECT {key}, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {name} GROUP BY {key})"
+        f", c0 AS (SELECT {key}, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, count(*) FILTER ({off} = 0) AS here, {pull} FROM {name} p JOIN m0 m USING ({key}) GROUP BY {key})"
+        f", even AS (SELECT {key}, mx, my, mz FROM c0 WHERE {small.format(c='here').replace('gx*gx+gy*gy+gz*gz', 'coalesce(gx*gx+gy*gy+gz*gz, 0)')})"
+        f", b0 AS (SELECT a.{key}, a.x, a.y, a.z, count(*) AS n, count(*) FILTER ({D2} = 0) AS here, {unit} FROM {name} a JOIN {name} b USING ({key}) GROUP BY a.{key}, a.id, a.x, a.y, a.z)"
+        f", vertex AS (SELECT {key}, min(x) AS mx, min(y) AS my, min(z) AS mz FROM b0 WHERE {small.format(c='here')} AND {key} NOT IN (SELECT {key} FROM even) GROUP BY {key})"
+        f", fixed AS (SELECT * FROM even UNION ALL SELECT * FROM vertex)"
+        f", free AS (SELECT * FROM {name} WHERE {key} NOT IN (SELECT {key} FROM fixed))"
+        f", it(step, {key}, mx, my, mz) AS (SELECT 0, {key}, mx, my, mz FROM m0 WHERE {key} NOT IN (SELECT {key} FROM fixed) UNION ALL SELECT any_value(m.step) + 1, p.{key}, {step} FROM free p JOIN it m ON m.{key} = p.{key} WHERE m.step < {steps} GROUP BY p.{key})"
+        f", med AS (SELECT * FROM fixed UNION ALL SELECT {key}, mx, my, mz FROM it WHERE step = {steps})"
+    )
 
 
 def _solve_sql(cte: str, terms: list[str], target: str, out: list[str], select: str) -> str:
@@ -245,7 +262,7 @@ def _solve_sql(cte: str, terms: list[str], target: str, out: list[str], select:
 QUERIES = {
     f.__name__: f
     for f in (
-        voxel_centroid, lineitem_voxels, bounding_box, plane_distance, point_line_distance, vector_algebra, osculating_frame, normalize,
+        voxel_centroid, voxel_estimated, lineitem_voxels, bounding_box, plane_distance, point_line_distance, vector_algebra, osculating_frame, normalize,
         cardinal_spline, octree_code, grid_id_round_trip, cell_neighbours, gaussian_kernel, linearity, linearity_pca, sigma_smooth, density,
         histogram_mode, iteration_stats, polyline_length, bounding_sphere, mean_of_smallest, points_per_voxel, l1_median, ols_line,
         ols_plane, ols_quadratic, circle_fit, lvp_median, local_weight_median, moving_least_squares,
@@ -263,6 +280,7 @@ _CROSS = {"x": "y*0.9 - z*(-0.2)", "y": "z*0.3 - x*0.9", "z": "x*(-0.2) - y*0.3"
 
 SQL = {
     "voxel_centroid": _voxel_sql(PTS, "pts", 0.1) + _CENTROID,
+    "voxel_estimated": f"WITH {PTS}, nn AS (SELECT a.id, sqrt({D2}) AS dist FROM pts a JOIN pts b ON a.id <> b.id WHERE a.id % 10 = 0 OR (SELECT count(*) FROM pts) <= 1000 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) <= 3), l AS (SELECT avg(dist) AS len FROM nn), box AS (SELECT " + ", ".join(f"min({a}) AS min_{a}, max({a}) AS max_{a}" for a in "xyz") + " FROM pts), v AS (SELECT pts.*, " + ", ".join(f"CAST(least(floor(({a} - (min_{a} - len)) / (2.5*len)), greatest(1, ceil((max_{a} - min_{a} + 2*len) / (2.5*len))) - 1) AS BIGINT) AS i{a}" for a in "xyz") + " FROM pts, box, l), w AS (SELECT *, iz * 1099511627776 + iy * 1048576 + ix AS cell FROM v)" + _CENTROID,
     "lineitem_voxels": _voxel_sql(CLOUD_L, "cl", 5.0) + _CENTROID.replace(", 6)", ", 4)"),
     "bounding_box": f"WITH {PTS}, b AS (SELECT " + ", ".join(f"min({a}) AS lo{a}, max({a}) AS hi{a}" for a in "xyz") + ", count(*) AS n FROM pts) SELECT " + ", ".join(f"round(lo{a}, 6) AS min_{a}, round(hi{a}, 6) AS max_{a}, round((lo{a}+hi{a})/2, 6) AS center_{a}, round((hi{a}-lo{a})/2, 6) AS half_{a}" for a in "xyz") + ", n, round(sqrt((hix-lox)*(hix-lox)+(hiy-loy)*(hiy-loy)+(hiz-loz)*(hiz-loz)), 6) AS diagonal FROM b",
     "plane_distance": f"WITH {PTS} SELECT id, round(abs(x + 2*y - 0.5*z - (0.1 - 0.5*0.2)) / sqrt(CAST(1+4+0.25 AS DOUBLE)), 6) AS dist, CAST(0 AS DOUBLE) AS degenerate FROM pts",
@@ -285,7 +303,7 @@ SQL = {
     "bounding_sphere": f"WITH {PTS}, e AS (SELECT label, " + ", ".join(f"arg_min(struct_pack(x := x, y := y, z := z), struct_pack(v := {a}, i := id)) AS lo{a}, arg_max(struct_pack(x := x, y := y, z := z), struct_pack(v := {a}, i := id)) AS hi{a}" for a in "xyz") + " FROM pts GROUP BY label), d AS (" + " UNION ALL ".join(f"SELECT label, {i} AS i, lo{a} AS a, hi{a} AS b, sqrt((lo{a}.x-hi{a}.x)*(lo{a}.x-hi{a}.x)+(lo{a}.y-hi{a}.y)*(lo{a}.y-hi{a}.y)+(lo{a}.z-hi{a}.z)*(lo{a}.z-hi{a}.z)) AS d FROM e" for i, a in enumerate("zyx")) + "), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, i DESC) AS k FROM d) SELECT label, " + ", ".join(f"round((a.{c}+b.{c})/2, 6) AS c{c}" for c in "xyz") + ", round(d/2, 6) AS radius FROM r WHERE k = 1",
     "mean_of_smallest": f"WITH {CLOUD_E}, q AS (SELECT user_id, z, row_number() OVER (PARTITION BY user_id ORDER BY z) AS n FROM ce) SELECT user_id, round(avg(z), 6) AS mean FROM q WHERE n <= 25 GROUP BY user_id",
     "points_per_voxel": _voxel_sql(PTS, "pts", 0.1) + " SELECT round(count(*) / CAST(count(DISTINCT cell) AS DOUBLE), 6) AS mean FROM w",
-    "l1_median": "WITH " + weiszfeld_sql(PTS, "pts", "label", 3) + " SELECT label, round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z FROM m3",
+    "l1_median": median_sql(PTS, "pts", "label") + " SELECT label, round(mx, 5) AS x, round(my, 5) AS y, round(mz, 5) AS z FROM med",
     "ols_line": f"WITH {PTS} SELECT label, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM pts GROUP BY label",
     "ols_plane": _solve_sql(PTS, ["x", "y", "1.0"], "z", ["a", "b", "c"], "SELECT label, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c FROM r"),
     "ols_quadratic": _solve_sql(PTS, ["x*x", "x", "1.0"], "y", ["a", "b", "c"], "SELECT label, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM r"),

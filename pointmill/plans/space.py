@@ -8,7 +8,7 @@ from ..functions import geom
 from ..functions.scratch import scratch_path
 from ..operators import contract, graph, sample, skeleton, spatial, stats, surface
 from ..sources import clouds
-from .geometry import D2, SIGMA, _round, _voxel_sql, weiszfeld_sql
+from .geometry import D2, SIGMA, _round, _voxel_sql, median_sql
 from .views import CLOUD_E, PTS, TREE, cloud_e, pts, tree
 
 
@@ -96,7 +96,7 @@ def neighbours_with_self(spark, sf_dir):
 
 
 def grid_downsample(spark, sf_dir):
-    return _round(sample.grid_downsample(pts(spark, sf_dir), cell_size=0.2, iterations=3), "x", "y", "z")
+    return _round(sample.grid_downsample(pts(spark, sf_dir), cell_size=0.2), "x", "y", "z", digits=5)
 
 
 def grid_downsample_auto(spark, sf_dir):
@@ -104,7 +104,7 @@ def grid_downsample_auto(spark, sf_dir):
 
 
 def octree_downsample(spark, sf_dir):
-    return _round(sample.octree_downsample(pts(spark, sf_dir), depth=4, iterations=3).select("x", "y", "z", "n"), "x", "y", "z")
+    return _round(sample.octree_downsample(pts(spark, sf_dir), depth=4).select("x", "y", "z", "n"), "x", "y", "z", digits=5)
 
 
 def random_sample(spark, sf_dir):
@@ -237,7 +237,7 @@ def incident_mean(spark, sf_dir):
 def cluster_tree(spark, sf_dir):
     d = _sssp(spark, sf_dir)
     l = graph.level_sets(d, 10).select(F.col("node").alias("cell"), "level", F.col("level").cast("long").alias("component"))
-    return graph.cluster_tree(l, d)
+    return graph.cluster_tree(l, d).select("component", "level", "parent")
 
 
 def kmeans5(spark, sf_dir):
@@ -350,7 +350,7 @@ def triangles(spark, sf_dir):
 
 def smooth_radii(spark, sf_dir):
     t = tree(spark, sf_dir)
-    return surface.smooth_radii(t, surface.branch_radii(t))
+    return _round(surface.smooth_radii(t, surface.branch_radii(t)), "radius")
 
 
 def _subtree_members(spark, sf_dir):
@@ -366,7 +366,11 @@ def fission(spark, sf_dir):
 
 
 def member_radii(spark, sf_dir):
-    t, m = _subtree_members(spark, sf_dir)
+    """Chains of eight nodes, at each end of which up to two others begin; the members of a node are the points near it."""
+    p = _p(spark, sf_dir)
+    n = F.col("id")
+    t = p.select(n.alias("node"), F.when(n == 0, n).when(n % 8 != 0, n - 1).otherwise(F.floor((n / 8 - 1) / 2).cast("long") * 8 + 7).alias("parent"), "x", "y", "z")
+    m = spatial.radius_join(p, p, 0.15).select(F.col("src").alias("node"), F.col("dst").alias("id")).join(p, "id")
     return _round(surface.member_radii(m, t), "radius")
 
 
@@ -467,6 +471,31 @@ def _kmeans_sql(rounds: int) -> str:
     return out + f" SELECT cluster, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM k{rounds}"
 
 
+def _fission_sql(rounds: int) -> str:
+    gap = "sqrt((m.x-c.x)*(m.x-c.x)+(m.y-c.y)*(m.y-c.y)+(m.z-c.z)*(m.z-c.z))"
+    out = _TREE_UP + ", fk AS (SELECT parent AS node FROM tree WHERE parent <> node GROUP BY parent HAVING count(*) > 1), mb AS (SELECT ancestor AS node, id, x, y, z FROM anc JOIN pts ON id = anc.node WHERE ancestor IN (SELECT node FROM fk)), mid AS (SELECT node, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM mb GROUP BY node)"
+    out += ", k0 AS (SELECT mid.node, row_number() OVER (PARTITION BY t.parent ORDER BY t.node) - 1 AS part, (t.x+mid.x)/2 AS x, (t.y+mid.y)/2 AS y, (t.z+mid.z)/2 AS z FROM tree t JOIN mid ON mid.node = t.parent WHERE t.parent <> t.node)"
+    for i in range(rounds):
+        out += f", a{i} AS (SELECT m.node, m.id, m.x, m.y, m.z, arg_min(c.part, struct_pack(d := {gap}, p := c.part)) AS part FROM mb m JOIN k{i} c USING (node) GROUP BY ALL)"
+        out += f", k{i + 1} AS (SELECT k.node, k.part, coalesce(avg(a.x), any_value(k.x)) AS x, coalesce(avg(a.y), any_value(k.y)) AS y, coalesce(avg(a.z), any_value(k.z)) AS z, count(a.id) AS n FROM k{i} k LEFT JOIN a{i} a ON a.node = k.node AND a.part = k.part GROUP BY k.node, k.part)"
+    last = f"a{rounds - 1}"
+    out += f", rad AS (SELECT node, part, avg({gap}) AS r FROM {last} m JOIN k{rounds} c USING (node, part) GROUP BY node, part), v AS (SELECT node, count(*) > 1 AND avg({gap.replace('m.', 'mid.')}) >= sqrt(sum(r*r)) AS apart FROM rad JOIN k{rounds} c USING (node, part) JOIN mid USING (node) GROUP BY node)"
+    return out + f" SELECT node, CAST(CASE WHEN apart THEN part ELSE 0 END AS INTEGER) AS part, id FROM {last} JOIN v USING (node)"
+
+
+_BRANCH = "leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent <> node)), nl AS (SELECT ancestor AS node, count(*) AS leaves FROM anc JOIN leaf USING (node) GROUP BY ancestor), branch AS (SELECT node, 0.18*pow(leaves/CAST((SELECT count(*) FROM leaf) AS DOUBLE), CAST(1 AS DOUBLE)/3) AS radius FROM nl)"
+_TO_AXIS = "sqrt(pow(uy*(p.z-c.z)-uz*(p.y-c.y), 2)+pow(uz*(p.x-c.x)-ux*(p.z-c.z), 2)+pow(ux*(p.y-c.y)-uy*(p.x-c.x), 2))/sqrt(ux*ux+uy*uy+uz*uz)"
+_MEMBER = (
+    f"WITH RECURSIVE {PTS}, t AS (SELECT id AS node, CASE WHEN id = 0 THEN id WHEN id % 8 <> 0 THEN id - 1 ELSE CAST(floor((id // 8 - 1) / 2) AS BIGINT)*8 + 7 END AS parent, x, y, z FROM pts)"
+    ", kc AS (SELECT parent AS node, count(*) AS n, min(node) AS kid FROM t WHERE parent <> node GROUP BY parent), st AS (SELECT t.*, coalesce(n, 0) AS n, k.x-t.x AS ux, k.y-t.y AS uy, k.z-t.z AS uz FROM t LEFT JOIN kc USING (node) LEFT JOIN t k ON k.node = kc.kid)"
+    ", hd(node, head) AS (SELECT node, node FROM st WHERE n = 1 AND (parent = node OR parent IN (SELECT node FROM st WHERE n <> 1)) UNION ALL SELECT s.node, hd.head FROM hd JOIN st s ON s.parent = hd.node AND s.n = 1 AND s.node <> s.parent)"
+    f", md AS (SELECT c.node, c.n, CASE WHEN c.n = 1 AND ux*ux+uy*uy+uz*uz > 0 THEN {_TO_AXIS} ELSE sqrt((p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y)+(p.z-c.z)*(p.z-c.z)) END AS d FROM st c JOIN pts p ON (p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y)+(p.z-c.z)*(p.z-c.z) < 0.15*0.15 WHERE c.n < 2)"
+    ", ch AS (SELECT DISTINCT head, d FROM md JOIN hd USING (node) WHERE n = 1), sp AS (SELECT head, min(d) AS lo, max(d) AS hi FROM ch GROUP BY head), bn AS (SELECT head, any_value(lo) AS lo, any_value(hi) AS hi, CASE WHEN hi > lo THEN least(floor((d-lo)/((hi-lo)/13)), 12) ELSE 0 END AS bin, count(*) AS m FROM ch JOIN sp USING (head) GROUP BY head, bin)"
+    ", mo AS (SELECT head, CASE WHEN hi > lo THEN lo + (bin + 0.5)*(hi-lo)/13 ELSE 0 END AS r FROM bn QUALIFY row_number() OVER (PARTITION BY head ORDER BY m DESC, bin) = 1)"
+    ", kn AS (SELECT node, coalesce(r, 0) AS r FROM hd LEFT JOIN mo USING (head) UNION ALL SELECT st.node, coalesce(avg(d), 0) FROM st LEFT JOIN md USING (node) WHERE st.n = 0 GROUP BY st.node)"
+    ", fo(top, node) AS (SELECT node, node FROM st WHERE n > 1 UNION ALL SELECT fo.top, s.node FROM fo JOIN st f ON f.node = fo.node AND f.n > 1 JOIN st s ON s.parent = f.node AND s.node <> s.parent)"
+    " SELECT node, round(r, 6) AS radius FROM kn UNION ALL SELECT top, round(sqrt(sum(r*r)), 6) FROM fo JOIN kn USING (node) GROUP BY top"
+)
 _SPLINE8 = ", ".join(f"round(CAST(CAST(a{a}*(-0.45*u*u*u+2*0.45*u*u-0.45*u)+b{a}*((2-0.45)*u*u*u+(0.45-3)*u*u+1)+c{a}*((0.45-2)*u*u*u+(3-2*0.45)*u*u+0.45*u)+d{a}*(0.45*u*u*u-0.45*u*u) AS FLOAT) AS DOUBLE), 4) AS {a}" for a in "xyz")
 _ASSIGN = f"nn AS (SELECT a.id, b.id AS node_id, sqrt({D2}) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS n FROM pts a JOIN pts b ON b.label = 0"
 
@@ -485,8 +514,8 @@ SQL = {
     "hop_neighbourhood": f"WITH {_SYM3}, h AS (SELECT id AS src, id AS dst, 0 AS hop FROM pts UNION ALL SELECT src, dst, 1 FROM sym UNION ALL SELECT a.src, b.dst, 2 FROM sym a JOIN sym b ON a.dst = b.src) SELECT src, dst, min(hop) AS hop FROM h GROUP BY src, dst",
     "covered_cells": f"WITH {PTS} SELECT CAST(floor(x/0.2) AS BIGINT) AS cx, CAST(floor(y/0.2) AS BIGINT) AS cy, CAST(floor(z/0.2) AS BIGINT) AS cz, count(*) AS n FROM pts GROUP BY ALL",
     "neighbours_with_self": f"WITH {PTS}, {_knn(2)} SELECT src, dst, round(dist, 6) AS dist FROM nn UNION ALL SELECT id, id, 0.0 FROM pts",
-    "grid_downsample": "WITH " + weiszfeld_sql(_voxel_sql(PTS, "pts", 0.2).removeprefix("WITH "), "w", "cell", 3) + ", n AS (SELECT cell, count(*) AS n FROM w GROUP BY cell) SELECT cell AS id, round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z, n FROM m3 JOIN n USING (cell)",
-    "octree_downsample": "WITH " + weiszfeld_sql(_OCTV, "o", "leaf", 3) + ", n AS (SELECT leaf, count(*) AS n FROM o GROUP BY leaf) SELECT round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z, n FROM m3 JOIN n USING (leaf)",
+    "grid_downsample": median_sql(_voxel_sql(PTS, "pts", 0.2).removeprefix("WITH "), "w", "cell") + ", n AS (SELECT cell, count(*) AS n FROM w GROUP BY cell) SELECT cell AS id, round(mx, 5) AS x, round(my, 5) AS y, round(mz, 5) AS z, n FROM med JOIN n USING (cell)",
+    "octree_downsample": median_sql(_OCTV, "o", "leaf") + ", n AS (SELECT leaf, count(*) AS n FROM o GROUP BY leaf) SELECT round(mx, 5) AS x, round(my, 5) AS y, round(mz, 5) AS z, n FROM med JOIN n USING (leaf)",
     "wlop_step": _WLOP,
     "merge_close": f"WITH {PTS} SELECT min(id) AS id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM pts GROUP BY floor(x/0.1), floor(y/0.1), floor(z/0.1)",
     "contraction_step0": f"WITH {SIGMA}, u AS (SELECT src AS id, avg(ux) AS ux, avg(uy) AS uy, avg(uz) AS uz FROM e GROUP BY src) SELECT id, round(x+ux, 6) AS x, round(y+uy, 6) AS y, round(z+uz, 6) AS z FROM pts JOIN u USING (id)",
@@ -516,6 +545,12 @@ SQL = {
     "tree_measures": _TREE_UP + ", dep AS (SELECT node, max(hops) AS depth FROM anc GROUP BY node), sub AS (SELECT ancestor AS node, count(*) AS size, max(hops) AS height FROM anc GROUP BY ancestor) SELECT node, CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS root, size, CAST(height AS INTEGER) AS height FROM dep JOIN sub USING (node)",
     "branch_ends": f"WITH {TREE}, k AS (SELECT parent AS node, count(*) AS n FROM tree WHERE parent <> node GROUP BY parent) SELECT node, coalesce(n, 0) AS children FROM tree LEFT JOIN k USING (node) WHERE coalesce(n, 0) <> 1 OR parent = node",
     "spline_densify": f"WITH {TREE}, kid AS (SELECT parent, arg_min(struct_pack(x := x, y := y, z := z), node) AS k FROM tree WHERE parent <> node GROUP BY parent), j AS (SELECT t.node, n, n/CAST(8 AS DOUBLE) AS u, g.x AS ax, g.y AS ay, g.z AS az, p.x AS bx, p.y AS \"by\", p.z AS bz, t.x AS cx, t.y AS cy, t.z AS cz, coalesce(k.x, t.x) AS dx, coalesce(k.y, t.y) AS dy, coalesce(k.z, t.z) AS dz FROM tree t JOIN tree p ON p.node = t.parent JOIN tree g ON g.node = p.parent LEFT JOIN kid ON kid.parent = t.node CROSS JOIN (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS n) WHERE t.node <> t.parent) SELECT node, n, {_SPLINE8.replace('by*', chr(34) + 'by' + chr(34) + '*')} FROM j",
+    "smooth_radii": _TREE_UP + f", {_BRANCH}, fork AS (SELECT parent AS node FROM tree WHERE parent <> node GROUP BY parent HAVING count(*) > 1), up AS (SELECT anc.node, arg_min(ancestor, hops) AS fork, min(hops) AS hops FROM anc JOIN fork ON fork.node = ancestor WHERE hops BETWEEN 1 AND 7 GROUP BY anc.node) SELECT b.node, round(CASE WHEN hops IS NULL THEN b.radius ELSE f.radius + (b.radius - f.radius)*hops/CAST(7 AS DOUBLE) END, 6) AS radius FROM branch b LEFT JOIN up ON up.node = b.node LEFT JOIN branch f ON f.node = up.fork",
+    "cluster_tree": _SSSP + ", pr AS (SELECT d.node, arg_min(e.src, struct_pack(a := k.dist + e.w, b := e.src)) AS pred FROM d JOIN e ON e.dst = d.node JOIN d k ON k.node = e.src WHERE d.node <> 0 GROUP BY d.node), lv AS (SELECT node, CAST(floor(dist / (((SELECT max(dist) FROM d) + 1) / 10)) AS INTEGER) AS level FROM d), rep AS (SELECT level, min(node) AS node FROM lv GROUP BY level), walk(level, up, n) AS (SELECT rep.level, pred, 0 FROM rep LEFT JOIN pr USING (node) UNION ALL SELECT w.level, pr.pred, n + 1 FROM walk w JOIN lv ON lv.node = w.up AND lv.level = w.level LEFT JOIN pr ON pr.node = w.up) SELECT CAST(w.level AS BIGINT) AS component, w.level, CAST(coalesce(lv.level, w.level) AS BIGINT) AS parent FROM walk w LEFT JOIN lv ON lv.node = w.up WHERE w.up IS NULL OR lv.level <> w.level",
+    "knn_events": f"WITH {CLOUD_E}, n AS (SELECT a.id AS src, unnest(min(sqrt({D2}), 2)) AS dist, CAST(unnest(range(1, 3)) AS INTEGER) AS rank FROM ce a JOIN ce b ON a.id <> b.id GROUP BY a.id) SELECT src, round(dist, 4) AS dist, rank FROM n",
+    "random_sample": f"WITH {PTS} SELECT id, x, y, z FROM pts ORDER BY md5('1:' || id), id LIMIT 100",
+    "member_radii": _MEMBER,
+    "fission": _fission_sql(5),
     "circles": _TREE_UP + ", leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent <> node)), n AS (SELECT ancestor AS node, count(*) AS leaves FROM anc JOIN leaf USING (node) GROUP BY ancestor) SELECT node, side, round(0.18*pow(leaves/CAST((SELECT count(*) FROM leaf) AS DOUBLE), CAST(1 AS DOUBLE)/3), 6) AS radius FROM tree JOIN n USING (node) CROSS JOIN (SELECT CAST(unnest(range(12)) AS INTEGER) AS side) WHERE parent <> node",
     "triangles": f"WITH {TREE}, e AS (SELECT c.node FROM tree c JOIN tree p ON p.node = c.parent WHERE c.parent <> c.node AND p.parent <> p.node) SELECT part, count(*)*12 AS n, count(DISTINCT node) AS nodes FROM e CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS part) GROUP BY part",
     "surface_neighbours": _reach(f"{PTS}, {_knn(3)}", _E05, "pts", "SELECT src, dst FROM nn JOIN cc a ON a.node = src JOIN cc b ON b.node = dst WHERE a.component = b.component"),

@@ -88,7 +88,7 @@ def test_shortest_paths_and_levels(spark):
 def test_medians_and_fits(spark):
     p = [(0, 0, 0), (4, 0, 0), (0, 4, 0), (4, 4, 0), (2, 2, 0)]
     g = cloud(spark, p).withColumn("g", F.lit(1))
-    m = fit.l1_median(g, "g", iterations=9).first()
+    m = fit.l1_median(g, "g").first()
     assert abs(m["x"] - 2) < 1e-6 and abs(m["y"] - 2) < 1e-6
     t = np.linspace(0, 1.5, 30)
     c = cloud(spark, np.c_[3 + 2 * np.cos(t), 1 + 2 * np.sin(t), 0 * t]).withColumn("g", F.lit(1))
