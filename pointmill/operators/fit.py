@@ -124,11 +124,13 @@ def weighted_local_median(points: DataFrame, key: str, *, s: float = 100.0) -> D
     return optimised_centre(points, key, local_weight(s))
 
 
-def joint_centres(points: DataFrame, key: str, starts: int, *, s: float = 100.0) -> DataFrame:
+def joint_centres(points: DataFrame, key: str, starts: int, *, s: float = 100.0, max_points: int = 200_000) -> DataFrame:
     """``key, centre, x, y, z``: ``starts`` centres of each group that minimise the sum of d exp(-s d^2) together, begun at points
-    spread evenly over the group in the order of their coordinates."""
+    spread evenly over the group in the order of their coordinates. A group of more than ``max_points`` raises."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > max_points:
+            raise ValueError(f"a group of {len(pdf)} points")
         p = pdf[["x", "y", "z"]].to_numpy(dtype=float)
         p = p[np.lexsort(p.T)]
         begin = p[np.linspace(0, len(p) - 1, starts).round().astype(int)]

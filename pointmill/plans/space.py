@@ -51,8 +51,8 @@ def nearest_pair(spark, sf_dir):
     return _round(spatial.nearest_pair(p.where("label = 1"), p.where("label = 2")), "dist")
 
 
-def _cells(spark, sf_dir):
-    v = stats.voxelize(pts(spark, sf_dir), cell_size=0.1)
+def _cells(spark, sf_dir, size=0.1):
+    v = stats.voxelize(pts(spark, sf_dir), cell_size=size)
     return v.groupBy("cell", "ix", "iy", "iz").agg(F.count("*").alias("n"), *[F.avg(a).alias(f"c{a}") for a in "xyz"])
 
 
@@ -68,7 +68,7 @@ def voxel_adjacency(spark, sf_dir):
 
 
 def isolated_voxels(spark, sf_dir):
-    c = _cells(spark, sf_dir)
+    c = _cells(spark, sf_dir, 0.03)
     return c.join(spatial.voxel_neighbours(c).select(F.col("src").alias("cell")).distinct(), "cell", "left_anti").select("cell", "n")
 
 
@@ -78,7 +78,7 @@ def knn_graph(spark, sf_dir):
 
 def knn_graph_trim(spark, sf_dir):
     e, mean = spatial.trimmed_knn_graph(_p(spark, sf_dir), 5)
-    return e.agg(F.count("*").alias("n"), F.round(F.max("dist"), 6).alias("longest")).withColumn("mean", F.round(F.lit(mean), 6))
+    return _round(e.withColumn("mean", F.lit(mean)), "dist", "mean")
 
 
 def hop_neighbourhood(spark, sf_dir):
@@ -212,7 +212,7 @@ def _sssp(spark, sf_dir):
 
 
 def sssp(spark, sf_dir):
-    return _round(_sssp(spark, sf_dir).select("node", "dist"), "dist", digits=5)
+    return _round(_sssp(spark, sf_dir).select("node", "dist", "pred"), "dist", digits=5)
 
 
 def level_sets(spark, sf_dir):
@@ -247,13 +247,13 @@ def kmeans5(spark, sf_dir):
 
 
 def sliding_levels(spark, sf_dir):
-    return graph.sliding_levels(_sssp(spark, sf_dir).select("node", F.round("dist", 4).alias("dist"))).groupBy("window").agg(F.count("*").alias("n"))
+    return graph.sliding_levels(_sssp(spark, sf_dir).select("node", F.round("dist", 4).alias("dist")))
 
 
 def drop_longest(spark, sf_dir):
     p = _p(spark, sf_dir)
     e = spatial.knn(p, p, 3).select("src", "dst", F.col("dist").alias("weight"))
-    return graph.drop_longest(e).agg(F.count("*").alias("n"))
+    return _round(graph.drop_longest(e), "weight")
 
 
 def lowest_point(spark, sf_dir):
@@ -316,7 +316,7 @@ def component_bridge(spark, sf_dir):
 
 def repair_components(spark, sf_dir):
     p = _p(spark, sf_dir)
-    e = spatial.radius_join(p, p, 0.12).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    e = spatial.radius_join(p, p, 0.08).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return _round(skeleton.repair(p, e), "dist")
 
 
@@ -414,11 +414,10 @@ def xyz_round_trip(spark, sf_dir):
 
 
 def skeleton_obj(spark, sf_dir):
-    """The edges of a skeleton as lines of an OBJ document."""
+    """A skeleton as the lines of an OBJ document."""
     t = tree(spark, sf_dir)
     nodes = t.select(F.col("node").alias("node_id"), "x", "y", "z")
-    lines = clouds.skeleton_obj(nodes, t.where("node <> parent").select(F.col("node").alias("src"), F.col("parent").alias("dst")))
-    return lines.where("value like 'l %'").select("value")
+    return clouds.skeleton_obj(nodes, t.where("node <> parent").select(F.col("node").alias("src"), F.col("parent").alias("dst"))).select("value")
 
 
 QUERIES = {
@@ -483,6 +482,7 @@ def _fission_sql(rounds: int) -> str:
     return out + f" SELECT node, CAST(CASE WHEN apart THEN part ELSE 0 END AS INTEGER) AS part, id FROM {last} JOIN v USING (node)"
 
 
+_PRED = "pr AS (SELECT d.node, arg_min(e.src, struct_pack(a := k.dist + e.w, b := e.src)) AS pred FROM d JOIN e ON e.dst = d.node JOIN d k ON k.node = e.src WHERE d.node <> 0 GROUP BY d.node)"
 _BRANCH = "leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent <> node)), nl AS (SELECT ancestor AS node, count(*) AS leaves FROM anc JOIN leaf USING (node) GROUP BY ancestor), branch AS (SELECT node, 0.18*pow(leaves/CAST((SELECT count(*) FROM leaf) AS DOUBLE), CAST(1 AS DOUBLE)/3) AS radius FROM nl)"
 _TO_AXIS = "sqrt(pow(uy*(p.z-c.z)-uz*(p.y-c.y), 2)+pow(uz*(p.x-c.x)-ux*(p.z-c.z), 2)+pow(ux*(p.y-c.y)-uy*(p.x-c.x), 2))/sqrt(ux*ux+uy*uy+uz*uz)"
 _MEMBER = (
@@ -508,9 +508,9 @@ SQL = {
     "nearest_pair": f"WITH {PTS} SELECT a.id AS src, b.id AS dst, round(sqrt({D2}), 6) AS dist FROM pts a JOIN pts b ON a.label = 1 AND b.label = 2 ORDER BY sqrt({D2}), a.id, b.id LIMIT 1",
     "voxel_members": _voxel_sql(PTS, "pts", 0.1) + " SELECT cell, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM w GROUP BY cell",
     "voxel_adjacency": _CELLS + " " + " UNION ALL ".join(f"SELECT a.cell AS src, b.cell AS dst, round({_CD}, 6) AS weight, {r} AS reach FROM c a JOIN c b ON {_NEAR.format(r=r)}" for r in (1, 2)),
-    "isolated_voxels": _CELLS + f" SELECT cell, n FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE {_NEAR.format(r=1)})",
+    "isolated_voxels": _CELLS.replace("0.1", "0.03") + f" SELECT cell, n FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE {_NEAR.format(r=1)})",
     "knn_graph": f"WITH {_SYM3} SELECT src, dst, round(weight, 6) AS weight FROM sym",
-    "knn_graph_trim": f"WITH {PTS}, {_knn(5)}, r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, src DESC, dst DESC) AS n, count(*) OVER () AS total FROM nn) SELECT count(*) FILTER (n > ceil(0.03*total/1.03)) AS n, round(max(dist) FILTER (n > ceil(0.03*total/1.03)), 6) AS longest, round(avg(dist), 6) AS mean FROM r",
+    "knn_graph_trim": f"WITH {PTS}, {_knn(5)}, r AS (SELECT *, row_number() OVER (ORDER BY dist DESC, src DESC, dst DESC) AS n, count(*) OVER () AS total FROM nn) SELECT src, dst, round(dist, 6) AS dist, round((SELECT avg(dist) FROM nn), 6) AS mean FROM r WHERE n > ceil(0.03*total/1.03)",
     "hop_neighbourhood": f"WITH {_SYM3}, h AS (SELECT id AS src, id AS dst, 0 AS hop FROM pts UNION ALL SELECT src, dst, 1 FROM sym UNION ALL SELECT a.src, b.dst, 2 FROM sym a JOIN sym b ON a.dst = b.src) SELECT src, dst, min(hop) AS hop FROM h GROUP BY src, dst",
     "covered_cells": f"WITH {PTS} SELECT CAST(floor(x/0.2) AS BIGINT) AS cx, CAST(floor(y/0.2) AS BIGINT) AS cy, CAST(floor(z/0.2) AS BIGINT) AS cz, count(*) AS n FROM pts GROUP BY ALL",
     "neighbours_with_self": f"WITH {PTS}, {_knn(2)} SELECT src, dst, round(dist, 6) AS dist FROM nn UNION ALL SELECT id, id, 0.0 FROM pts",
@@ -525,7 +525,7 @@ SQL = {
     "big_components": _reach(PTS, _E05, "pts", "SELECT node, component FROM cc QUALIFY count(*) OVER (PARTITION BY component) >= 3"),
     "dbscan_eps": _reach(f"{PTS}, q AS (SELECT sqrt((max(x)-min(x))*(max(x)-min(x))+(max(y)-min(y))*(max(y)-min(y))+(max(z)-min(z))*(max(z)-min(z)))/40 AS eps FROM pts)", f"SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id <> b.id JOIN q ON {D2} <= eps*eps", "pts", _CC),
     "knn_clusters": _reach(f"{_SYM3}, q AS (SELECT 0.3*sum(weight)/(SELECT count(DISTINCT n) FROM (SELECT src AS n FROM sym UNION ALL SELECT dst FROM sym)) AS cut FROM sym WHERE src < dst)", "SELECT src AS a, dst AS b FROM sym, q WHERE weight <= cut", "pts", _CC),
-    "sssp": _SSSP + " SELECT node, round(dist, 5) AS dist FROM d",
+    "sssp": _SSSP + f", {_PRED} SELECT node, round(dist, 5) AS dist, pred FROM d LEFT JOIN pr USING (node)",
     "level_sets": _SSSP + " SELECT node, CAST(floor(dist / (((SELECT max(dist) FROM d) + 1) / 10)) AS INTEGER) AS level FROM d",
     "level_components": "WITH RECURSIVE " + _CELLS.removeprefix("WITH ") + f", g AS (SELECT a.cell AS a, b.cell AS b FROM c a JOIN c b ON {_NEAR.format(r=1)} AND a.iy = b.iy), r(node, other) AS (SELECT cell, cell FROM c UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.other), cc AS (SELECT node, min(other) AS component FROM r GROUP BY node) SELECT cell, CAST(iy AS INTEGER) AS level, CASE WHEN iy < 3 THEN min(cell) OVER (PARTITION BY iy) ELSE component END AS component FROM c JOIN cc ON cc.node = c.cell",
     "density_edges": _CELLS + f" SELECT a.cell AS src, b.cell AS dst, CAST(a.n*b.n AS DOUBLE) AS weight FROM c a JOIN c b ON {_NEAR.format(r=1)} AND a.iy = b.iy",
@@ -534,7 +534,7 @@ SQL = {
     "lowest_point": f"WITH {PTS} SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pts ORDER BY pts.y, id LIMIT 1",
     "split_at_median": f"WITH {PTS} SELECT id, CAST(ntile(2) OVER (PARTITION BY label ORDER BY y, id) AS INTEGER) AS half FROM pts",
     "undirected_edges": f"WITH {PTS}, {_knn(2)} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM nn",
-    "drop_longest": f"WITH {PTS}, {_knn(3)} SELECT count(*) FILTER (dist <= (SELECT quantile_disc(dist, 0.825) FROM nn)) AS n FROM nn",
+    "drop_longest": f"WITH {PTS}, {_knn(3)} SELECT src, dst, round(dist, 6) AS weight FROM nn WHERE dist <= (SELECT quantile_disc(dist, 0.825) FROM nn)",
     "path_edges": f"WITH {CLOUD_E}, q AS (SELECT user_id AS dst, CAST(row_number() OVER w - 1 AS INTEGER) AS step, id AS a, lead(id) OVER w AS b FROM ce WINDOW w AS (PARTITION BY user_id ORDER BY x, id)) SELECT * FROM q WHERE b IS NOT NULL",
     "seeds": f"WITH {SIGMA} SELECT id, round(sigma, 5) AS sigma FROM sig WHERE sigma >= 0.9",
     "cylinder_filter": f"WITH {PTS}, c AS (SELECT id, sqrt(x*x+y*y+z*z) AS s, greatest(-1.0, least(1.0, (x+y)/(sqrt(x*x+y*y+z*z)*sqrt(CAST(2 AS DOUBLE))))) AS c FROM pts WHERE x*x+y*y+z*z > 0) SELECT id, s*sqrt(greatest(0.0, 1-c*c)) < 0.1 AS cylinder, acos(c) > 0.35*pi() AND acos(c) < 0.65*pi() AND s*sqrt(greatest(0.0, 1-c*c)) < 0.2 AS slab FROM c",
@@ -546,19 +546,20 @@ SQL = {
     "branch_ends": f"WITH {TREE}, k AS (SELECT parent AS node, count(*) AS n FROM tree WHERE parent <> node GROUP BY parent) SELECT node, coalesce(n, 0) AS children FROM tree LEFT JOIN k USING (node) WHERE coalesce(n, 0) <> 1 OR parent = node",
     "spline_densify": f"WITH {TREE}, kid AS (SELECT parent, arg_min(struct_pack(x := x, y := y, z := z), node) AS k FROM tree WHERE parent <> node GROUP BY parent), j AS (SELECT t.node, n, n/CAST(8 AS DOUBLE) AS u, g.x AS ax, g.y AS ay, g.z AS az, p.x AS bx, p.y AS \"by\", p.z AS bz, t.x AS cx, t.y AS cy, t.z AS cz, coalesce(k.x, t.x) AS dx, coalesce(k.y, t.y) AS dy, coalesce(k.z, t.z) AS dz FROM tree t JOIN tree p ON p.node = t.parent JOIN tree g ON g.node = p.parent LEFT JOIN kid ON kid.parent = t.node CROSS JOIN (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS n) WHERE t.node <> t.parent) SELECT node, n, {_SPLINE8.replace('by*', chr(34) + 'by' + chr(34) + '*')} FROM j",
     "smooth_radii": _TREE_UP + f", {_BRANCH}, fork AS (SELECT parent AS node FROM tree WHERE parent <> node GROUP BY parent HAVING count(*) > 1), up AS (SELECT anc.node, arg_min(ancestor, hops) AS fork, min(hops) AS hops FROM anc JOIN fork ON fork.node = ancestor WHERE hops BETWEEN 1 AND 7 GROUP BY anc.node) SELECT b.node, round(CASE WHEN hops IS NULL THEN b.radius ELSE f.radius + (b.radius - f.radius)*hops/CAST(7 AS DOUBLE) END, 6) AS radius FROM branch b LEFT JOIN up ON up.node = b.node LEFT JOIN branch f ON f.node = up.fork",
-    "cluster_tree": _SSSP + ", pr AS (SELECT d.node, arg_min(e.src, struct_pack(a := k.dist + e.w, b := e.src)) AS pred FROM d JOIN e ON e.dst = d.node JOIN d k ON k.node = e.src WHERE d.node <> 0 GROUP BY d.node), lv AS (SELECT node, CAST(floor(dist / (((SELECT max(dist) FROM d) + 1) / 10)) AS INTEGER) AS level FROM d), rep AS (SELECT level, min(node) AS node FROM lv GROUP BY level), walk(level, up, n) AS (SELECT rep.level, pred, 0 FROM rep LEFT JOIN pr USING (node) UNION ALL SELECT w.level, pr.pred, n + 1 FROM walk w JOIN lv ON lv.node = w.up AND lv.level = w.level LEFT JOIN pr ON pr.node = w.up) SELECT CAST(w.level AS BIGINT) AS component, w.level, CAST(coalesce(lv.level, w.level) AS BIGINT) AS parent FROM walk w LEFT JOIN lv ON lv.node = w.up WHERE w.up IS NULL OR lv.level <> w.level",
+    "cluster_tree": _SSSP + f", {_PRED}, lv AS (SELECT node, CAST(floor(dist / (((SELECT max(dist) FROM d) + 1) / 10)) AS INTEGER) AS level FROM d), rep AS (SELECT level, min(node) AS node FROM lv GROUP BY level), walk(level, up, n) AS (SELECT rep.level, pred, 0 FROM rep LEFT JOIN pr USING (node) UNION ALL SELECT w.level, pr.pred, n + 1 FROM walk w JOIN lv ON lv.node = w.up AND lv.level = w.level LEFT JOIN pr ON pr.node = w.up) SELECT CAST(w.level AS BIGINT) AS component, w.level, CAST(coalesce(lv.level, w.level) AS BIGINT) AS parent FROM walk w LEFT JOIN lv ON lv.node = w.up WHERE w.up IS NULL OR lv.level <> w.level",
     "knn_events": f"WITH {CLOUD_E}, n AS (SELECT a.id AS src, unnest(min(sqrt({D2}), 2)) AS dist, CAST(unnest(range(1, 3)) AS INTEGER) AS rank FROM ce a JOIN ce b ON a.id <> b.id GROUP BY a.id) SELECT src, round(dist, 4) AS dist, rank FROM n",
     "random_sample": f"WITH {PTS} SELECT id, x, y, z FROM pts ORDER BY md5('1:' || id), id LIMIT 100",
     "member_radii": _MEMBER,
     "fission": _fission_sql(5),
+    "repair_components": _reach(PTS, _E05.replace("0.05*0.05", "0.08*0.08"), "pts", f", p AS (SELECT pts.*, component FROM pts JOIN cc ON cc.node = pts.id), cp AS (SELECT a.component AS c1, b.component AS c2, min(struct_pack(d := sqrt({D2}), i := least(a.id, b.id), j := greatest(a.id, b.id))) AS m FROM p a JOIN p b ON a.component <> b.component GROUP BY ALL), step(held, e) AS (SELECT [(SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)], NULL::STRUCT(d DOUBLE, i BIGINT, j BIGINT) UNION ALL SELECT list_append(held, arg_min(c2, m)), min(m) FROM step JOIN cp ON list_contains(held, c1) AND NOT list_contains(held, c2) GROUP BY held) SELECT e.i AS a, e.j AS b, round(e.d, 6) AS dist FROM step WHERE e IS NOT NULL").replace(") ,", "),"),
     "circles": _TREE_UP + ", leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent <> node)), n AS (SELECT ancestor AS node, count(*) AS leaves FROM anc JOIN leaf USING (node) GROUP BY ancestor) SELECT node, side, round(0.18*pow(leaves/CAST((SELECT count(*) FROM leaf) AS DOUBLE), CAST(1 AS DOUBLE)/3), 6) AS radius FROM tree JOIN n USING (node) CROSS JOIN (SELECT CAST(unnest(range(12)) AS INTEGER) AS side) WHERE parent <> node",
     "triangles": f"WITH {TREE}, e AS (SELECT c.node FROM tree c JOIN tree p ON p.node = c.parent WHERE c.parent <> c.node AND p.parent <> p.node) SELECT part, count(*)*12 AS n, count(DISTINCT node) AS nodes FROM e CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS part) GROUP BY part",
     "surface_neighbours": _reach(f"{PTS}, {_knn(3)}", _E05, "pts", "SELECT src, dst FROM nn JOIN cc a ON a.node = src JOIN cc b ON b.node = dst WHERE a.component = b.component"),
     "count_density": f"WITH {PTS}, {_knn(3)}, k AS (SELECT *, count(*) OVER (PARTITION BY src) AS k FROM nn) SELECT src AS id, round(1 + sum(exp(-16.0*dist*dist/(k*k))), 6) AS rho FROM k GROUP BY src",
     "resample_lines": f"WITH {CLOUD_E}, s AS (SELECT user_id, z, x, id, lead(z) OVER w AS nz, sqrt((x-lead(x) OVER w)*(x-lead(x) OVER w)+(y-lead(y) OVER w)*(y-lead(y) OVER w)+(z-lead(z) OVER w)*(z-lead(z) OVER w)) AS len FROM ce WINDOW w AS (PARTITION BY user_id ORDER BY x, id)), r AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS upto FROM s WHERE nz IS NOT NULL), t AS (SELECT user_id, z + (n*1000.0-(upto-len))/len*(nz-z) AS z FROM (SELECT *, unnest(range(CAST(ceil((upto-len)/1000.0) AS BIGINT), CAST(ceil(upto/1000.0) AS BIGINT))) AS n FROM r WHERE len > 0)) SELECT user_id, count(*) AS n, round(avg(z), 3) AS z FROM t GROUP BY user_id",
-    "sliding_levels": _SSSP + ", rd AS (SELECT node, round(dist, 4) AS dist FROM d), t AS (SELECT node, dist / (SELECT max(dist) FROM rd) AS share FROM rd), w AS (SELECT node, unnest(range(greatest(0, CAST(ceil((1.0-share-0.04)/0.02 - 1e-9) AS BIGINT)), least(49, CAST(floor((1.0-share)/0.02 + 1e-9) AS BIGINT)) + 1)) AS win FROM t) SELECT CAST(win AS INTEGER) AS \"window\", count(*) AS n FROM w GROUP BY win",
+    "sliding_levels": _SSSP + ", rd AS (SELECT node, round(dist, 4) AS dist FROM d), t AS (SELECT node, dist / (SELECT max(dist) FROM rd) AS share FROM rd), w AS (SELECT node, unnest(range(greatest(0, CAST(ceil((1.0-share-0.04)/0.02 - 1e-9) AS BIGINT)), least(49, CAST(floor((1.0-share)/0.02 + 1e-9) AS BIGINT)) + 1)) AS win FROM t) SELECT node, CAST(win AS INTEGER) AS \"window\" FROM w",
     "matrix_round_trip": "WITH m AS (SELECT vec_id AS id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS m FROM embeddings) SELECT id, round(list_sum(m[5:8]), 6) AS second, round(list_sum(m), 6) AS total FROM m",
     "set_operations": f"WITH {PTS} SELECT 'union' AS kind, id FROM pts WHERE x > 0 OR y > 0 UNION ALL SELECT 'difference', id FROM pts WHERE x > 0 AND NOT y > 0 UNION ALL SELECT 'except', id FROM pts WHERE NOT x > 0",
     "xyz_round_trip": f"WITH {PTS}, t AS (SELECT " + ", ".join(f"CAST(format('{{:.4f}}', {a}) AS DOUBLE) AS {a}" for a in "xyz") + " FROM pts) SELECT x, y, z, count(*) AS n FROM t GROUP BY ALL",
-    "skeleton_obj": f"WITH {TREE}, e AS (SELECT node+1 AS i, parent+1 AS j FROM tree WHERE node <> parent) SELECT 'l ' || i || ' ' || j AS value FROM e UNION SELECT 'l ' || j || ' ' || i FROM e",
+    "skeleton_obj": f"WITH {TREE}, e AS (SELECT node+1 AS i, parent+1 AS j FROM tree WHERE node <> parent) SELECT 'l ' || i || ' ' || j AS value FROM e UNION SELECT 'l ' || j || ' ' || i FROM e UNION ALL SELECT '# skeleton' UNION ALL SELECT format('v {{:.4f}} {{:.4f}} {{:.4f}}', x, y, z) FROM tree",
 }
