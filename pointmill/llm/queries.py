@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, quality_ranking, quality_rules, secrets, simhash, spm, substring_dedup, token_counts, toxicity
+from . import centroids, decontamination, hard_negatives, licenses, quality_ranking, quality_rules, secrets, simhash, spm, substring_dedup, token_counts, toxicity, vector_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +61,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(e.withColumn("label", shifted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontamination, op2_license_scan, op3_toxicity, op4_secret_scan, op5_quality_ranking,
         op6_substring_dedup, op7_sentencepiece, op8_quality_rules, op9_simhash_dedup, op10_token_counts,
+        op11_centroid_clustering, op12_hard_negatives,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_centroid_clustering": vector_sql.CENTROIDS, "op12_hard_negatives": vector_sql.HARD_NEGATIVES}
