@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontamination, hard_negatives, licenses, quality_ranking, quality_rules, secrets, simhash, spm, substring_dedup, token_counts, toxicity, vector_sql
+from . import centroids, context_mixing, decontamination, hard_negatives, licenses, quality_ranking, quality_rules, secrets, simhash, spm, substring_dedup, token_counts, toxicity, vector_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,11 +71,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(e.withColumn("label", shifted))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontamination, op2_license_scan, op3_toxicity, op4_secret_scan, op5_quality_ranking,
         op6_substring_dedup, op7_sentencepiece, op8_quality_rules, op9_simhash_dedup, op10_token_counts,
-        op11_centroid_clustering, op12_hard_negatives,
+        op11_centroid_clustering, op12_hard_negatives, op13_language_model,
     )
     return {f.__name__: f for f in own}
 
