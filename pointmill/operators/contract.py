@@ -103,8 +103,7 @@ def contract(points: DataFrame, params: ContractionParams = ContractionParams(),
         if i and i % params.iteration_num == 0:
             k = materialize(k_update(state, k0, mean_distance, iteration=i, iteration_num=params.iteration_num, increase=params.increase / 100), "k")
             state = materialize(state.drop("k").join(k, "id"), "state")
-            top = min(n - 1, k.agg(F.max("k")).first()[0])
-            nearest = knn(state, state, top).join(k.withColumnRenamed("id", "src"), "src").where(F.col("rank") <= F.greatest("k", F.lit(10)))
+            nearest = knn(state.withColumn("k", F.least(F.greatest("k", F.lit(10)), F.lit(n - 1))), state, "k")
             edges = materialize(with_self(nearest, state), "edges")
     return state
 

@@ -1,149 +1,12 @@
-"""Medians and least-squares fits of groups of points."""
+"""Least-squares fits of groups of points; medians are in ``medians``."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..functions.scratch import materialize
-
-
-def l1_median(points: DataFrame, *keys: str, tol: float = 1e-11, rounds: int = 100) -> DataFrame:
-    """``keys, x, y, z``: the point with the least sum of distances to each group.
-
-    Rounds go on until every group has settled; only unsettled groups take part in the next one. A round is a hash aggregate of sums
-    at the present place and at the member nearest to the last one, so groups may be of any size. A place is the median if the unit
-    vectors to the members elsewhere add up to no more than the number of members at it, ``tol`` for each member allowed. Otherwise the
-    place moves by a Newton step, or by a Weiszfeld step after one that made the sum larger. Where many points are medians (two members, or an
-    even number on a line) the result is the one reached from the mean. A group also
-    settles when its step is below the resolution of its coordinates; one unsettled after ``rounds`` has the place it has reached.
-    """
-    p = points.select(*keys, "x", "y", "z")
-    at, near = {a: F.col(a) - F.col(f"m{a}") for a in "xyz"}, {a: F.col(a) - F.col(f"q{a}") for a in "xyz"}
-    d, e = F.col("d"), F.col("e")
-    unit = {a: F.when(d > 0, at[a] / d).otherwise(0.0) for a in "xyz"}
-    inverse = F.when(d > 0, 1.0 / d).otherwise(0.0)
-    sums = {"n": F.count("*"), "f": F.sum(d), "w": F.sum(inverse), "here": F.sum((d == 0).cast("long")), "there": F.sum((e == 0).cast("long"))}
-    sums |= {f"g{a}": F.sum(unit[a]) for a in "xyz"} | {f"r{a}": F.sum(F.when(e > 0, near[a] / e).otherwise(0.0)) for a in "xyz"}
-    sums |= {f"h{a}{b}": F.sum(inverse * (F.lit(float(a == b)) - unit[a] * unit[b])) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
-    sums |= {"close": F.min_by(F.struct("x", "y", "z"), F.struct("d", "x", "y", "z"))}
-    state = ["mx", "my", "mz", "qx", "qy", "qz", "sx", "sy", "sz", "best"]
-    nothing = F.lit(None).cast("double")
-    now = p.groupBy(*keys).agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"]).select(*keys, "mx", "my", "mz", *[nothing.alias(c) for c in state[3:]])
-    now, done = materialize(now, "median"), None
-    length = lambda c: F.sqrt(sum((F.col(f"{c}{a}") * F.col(f"{c}{a}") for a in "xyz"), F.lit(0.0)))
-    for _ in range(rounds):
-        j = p.join(now, list(keys)).withColumn("d", geom.distance(geom.vec("x", "y", "z"), geom.vec("mx", "my", "mz"))).withColumn("e", geom.distance(geom.vec("x", "y", "z"), geom.vec("qx", "qy", "qz")))
-        r = j.groupBy(*keys, *state).agg(*[v.alias(k) for k, v in sums.items()])
-        r = r.withColumn("at_q", F.col("qx").isNotNull() & (length("r") <= F.col("there") + tol * F.col("n")))
-        newton = _solve3([[F.col("h" + min(a, b) + max(a, b)) for b in "xyz"] for a in "xyz"], [F.col(f"g{a}") for a in "xyz"])
-        short = F.greatest(F.lit(0.0), 1.0 - F.col("here") / F.greatest(length("g"), F.lit(1e-300)))
-        worse = F.coalesce(F.col("f") > F.col("best"), F.lit(False))
-        slow = {a: F.when(F.col("w") > 0, F.col(f"m{a}") + short * F.col(f"g{a}") / F.col("w")).otherwise(F.col(f"m{a}")) for a in "xyz"}
-        step = {a: F.when(F.col("here") > 0, slow[a]).otherwise(F.coalesce(F.col(f"m{a}") + s, slow[a])) for a, s in zip("xyz", newton, strict=True)}
-        still = sum((F.abs(step[a] - F.col(f"m{a}")) for a in "xyz"), F.lit(0.0)) <= 1e-15 * sum((F.abs(f"m{a}") for a in "xyz"), F.lit(0.0))
-        r = r.withColumn("at_m", (length("g") <= F.col("here") + tol * F.col("n")) | (still & ~worse))
-        moved = {f"m{a}": F.when(worse, F.col(f"s{a}")).otherwise(step[a]) for a in "xyz"} | {f"q{a}": F.col(f"close.{a}") for a in "xyz"}
-        moved |= {f"s{a}": F.when(worse, F.col(f"s{a}")).otherwise(slow[a]) for a in "xyz"} | {"best": F.when(worse, nothing).otherwise(F.col("f"))}
-        end = [F.when(F.col("at_m"), F.col(f"m{a}")).otherwise(F.col(f"q{a}")).alias(a) for a in "xyz"]
-        r = materialize(r.select(*keys, (F.col("at_m") | F.col("at_q")).alias("settled"), *end, *[v.alias(k) for k, v in moved.items()]), "median")
-        part = r.where("settled").select(*keys, "x", "y", "z")
-        done = part if done is None else done.union(part)
-        now = r.where("not settled").select(*keys, *state)
-        if now.isEmpty():
-            return done
-    return done.union(now.select(*keys, *[F.col(f"m{a}").alias(a) for a in "xyz"]))
-
-
-def descend(p: np.ndarray, cost, start: np.ndarray, tol: float = 1e-10, rounds: int = 500) -> np.ndarray:
-    """Gradient descent with step halving; ``cost(p, c)`` returns value and gradient."""
-    c = start.copy()
-    value, g = cost(p, c)
-    step = max(1e-6, float(np.abs(p - p.mean(axis=0)).max())) / (np.linalg.norm(g) + 1e-12)
-    for _ in range(rounds):
-        if np.linalg.norm(g) * step < tol:
-            break
-        new = c - step * g
-        v, ng = cost(p, new)
-        if v < value:
-            c, value, g, step = new, v, ng, step * 1.5
-        else:
-            step *= 0.5
-    return c
-
-
-def variance_penalty(k: float):
-    """Sum of distances plus k times the sum of their squared deviations from their mean."""
-
-    def cost(p: np.ndarray, c: np.ndarray) -> tuple[float, np.ndarray]:
-        d = np.maximum(np.linalg.norm(p - c, axis=1), 1e-12)
-        u = (c - p) / d[:, None]
-        off = d - d.mean()
-        return float(d.sum() + k * (off * off).sum()), u.sum(axis=0) + 2 * k * ((u - u.mean(axis=0)) * off[:, None]).sum(axis=0)
-
-    return cost
-
-
-def local_weight(s: float):
-    """Sum of d exp(-s d^2)."""
-
-    def cost(p: np.ndarray, c: np.ndarray) -> tuple[float, np.ndarray]:
-        d = np.maximum(np.linalg.norm(p - c, axis=1), 1e-12)
-        e = np.exp(-s * d * d)
-        return float((d * e).sum()), ((c - p) / d[:, None] * (e * (1 - 2 * s * d * d))[:, None]).sum(axis=0)
-
-    return cost
-
-
-def optimised_centre(points: DataFrame, key: str, cost, *, max_points: int = 200_000) -> DataFrame:
-    """``key, x, y, z``: the centre that minimises a cost without closed form, from the mean, group by group in numpy.
-
-    A group has to fit into a task: more than ``max_points`` points raise an error instead of being cut.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_points:
-            raise ValueError(f"a group of {len(pdf)} points")
-        p = pdf[["x", "y", "z"]].to_numpy(dtype=float)
-        p = p[np.lexsort(p.T)]
-        c = descend(p, cost, p.mean(axis=0))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "x": [c[0]], "y": [c[1]], "z": [c[2]]})
-
-    return points.select(key, "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} {points.schema[key].dataType.simpleString()}, x double, y double, z double")
-
-
-def lvp_median(points: DataFrame, key: str, *, k: float = 30.0) -> DataFrame:
-    """The least sum of distances with a penalty for their variance."""
-    return optimised_centre(points, key, variance_penalty(k))
-
-
-def weighted_local_median(points: DataFrame, key: str, *, s: float = 100.0) -> DataFrame:
-    return optimised_centre(points, key, local_weight(s))
-
-
-def joint_centres(points: DataFrame, key: str, starts: int, *, s: float = 100.0, max_points: int = 200_000) -> DataFrame:
-    """``key, centre, x, y, z``: ``starts`` centres of each group that minimise the sum of d exp(-s d^2) together, begun at points
-    spread evenly over the group in the order of their coordinates. A group of more than ``max_points`` raises."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_points:
-            raise ValueError(f"a group of {len(pdf)} points")
-        p = pdf[["x", "y", "z"]].to_numpy(dtype=float)
-        p = p[np.lexsort(p.T)]
-        begin = p[np.linspace(0, len(p) - 1, starts).round().astype(int)]
-        one = local_weight(s)
-
-        def cost(q: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
-            parts = [one(q, c) for c in flat.reshape(-1, 3)]
-            return sum(v for v, _ in parts), np.concatenate([g for _, g in parts])
-
-        c = descend(p, cost, begin.ravel()).reshape(-1, 3)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * starts, "centre": range(starts), "x": c[:, 0], "y": c[:, 1], "z": c[:, 2]})
-
-    return points.select(key, "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} {points.schema[key].dataType.simpleString()}, centre int, x double, y double, z double")
+from .medians import joint_centres, l1_median, lvp_median, weighted_local_median  # noqa: F401  one place for the callers to take them from
 
 
 def line_fit(points: DataFrame, *keys: str, x: str = "x", y: str = "y") -> DataFrame:
@@ -158,7 +21,7 @@ def _det3(m: list[list[Column]]) -> Column:
     return m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
 
 
-def _solve3(m: list[list[Column]], v: list[Column]) -> list[Column]:
+def solve3(m: list[list[Column]], v: list[Column]) -> list[Column]:
     """Cramer's rule; null for a singular matrix."""
     det = F.nullif(_det3(m), F.lit(0.0))
     return [_det3([[v[i] if j == c else m[i][j] for j in range(3)] for i in range(3)]) / det for c in range(3)]
@@ -167,7 +30,7 @@ def _solve3(m: list[list[Column]], v: list[Column]) -> list[Column]:
 def _normal(points: DataFrame, keys: tuple[str, ...], terms: list[Column], target: Column) -> tuple[DataFrame, list[Column]]:
     sums = {f"m{i}{j}": F.sum(terms[i] * terms[j]) for i in range(3) for j in range(i, 3)} | {f"v{i}": F.sum(terms[i] * target) for i in range(3)}
     s = points.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
-    return s, _solve3([[F.col(f"m{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)], [F.col(f"v{i}") for i in range(3)])
+    return s, solve3([[F.col(f"m{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)], [F.col(f"v{i}") for i in range(3)])
 
 
 def plane_fit(points: DataFrame, *keys: str) -> DataFrame:

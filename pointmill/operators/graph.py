@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..functions.scratch import discard, materialize
-from .spatial import knn_graph, radius_join, ranked, spread, voxel_neighbours
+from .spatial import around, knn_graph, ranked, spread, voxel_neighbours, with_cell
 from .stats import incident_mean
 
 
@@ -100,28 +100,91 @@ def cluster_tree(members: DataFrame, distances: DataFrame) -> DataFrame:
     """``component, level, parent``: for each cluster of ``members(cell, level, component)`` the cluster that its representative,
     its smallest cell, is reached from: the nearest one on the way to the source that is another cluster. The root is its own parent."""
     step = distances.select(F.col("node").alias("cell"), F.col("pred").alias("up"))
-    of = members.select(F.col("cell").alias("up"), F.col("component").alias("above"))
-    walk = materialize(members.groupBy("component", "level").agg(F.min("cell").alias("cell")).join(step, "cell", "left"), "walk")
-    settled = None
-    while True:
-        seen = walk.join(of, "up", "left")
-        ready = seen.where("up is null or above <> component").select("component", "level", F.coalesce("above", "component").alias("parent"))
-        settled = ready if settled is None else settled.union(ready)
-        rest = materialize(seen.where("up is not null and above = component").select("component", "level", F.col("up").alias("cell")).join(step, "cell", "left"), "walk")
-        if rest.isEmpty():
-            return settled
-        walk = rest
+    of = members.select("cell", F.col("component").alias("own"))
+    above = members.select(F.col("cell").alias("up"), F.col("component").alias("above"))
+    # Every cell points to the cell it is reached from, or, where that is of another cluster or none, to itself as the exit; jumps double.
+    links = of.join(step, "cell", "left").join(above, "up", "left")
+    leaves = F.col("up").isNull() | F.coalesce(F.col("above") != F.col("own"), F.lit(True))
+    links = links.select("cell", F.when(leaves, F.col("cell")).otherwise(F.col("up")).alias("to"), F.when(leaves & F.col("up").isNotNull(), F.coalesce("above", "own")).otherwise(F.col("own")).alias("parent"), leaves.alias("exit"))
+    now = materialize(links, "links")
+    for _ in range(40):
+        far = now.select(F.col("cell").alias("to"), F.col("to").alias("next"), F.col("parent").alias("found"), F.col("exit").alias("ends"))
+        jumped = now.where("not exit").join(far, "to").select("cell", F.col("next").alias("to"), F.col("found").alias("parent"), F.col("ends").alias("exit"))
+        old, now = now, materialize(now.where("exit").union(jumped), "links")
+        discard(old)
+        if now.where("not exit").isEmpty():
+            break
+    else:
+        raise ValueError("the predecessors form a cycle")
+    first = members.groupBy("component", "level").agg(F.min("cell").alias("cell"))
+    return first.join(now, "cell").select("component", "level", "parent")
 
 
 def dbscan(points: DataFrame, *, eps: float | None = None) -> DataFrame:
     """``node, component``: density clusters with one point as the least neighbourhood, which are the components of the graph of
-    points within ``eps``, a fortieth of the diagonal by default."""
+    points within ``eps``, a fortieth of the diagonal by default.
+
+    Points of a cell whose diagonal is below ``eps`` are one component, so only near cells are compared, and of them only whether any two points
+    come near enough (``near_cells``): rows grow with the points and the cells around each, not with the pairs within ``eps``.
+    """
+    points = points.select("id", "x", "y", "z").where(geom.is_valid(F.col("x"), F.col("y"), F.col("z")))
     if eps is None:
         eps = spread(points)[1] / 40
     if eps <= 0:
-        return components(points.select(F.col("id").alias("a"), F.col("id").alias("b")), points)
-    e = radius_join(points, points, eps, inclusive=True).where("src < dst")
-    return components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), points)
+        place = points.groupBy("x", "y", "z").agg(F.min("id").alias("a"))
+        return components(points.join(place, ["x", "y", "z"]).select("a", F.col("id").alias("b")), points)
+    held = materialize(with_cell(points, eps / math.sqrt(3) * (1 - 1e-9)), "cells")
+    cell = ["cx", "cy", "cz"]
+    named = held.groupBy(*cell).agg(F.min("id").alias("cell"))
+    within = held.join(named, cell).select("id", "x", "y", "z", *cell, "cell")
+    within = materialize(within, "members")
+    found = components(within.select(F.col("cell").alias("a"), F.col("id").alias("b")).union(near_cells(within, eps)), points)
+    discard(held)
+    return found
+
+
+def near_cells(members: DataFrame, eps: float, *, halvings: int = 4) -> DataFrame:
+    """``a, b``: pairs of cells of ``members(id, x, y, z, cx, cy, cz, cell)`` of which two points are no farther apart than ``eps``; each pair once.
+
+    A point meets the boxes of the points of cells at most two steps away. If all of a box is within ``eps`` the cells are near and every other point of theirs
+    is dropped; if all is beyond, the point is dropped; else the box is halved on every axis. What is still open after ``halvings``, thin shells
+    around ``eps``, is compared point by point.
+    """
+    width = eps / math.sqrt(3) * (1 - 1e-9)
+    ahead = F.filter(around(2), lambda o: (o["dx"] > 0) | ((o["dx"] == 0) & ((o["dy"] > 0) | ((o["dy"] == 0) & (o["dz"] > 0)))))
+    grid = [F.floor((F.col(a) / width - F.col(f"c{a}")) * 2**halvings).cast("int") for a in "xyz"]
+    fine = members.withColumns({f"f{a}": F.greatest(F.lit(0), F.least(F.lit(2**halvings - 1), g)) for a, g in zip("xyz", grid, strict=True)})
+
+    def boxes(level: int) -> DataFrame:
+        part = [F.call_function("shiftright", F.col(f"f{a}"), F.lit(halvings - level)).alias(f"p{a}") for a in "xyz"]
+        return fine.groupBy(F.col("cell").alias("b"), *part).agg(*[f(a).alias(f"{m}{a}") for a in "xyz" for m, f in (("a", F.min), ("b", F.max))])
+
+    low = {a: F.greatest(F.col(f"a{a}") - F.col(a), F.col(a) - F.col(f"b{a}"), F.lit(0.0)) for a in "xyz"}
+    high = {a: F.greatest(F.abs(F.col(a) - F.col(f"a{a}")), F.abs(F.col(a) - F.col(f"b{a}"))) for a in "xyz"}
+    square = lambda d: sum((v * v for v in d.values()), F.lit(0.0))
+    cells = members.groupBy("cx", "cy", "cz").agg(F.min("cell").alias("b"))
+    shifted = members.withColumn("o", F.explode(ahead)).select(F.col("cell").alias("a"), "id", "x", "y", "z", *[(F.col(f"c{a}") + F.col(f"o.d{a}")).alias(f"c{a}") for a in "xyz"])
+    open_, near, scratch = shifted.join(cells, ["cx", "cy", "cz"]).select("a", "b", "id", "x", "y", "z"), None, []
+    for level in range(halvings + 1):
+        by = ["b", *[f"p{a}" for a in "xyz"]] if level else ["b"]
+        if level:
+            halves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip((i, j, k), "xyz", strict=True)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)]))
+            parent = [F.col(f"p{a}") * 2 for a in "xyz"] if level > 1 else [F.lit(0)] * 3
+            open_ = open_.withColumn("h", halves).select("a", "b", "id", "x", "y", "z", *[(p + F.col(f"h.d{a}")).alias(f"p{a}") for p, a in zip(parent, "xyz", strict=True)])
+        met = open_.join(boxes(level) if level else boxes(0).drop("px", "py", "pz"), by).where(square(low) <= eps * eps)
+        keep = [f"p{a}" for a in "xyz"] if level else []
+        step = materialize(met.select("a", "b", "id", "x", "y", "z", *keep, (square(high) <= eps * eps).alias("all")), "near")
+        scratch.append(step)
+        yes = step.where("all").select("a", "b").distinct()
+        near = yes if near is None else near.union(yes)
+        near = materialize(near, "pairs")
+        open_ = step.join(near, ["a", "b"], "left_anti").drop("all")
+        if open_.isEmpty():
+            discard(*scratch)
+            return near
+    other = fine.select(F.col("cell").alias("b"), *[F.col(a).alias(f"o{a}") for a in "xyz"], *[F.col(f"f{a}").alias(f"p{a}") for a in "xyz"])
+    last = open_.join(other, ["b", "px", "py", "pz"]).where(geom.squared("x", "y", "z", "ox", "oy", "oz") <= eps * eps).select("a", "b").distinct()
+    return materialize(near.union(last), "pairs")
 
 
 def knn_clusters(points: DataFrame, *, k: int = 3, cut: float = 0.6) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Spatial joins on a grid.
+"""Spatial joins on a grid and an octree.
 
 Points are ``id, x, y, z``. A join within a radius puts points into cells and joins on equal cells; the neighbouring cells are
 listed by ``explode`` on one side, so that the join has equal keys and the distance is only a filter. Neither a cross join nor a
-nested loop is planned.
+nested loop is planned. Dense cells split (``octree``), and a search for the nearest begins in cells of the size that the place asks for.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..functions.scratch import materialize
+from ..functions.scratch import discard, materialize
+from . import octree
 
 
 def with_cell(points: DataFrame, size: float, prefix: str = "c") -> DataFrame:
@@ -27,14 +28,34 @@ def around(reach: int = 1) -> Column:
     return F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(o, ("dx", "dy", "dz"), strict=True)]) for o in ((a, b, c) for a in steps for b in steps for c in steps)])
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: float, *, inclusive: bool = False) -> DataFrame:
-    """``src, dst, dist``: every query with every point nearer than ``radius``, itself included."""
+def radius_join(queries: DataFrame, points: DataFrame, radius: float, *, inclusive: bool = False, capacity: int = 2048) -> DataFrame:
+    """``src, dst, dist``: every query with every point nearer than ``radius``, itself included.
+
+    Cells are as wide as the radius. One with more than ``capacity`` points is a tree of its own, and a query goes to those of its leaves that lie within
+    the radius; a leaf that cannot split, of points at one place, is dealt in blocks of ``capacity``. So no key holds more points than that.
+    """
     q = with_cell(queries.select("id", "x", "y", "z"), radius).select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "cx", "cy", "cz", F.explode(around()).alias("o"))
     q = q.select("src", "sx", "sy", "sz", (F.col("cx") + F.col("o.dx")).alias("kx"), (F.col("cy") + F.col("o.dy")).alias("ky"), (F.col("cz") + F.col("o.dz")).alias("kz"))
     p = with_cell(points.select("id", "x", "y", "z"), radius, "k").select(F.col("id").alias("dst"), "x", "y", "z", "kx", "ky", "kz")
     near = geom.squared("sx", "sy", "sz", "x", "y", "z")
     inside = near <= radius * radius if inclusive else near < radius * radius
-    return q.join(p, ["kx", "ky", "kz"]).where(inside).select("src", "dst", F.sqrt(near).alias("dist"))
+    cell = ["kx", "ky", "kz"]
+    hot = materialize(p.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > capacity).select(*cell), "hot")
+    if not hot.limit(1).collect():
+        discard(hot)
+        return q.join(p, cell).where(inside).select("src", "dst", F.sqrt(near).alias("dist"))
+    coded = octree.deepest(p.join(hot, cell, "left_semi"), tuple(F.col(k) * radius for k in cell), radius)
+    leaf = [*cell, "level", *octree.CELL]
+    held = materialize(octree.with_leaf(coded, octree.full_cells(coded, capacity, *cell), *cell).drop(*octree.DEEPEST), "leaves")
+    boxes = held.groupBy(*leaf).agg(F.ceil(F.count("*") / capacity).alias("blocks"), *[f(a).alias(f"{m}{a}") for a in "xyz" for m, f in (("a", F.min), ("b", F.max))])
+    boxes = materialize(boxes, "boxes")
+    off = {a: F.greatest(F.col(f"a{a}") - F.col(f"s{a}"), F.col(f"s{a}") - F.col(f"b{a}"), F.lit(0.0)) for a in "xyz"}
+    meets = sum((v * v for v in off.values()), F.lit(0.0)) <= radius * radius
+    asks = q.join(boxes, cell).where(meets).select("src", "sx", "sy", "sz", *leaf, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    held = held.join(boxes.select(*leaf, "blocks"), leaf).withColumn("block", F.pmod(F.xxhash64("dst"), F.col("blocks"))).drop("blocks")
+    cold = q.join(p.join(hot, cell, "left_anti"), cell)
+    both = cold.select("src", "dst", "sx", "sy", "sz", "x", "y", "z").union(asks.join(held, [*leaf, "block"]).select("src", "dst", "sx", "sy", "sz", "x", "y", "z"))
+    return both.where(inside).select("src", "dst", F.sqrt(near).alias("dist"))
 
 
 def spread(points: DataFrame) -> tuple[int, float, float]:
@@ -44,43 +65,52 @@ def spread(points: DataFrame) -> tuple[int, float, float]:
     return r["n"], math.sqrt(sum(s * s for s in sides)), max(sides)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, *, exclude_coincident: bool = False, cell: float | None = None) -> DataFrame:
-    """``src, dst, dist, rank``: the exact k nearest points of each query, itself excluded by id; ties by id.
+def knn(queries: DataFrame, points: DataFrame, k: int | str, *, exclude_coincident: bool = False) -> DataFrame:
+    """``src, dst, dist, rank``: the exact k nearest points of each query, itself excluded by id; ties by id. ``k`` may name a column of the queries.
 
-    Each round looks into the 27 cells around a query. A query is done when its k-th neighbour is no farther than a cell is wide,
-    for nothing outside can be nearer; the others go on with cells twice as wide. Of points at one place only the k + 1 smallest
-    ids can be neighbours, so a place that holds a large share of all points adds no more candidates than that.
-    With ``exclude_coincident`` points at the query's own place are left out.
+    An octree of the points, whose leaves hold at most 2 (k + 1), gives each query a cell to begin with, so neither a dense nor an empty region decides the
+    size for others. Each round looks into the 27 cells around a query at its level. A query is done when its k-th neighbour is no farther than a cell is
+    wide, for nothing outside can be nearer; the others go on one level up. Of points at one place only the k + 1 smallest ids can be neighbours, so a
+    place that holds a large share of all points adds no more candidates than that. With ``exclude_coincident`` points at the query's own place are left out.
     """
+    own = isinstance(k, str)
     points = points.select("id", "x", "y", "z").where(geom.is_valid(F.col("x"), F.col("y"), F.col("z")))
+    asks = queries.select(F.col("id").alias("src"), *[F.col(a).alias(f"s{a}") for a in "xyz"], (F.col(k).cast("int") if own else F.lit(k)).alias("k")).where(geom.is_valid(F.col("sx"), F.col("sy"), F.col("sz")) & (F.col("k") > 0))
+    least, most = asks.agg(F.min("k"), F.max("k")).first() if own else (k, k)
     at_place = Window.partitionBy("x", "y", "z").orderBy("id")
-    few = materialize(points.withColumn("n", F.row_number().over(at_place)).where(F.col("n") <= k + 1).drop("n"), "places")
-    n, _, longest = spread(few)
-    _, diagonal, _ = spread(few.select("x", "y", "z").union(queries.select("x", "y", "z")))  # a query may lie far outside
-    size = cell or max(longest / max(1.0, (n / max(k, 1)) ** (1 / 3)), 1e-9)
-    left = queries.select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
-    done = None
-    near = geom.squared("sx", "sy", "sz", "x", "y", "z")
+    few = materialize(points.withColumn("n", F.row_number().over(at_place)).where(F.col("n") <= (most or 0) + 1).drop("n"), "places")
+    root, n = octree.root_of(few, queries.where(geom.is_valid(F.col("x"), F.col("y"), F.col("z"))))  # a query may lie far outside
+    corner = (root.x, root.y, root.z)
+    p = octree.deepest(few.withColumnRenamed("id", "dst"), corner, root.side)
+    left = octree.deepest(asks, corner, root.side, ("sx", "sy", "sz"))
+    full = octree.full_cells(p, 2 * ((least or 0) + 1), count=n)
+    # An eighth of the places lies in a cell one level down.
+    start = F.greatest(F.lit(0), F.col("level") - F.round(F.log(F.col("k") / F.lit(float(least or 1))) / math.log(8)).cast("int"))
+    left = materialize(left.join(octree.leaf_levels(left, full), [*octree.DEEPEST]).withColumn("level", start), "asks")
+    near, done = geom.squared("sx", "sy", "sz", "x", "y", "z"), None
     best = Window.partitionBy("src").orderBy("d2", "dst")
-    for _ in range(64):
-        last = size >= diagonal + 1e-9
-        q = left.withColumns({f"c{a}": F.floor(F.col(f"s{a}") / size).cast("long") for a in "xyz"}).withColumn("o", F.explode(around()))
-        q = q.select("src", "sx", "sy", "sz", *[(F.col(f"c{a}") + F.col(f"o.d{a}")).alias(f"k{a}") for a in "xyz"])
-        p = with_cell(few.withColumnRenamed("id", "dst"), size, "k")
-        found = q.join(p, ["kx", "ky", "kz"]).where((F.col("src") != F.col("dst")) & (near > 0 if exclude_coincident else F.lit(True)))
-        ranked = found.select("src", "sx", "sy", "sz", "dst", near.alias("d2")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        ranked = materialize(ranked, "nearest")
-        full = ranked.groupBy("src").agg(F.count("*").alias("n"), F.max("d2").alias("far"))
-        settled = full.where((F.col("n") == k) & (F.col("far") <= size * size)).select("src") if not last else full.select("src")
-        part = ranked.join(settled, "src", "left_semi").select("src", "dst", F.sqrt("d2").alias("dist"), "rank")
-        done = part if done is None else done.union(part)
-        if last:
+    facts = ["src", "sx", "sy", "sz", "k", *octree.DEEPEST, "level"]
+    while True:
+        levels = [r["level"] for r in left.select("level").distinct().collect()]  # at most one more than the tree is deep
+        if not levels:
             break
-        left = materialize(left.join(settled, "src", "left_anti"), "left")
-        if left.isEmpty():
-            break
-        size *= 2
-    return done
+        q = left.withColumn("o", F.explode(around())).select("src", "sx", "sy", "sz", "k", "level", *[(c + F.col(f"o.d{a}")).alias(f"i{a}") for c, a in zip(octree.cell_at("level"), "xyz", strict=True)])
+        there = p.withColumn("level", F.explode(F.array(*[F.lit(i) for i in levels]))).select("dst", "x", "y", "z", "level", *octree.cell_at("level"))
+        found = q.join(there, ["level", *octree.CELL]).where((F.col("src") != F.col("dst")) & (near > 0 if exclude_coincident else F.lit(True)))
+        order = found.select("src", "k", "level", "dst", near.alias("d2")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+        order = materialize(order.where(F.col("rank") <= F.col("k")) if own else order, "nearest")
+        width = root.width(F.col("level")) * (1 - 1e-9)
+        settled = order.groupBy("src", "k", "level").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("level") == 0) | ((F.col("n") == F.col("k")) & (F.col("far") <= width * width))).select("src")
+        part = order.join(settled, "src", "left_semi").select("src", "dst", F.sqrt("d2").alias("dist"), "rank")
+        done = part if done is None else done.union(part)
+        old, left = left, materialize(left.where("level > 0").join(settled, "src", "left_anti").withColumn("level", F.col("level") - 1).select(*facts), "asks")
+        discard(old)
+    discard(*full.parts)
+    return done if done is not None else queries.sparkSession.createDataFrame([], f"src {_kind(queries)}, dst {_kind(points)}, dist double, rank int")
+
+
+def _kind(table: DataFrame) -> str:
+    return table.schema["id"].dataType.simpleString()
 
 
 def nearest_one(points: DataFrame, nodes: DataFrame) -> DataFrame:
