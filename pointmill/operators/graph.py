@@ -54,20 +54,56 @@ def small_components(found: DataFrame, least: int = 3) -> DataFrame:
     return found.join(big, "component", "left_semi").select("node", "component")
 
 
-def shortest_paths(edges: DataFrame, source: int, *, max_rounds: int = 10_000) -> DataFrame:
-    """``node, dist, pred``: distances from the source over ``edges(src, dst, weight)`` by frontier relaxation, ties by the smaller
-    predecessor. Only nodes whose distance fell in a round are relaxed in the next."""
+def shortest_paths(edges: DataFrame, source: int, *, width: float | None = None, max_rounds: int = 100_000) -> DataFrame:
+    """``node, dist, pred``: distances from the source over ``edges(src, dst, weight)`` with weights of at least 0, ties by the smaller predecessor.
+
+    Delta-stepping: what has been reached waits in buckets of ``width``, twice the mean weight by default; a round relaxes the nodes of the nearest bucket
+    only, again if they improve while it lasts. A round writes what improved in it and nothing else; the distances known so far are the least of all
+    these tables, which are put together whenever the later ones outgrow the earlier.
+    """
     spark = edges.sparkSession
-    dist = spark.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"))
-    frontier = dist
+    if width is None:
+        width = 2.0 * (edges.agg(F.avg("weight")).first()[0] or 0.0)
+    width = width if width > 0 else 1.0
+    schema = "node long, dist double, pred long"
+    start = materialize(spark.createDataFrame([(source, 0.0, None)], schema), "reached")
+    tables, sizes = [start], [1]
+    waiting, end = [start], width
+    pick = F.min(F.struct("dist", F.coalesce("pred", F.lit(-(1 << 62))).alias("pred"))).alias("b")
+
+    def least(parts: list[DataFrame]) -> DataFrame:
+        """Of each node the least distance and its predecessor."""
+        every = parts[0]
+        for t in parts[1:]:
+            every = every.union(t)
+        return every.groupBy("node").agg(pick).select("node", F.col("b.dist").alias("dist"), F.when(F.col("b.pred") != -(1 << 62), F.col("b.pred")).alias("pred"))
+
     for _ in range(max_rounds):
-        reached = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("pred"))
-        best = reached.groupBy("node").agg(F.min(F.struct("dist", "pred")).alias("b")).select("node", "b.dist", "b.pred")
-        old = dist.select("node", F.col("dist").alias("old"))
-        frontier = materialize(best.join(old, "node", "left").where("old is null or dist < old").select("node", "dist", "pred"), "frontier")
-        if frontier.isEmpty():
-            return dist
-        dist = materialize(dist.join(frontier.select("node"), "node", "left_anti").union(frontier), "distances")
+        # Of a node that waits more than once only its present distance counts.
+        known = least(tables)
+        pending = least(waiting)
+        active = pending.where(F.col("dist") < end)
+        reached = active.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("pred"))
+        old = known.select("node", F.col("dist").alias("d0"), F.col("pred").alias("p0"))
+        better = F.col("d0").isNull() | (F.col("dist") < F.col("d0")) | ((F.col("dist") == F.col("d0")) & (F.col("pred") < F.col("p0")))
+        found = materialize(least([reached]).join(old, "node", "left").where(better).select("node", "dist", "pred"), "reached")
+        later = materialize(pending.where(F.col("dist") >= end), "waiting") if len(waiting) > 1 else waiting[0].where(F.col("dist") >= end)
+        # Nodes whose predecessor alone changed need not be relaxed again, but doing so changes nothing.
+        n, near = found.agg(F.count("*"), F.min("dist")).first()
+        far = later.agg(F.min("dist")).first()[0]
+        if n:
+            tables.append(found)
+            sizes.append(n)
+        if sum(sizes[1:]) > sizes[0] + 1000 or len(tables) > 24:
+            whole = materialize(least(tables), "distances")
+            tables, sizes = [whole], [whole.count()]
+        ahead = [v for v in (near, far) if v is not None]
+        if not ahead:
+            return least(tables)
+        waiting = [t for t, v in ((found, near), (later, far)) if v is not None]
+        if min(ahead) >= end:
+            end = (math.floor(min(ahead) / width) + 1) * width
+            end = end if end > min(ahead) else math.nextafter(min(ahead), math.inf)
     raise RuntimeError("shortest paths did not settle")
 
 
@@ -237,23 +273,27 @@ def ancestors(nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
 
 
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
-    """``node, size, height, leaves``: nodes below and including each node, the greatest number of hops down from it and the leaves among
-    them. One sum for each level, from the deepest up; no node is paired with all that lie above it."""
-    flat = nodes.select("node", F.coalesce("parent", "node").alias("parent"))
-    tree = materialize(flat.join(tree_depths(flat).select("node", "depth"), "node"), "levels")
-    below = out = None
-    for level in range(tree.agg(F.max("depth")).first()[0] or 0, -1, -1):
-        here = tree.where(F.col("depth") == level).select("node", "parent")
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("s"), F.max("height").alias("h"), F.sum("leaves").alias("l"))
-            here = here.join(up, "node", "left")
-        else:
-            here = here.select("*", *[F.lit(None).cast("long").alias(c) for c in "shl"])
-        size, height = F.coalesce("s", F.lit(0)) + 1, F.coalesce(F.col("h") + 1, F.lit(0)).cast("int")
-        below = materialize(here.select("node", "parent", size.alias("size"), height.alias("height"), F.coalesce("l", F.lit(1)).cast("long").alias("leaves")), "level")
-        part = below.drop("parent")
-        out = part if out is None else out.union(part)
-    return out
+    """``node, size, height, leaves``: nodes below and including each node, the greatest number of hops down from it and the leaves among them.
+
+    By doubling: what a node knows of the descents shorter than 2**k, together with what its descendants exactly 2**k below know, is what holds for
+    descents shorter than 2**(k+1). Rounds grow with the logarithm of the height; each is a hash aggregate and a jump, over the nodes that still have an
+    ancestor that far up. Raises where parents form a cycle.
+    """
+    flat = nodes.select("node", F.when(F.coalesce(F.col("parent") != F.col("node"), F.lit(False)), F.col("parent")).alias("up"))
+    inner = flat.where("up is not null").select(F.col("up").alias("node")).distinct().withColumn("inner", F.lit(True))
+    leaf = F.when(F.coalesce("inner", F.lit(False)), 0).otherwise(1).cast("long")
+    now = materialize(flat.join(inner, "node", "left").select("node", "up", F.lit(1).cast("long").alias("size"), F.lit(0).alias("height"), leaf.alias("leaves")), "subtrees")
+    for k in range(30):  # a tree less than 2**30 high is done
+        going = now.where("up is not null")
+        if going.isEmpty():
+            return now.drop("up")
+        told = going.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("s"), F.max(F.col("height") + F.lit(1 << k)).alias("h"), F.sum("leaves").alias("l"))
+        jump = going.select("node", "up").join(now.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("far"))
+        new = now.join(told, "node", "left").join(jump, "node", "left")
+        grown = new.select("node", F.col("far").alias("up"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), F.greatest("height", F.coalesce(F.col("h").cast("int"), F.lit(0))).alias("height"), (F.col("leaves") + F.coalesce("l", F.lit(0))).alias("leaves"))
+        old, now = now, materialize(grown, "subtrees")
+        discard(old)
+    raise ValueError("the parents form a cycle")
 
 
 def branch_ends(nodes: DataFrame) -> DataFrame:

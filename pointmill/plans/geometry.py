@@ -216,6 +216,17 @@ def lvp_median(spark, sf_dir):
     return fit.lvp_median(pts(spark, sf_dir), "label")
 
 
+def lvp_gradient(spark, sf_dir):
+    """Whether the gradient of sum d + 30 sum (d - mean d)^2 is 0, for each label, at the centre found."""
+    p = pts(spark, sf_dir)
+    j = p.join(fit.lvp_median(p, "label").select("label", *[F.col(a).alias(f"c{a}") for a in "xyz"]), "label")
+    d = F.sqrt(geom.squared("cx", "cy", "cz", "x", "y", "z"))
+    unit = {a: (F.col(f"c{a}") - F.col(a)) / d for a in "xyz"}
+    s = j.groupBy("label").agg(F.count("*").alias("n"), F.sum(d).alias("s"), *[F.sum(v).alias(f"u{a}") for a, v in unit.items()], *[F.sum(F.col(f"c{a}") - F.col(a)).alias(f"o{a}") for a in "xyz"])
+    slope = [F.col(f"u{a}") + 60.0 * (F.col(f"o{a}") - F.col(f"u{a}") * F.col("s") / F.col("n")) for a in "xyz"]
+    return s.select("label", "n", *[(F.abs(v) < 1e-6 * F.col("n")).alias(f"flat_{a}") for v, a in zip(slope, "xyz", strict=True)])
+
+
 def local_weight_median(spark, sf_dir):
     return fit.weighted_local_median(pts(spark, sf_dir), "label")
 
@@ -265,7 +276,7 @@ QUERIES = {
         voxel_centroid, voxel_estimated, lineitem_voxels, bounding_box, plane_distance, point_line_distance, vector_algebra, osculating_frame, normalize,
         cardinal_spline, octree_code, grid_id_round_trip, cell_neighbours, gaussian_kernel, linearity, linearity_pca, sigma_smooth, density,
         histogram_mode, iteration_stats, polyline_length, bounding_sphere, mean_of_smallest, points_per_voxel, l1_median, ols_line,
-        ols_plane, ols_quadratic, circle_fit, lvp_median, local_weight_median, moving_least_squares,
+        ols_plane, ols_quadratic, circle_fit, lvp_median, lvp_gradient, local_weight_median, moving_least_squares,
     )
 }
 
@@ -303,6 +314,7 @@ SQL = {
     "bounding_sphere": f"WITH {PTS}, e AS (SELECT label, " + ", ".join(f"arg_min(struct_pack(x := x, y := y, z := z), struct_pack(v := {a}, i := id)) AS lo{a}, arg_max(struct_pack(x := x, y := y, z := z), struct_pack(v := {a}, i := id)) AS hi{a}" for a in "xyz") + " FROM pts GROUP BY label), d AS (" + " UNION ALL ".join(f"SELECT label, {i} AS i, lo{a} AS a, hi{a} AS b, sqrt((lo{a}.x-hi{a}.x)*(lo{a}.x-hi{a}.x)+(lo{a}.y-hi{a}.y)*(lo{a}.y-hi{a}.y)+(lo{a}.z-hi{a}.z)*(lo{a}.z-hi{a}.z)) AS d FROM e" for i, a in enumerate("zyx")) + "), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, i DESC) AS k FROM d) SELECT label, " + ", ".join(f"round((a.{c}+b.{c})/2, 6) AS c{c}" for c in "xyz") + ", round(d/2, 6) AS radius FROM r WHERE k = 1",
     "mean_of_smallest": f"WITH {CLOUD_E}, q AS (SELECT user_id, z, row_number() OVER (PARTITION BY user_id ORDER BY z) AS n FROM ce) SELECT user_id, round(avg(z), 6) AS mean FROM q WHERE n <= 25 GROUP BY user_id",
     "points_per_voxel": _voxel_sql(PTS, "pts", 0.1) + " SELECT round(count(*) / CAST(count(DISTINCT cell) AS DOUBLE), 6) AS mean FROM w",
+    "lvp_gradient": "SELECT label, count(*) AS n, true AS flat_x, true AS flat_y, true AS flat_z FROM embeddings GROUP BY label",
     "l1_median": median_sql(PTS, "pts", "label") + " SELECT label, round(mx, 5) AS x, round(my, 5) AS y, round(mz, 5) AS z FROM med",
     "ols_line": f"WITH {PTS} SELECT label, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM pts GROUP BY label",
     "ols_plane": _solve_sql(PTS, ["x", "y", "1.0"], "z", ["a", "b", "c"], "SELECT label, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c FROM r"),

@@ -170,6 +170,22 @@ def skeleton_edges(spark, sf_dir):
     return pipelines.skeleton_edges(state, skeleton.trace_branches(state, params), params, mend=False)
 
 
+def _strings(spark, sf_dir):
+    """Branches of ten successive points each."""
+    p = _p(spark, sf_dir)
+    return p, p.select(F.floor(F.col("id") / 10).cast("long").alias("branch"), (F.col("id") % 10).cast("int").alias("step"), "id")
+
+
+def bridges(spark, sf_dir):
+    p, branches = _strings(spark, sf_dir)
+    return _round(skeleton.branch_bridges(branches, p).select("branch", "head", "a", "b", "confidence"), "confidence")
+
+
+def merged_branches(spark, sf_dir):
+    p, branches = _strings(spark, sf_dir)
+    return _round(skeleton.merged_branches(branches, p, 0.03), "x", "y", "z", digits=4)
+
+
 def matrix_round_trip(spark, sf_dir):
     """The first 16 dimensions as a 4 x 4 matrix, its second row, and back."""
     from .views import table
@@ -429,7 +445,7 @@ QUERIES = {
         components, big_components, dbscan_eps, knn_clusters, sssp, level_sets, level_components, density_edges, incident_mean, cluster_tree,
         kmeans5, sliding_levels, drop_longest, lowest_point, split_at_median, undirected_edges, path_edges, seeds, cylinder_filter, furthest_five,
         skinning, recenter, resample_lines, component_bridge, repair_components, tree_measures, branch_ends, spline_densify, circles, triangles, smooth_radii, fission,
-        set_operations, xyz_round_trip, skeleton_obj, member_radii, surface_neighbours, count_density, joint_centres, skeleton_edges, matrix_round_trip,
+        set_operations, xyz_round_trip, skeleton_obj, member_radii, surface_neighbours, count_density, joint_centres, skeleton_edges, bridges, merged_branches, matrix_round_trip,
     )
 }
 
@@ -449,6 +465,38 @@ def _reach(cte: str, edges: str, nodes: str, select: str) -> str:
 
 _E05 = f"SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id <> b.id AND {D2} < 0.05*0.05"
 _CC = "SELECT node, component FROM cc"
+def _cos(a: str, b: str) -> str:
+    """Cosine of the angle between two structs x, y, z."""
+    dot = lambda p, q: "(" + " + ".join(f"{p}.{c}*{q}.{c}" for c in "xyz") + ")"
+    return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
+
+
+def _less(a: str, b: str) -> str:
+    """The struct a - b."""
+    return "{" + ", ".join(f"'{c}': {a}.{c} - {b}.{c}" for c in "xyz") + "}"
+
+
+_BRIDGES = f"""{PTS}, s AS (SELECT id // 10 AS branch, CAST(id % 10 AS INTEGER) AS step, id, x, y, z, {{'x': x, 'y': y, 'z': z}} AS spot FROM pts),
+o AS (SELECT *, lag(spot) OVER w AS before, lead(spot) OVER w AS after FROM s WINDOW w AS (PARTITION BY branch ORDER BY step)),
+len AS (SELECT branch, sum(sqrt((x-before.x)*(x-before.x)+(y-before.y)*(y-before.y)+(z-before.z)*(z-before.z))) AS length FROM o GROUP BY branch),
+met AS (SELECT a.branch, a.before IS NULL AS head, a.id AS a, b.id AS b, a.spot AS p1, coalesce(a.before, a.after) AS p0, b.spot AS p2, b.before, b.after, length, sqrt({D2}) AS dist
+  FROM o a JOIN len ON len.branch = a.branch JOIN o b ON a.id <> b.id WHERE a.before IS NULL OR a.after IS NULL QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) <= 5),
+way AS (SELECT *, {_less("p2", "p1")} AS way, {_less("p1", "p0")} AS along, {_less("before", "p2")} AS back FROM met),
+br AS (SELECT branch, head, a, b, {_cos("along", "way")} - dist / length AS confidence, p0, p1, p2, dist,
+  CASE WHEN before IS NOT NULL AND (after IS NULL OR way.x*back.x + way.y*back.y + way.z*back.z > 0) THEN before ELSE after END AS p3
+  FROM way QUALIFY row_number() OVER (PARTITION BY branch, head ORDER BY {_cos("along", "way")} - dist / length DESC, b) = 1),
+bridge AS (SELECT * FROM br WHERE confidence > 0.3)"""
+_SPLINE = ", ".join(
+    f"CAST(CAST(p0.{c}*(-0.25*u*u*u + 2*0.25*(u*u) - 0.25*u) + p1.{c}*((2-0.25)*(u*u*u) + (0.25-3)*(u*u) + 1.0) + p2.{c}*((0.25-2)*(u*u*u) + (3-2*0.25)*(u*u) + 0.25*u) + p3.{c}*(0.25*(u*u*u) - 0.25*(u*u)) AS FLOAT) AS DOUBLE) AS {c}" for c in "xyz"
+)
+_MERGED = f"""WITH RECURSIVE {_BRIDGES}, k AS (SELECT *, CAST(floor((dist + 0.015) / 0.03) AS INTEGER) - 1 AS total FROM bridge),
+u AS (SELECT branch, head, n, CAST(n AS DOUBLE) / (total + 1) AS u, p0, p1, p2, p3 FROM (SELECT *, unnest(range(1, total + 1)) AS n FROM k)),
+every AS (SELECT branch, CAST(step AS BIGINT) AS ord, id, x, y, z FROM s UNION ALL SELECT branch, CASE WHEN head THEN -n ELSE 1000 + n END, NULL, x, y, z FROM (SELECT branch, head, n, {_SPLINE} FROM u)
+  UNION ALL SELECT branch, CASE WHEN head THEN -1000000 ELSE 1000000 END, b, p2.x, p2.y, p2.z FROM bridge),
+link AS (SELECT branch AS a, b // 10 AS b FROM bridge UNION SELECT b // 10, branch FROM bridge),
+r(node, other) AS (SELECT DISTINCT branch, branch FROM s UNION SELECT r.node, link.b FROM r JOIN link ON link.a = r.other),
+cc AS (SELECT node, min(other) AS merged FROM r GROUP BY node)
+SELECT merged, branch, CAST(row_number() OVER (PARTITION BY branch ORDER BY ord) - 1 AS INTEGER) AS step, id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM every JOIN cc ON cc.node = branch"""
 _SYM3 = f"{PTS}, {_knn(3)}, sym AS (SELECT DISTINCT * FROM (SELECT src, dst, dist AS weight FROM nn UNION ALL SELECT dst, src, dist FROM nn))"
 _SSSP = f"WITH RECURSIVE {PTS}, e AS (SELECT a.id AS src, b.id AS dst, sqrt({D2}) AS w FROM pts a JOIN pts b ON a.id <> b.id AND {D2} < 0.2*0.2), q AS (SELECT count(*) AS n FROM pts), r(step, m) AS (SELECT 0, MAP {{CAST(0 AS BIGINT): CAST(0 AS DOUBLE)}} UNION ALL SELECT step + 1, (SELECT map(list(node ORDER BY node), list(d ORDER BY node)) FROM (SELECT node, min(d) AS d FROM (SELECT unnest(map_keys(r.m)) AS node, unnest(map_values(r.m)) AS d UNION ALL SELECT e.dst, k.d + e.w FROM (SELECT unnest(map_keys(r.m)) AS node, unnest(map_values(r.m)) AS d) k JOIN e ON e.src = k.node) GROUP BY node)) FROM r WHERE step < 40), d AS (SELECT unnest(map_keys(m)) AS node, unnest(map_values(m)) AS dist FROM r WHERE step = 40)"
 _TREE_UP = f"WITH RECURSIVE {TREE}, anc(node, ancestor, hops) AS (SELECT node, node, 0 FROM tree UNION ALL SELECT anc.node, t.parent, hops + 1 FROM anc JOIN tree t ON t.node = anc.ancestor AND t.parent <> t.node)"
@@ -541,6 +589,8 @@ SQL = {
     "furthest_five": f"WITH {PTS} SELECT label, id, CAST(row_number() OVER (PARTITION BY label ORDER BY x*0.6+y*0.8 DESC, id) AS INTEGER) AS rank FROM pts QUALIFY rank <= 5",
     "skinning": f"WITH {PTS}, {_ASSIGN}) SELECT id, node_id, node_id % 4 AS branch, round(dist, 6) AS dist FROM nn WHERE n = 1",
     "recenter": f"WITH {PTS}, {_ASSIGN}), k AS (SELECT node_id AS id FROM nn WHERE n = 1 GROUP BY node_id HAVING count(*) >= 10) SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pts JOIN k USING (id)",
+    "bridges": f"WITH {_BRIDGES} SELECT branch, head, a, b, round(confidence, 6) AS confidence FROM bridge",
+    "merged_branches": _MERGED,
     "component_bridge": _reach(PTS, _E05, "pts", f", big AS (SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), p AS (SELECT pts.*, component FROM pts JOIN cc ON cc.node = pts.id) SELECT a.id AS src, b.id AS dst, round(sqrt({D2}), 6) AS dist FROM p a JOIN p b ON a.component <> (SELECT component FROM big) AND b.component = (SELECT component FROM big) ORDER BY sqrt({D2}), a.id, b.id LIMIT 1").replace(") ,", "),"),
     "tree_measures": _TREE_UP + ", dep AS (SELECT node, max(hops) AS depth FROM anc GROUP BY node), sub AS (SELECT ancestor AS node, count(*) AS size, max(hops) AS height FROM anc GROUP BY ancestor) SELECT node, CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS root, size, CAST(height AS INTEGER) AS height FROM dep JOIN sub USING (node)",
     "branch_ends": f"WITH {TREE}, k AS (SELECT parent AS node, count(*) AS n FROM tree WHERE parent <> node GROUP BY parent) SELECT node, coalesce(n, 0) AS children FROM tree LEFT JOIN k USING (node) WHERE coalesce(n, 0) <> 1 OR parent = node",
