@@ -235,7 +235,7 @@ def moving_least_squares(spark, sf_dir):
     from ..operators.spatial import knn
 
     p = pts(spark, sf_dir).select("id", "x", "y", "z")
-    return fit.moving_least_squares(p, knn(p, p, 13))
+    return _round(fit.moving_least_squares(p, knn(p, p, 13)), "x", "y", "z", digits=4)
 
 
 def median_sql(cte: str, name: str, key: str, steps: int = 600) -> str:
@@ -259,7 +259,8 @@ def median_sql(cte: str, name: str, key: str, steps: int = 600) -> str:
     )
 
 
-def _solve_sql(cte: str, terms: list[str], target: str, out: list[str], select: str) -> str:
+def _fit_cte(name: str, source: str, key: str, terms: list[str], target: str, out: list[str]) -> str:
+    """A CTE with the coefficients of a least-squares fit of three terms for each key."""
     sums = ", ".join([f"sum({terms[i]}*{terms[j]}) AS m{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum({terms[i]}*{target}) AS v{i}" for i in range(3)])
 
     def det(m):
@@ -267,7 +268,22 @@ def _solve_sql(cte: str, terms: list[str], target: str, out: list[str], select:
 
     full = [[f"m{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
     cols = ", ".join(f"{det([[f'v{i}' if j == c else full[i][j] for j in range(3)] for i in range(3)])}/{det(full)} AS {out[c]}" for c in range(3))
-    return f"WITH {cte}, s AS (SELECT label, {sums} FROM pts GROUP BY label), r AS (SELECT label, {cols} FROM s) {select}"
+    return f"{name}_sums AS (SELECT {key}, {sums} FROM {source} GROUP BY {key}), {name} AS (SELECT {key}, {cols} FROM {name}_sums)"
+
+
+def _solve_sql(cte: str, terms: list[str], target: str, out: list[str], select: str) -> str:
+    return f"WITH {cte}, {_fit_cte('r', 'pts', 'label', terms, target, out)} {select}"
+
+
+_MLS = f"""WITH {PTS}, nn AS (SELECT a.id AS src, b.x-a.x AS x, b.y-a.y AS y, b.z-a.z AS z FROM pts a JOIN pts b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) <= 13),
+{_fit_cte("plane", "nn", "src", ["x", "y", "1.0"], "z", ["a", "b", "c"])},
+n AS (SELECT src, -a/sqrt(a*a+b*b+1) AS nx, -b/sqrt(a*a+b*b+1) AS ny, 1/sqrt(a*a+b*b+1) AS nz FROM plane),
+f AS (SELECT src, 1-nx*nx/(1+nz) AS ux, -nx*ny/(1+nz) AS uy, -nx AS uz, -nx*ny/(1+nz) AS vx, 1-ny*ny/(1+nz) AS vy, -ny AS vz FROM n),
+flat AS (SELECT src, x*ux+y*uy+z*uz AS p, x*vx+y*vy+z*vz AS q FROM nn JOIN f USING (src)),
+turn AS (SELECT src, atan(regr_slope(q, p)) AS t FROM flat GROUP BY src),
+turned AS (SELECT src, p*cos(t)+q*sin(t) AS x, q*cos(t)-p*sin(t) AS y FROM flat JOIN turn USING (src)),
+{_fit_cte("curve", "turned", "src", ["x*x", "x", "1.0"], "y", ["a", "b", "c"])}
+SELECT id, {", ".join(f"round({a} + (u{a}*-sin(t) + v{a}*cos(t))*c, 4) AS {a}" for a in "xyz")} FROM pts JOIN f ON f.src = id JOIN turn ON turn.src = id JOIN curve ON curve.src = id"""
 
 
 QUERIES = {
@@ -316,6 +332,7 @@ SQL = {
     "points_per_voxel": _voxel_sql(PTS, "pts", 0.1) + " SELECT round(count(*) / CAST(count(DISTINCT cell) AS DOUBLE), 6) AS mean FROM w",
     "lvp_gradient": "SELECT label, count(*) AS n, true AS flat_x, true AS flat_y, true AS flat_z FROM embeddings GROUP BY label",
     "l1_median": median_sql(PTS, "pts", "label") + " SELECT label, round(mx, 5) AS x, round(my, 5) AS y, round(mz, 5) AS z FROM med",
+    "moving_least_squares": _MLS,
     "ols_line": f"WITH {PTS} SELECT label, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM pts GROUP BY label",
     "ols_plane": _solve_sql(PTS, ["x", "y", "1.0"], "z", ["a", "b", "c"], "SELECT label, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c FROM r"),
     "ols_quadratic": _solve_sql(PTS, ["x*x", "x", "1.0"], "y", ["a", "b", "c"], "SELECT label, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM r"),
