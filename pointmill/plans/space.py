@@ -119,7 +119,7 @@ def wlop_step(spark, sf_dir):
 
 
 def wlop(spark, sf_dir):
-    return sample.wlop(_p(spark, sf_dir), sample_num=200, iter_num=3, cell_size=0.05)
+    return sample.wlop(_p(spark, sf_dir), cell_size=0.05)
 
 
 def merge_close(spark, sf_dir):
