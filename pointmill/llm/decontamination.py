@@ -9,14 +9,15 @@ at least ``similarity`` with the item on five-word shingles (bags: repeats count
 2. *Windows.* For each item size, every window of the document with that many words is looked at. What it can share with any item of
    the size is bounded by the weight of its shingles that some such item holds; where this bound, a running sum, reaches the
    similarity, the window is fingerprinted. No other window can match.
-3. A window's *SimHash* is the sign of the weighted sum of its shingles' hash bits.
+3. A window's *SimHash* is the sign of the sum of its shingles' hash bits, by the square roots of their weights: so the angle between similar bags does not
+   depend on how the weights are spread (see ``simhash``).
 4. *Multi-index Hamming blocks.* Fingerprints are cut into ``BLOCKS`` blocks. If two fingerprints differ in at most ``radius`` bits,
    they differ in at most radius // BLOCKS bits in one of their blocks; every item is listed under each of its blocks, and a window
    looks up, for every block, all values within that many bits of its own, so it meets every item within the radius.
 5. Candidates within the radius are compared by exact weighted shingles.
 
-All steps but the radius are exact; similarity 0.8 means 10 differing bits of 64 on average, and 19 or fewer in all but about one case
-in a thousand; a window with exactly an item's shingles differs in none.
+All steps but the radius are exact; similarity 0.8 means a cosine of at least 0.889, so at most 10 differing bits of 64 on average, and 19 or fewer in all but about
+one case in a thousand; a window with exactly an item's shingles differs in none.
 
 Items are dealt by a hash into groups of about ``group_bytes`` of text; the documents are read once for each group, and a group is
 what a task holds. The groups do not change any similarity.
@@ -68,11 +69,17 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> tuple[np.ndarray, int]:
     return _mix(out ^ np.uint64(span)), n
 
 
-def simhash(hashes: np.ndarray, weights: np.ndarray) -> int:
-    """The weighted SimHash of shingles."""
+def simhash(hashes: np.ndarray, weights: Weights) -> int:
+    """The SimHash of a bag of shingles.
+
+    A shingle votes with the square root of its weight in the bag, so the cosine of two bags is the weight that they share over the geometric mean of their weights,
+    whatever the single weights are: at least 2 s / (1 + s) for a similarity s. Shingles that no item holds have no vote; leaving them out only brings a
+    window nearer to the items.
+    """
+    hashes, many = np.unique(hashes, return_counts=True)
+    votes = np.sqrt(weights(hashes) * many) * weights.held(hashes)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = weights @ bits * 2 - weights.sum()
-    return int.from_bytes(np.packbits(votes > 1e-9, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(votes @ bits * 2 - votes.sum() > 1e-9, bitorder="little").tobytes(), "little")
 
 
 class Weights:
@@ -80,10 +87,15 @@ class Weights:
 
     def __init__(self, items: int, counts: np.ndarray):
         self.of_bucket = np.log1p(items / np.maximum(1, counts)).astype(np.float32)
+        self.in_items = counts > 0
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         return self.of_bucket[(hashes % np.uint64(BUCKETS)).astype(np.int64)].astype(np.float64)
 
+    def held(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether an item may hold a shingle."""
+        return self.in_items[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
+
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray, weights: Weights) -> float:
     """Weighted Jaccard similarity of two bags of shingles."""
@@ -108,7 +120,7 @@ class ItemIndex:
             if n:
                 self.ids.append(item)
                 self.bags.append(hashes)
-                self.prints.append(simhash(hashes, weights(hashes)))
+                self.prints.append(simhash(hashes, weights))
                 sizes.append(n)
         #: The items' sizes, the shingles that items of each size hold, and the least weight of an item of the size.
         self.sizes, of = np.unique(sizes, return_inverse=True) if sizes else (np.zeros(0, dtype=np.int64), [])
@@ -174,7 +186,7 @@ class ItemIndex:
             found: dict[int, set[int]] = {}
             for begin, size in self.windows(own, n, min(words, n), similarity):
                 part = own[begin : begin + size - min(words, n) + 1]
-                fp = simhash(part, self.weights(part))
+                fp = simhash(part, self.weights)
                 if fp not in found:
                     found[fp] = self.near(fp)
                 for k in sorted(found[fp]):
