@@ -50,6 +50,7 @@ FORMAT_RULES = (
 )
 RULES = BASE_RULES + FORMAT_RULES
 CHUNK = 256
+FEW = 2_000_000  # 64-bit hashes that are broadcast, some 32 MB
 
 SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 
@@ -119,25 +120,36 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _paths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _unseen(docs: DataFrame, ledger_path: str, rule_version: str, id_col: str, text_col: str) -> DataFrame | None:
+    """``blob, text`` of the blobs that the ledger does not hold for this rule version, or None if it holds them all.
+
+    For each unseen blob one row is chosen by a hash aggregate over digests alone, which combines copies before the shuffle: the least 64-bit hash of path and
+    blob. Where the ledger holds most blobs, the chosen hashes, at most ``FEW`` and checked, are broadcast, so that no text but the unseen ones leaves its task.
+    Else most texts have to be scanned anyway and are dealt out by that hash, repeated rows combined first. Either way copies do not meet in one task.
+    """
+    spark = docs.sparkSession
     text = empty_if_null(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("path"), blob_id(text).alias("blob"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("path"), blob_id(text).alias("blob"), text.alias("text"))
+    rows = rows.select(F.xxhash64("path", "blob").alias("key"), "blob", "text")
+    known = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).select("blob")
+    chosen = materialize(rows.groupBy("blob").agg(F.min("key").alias("key")).join(known, "blob", "left_anti"), "chosen")
+    many = chosen.count()
+    if not many:
+        return None
+    if many <= FEW and 10 * many <= known.count():
+        rows = rows.join(F.broadcast(chosen.select("key")), "key", "left_semi")
+        return rows.groupBy("key", "blob").agg(F.first("text").alias("text")).drop("key")
+    rows = rows.groupBy("key", "blob").agg(F.first("text").alias("text"))
+    return rows.join(chosen.hint("shuffle_hash"), ["key", "blob"], "left_semi").drop("key")
 
 
 def scan_unseen(docs: DataFrame, ledger_path: str, *, rules: tuple[Rule, ...] = RULES, rule_version: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Scan the blobs of ``docs`` that the ledger does not hold for this rule version and append them to the ledger.
-
-    For each unseen blob one path is chosen by a hash aggregate over paths and blob ids alone, which combines copies before the
-    shuffle; only the chosen paths' texts are scanned. The texts are dealt out by path and blob, so copies do not meet in one task.
-    """
-    spark, rule_version = docs.sparkSession, rule_version or version_of(rules)
-    paths = _paths(docs, id_col, text_col)
-    known = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).select("blob").distinct()
-    chosen = paths.groupBy("blob").agg(F.min("path").alias("path")).join(known, "blob", "left_anti")
-    # Repeated rows are combined before the shuffle and once more after it.
-    unseen = paths.groupBy("path", "blob").agg(F.first("text").alias("text")).join(chosen.hint("shuffle_hash"), ["path", "blob"], "left_semi")
-    spans = scan_text(F.col("text"), F.lower("text"), rules)
-    unseen.select("blob", F.lit(rule_version).alias("rule_version"), spans.alias("spans")).write.mode("append").parquet(ledger_path)
+    """Scan the blobs of ``docs`` that the ledger does not hold for this rule version and append them to the ledger."""
+    rule_version = rule_version or version_of(rules)
+    unseen = _unseen(docs, ledger_path, rule_version, id_col, text_col)
+    if unseen is not None:
+        spans = scan_text(F.col("text"), F.lower("text"), rules)
+        unseen.select("blob", F.lit(rule_version).alias("rule_version"), spans.alias("spans")).write.mode("append").parquet(ledger_path)
 
 
 def findings(docs: DataFrame, ledger_path: str | None = None, *, rules: tuple[Rule, ...] = RULES, rule_version: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -302,7 +302,7 @@ def test_decontamination_against_every_window(spark):
 
 def test_hamming_blocks_find_all_within_the_radius():
     rng = random.Random(9)
-    weights = decontamination.Weights(200, np.zeros(decontamination.BUCKETS))
+    weights = decontamination.Weights(200, np.ones(decontamination.BUCKETS))
     index = decontamination.ItemIndex([(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20))) for i in range(200)], 5, 19, weights)
     for _ in range(200):
         fp = index.prints[rng.randrange(200)]
@@ -311,6 +311,49 @@ def test_hamming_blocks_find_all_within_the_radius():
         assert index.near(fp) == {k for k, p in enumerate(index.prints) if (fp ^ p).bit_count() <= 19}
 
 
+@pytest.mark.parametrize("header, changed", [(400, 1), (800, 3), (1500, 6)])
+def test_no_link_is_lost_to_a_common_header(header, changed):
+    """Items that share a header of light shingles: neither its changed words, unknown to all items, nor one of an item's few own words leads a similar window beyond the radius."""
+    rng = random.Random(header)
+    top = [f"h{i}" for i in range(header)]
+    items = [" ".join(top + [f"w{rng.randrange(10**7)}" for _ in range(10)]) for _ in range(300)]
+    bags = [decontamination.shingle_hashes(t.encode())[0] for t in items]
+    counts = np.zeros(decontamination.BUCKETS, dtype=np.int64)
+    for bag in bags:
+        counts[np.unique(bag % np.uint64(decontamination.BUCKETS)).astype(np.int64)] += 1
+    weights = decontamination.Weights(len(items), counts)
+    index = decontamination.ItemIndex(list(enumerate(items)), 5, 19, weights)
+    similar = 0
+    for _ in range(60):
+        k = rng.randrange(len(items))
+        words = items[k].split()
+        for at in rng.sample(range(header), changed) if rng.random() < 0.5 else [rng.randrange(header, header + 10)]:
+            words[at] = f"x{rng.randrange(10**7)}"
+        window = decontamination.shingle_hashes(" ".join(words).encode())[0]
+        if decontamination.weighted_similarity(window, bags[k], weights) >= 0.8:
+            similar += 1
+            assert k in index.near(decontamination.simhash(window, weights))
+    assert similar >= 20
+
+
+def test_a_ledger_that_holds_most_blobs_moves_no_other_text(spark, tmp_path):
+    """Nothing is read again when all blobs are known; a few new ones are picked by broadcast hashes below the only exchange of texts."""
+    ledger = str(tmp_path / "ledger")
+    old = [(i, f"text {i % 30} password = abcdefghijkl{i % 30:02d}") for i in range(60)]
+    version = secrets.version_of(secrets.RULES)
+    unseen = lambda rows: secrets._unseen(spark.createDataFrame(rows, ROWS), ledger, version, "doc_id", "text")
+    secrets.scan_unseen(spark.createDataFrame(old, ROWS), ledger)
+    assert spark.read.parquet(ledger).count() == 30 and unseen(old) is None
+    new = [*old, (77, "token: 0123456789abcdef"), (77, "token: 0123456789abcdef"), (78, "token: 0123456789abcdef"), (79, None)]
+    got = unseen(new)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    texts = [n for n, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(texts) == 1 and texts[0] < next(n for n, line in enumerate(plan) if "BroadcastHashJoin" in line)
+    assert sorted(r["text"] for r in got.collect()) == ["", "token: 0123456789abcdef"]
+    found = {r["doc_id"]: len(r["spans"]) for r in secrets.findings(spark.createDataFrame(new, ROWS), ledger).collect()}
+    assert spark.read.parquet(ledger).count() == 32 and found[79] == 0 and found[77] == found[78] == 2 and found[5] == 1
+
+
 def _labelled(spark, make, n=400):
     rows = [(i, *make(i)) for i in range(n)]
     return spark.createDataFrame([(i, t) for i, t, _ in rows], ROWS), spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
