@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geom
 from ..functions.scratch import scratch_path
 from ..operators import contract, graph, sample, skeleton, spatial, stats, surface
-from ..sources import clouds
+from ..sources import clouds, ply
 from .geometry import D2, SIGMA, _round, _voxel_sql, median_sql
 from .views import CLOUD_E, PTS, TREE, cloud_e, pts, tree
 
@@ -429,6 +429,61 @@ def xyz_round_trip(spark, sf_dir):
     return back.groupBy("x", "y", "z").agg(F.count("*").alias("n"))
 
 
+def ply_round_trip(spark, sf_dir):
+    """Points written as binary PLY files of 300 vertices and read again in parts of 100."""
+    path = scratch_path(spark, "points.ply")
+    ply.register(spark)
+    _p(spark, sf_dir).select("x", "y", "z").write.format("ply").option("file_rows", 300).mode("append").save(path)
+    back = spark.read.format("ply").option("part_bytes", 1200).load(path)
+    return back.groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+
+
+def _text_round_trip(spark, sf_dir, suffix, head, row):
+    """Numbered lines after those of a header, as text, and read again by suffix."""
+    path = scratch_path(spark, f"lines.{suffix}")
+    first = spark.createDataFrame([(n - len(head), v) for n, v in enumerate(head)], "line long, value string")
+    clouds.write_lines(first.union(row), path)
+    return path
+
+
+def obj_round_trip(spark, sf_dir):
+    """Points as the vertices of an OBJ file, read again with their numbers."""
+    row = _p(spark, sf_dir).select("id", F.format_string("v %.4f %.4f %.4f", "x", "y", "z"))
+    return clouds.load_cloud(spark, _text_round_trip(spark, sf_dir, "obj", ["# points", "vn 0 0 1"], row))
+
+
+def off_round_trip(spark, sf_dir):
+    """Points as the vertices of an OFF file, read again with their numbers; places of a quarter, which single precision holds."""
+    p = _p(spark, sf_dir)
+    row = p.select("id", F.format_string("%.2f %.2f %.2f", *[F.floor(F.col(a) * 4) / 4 for a in "xyz"]))
+    return clouds.load_cloud(spark, _text_round_trip(spark, sf_dir, "off", ["OFF # points", f"{p.count()} 0 0"], row))
+
+
+def _tree_lines(spark, sf_dir):
+    t = tree(spark, sf_dir).withColumns({a: F.floor(F.col(a) * 4) / 4 for a in "xyz"})
+    edges = t.where("node <> parent")
+    return t, edges, t.count()
+
+
+def skelz_round_trip(spark, sf_dir):
+    """The tree as a skelz file; its edges with their lengths, read again."""
+    t, edges, n = _tree_lines(spark, sf_dir)
+    rows = t.select(F.col("node").alias("line"), F.format_string("%d %.2f %.2f %.2f", "node", "x", "y", "z").alias("value"))
+    rows = rows.union(spark.createDataFrame([(n + i, "end" if not i else "-") for i in range(6)], "line long, value string"))
+    rows = rows.union(edges.select(F.col("node") + n + 6, F.format_string("%d %d", "node", "parent")))
+    _, back = clouds.load_skeleton(spark, _text_round_trip(spark, sf_dir, "skelz", ["head"], rows))
+    return back
+
+
+def cg_round_trip(spark, sf_dir):
+    """The tree as a cg file, whose nodes are numbered from 1; its edges with their lengths, read again."""
+    t, edges, n = _tree_lines(spark, sf_dir)
+    rows = t.select(F.col("node").alias("line"), F.format_string("v %.2f %.2f %.2f", "x", "y", "z").alias("value"))
+    rows = rows.union(edges.select(F.col("node") + n, F.format_string("e %d %d", F.col("node") + 1, F.col("parent") + 1)))
+    _, back = clouds.load_skeleton(spark, _text_round_trip(spark, sf_dir, "cg", [f"# D:3 NV:{n} NE:{n - 1}"], rows))
+    return back
+
+
 def skeleton_obj(spark, sf_dir):
     """A skeleton as the lines of an OBJ document."""
     t = tree(spark, sf_dir)
@@ -445,11 +500,14 @@ QUERIES = {
         components, big_components, dbscan_eps, knn_clusters, sssp, level_sets, level_components, density_edges, incident_mean, cluster_tree,
         kmeans5, sliding_levels, drop_longest, lowest_point, split_at_median, undirected_edges, path_edges, seeds, cylinder_filter, furthest_five,
         skinning, recenter, resample_lines, component_bridge, repair_components, tree_measures, branch_ends, spline_densify, circles, triangles, smooth_radii, fission,
-        set_operations, xyz_round_trip, skeleton_obj, member_radii, surface_neighbours, count_density, joint_centres, skeleton_edges, bridges, merged_branches, matrix_round_trip,
+        set_operations, xyz_round_trip, ply_round_trip, obj_round_trip, off_round_trip, skelz_round_trip, cg_round_trip, skeleton_obj, member_radii, surface_neighbours, count_density, joint_centres, skeleton_edges, bridges, merged_branches, matrix_round_trip,
     )
 }
 
 
+_TREE_EDGES = "WITH " + TREE + ", q AS (SELECT node, parent, floor(x*4)/4 AS x, floor(y*4)/4 AS y, floor(z*4)/4 AS z FROM tree) SELECT CAST(a.node + {add} AS INTEGER) AS src, CAST(b.node + {add} AS INTEGER) AS dst, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS weight FROM q a JOIN q b ON a.parent = b.node AND a.node <> a.parent"
+
+
 def _knn(k: int, name: str = "pts", extra: str = "") -> str:
     return f"nn AS (SELECT a.id AS src, b.id AS dst, sqrt({D2}) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS rank FROM {name} a JOIN {name} b ON a.id <> b.id{extra} QUALIFY rank <= {k})"
 
@@ -611,5 +669,10 @@ SQL = {
     "matrix_round_trip": "WITH m AS (SELECT vec_id AS id, list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE)) AS m FROM embeddings) SELECT id, round(list_sum(m[5:8]), 6) AS second, round(list_sum(m), 6) AS total FROM m",
     "set_operations": f"WITH {PTS} SELECT 'union' AS kind, id FROM pts WHERE x > 0 OR y > 0 UNION ALL SELECT 'difference', id FROM pts WHERE x > 0 AND NOT y > 0 UNION ALL SELECT 'except', id FROM pts WHERE NOT x > 0",
     "xyz_round_trip": f"WITH {PTS}, t AS (SELECT " + ", ".join(f"CAST(format('{{:.4f}}', {a}) AS DOUBLE) AS {a}" for a in "xyz") + " FROM pts) SELECT x, y, z, count(*) AS n FROM t GROUP BY ALL",
+    "ply_round_trip": f"WITH {PTS} SELECT x, y, z, count(*) AS n FROM pts GROUP BY ALL",
+    "obj_round_trip": f"WITH {PTS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, " + ", ".join(f"CAST(format('{{:.4f}}', {a}) AS DOUBLE) AS {a}" for a in "xyz") + " FROM pts",
+    "off_round_trip": f"WITH {PTS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, floor(x*4)/4 AS x, floor(y*4)/4 AS y, floor(z*4)/4 AS z FROM pts",
+    "skelz_round_trip": _TREE_EDGES.format(add=0),
+    "cg_round_trip": _TREE_EDGES.format(add=1),
     "skeleton_obj": f"WITH {TREE}, e AS (SELECT node+1 AS i, parent+1 AS j FROM tree WHERE node <> parent) SELECT 'l ' || i || ' ' || j AS value FROM e UNION SELECT 'l ' || j || ' ' || i FROM e UNION ALL SELECT '# skeleton' UNION ALL SELECT format('v {{:.4f}} {{:.4f}} {{:.4f}}', x, y, z) FROM tree",
 }

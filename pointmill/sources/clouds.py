@@ -2,20 +2,17 @@
 
 Text formats are read with ``spark.read.text``, so any file system that Spark knows will do. Rows of one file keep their order by
 the place of their block and line: ids are handed out by partition sizes and rows within, without bringing the rows together.
+PLY files are a data source of their own (``ply``).
 """
 
 from __future__ import annotations
 
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.spatial import ranked
-
-CLOUD = "id long, x double, y double, z double"
-
+from . import ply
+from .ply import CLOUD
 
 _PLACE = ["__file", "__block"]
 
@@ -68,45 +65,10 @@ def read_off(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.col("n") >= begin) & (F.col("n") < begin + int(counts[0]))).select((F.col("n") - begin).alias("id"), *[t[i].cast("float").cast("double").alias(a) for i, a in enumerate("xyz")])
 
 
-_PLY = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
-
-
-def parse_ply(content: bytes) -> np.ndarray:
-    """The vertices of a PLY file, ascii or binary, as single precision."""
-    end = content.index(b"end_header")
-    body = content.index(b"\n", end) + 1
-    kind, count, fields, inside = "", 0, [], False
-    for line in content[:end].decode("ascii").splitlines():
-        w = line.split()
-        if w[:1] == ["format"]:
-            kind = w[1]
-        elif w[:1] == ["element"]:
-            inside = w[1] == "vertex"
-            count = int(w[2]) if inside else count
-        elif w[:1] == ["property"] and inside:
-            if w[1] == "list":
-                raise ValueError("vertices with lists are not supported")
-            fields.append((w[2], _PLY[w[1]]))
-    if kind == "ascii":
-        rows = np.array(content[body:].split()[: count * len(fields)], dtype="f8").reshape(count, len(fields))
-        cols = [rows[:, [n for n, _ in fields].index(a)] for a in "xyz"]
-    else:
-        order = "<" if kind == "binary_little_endian" else ">"
-        rows = np.frombuffer(content, dtype=[(n, order + t) for n, t in fields], count=count, offset=body)
-        cols = [rows[a] for a in "xyz"]
-    return np.column_stack(cols).astype("f4").astype("f8")
-
-
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """The vertices of PLY files. A file is parsed by one task; many files are parsed by many."""
-
-    def run(batches):
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                v = parse_ply(content)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), *(pa.array(v[:, i]) for i in range(3))], names=["id", "x", "y", "z"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CLOUD)
+    """The vertices of PLY files, as single precision; binary files are read in parts."""
+    ply.register(spark)
+    return spark.read.format("ply").load(path)
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from pointmill.sources import clouds
+from pointmill.sources import clouds, ply
 
 
 def rows(df):
@@ -33,6 +33,40 @@ def test_ply(spark, tmp_path):
         assert rows(clouds.load_cloud(spark, str(tmp_path / name))) == [(0, 1.0, 2.0, 0.5), (1, 4.0, 5.0, 6.0)]
 
 
+def test_ply_in_parts(spark, tmp_path):
+    """Ranges of a binary file, several files, big-endian doubles, numbers cut between reads of an ascii file, and what must raise."""
+    head = "ply\nformat {} 1.0\nelement vertex {}\nproperty double x\nproperty double y\nproperty double z\nproperty uchar red\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    folder = tmp_path / "many"
+    folder.mkdir()
+    body = b"".join(struct.pack(">dddB", i, i + 0.25, -i, 1) for i in range(1000))
+    (folder / "a.ply").write_bytes(head.format("binary_big_endian", 1000).encode() + body + b"\x01\x00\x00\x00\x00")
+    (folder / "b.ply").write_text(head.format("ascii", 70_000) + "".join(f"{i} {i + 0.5}\n{-i} 3 " for i in range(70_000)) + "\n1 0")
+    (folder / "c.ply").write_text(head.format("ascii", 0))
+    ply.register(spark)
+    df = spark.read.format("ply").option("part_bytes", 2500).load(str(folder))
+    assert df.rdd.getNumPartitions() == 11
+    got = rows(df)
+    assert got == [(i, float(i), i + 0.25, float(-i)) for i in range(1000)] + [(1000 + i, float(i), i + 0.5, float(-i)) for i in range(70_000)]
+    assert len(rows(spark.read.format("ply").load(f"file://{folder}/a*.ply"))) == 1000 and rows(clouds.load_cloud(spark, str(folder / "c.ply"))) == []
+    (folder / "a.ply").write_bytes(head.format("binary_big_endian", 1000).encode() + body[:-30])
+    (tmp_path / "list.ply").write_text("ply\nformat ascii 1.0\nelement vertex 1\nproperty list uchar int x\nend_header\n1 1")
+    for bad in (folder / "a.ply", tmp_path / "list.ply", tmp_path / "none.ply"):
+        with pytest.raises(Exception, match="ends before|lists are not|none.ply"):
+            clouds.load_cloud(spark, str(bad)).collect()
+
+
+def test_ply_written(spark, tmp_path):
+    ply.register(spark)
+    points = spark.range(0, 1000, 1, 3).selectExpr("cast(id as double) as x", "id / 4 as y", "-1.0D as z")
+    for mode, times in (("append", 1), ("append", 2), ("overwrite", 1)):
+        points.write.format("ply").option("file_rows", 100).mode(mode).save(str(tmp_path / "out"))
+        back = rows(spark.read.format("ply").load(str(tmp_path / "out")))
+        assert [r[0] for r in back] == list(range(1000 * times)) and sorted(r[1:] for r in back) == sorted([(float(i), i / 4, -1.0) for i in range(1000)] * times)
+    assert not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("_")]
+    points.limit(0).write.format("ply").mode("append").save(str(tmp_path / "empty"))
+    assert (tmp_path / "empty").is_dir()
+
+
 def test_skeleton_formats(spark, tmp_path):
     (tmp_path / "a.skelz").write_text("head\n0 0 0 0\n1 3 4 0\nend\n1\n2\n3\n4\n5\n0 1\n")
     nodes, edges = clouds.load_skeleton(spark, str(tmp_path / "a.skelz"))
