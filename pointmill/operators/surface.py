@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..functions.scratch import materialize
+from ..functions.scratch import discard, materialize
 from .graph import ancestors, subtree_sizes, tree_depths
 
 
@@ -92,6 +92,51 @@ def fission(members: DataFrame, tree: DataFrame, *, rounds: int = 5) -> DataFram
     return placed.join(verdict, "node").select("node", F.when(F.col("apart"), F.col("part")).otherwise(0).cast("int").alias("part"), "id")
 
 
+def refine(members: DataFrame, tree: DataFrame, *, rounds: int = 5, least_depth: int = 13) -> tuple[DataFrame, DataFrame]:
+    """Members ``node, id, x, y, z`` and tree ``node, parent, x, y, z`` after the fission of forks from the tips to the root.
+
+    Level by level, the forks whose children lie at ``least_depth`` or deeper are split by ``fission``. Each part but the first becomes a node beside the fork: it takes its members, has
+    their mean as its place and leads from the fork's parent to its child; so a split makes the node above a fork, which the next level decides. Children of parts without members stay
+    with the fork. The root never splits. A new node is named node + part * (largest node + 1). Nodes are not negative, an id stands once in a node. A level is one set of jobs over its
+    forks alone, whatever their number.
+    """
+    size = tree.agg(F.min("node").alias("a"), F.max("node").alias("b")).first()
+    if size["a"] is not None and size["a"] < 0:
+        raise ValueError("nodes are numbered from 0")
+    stride = (size["b"] or 0) + 1
+    t = tree.select("node", F.coalesce("parent", "node").alias("parent"), "x", "y", "z").join(tree_depths(tree).select("node", "depth"), "node")
+    t = materialize(t, "tree")
+    m = materialize(members.select("node", "id", "x", "y", "z"), "members")
+    deepest = t.agg(F.max("depth")).first()[0] or 0
+    for level in range(deepest - 1, max(1, least_depth - 1) - 1, -1):
+        kids = t.where(F.col("depth") == level + 1)
+        forks = kids.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
+        forks = materialize(t.join(forks, "node", "left_semi"), "forks")
+        if forks.isEmpty():
+            discard(forks)
+            continue
+        own = kids.join(forks.select(F.col("node").alias("parent")), "parent", "left_semi")
+        parts = materialize(fission(m.join(forks.select("node"), "node", "left_semi"), own, rounds=rounds).where("part > 0"), "parts")
+        if parts.isEmpty():
+            discard(forks, parts)
+            continue
+        name = (F.col("node") + F.col("part") * stride).alias("into")
+        moved = m.join(parts, ["node", "id"], "left").select(F.when(F.col("part").isNull(), F.col("node")).otherwise(name).alias("node"), "id", "x", "y", "z")
+        moved = materialize(moved, "members")
+        split = parts.select("node", "part").distinct()
+        touched = split.select("node").union(split.select(name)).distinct()
+        at = moved.join(touched, "node", "left_semi").groupBy("node").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
+        number = (F.row_number().over(Window.partitionBy("parent").orderBy("node")) - 1).alias("part")
+        lead = own.select(F.col("node").alias("kid"), F.col("parent").alias("node"), number).join(split, ["node", "part"]).select(F.col("kid").alias("node"), name)
+        new = forks.join(split, "node").select(name.alias("node"), "parent", "x", "y", "z", "depth")
+        whole = t.join(lead, "node", "left").select("node", F.coalesce("into", "parent").alias("parent"), "x", "y", "z", "depth").union(new)
+        whole = whole.join(at, "node", "left").select("node", "parent", *[F.coalesce(f"m{a}", a).alias(a) for a in "xyz"], "depth")
+        whole = materialize(whole, "tree")
+        discard(t, m, forks, parts)
+        t, m = whole, moved
+    return m, t.drop("depth")
+
+
 def smooth_radii(tree: DataFrame, radii: DataFrame, *, steps: int = 7) -> DataFrame:
     """``node, radius``: within ``steps`` nodes above a fork radii go linearly from the fork's to their own."""
     forks = tree.where("parent <> node").groupBy(F.col("parent").alias("fork")).agg(F.count("*").alias("n")).where("n > 1").select("fork")

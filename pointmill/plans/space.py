@@ -381,6 +381,14 @@ def fission(spark, sf_dir):
     return surface.fission(m, t)
 
 
+def refine(spark, sf_dir):
+    """Forks of the tree split from the tips to the root, with the number of members of each node."""
+    t, m = _subtree_members(spark, sf_dir)
+    held, refined = surface.refine(m, t, least_depth=1)
+    n = held.groupBy("node").agg(F.count("*").alias("n"))
+    return refined.join(n, "node", "left").select("node", "parent", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def member_radii(spark, sf_dir):
     """Chains of eight nodes, at each end of which up to two others begin; the members of a node are the points near it."""
     p = _p(spark, sf_dir)
@@ -499,7 +507,7 @@ QUERIES = {
         random_sample, wlop_step, wlop, merge_close, contraction_step0, contraction_step1, k_update, recontract_step, knn_contraction, level_set_tree,
         components, big_components, dbscan_eps, knn_clusters, sssp, level_sets, level_components, density_edges, incident_mean, cluster_tree,
         kmeans5, sliding_levels, drop_longest, lowest_point, split_at_median, undirected_edges, path_edges, seeds, cylinder_filter, furthest_five,
-        skinning, recenter, resample_lines, component_bridge, repair_components, tree_measures, branch_ends, spline_densify, circles, triangles, smooth_radii, fission,
+        skinning, recenter, resample_lines, component_bridge, repair_components, tree_measures, branch_ends, spline_densify, circles, triangles, smooth_radii, fission, refine,
         set_operations, xyz_round_trip, ply_round_trip, obj_round_trip, off_round_trip, skelz_round_trip, cg_round_trip, skeleton_obj, member_radii, surface_neighbours, count_density, joint_centres, skeleton_edges, bridges, merged_branches, matrix_round_trip,
     )
 }

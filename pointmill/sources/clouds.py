@@ -71,9 +71,9 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("ply").load(path)
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """``path, md5``: the first seven digits of each file's MD5."""
-    return spark.read.format("binaryFile").load(path).select("path", F.substring(F.md5("content"), 1, 7).alias("md5"))
+def fingerprint(spark: SparkSession, path: str, *, digits: int = 7) -> DataFrame:
+    """``path, md5``: the first digits of each file's MD5."""
+    return spark.read.format("binaryFile").load(path).select("path", F.substring(F.md5("content"), 1, digits).alias("md5"))
 
 
 def load_cloud(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,9 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+from pointmill.plans import pipelines
 from pointmill.sources import clouds, ply
 
 
@@ -83,3 +85,31 @@ def test_fingerprint_and_config(spark, tmp_path):
     assert clouds.fingerprint(spark, str(tmp_path / "a.txt")).first()["md5"] == hashlib.md5(b"1 2 3\n").hexdigest()[:7]
     (tmp_path / "c.json").write_text('{ // note\n"rootRadius": 0.18 }')
     assert clouds.read_config(spark, str(tmp_path / "c.json")).first()["rootRadius"] == 0.18
+
+
+def test_results_and_parameters_are_kept(spark, tmp_path):
+    """A chain runs once for the same contents and parameters; parameters come back as they were, former ones stay."""
+    ran = []
+
+    def points_of(points, params):
+        ran.append(params.sample_num)
+        return points.where(F.col("x") < params.sample_num)
+
+    (tmp_path / "a.txt").write_text("1 2 3\n400 5 6\n")
+    (tmp_path / "b.txt").write_text("1 2 3\n400 5 6\n")
+    keep = str(tmp_path / "kept")
+    small, large = pipelines.KnnContractionParams(sample_num=60), pipelines.KnnContractionParams(sample_num=600)
+    for name, params, n in (("a", small, 1), ("a", small, 1), ("b", small, 1), ("a", large, 2), ("b", large, 2)):
+        assert pipelines.from_file(spark, str(tmp_path / f"{name}.txt"), keep, params, chain=points_of).count() == n
+    assert ran == [60, 600]
+    (tmp_path / "b.txt").write_text("1 2 3\n")
+    assert pipelines.from_file(spark, str(tmp_path / "b.txt"), keep, large, chain=points_of).count() == 1 and len(ran) == 3
+    assert pipelines.clear_cache(spark, keep) and not pipelines.clear_cache(spark, keep)
+    pipelines.from_file(spark, str(tmp_path / "a.txt"), keep, small, chain=points_of)
+    assert len(ran) == 4
+    at = str(tmp_path / "params.json")
+    pipelines.save_params(spark, at, small)
+    pipelines.save_params(spark, at, large)
+    assert pipelines.load_params(spark, at) == large
+    kept = [f for f in tmp_path.iterdir() if f.name.endswith(".bak")]
+    assert len(kept) == 1 and pipelines.load_params(spark, str(kept[0])) == small
