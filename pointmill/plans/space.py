@@ -361,7 +361,8 @@ def circles(spark, sf_dir):
 
 def triangles(spark, sf_dir):
     t, rings = _rings(spark, sf_dir)
-    return surface.triangles(t, rings).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes"))
+    corners = [(F.round(F.col(f"{k}.{a}"), 6) + 0.0).alias(f"{k}{a}") for k in "abc" for a in "xyz"]
+    return surface.triangles(t, rings).select("node", "side", "part", *corners)
 
 
 def smooth_radii(spark, sf_dir):
@@ -584,6 +585,18 @@ def _kmeans_sql(rounds: int) -> str:
     return out + f" SELECT cluster, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM k{rounds}"
 
 
+def _triangles_sql() -> str:
+    t = "side * (2 * pi() / 12)"
+    out = _TREE_UP + ", leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent <> node)), n AS (SELECT ancestor AS node, count(*) AS leaves FROM anc JOIN leaf USING (node) GROUP BY ancestor)"
+    out += ", e AS (SELECT t.node, t.parent, t.x, t.y, t.z, t.x-p.x AS wx, t.y-p.y AS wy, t.z-p.z AS wz FROM tree t JOIN tree p ON p.node = t.parent WHERE t.parent <> t.node)"
+    out += ", s AS (SELECT *, sqrt(wx*wx+wy*wy+wz*wz) AS size, 0.18*pow(leaves/CAST((SELECT count(*) FROM leaf) AS DOUBLE), CAST(1 AS DOUBLE)/3) AS r FROM e JOIN n USING (node))"
+    out += ", f AS (SELECT node, x, y, z, r, wx/size AS fx, wy/size AS fy, wz/size AS fz, CAST(CASE WHEN wz >= 0 THEN 1 ELSE -1 END AS DOUBLE) AS g FROM s WHERE size > 0), h AS (SELECT *, -1/(g+fz) AS k FROM f)"
+    out += f", ring AS (SELECT node, side, x + r*(cos({t})*(1+g*fx*fx*k) + sin({t})*fx*fy*k) AS x, y + r*(cos({t})*g*fx*fy*k + sin({t})*(g+fy*fy*k)) AS y, z - r*(cos({t})*g*fx + sin({t})*fy) AS z FROM h CROSS JOIN (SELECT CAST(unnest(range(12)) AS INTEGER) AS side))"
+    corners = lambda *names: ", ".join(f"round({n}.{a}, 6) + 0 AS {k}{a}" for k, n in zip("abc", names, strict=True) for a in "xyz")
+    met = "FROM e JOIN ring p USING (node) JOIN ring q ON q.node = e.node AND q.side = (p.side + 1) % 12 JOIN ring lp ON lp.node = e.parent AND lp.side = p.side JOIN ring lq ON lq.node = e.parent AND lq.side = q.side"
+    return out + f" SELECT e.node, p.side, 0 AS part, {corners('lp', 'lq', 'p')} {met} UNION ALL SELECT e.node, p.side, 1 AS part, {corners('p', 'lq', 'q')} {met}"
+
+
 def _fission_sql(rounds: int) -> str:
     gap = "sqrt((m.x-c.x)*(m.x-c.x)+(m.y-c.y)*(m.y-c.y)+(m.z-c.z)*(m.z-c.z))"
     out = _TREE_UP + ", fk AS (SELECT parent AS node FROM tree WHERE parent <> node GROUP BY parent HAVING count(*) > 1), mb AS (SELECT ancestor AS node, id, x, y, z FROM anc JOIN pts ON id = anc.node WHERE ancestor IN (SELECT node FROM fk)), mid AS (SELECT node, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM mb GROUP BY node)"
@@ -669,7 +682,7 @@ SQL = {
     "fission": _fission_sql(5),
     "repair_components": _reach(PTS, _E05.replace("0.05*0.05", "0.08*0.08"), "pts", f", p AS (SELECT pts.*, component FROM pts JOIN cc ON cc.node = pts.id), cp AS (SELECT a.component AS c1, b.component AS c2, min(struct_pack(d := sqrt({D2}), i := least(a.id, b.id), j := greatest(a.id, b.id))) AS m FROM p a JOIN p b ON a.component <> b.component GROUP BY ALL), step(held, e) AS (SELECT [(SELECT component FROM cc GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)], NULL::STRUCT(d DOUBLE, i BIGINT, j BIGINT) UNION ALL SELECT list_append(held, arg_min(c2, m)), min(m) FROM step JOIN cp ON list_contains(held, c1) AND NOT list_contains(held, c2) GROUP BY held) SELECT e.i AS a, e.j AS b, round(e.d, 6) AS dist FROM step WHERE e IS NOT NULL").replace(") ,", "),"),
     "circles": _TREE_UP + ", leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent <> node)), n AS (SELECT ancestor AS node, count(*) AS leaves FROM anc JOIN leaf USING (node) GROUP BY ancestor) SELECT node, side, round(0.18*pow(leaves/CAST((SELECT count(*) FROM leaf) AS DOUBLE), CAST(1 AS DOUBLE)/3), 6) AS radius FROM tree JOIN n USING (node) CROSS JOIN (SELECT CAST(unnest(range(12)) AS INTEGER) AS side) WHERE parent <> node",
-    "triangles": f"WITH {TREE}, e AS (SELECT c.node FROM tree c JOIN tree p ON p.node = c.parent WHERE c.parent <> c.node AND p.parent <> p.node) SELECT part, count(*)*12 AS n, count(DISTINCT node) AS nodes FROM e CROSS JOIN (SELECT CAST(unnest(range(2)) AS INTEGER) AS part) GROUP BY part",
+    "triangles": _triangles_sql(),
     "surface_neighbours": _reach(f"{PTS}, {_knn(3)}", _E05, "pts", "SELECT src, dst FROM nn JOIN cc a ON a.node = src JOIN cc b ON b.node = dst WHERE a.component = b.component"),
     "count_density": f"WITH {PTS}, {_knn(3)}, k AS (SELECT *, count(*) OVER (PARTITION BY src) AS k FROM nn) SELECT src AS id, round(1 + sum(exp(-16.0*dist*dist/(k*k))), 6) AS rho FROM k GROUP BY src",
     "resample_lines": f"WITH {CLOUD_E}, s AS (SELECT user_id, z, x, id, lead(z) OVER w AS nz, sqrt((x-lead(x) OVER w)*(x-lead(x) OVER w)+(y-lead(y) OVER w)*(y-lead(y) OVER w)+(z-lead(z) OVER w)*(z-lead(z) OVER w)) AS len FROM ce WINDOW w AS (PARTITION BY user_id ORDER BY x, id)), r AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS upto FROM s WHERE nz IS NOT NULL), t AS (SELECT user_id, z + (n*1000.0-(upto-len))/len*(nz-z) AS z FROM (SELECT *, unnest(range(CAST(ceil((upto-len)/1000.0) AS BIGINT), CAST(ceil(upto/1000.0) AS BIGINT))) AS n FROM r WHERE len > 0)) SELECT user_id, count(*) AS n, round(avg(z), 3) AS z FROM t GROUP BY user_id",
