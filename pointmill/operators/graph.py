@@ -273,24 +273,29 @@ def ancestors(nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
 
 
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
-    """``node, size, height, leaves``: nodes below and including each node, the greatest number of hops down from it and the leaves among them.
+    """``node, size, height, leaves``: nodes below and including each node, the greatest number of hops down from it and the leaves among them."""
+    return subtree_sums(nodes.select("node", "parent", F.lit(0.0).alias("weight"))).drop("weight")
+
+
+def subtree_sums(nodes: DataFrame) -> DataFrame:
+    """``node, size, height, leaves, weight`` of ``nodes(node, parent, weight)``: the measures of ``subtree_sizes`` and the sum of the weights.
 
     By doubling: what a node knows of the descents shorter than 2**k, together with what its descendants exactly 2**k below know, is what holds for
     descents shorter than 2**(k+1). Rounds grow with the logarithm of the height; each is a hash aggregate and a jump, over the nodes that still have an
     ancestor that far up. Raises where parents form a cycle.
     """
-    flat = nodes.select("node", F.when(F.coalesce(F.col("parent") != F.col("node"), F.lit(False)), F.col("parent")).alias("up"))
+    flat = nodes.select("node", F.when(F.coalesce(F.col("parent") != F.col("node"), F.lit(False)), F.col("parent")).alias("up"), "weight")
     inner = flat.where("up is not null").select(F.col("up").alias("node")).distinct().withColumn("inner", F.lit(True))
     leaf = F.when(F.coalesce("inner", F.lit(False)), 0).otherwise(1).cast("long")
-    now = materialize(flat.join(inner, "node", "left").select("node", "up", F.lit(1).cast("long").alias("size"), F.lit(0).alias("height"), leaf.alias("leaves")), "subtrees")
+    now = materialize(flat.join(inner, "node", "left").select("node", "up", F.lit(1).cast("long").alias("size"), F.lit(0).alias("height"), leaf.alias("leaves"), "weight"), "subtrees")
     for k in range(30):  # a tree less than 2**30 high is done
         going = now.where("up is not null")
         if going.isEmpty():
             return now.drop("up")
-        told = going.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("s"), F.max(F.col("height") + F.lit(1 << k)).alias("h"), F.sum("leaves").alias("l"))
+        told = going.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("s"), F.max(F.col("height") + F.lit(1 << k)).alias("h"), F.sum("leaves").alias("l"), F.sum("weight").alias("w"))
         jump = going.select("node", "up").join(now.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("far"))
         new = now.join(told, "node", "left").join(jump, "node", "left")
-        grown = new.select("node", F.col("far").alias("up"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), F.greatest("height", F.coalesce(F.col("h").cast("int"), F.lit(0))).alias("height"), (F.col("leaves") + F.coalesce("l", F.lit(0))).alias("leaves"))
+        grown = new.select("node", F.col("far").alias("up"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), F.greatest("height", F.coalesce(F.col("h").cast("int"), F.lit(0))).alias("height"), (F.col("leaves") + F.coalesce("l", F.lit(0))).alias("leaves"), (F.col("weight") + F.coalesce("w", F.lit(0.0))).alias("weight"))
         old, now = now, materialize(grown, "subtrees")
         discard(old)
     raise ValueError("the parents form a cycle")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..functions.scratch import discard, materialize
-from .graph import ancestors, subtree_sizes, tree_depths
+from .graph import ancestors, subtree_sizes, subtree_sums, tree_depths
 
 
 def spline_densify(tree: DataFrame, *, per_edge: int = 8, tension: float = 0.1) -> DataFrame:
@@ -151,7 +151,7 @@ def smooth_radii(tree: DataFrame, radii: DataFrame, *, steps: int = 7) -> DataFr
 def member_radii(members: DataFrame, tree: DataFrame, *, bins: int = 13) -> DataFrame:
     """``node, radius`` from the members ``node, id, x, y, z`` of a tree's nodes: a leaf has the mean distance of its members from its
     centre; the nodes of a chain, each with one child, have the mode of all their members' distances from the axis to the next
-    node, taken together and each distance once; a fork the root of the sum of its children's squares, filled in from the tips down.
+    node, taken together and each distance once; a fork the root of the sum of its children's squares.
     Leaves and chains without members have radius 0."""
     kids = tree.where("parent <> node").select(F.col("parent").alias("node"), F.col("node").alias("kid"), *[F.col(a).alias(f"k{a}") for a in "xyz"])
     count = kids.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct("kx", "ky", "kz"), "kid").alias("k"))
@@ -174,10 +174,10 @@ def member_radii(members: DataFrame, tree: DataFrame, *, bins: int = 13) -> Data
     mode = mode.select("head", F.when(F.col("t.hi") > F.col("t.lo"), F.col("t.lo") + (F.lit(0.5) - F.col("t.b")) * (F.col("t.hi") - F.col("t.lo")) / bins).otherwise(F.lit(0.0)).alias("radius"))
     known = leaf.union(heads.join(mode, "head", "left").select("node", "radius"))
     known = materialize(known.select("node", F.coalesce("radius", F.lit(0.0)).alias("radius")), "radii")
-    forks = at.where("n > 1").select("node", "n")
-    while True:
-        ready = kids.join(forks, "node").join(known.select(F.col("node").alias("kid"), "radius"), "kid").groupBy("node", "n").agg(F.count("*").alias("m"), F.sqrt(F.sum(F.col("radius") * F.col("radius"))).alias("radius")).where("m = n")
-        new = materialize(ready.select("node", "radius").join(known.select("node"), "node", "left_anti"), "radii")
-        if new.isEmpty():
-            return known
-        known = known.union(new)
+    # A fork's square is the sum of those of all leaves and chains that are reached through forks alone.
+    forks = at.where("n > 1").select("node", "parent")
+    up = forks.select(F.col("node").alias("parent"), F.lit(True).alias("inside"))
+    own = kids.join(known.select(F.col("node").alias("kid"), "radius"), "kid").groupBy("node").agg(F.sum(F.col("radius") * F.col("radius")).alias("weight"))
+    forest = forks.join(up, "parent", "left").join(own, "node", "left")
+    forest = forest.select("node", F.when(F.col("inside"), F.col("parent")).otherwise(F.col("node")).alias("parent"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    return known.union(subtree_sums(forest).select("node", F.sqrt("weight")))
