@@ -9,10 +9,10 @@ distinct word once. For each text they measure
 * ``entropy``: the Shannon entropy (bits) of the text's pieces.
 
 All of them depend on how long a text is, so bands are kept by key (language, or main script for a null or unknown language) and level,
-the power of two that the number of pieces reaches. ``fit_bands`` learns them from good labelled texts: of a bounded sample, the middle
-1 - 2 x ``tail`` of each measure, widened by ``margin`` times the way from its middle to its end. A key and level with fewer than
-``least`` sample texts has no fitted band; there, and without labels, the fixed limits of ``FIXED`` hold. A text outside its band is
-rejected.
+the power of two that the number of pieces reaches. ``fit_bands`` learns them from all good labelled texts that are not held out: the
+middle 1 - 2 x ``tail`` of each measure, widened by ``margin`` times the way from its middle to its end. A key and level with fewer than
+``least`` such texts has no fitted band; there, and without labels, the fixed limits of ``FIXED`` hold. A text outside its band is
+rejected. The quantiles are exact: counts by narrow bins tell which bins hold the wanted ranks, and only the values in these are ranked.
 
 Defined cases: a null text has no words; a text without words has 0 for every measure and fails the base rules; repeated rows are
 judged each on its own; an empty table gives an empty result; with no good labels the fixed limits decide; the language is only a key
@@ -25,11 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, empty_if_null, id_type, keep_rows, map_batches
-from .learning import labelled_sample
+from .common import bytes_of, discard, empty_if_null, held_out, id_type, keep_rows, map_batches, materialize
 from .words import WordPieces, byte_piece_ids, default_path
 
 SYMBOLS = b"#*$%&|<>"
@@ -176,24 +175,70 @@ def _measurer(piece_path: str | None, byte_path: str | None, bands: Bands):
     return rows
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class: int = 8_000, tail: float = 0.002, margin: float = 0.6, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", piece_path: str | None = None, byte_path: str | None = None) -> Bands:
-    """Bands from at most ``per_class`` good labelled texts that pass the base rules, never held-out ones."""
+MEASURES = ("chars_per_piece", "chars_per_token", "byte_share", "entropy")
+BIN = 1 / 1024
+FEW = 2_000_000  # ids of labels that are broadcast
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, *, label: str = "quality", tail: float = 0.002, margin: float = 0.6, least: int = 30, few: int = FEW, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", piece_path: str | None = None, byte_path: str | None = None) -> Bands:
+    """Bands from all good labelled texts that pass the base rules, never held-out ones; of rows with one id from that whose text has the least hash.
+
+    At most ``few`` labels are broadcast and only labelled texts measured. Else all that are not held out are, and their measures, not the texts, meet the labels.
+    """
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    sample = labelled_sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang")), labels.where(F.col(label) == 1), label, per_class=per_class, extra=("lang",))
-    rows = quality_measures(sample, id_col="k", text_col="t", lang_col="lang", piece_path=piece_path, byte_path=byte_path, carry_lang=True).where("not base_failed").collect()
-    found: dict[tuple[str, int], list[tuple[float, ...]]] = {}
-    for r in rows:
-        for key in ((r["lang"] or "").lower(), r["script"]):
-            if key:
-                found.setdefault((key, Bands.level(r["n_pieces"])), []).append((r["chars_per_piece"], r["chars_per_token"], r["byte_share"], r["entropy"]))
+    good = materialize(labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").alias("k")).distinct(), "labels")
+    texts = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    broadcast = good.count() <= few
+    if broadcast:
+        texts = texts.join(F.broadcast(good), texts[id_col] == F.col("k"), "left_semi")
+    texts = texts.select(F.struct(F.col(id_col).alias("k"), F.xxhash64(F.col(text_col).cast("binary")).alias("h")).alias("i"), F.col(text_col).alias("t"), lang.alias("lang"))
+    rows = quality_measures(texts, id_col="i", text_col="t", lang_col="lang", piece_path=piece_path, byte_path=byte_path, carry_lang=True)
+    rows = rows.groupBy("doc_id.k").agg(F.min(F.struct("doc_id.h", "lang", "script", "n_pieces", "base_failed", *MEASURES)).alias("r"))
+    if not broadcast:
+        rows = rows.join(good, "k", "left_semi")
+    level = F.length(F.bin(F.greatest(F.col("n_pieces"), F.lit(1)))) - 1
+    measured = materialize(rows.select("r.*").where("not base_failed").select(F.lower("lang").alias("lang"), "script", level.alias("level"), *MEASURES), "measures")
+    keys = F.filter(F.array_distinct(F.array("lang", "script")), lambda k: k != "")
+    values = measured.select(F.explode(keys).alias("key"), "level", *MEASURES).select("key", "level", F.posexplode(F.array(*MEASURES)).alias("m", "x"))
     fitted = {}
-    for key, xs in found.items():
-        if len(xs) >= least:
-            low, mid, high = np.quantile(np.array(xs), [tail, 0.5, 1 - tail], axis=0)
-            fitted[key] = tuple((low - margin * (mid - low) - 1e-3).tolist()), tuple((high + margin * (high - mid) + 1e-3).tolist())
+    for key, found in quantiles(values, (tail, 0.5, 1 - tail), least).items():
+        low, mid, high = (np.array(x) for x in zip(*(found[m] for m in range(len(MEASURES))), strict=True))
+        fitted[key] = tuple((low - margin * (mid - low) - 1e-3).tolist()), tuple((high + margin * (high - mid) + 1e-3).tolist())
+    discard(measured)
+    discard(good)
     return Bands(fitted)
 
 
+def quantiles(values: DataFrame, shares: tuple[float, ...], least: int = 1) -> dict[tuple[str, int], dict[int, list[float]]]:
+    """By key and level, for each measure ``m``, the quantiles of ``values(key, level, m, x)``, between two ranks linear; none for fewer than ``least`` values."""
+    group = ["key", "level", "m"]
+
+    def wanted(total: Column, first: Column, n: Column) -> Column:
+        ranks = [F.floor((total - 1) * F.lit(q)) + up for q in shares for up in (0, 1)]
+        return F.exists(F.array(*ranks), lambda r: (r >= first) & (r < first + n))
+
+    def ranked(counts: DataFrame, by: list[str], order: str, first: Column) -> DataFrame:
+        before = F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        return counts.withColumn("first", first + before)
+
+    values = values.withColumn("bin", F.floor(F.col("x") / BIN))
+    bins = ranked(values.groupBy(*group, "bin").agg(F.count("*").alias("n")), group, "bin", F.lit(0)).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
+    bins = bins.where((F.col("total") >= least) & wanted(F.col("total"), F.col("first"), F.col("n"))).select(*group, "bin", F.col("first").alias("start"), "total")
+    inside = values.join(F.broadcast(bins), [*group, "bin"]).groupBy(*group, "bin", "start", "total", "x").agg(F.count("*").alias("n"))
+    held = ranked(inside, [*group, "bin"], "x", F.col("start")).where(wanted(F.col("total"), F.col("first"), F.col("n"))).collect()
+    at: dict[tuple[str, int], dict[int, list]] = {}
+    for r in held:
+        at.setdefault((r["key"], r["level"]), {}).setdefault(r["m"], []).append((r["first"], r["first"] + r["n"], r["x"], r["total"]))
+    out: dict[tuple[str, int], dict[int, list[float]]] = {}
+    for key, found in at.items():
+        for m, runs in found.items():
+            total = runs[0][3]
+            value = lambda rank: next(x for a, b, x, _ in runs if a <= min(rank, total - 1) < b)  # noqa: B023, E731
+            places = [((total - 1) * q, int((total - 1) * q)) for q in shares]
+            out.setdefault(key, {})[m] = [value(k) + (value(k + 1) - value(k)) * (p - k) for p, k in places]
+    return out
+
+
 def quality_measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: Bands | None = None, piece_path: str | None = None, byte_path: str | None = None, carry_lang: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id and ``COLUMNS``, and with ``carry_lang`` the language. One pass, no shuffle."""
     rows = _measurer(piece_path, byte_path, bands or Bands())

@@ -186,6 +186,37 @@ def test_fertility_and_bands_against_brute_force(spark):
         assert got[i]["kept"] == (good and not got[i]["base_failed"])
 
 
+def test_bands_come_from_all_labelled_texts(spark):
+    rng = random.Random(7)
+    made = [(i, " ".join("".join(rng.choices("abcdeé日", k=rng.randint(1, 9))) for _ in range(24)), rng.choice(["En", None])) for i in range(14_000)]
+    docs = spark.createDataFrame([*made, (5, "another text of a row whose id stands twice " * 3, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(14_000)], "doc_id long, quality int")
+    bands = quality_rules.fit_bands(docs, labels)
+    rows = quality_rules.quality_measures(docs.where("doc_id != 5"), carry_lang=True).where(~held_out()).where("not base_failed").collect()
+    assert len(rows) > 10_000  # more than any cap there was
+    found = collections.defaultdict(list)
+    for r in rows:
+        for key in {(r["lang"] or "").lower(), r["script"]} - {""}:
+            found[key, quality_rules.Bands.level(r["n_pieces"])].append([r[c] for c in quality_rules.MEASURES])
+    for key, xs in found.items():
+        if len(xs) > 1000:
+            low, mid, high = np.quantile(np.array(xs), [0.002, 0.5, 0.998], axis=0)
+            # Row 5, one of thousands, may be in either level.
+            assert np.allclose(bands.fitted[key][0], low - 0.6 * (mid - low) - 1e-3, rtol=5e-3) and np.allclose(bands.fitted[key][1], high + 0.6 * (high - mid) + 1e-3, rtol=5e-3)
+    assert quality_rules.fit_bands(docs, labels, few=0) == bands
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    xs = {("a", 1): np.r_[np.full(500, 0.25), rng.random(700) / 4000, rng.random(300) * 9], ("b", 1): rng.random(30), ("b", 2): rng.random(29), ("c", 0): np.zeros(64)}
+    rows = [(k, v, m, float(x) * (m + 1)) for (k, v), some in xs.items() for m in (0, 1) for x in some]
+    got = quality_rules.quantiles(spark.createDataFrame(rows, "key string, level int, m int, x double").repartition(5), (0.002, 0.5, 0.998), 30)
+    assert got.keys() == {("a", 1), ("b", 1), ("c", 0)}
+    for key, found in got.items():
+        for m in (0, 1):
+            assert np.allclose(found[m], np.quantile(xs[key] * (m + 1), [0.002, 0.5, 0.998]), rtol=1e-12, atol=1e-15)
+
+
 def test_quality_keeps_clean_and_drops_junk_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
