@@ -1,19 +1,19 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its words, lower-cased, and one end; a word is spelt by its bytes and a closing space, the end is the empty word. Bytes are decided bit by
-bit along a Huffman tree of the training bytes, so the probabilities of all texts add up to no more than one. For every bit six predictors
-give the odds that training counts have under a context: the text's class, this with the last one, two and three bytes of the word, all of the
-word so far, and this with the class; counts lie in tables of fixed size, addressed by hashes of context and place in the tree. Their logits are
-mixed by weights that a gate selects, the gate being how often the two most specific contexts were seen, and an adaptive map refines the
-mixture by how it came out for like probabilities. A text's class is a hash of its most frequent word; naming it costs its share of the training
-texts.
+A text is read from its start: its words, lower-cased, and one end; a word is spelt by its bytes and a closing space, the end is the empty word. Bytes are
+decided bit by bit along a Huffman tree of the training bytes, so the probabilities of all texts add up to no more than one. For every bit six predictors
+give the odds that training counts have under a context: the place in the word; the last one, two and four bytes of the text, across words; all
+of the word so far; and this with the word before. Counts lie in tables of fixed size, addressed by hashes of context and place in the tree. Their
+logits are mixed by weights that a gate selects, the gate being how often the two most specific contexts were seen, and an adaptive map refines
+the mixture by how it came out for like probabilities.
 
 What is learned, and where:
 
 * One pass cuts the documents into slices (consecutive documents with some 400,000 distinct words) and writes each slice's distinct
-  words and its documents' counts. From here on a distinct word of a class is worked on once, however often it stands in the corpus.
+  words, its distinct pairs of a word and the word before, and its documents' counts of pairs. All contexts of a word's bits are functions of the
+  pair, so a distinct pair of a slice is worked on once.
 * Counts of words are hash aggregates over all training documents; tables of bit counts are summed over the tasks, in pieces and in a tree.
-* Weights are learned online: each task goes through its words with Newton steps, each bit predicted by counts without its own
+* Weights are learned online: each task goes through the pairs of its slices with Newton steps, each bit predicted by counts without its own
   occurrence; the tasks' weights are averaged, each by its curvature.
 
 The driver and the broadcasts hold the tables, weights and maps only, whose size is fixed by ``table_bits``.
@@ -25,7 +25,6 @@ empty table gives an empty result; without training texts every bit has probabil
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, discard, empty_if_null, id_type, materialize, slices
 
-CLASSES, ORDERS, CONFIDENCE, BUCKETS = 16, 6, 8, 33
+ORDERS, CONFIDENCE, BUCKETS = 6, 8, 33
+PLACES = 16
 GATES = CONFIDENCE * CONFIDENCE
 PIECE = 1 << 16
 PART = 4096
@@ -84,8 +84,14 @@ class Tree:
             self.nodes[b, : len(path)], self.bits[b, : len(path)] = [n for n, _ in path], [y for _, y in path]
 
 
-def decisions(tree: Tree, table_bits: tuple[int, ...], words: list[bytes], classes: np.ndarray, limit: int = 1 << 16):
-    """``of, y, slots`` in pieces of about ``limit`` bytes: the word that each bit belongs to, the bit, and its slot in each table."""
+def context_of(word: bytes) -> int:
+    """What the words after ``word`` know of it: 39 bits of its hash and its last three bytes. The start of a text is the empty word."""
+    return (xxhash.xxh64_intdigest(word) >> 25 << 24) | int.from_bytes(word[-3:], "big")
+
+
+def decisions(tree: Tree, table_bits: tuple[int, ...], words: list[bytes], before: np.ndarray, limit: int = 1 << 16):
+    """``of, y, slots`` in pieces of about ``limit`` bytes: the word that each bit belongs to, the bit, and its slot in each table. ``before``: the
+    ``context_of`` the word before each."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit, prepend=-1)).tolist() + [len(words)]
     for first, last in zip(cuts, cuts[1:], strict=False):
@@ -95,17 +101,21 @@ def decisions(tree: Tree, table_bits: tuple[int, ...], words: list[bytes], class
         size = sizes[first:last]
         word = np.repeat(np.arange(last - first), size)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        own = classes[first:last].astype(np.uint64)[word]
+        own = before[first:last].astype(np.uint64)[word]
         power = np.cumprod(np.full(int(size.max()), ROLL, np.uint64))
         term = (flat.astype(np.uint64) + np.uint64(1)) * power[at]
-        before = np.cumsum(term) - term
-        prefix = (before - before[np.arange(len(flat)) - at] + at.astype(np.uint64)) * SPREAD
-        last_bytes, context = np.zeros(len(flat), np.uint64), [own]
-        for back in (1, 2, 3):
-            shifted = np.concatenate([np.full(min(back, len(flat)), 32, np.uint8), flat[:-back]])[: len(flat)]
-            last_bytes = (last_bytes << np.uint64(8)) | np.where(at >= back, shifted, 32).astype(np.uint64)
-            context.append(last_bytes * np.uint64(CLASSES) + own)
-        context += [prefix, prefix + (own + np.uint64(1)) * FOLD]
+        run = np.cumsum(term) - term
+        prefix = (run - run[np.arange(len(flat)) - at] + at.astype(np.uint64)) * SPREAD
+        # The bytes before the word: a space, then, going back, the last ones of the word before.
+        last_bytes, context = np.zeros(len(flat), np.uint64), [np.minimum(at, PLACES - 1)]
+        for back in (1, 2, 3, 4):
+            shifted = np.concatenate([np.full(min(back, len(flat)), 32, np.uint8), flat[:-back]])[: len(flat)].astype(np.uint64)
+            outside = np.maximum(back - at - 2, 0).astype(np.uint64)
+            earlier = np.where(back - at == 1, np.uint64(32), (own >> (outside << np.uint64(3))) & np.uint64(255))
+            last_bytes = (last_bytes << np.uint64(8)) | np.where(at >= back, shifted, earlier)
+            if back != 3:
+                context.append(last_bytes + np.uint64(1))
+        context += [prefix, prefix + ((own >> np.uint64(24)) + np.uint64(1)) * FOLD]
         count = tree.length[flat]
         byte = np.repeat(np.arange(len(flat)), count)
         step = np.arange(len(byte)) - np.repeat(np.cumsum(count) - count, count)
@@ -137,7 +147,7 @@ class Mixer:
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The mixture's logit for rows of logits."""
-        return np.clip((x * self.weights[gate]).sum(axis=1), -16, 16)
+        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -16, 16)
 
     def refine(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The probability of a one: half the mixture's, half what the two nearest cells of the map have seen."""
@@ -169,15 +179,16 @@ class Mixer:
 class Model:
     """Tables of counts, a mixer and a tree: what scores words."""
 
-    def __init__(self, tree: Tree, table_bits: tuple[int, ...], counts: list[np.ndarray], mixer: Mixer, shares: np.ndarray):
-        self.tree, self.table_bits, self.mixer, self.shares = tree, table_bits, mixer, shares
+    def __init__(self, tree: Tree, table_bits: tuple[int, ...], counts: list[np.ndarray], mixer: Mixer, shares: np.ndarray | None = None):
+        """``shares`` is not used: texts had classes once."""
+        self.tree, self.table_bits, self.mixer = tree, table_bits, mixer
         self.logits = [logit(c[0::2], c[1::2]).astype(np.float32) for c in counts]
         self.sure = [confidence(counts[k][0::2] + counts[k][1::2]).astype(np.uint8) for k in (3, 5)]
 
-    def __call__(self, words: list[bytes], classes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of every word in its class."""
+    def __call__(self, words: list[bytes], before: np.ndarray) -> np.ndarray:
+        """log10 of the probability of every word after the word before it."""
         out = np.zeros(len(words))
-        for of, y, slots in decisions(self.tree, self.table_bits, words, classes):
+        for of, y, slots in decisions(self.tree, self.table_bits, words, before):
             x = np.ones((len(y), ORDERS + 1))
             for k in range(ORDERS):
                 x[:, k] = self.logits[k][slots[k]]
@@ -188,69 +199,72 @@ class Model:
         return out
 
 
+WHOLE = ("slice", "ids", "train", "bytes", "ends", "places", "counts", "firsts", "seconds", "learned", "text")
+
+
 def cut(docs: DataFrame, id_col: str, text_col: str, words_per_slice: int, entries: int) -> DataFrame:
-    """Slices of documents and their words in one table. Rows with a ``word`` (``slice, place, cls, word, n``): a distinct word of a class, its place in the
-    slice and its count in training texts. Rows with ``ids``: the slice's documents."""
+    """Slices of documents and their words in one table. Rows with a ``word`` (``slice, place, word, n``): a distinct word, the empty one among them, its place
+    in the slice and its count in training texts. Rows with ``ids``: the slice's documents, its words' ``text``, its distinct pairs by the places of the
+    word before and the word (``firsts, seconds``) with their counts in training texts (``learned``), and the documents' pairs in their ``counts``."""
     kind = docs.select(F.col(id_col).alias("i"), empty_if_null(text_col).cast("binary").alias("t"), in_training(id_col).alias("train"))
 
     def run(batches):
         task, turn = TaskContext.get().partitionId(), 0
-        index: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
-        words, classes, ids, held, own, tokens, size, places, counts = ([] for _ in range(9))
-        histogram, texts, seen, ended = np.zeros(256, np.int64), np.zeros(CLASSES, np.int64), 0, 0
-        train = np.zeros(1 << 12, np.int64)
+        index, words = {b"": 0}, [b""]
+        ids, held, size, codes, counts = ([] for _ in range(5))
+        histogram, seen = np.zeros(256, np.int64), 0
 
         def flush():
-            nonlocal turn, seen, train, ended
-            histogram[32] = ended
-            number = (task << 32) | turn
-            n, ends = len(words), np.cumsum([0, *map(len, places)])
-            for at in range(0, n, 20_000):
-                part = slice(at, min(n, at + 20_000))
+            nonlocal turn, seen
+            number, lengths = (task << 32) | turn, list(map(len, codes))
+            every = np.concatenate(counts)
+            pairs, places = np.unique(np.concatenate(codes), return_inverse=True)
+            learned = np.bincount(places, weights=every * np.repeat(np.array(held, np.int64), lengths), minlength=len(pairs)).astype(np.int64)
+            seconds, firsts = pairs >> 32, pairs & 0xFFFFFFFF
+            n = np.bincount(seconds, weights=learned, minlength=len(words)).astype(np.int64)
+            for at in range(0, len(words), 20_000):
+                part = slice(at, min(len(words), at + 20_000))
                 m = part.stop - at
-                none = [pa.nulls(m, f.type) for f in schema][5:]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * m, pa.int64()), pa.array(range(at, part.stop), pa.int32()), pa.array(classes[part], pa.int32()), pa.array(words[part], pa.binary()), pa.array(train[part], pa.int64()), *none], schema=schema)
+                none = [pa.nulls(m, f.type) for f in schema][4:]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * m, pa.int64()), pa.array(range(at, part.stop), pa.int32()), pa.array(words[part], pa.binary()), pa.array(n[part], pa.int64()), *none], schema=schema)
             one = lambda x: pa.array([x])
             listed = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids))
+            packed = [one(press(x.astype(k))) for x, k in ((places, np.int32), (every, np.int64), (firsts, np.int32), (seconds, np.int32), (learned, np.int64))]
+            text = one(press(np.frombuffer(b" ".join(words), np.uint8)))
             yield pa.RecordBatch.from_arrays(
-                [one(number), *[pa.nulls(1, f.type) for f in schema][1:5], listed, one(held), one(own), one(tokens), one(size), one(ends.tolist()), one(press(np.concatenate(places).astype(np.int32))), one(press(np.concatenate(counts).astype(np.int64))), one(histogram.tolist()), one(texts.tolist())],
-                schema=schema,
+                [one(number), *[pa.nulls(1, f.type) for f in schema][1:4], listed, one(held), one(size), one(np.cumsum([0, *lengths]).tolist()), *packed, text, one(histogram.tolist())], schema=schema
             )
-            turn, seen, ended, train = turn + 1, 0, 0, np.zeros(1 << 12, np.int64)
-            histogram[:], texts[:] = 0, 0
-            for x in (words, classes, ids, held, own, tokens, size, places, counts, *index):
+            turn, seen = turn + 1, 0
+            histogram[:] = 0
+            for x in (words, ids, held, size, codes, counts, index):
                 x.clear()
+            index[b""] = 0
+            words.append(b"")
 
         schema = None
         for batch in slices(batches):
             if schema is None:
-                whole = [("slice", pa.int64()), ("place", pa.int32()), ("cls", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("train", pa.list_(pa.bool_())), ("classes", pa.list_(pa.int64()))]
-                schema = pa.schema([*whole, ("tokens", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("counts", pa.binary()), ("histogram", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64()))])
+                schema = [("slice", pa.int64()), ("place", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(batch.column(0).type)), ("train", pa.list_(pa.bool_()))]
+                schema += [("bytes", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), *((c, pa.binary()) for c in WHOLE[5:])]
+                schema = pa.schema([*schema, ("histogram", pa.list_(pa.int64()))])
             for r, (text, trains) in enumerate(zip(bytes_of(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
                 text = text.lower()
-                got = Counter(text.split())  # at the ASCII white space
-                most = max(got.values(), default=0)
-                cls = xxhash.xxh64_intdigest(min([w for w, n in got.items() if n == most], default=b"")) % CLASSES
-                mine = index[cls]
-                new = [w for w in got if w not in mine]
-                mine.update(zip(new, range(len(words), len(words) + len(new)), strict=True))
+                got = text.split()  # at the ASCII white space
+                new = [w for w in dict.fromkeys(got) if w not in index]
+                index.update(zip(new, range(len(words), len(words) + len(new)), strict=True))
                 words += new
-                classes += [cls] * len(new)
-                place, count = np.fromiter(map(mine.__getitem__, got), np.int64, len(got)), np.fromiter(got.values(), np.int64, len(got))
-                if len(words) > len(train):
-                    train = np.concatenate([train, np.zeros(len(words), np.int64)])
-                total = int(count.sum()) + 1
+                line = np.zeros(len(got) + 2, np.int64)
+                line[1:-1] = np.fromiter(map(index.__getitem__, got), np.int64, len(got))
+                code, count = np.unique((line[1:] << 32) | line[:-1], return_counts=True)
                 if trains:
-                    train[place] += count
-                    texts[cls] += 1
-                    histogram += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-                    histogram[9:14] = 0
-                    histogram[32] = 0
-                    ended += total
+                    # White space is read as the one space that closes each word.
+                    own = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+                    own[9:14], own[32] = 0, len(got) + 1
+                    histogram += own
                 ids.append(batch.column(0).slice(r, 1))
-                for x, v in ((held, bool(trains)), (own, cls), (tokens, total), (size, len(text)), (places, place), (counts, count)):
+                for x, v in ((held, bool(trains)), (size, len(text)), (codes, code), (counts, count)):
                     x.append(v)
-                seen += len(got)
+                seen += len(code)
                 if len(words) >= words_per_slice or seen >= entries:
                     yield from flush()
         if ids:
@@ -259,27 +273,40 @@ def cut(docs: DataFrame, id_col: str, text_col: str, words_per_slice: int, entri
     item = id_type(docs, id_col)
     return kind.mapInArrow(
         run,
-        f"slice long, place int, cls int, word binary, n long, ids array<{item}>, train array<boolean>, classes array<long>, tokens array<long>, bytes array<long>, ends array<long>, places binary, counts binary, histogram array<long>, texts array<long>",
+        f"slice long, place int, word binary, n long, ids array<{item}>, train array<boolean>, bytes array<long>, ends array<long>, places binary, counts binary, firsts binary, seconds binary, learned binary, text binary, histogram array<long>",
     )
 
 
-def _rows(df: DataFrame, fn, schema: str, limit: int = 20_000) -> DataFrame:
-    """``mapInArrow`` with a generator of the words, classes and counts of pieces of ``df(word, cls, n)`` and the task's number, run to its end in each task."""
+def _pieces(row: dict, learned_only: bool, limit: int = 100_000):
+    """Words, what they know of the word before, and counts in training texts, of pieces of a slice's pairs."""
+    words = unpress(row["text"], np.uint8).tobytes().split(b" ")
+    knows = np.fromiter(map(context_of, words), np.int64, len(words))
+    firsts, seconds, n = unpress(row["firsts"], np.int32), unpress(row["seconds"], np.int32), unpress(row["learned"], np.int64)
+    if learned_only:
+        keep = n > 0
+        firsts, seconds, n = firsts[keep], seconds[keep], n[keep]
+    for at in range(0, len(n), limit):
+        part = slice(at, at + limit)
+        yield [words[i] for i in seconds[part].tolist()], knows[firsts[part]], n[part]
+
+
+def _rows(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` with a generator of the pieces of the training pairs of ``df`` and the task's number, run to its end in each task."""
 
     def run(batches):
-        pieces = ((b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in slices(batches, limit))
+        pieces = (x for b in slices(batches, 1) for x in _pieces(b.to_pylist()[0], True))
         yield from fn(pieces, TaskContext.get().partitionId())
 
-    return df.select("word", "cls", "n").mapInArrow(run, schema)
+    return df.where("ids is not null").select("firsts", "seconds", "learned", "text").mapInArrow(run, schema)
 
 
-def _count(vocab: DataFrame, tree: Tree, table_bits: tuple[int, ...]) -> list[np.ndarray]:
+def _count(table: DataFrame, tree: Tree, table_bits: tuple[int, ...]) -> list[np.ndarray]:
     """How often training texts go on with a zero and with a one, slot by slot of each table. Tasks hand on pieces of their tables, which
     are summed 32 tasks at a time, until one of each is left."""
     def task(pieces, number):
         tables = [np.zeros(2 << bits, np.int64) for bits in table_bits]
-        for words, classes, n in pieces:
-            for of, y, slots in decisions(tree, table_bits, words, classes):
+        for words, before, n in pieces:
+            for of, y, slots in decisions(tree, table_bits, words, before):
                 for k in range(ORDERS):
                     np.add.at(tables[k], slots[k] * 2 + y, n[of])
         for k, t in enumerate(tables):
@@ -292,7 +319,7 @@ def _count(vocab: DataFrame, tree: Tree, table_bits: tuple[int, ...]) -> list[np
         return table.slice(0, 1).set_column(3, "data", pa.array([press(total)], pa.binary()))
 
     schema = "part int, k int, at long, data binary"
-    parts = materialize(_rows(vocab.where("n > 0"), task, schema), "counts")
+    parts = materialize(_rows(table, task, schema), "counts")
     top = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         top = -(-top // 32)
@@ -307,13 +334,13 @@ def _count(vocab: DataFrame, tree: Tree, table_bits: tuple[int, ...]) -> list[np
     return tables
 
 
-def _fit(vocab: DataFrame, tree: Tree, table_bits: tuple[int, ...], counts) -> Mixer:
-    """A mixer learned over all training words: each task's is averaged by its curvature, their maps are summed. ``counts`` is the broadcast tables."""
+def _fit(table: DataFrame, tree: Tree, table_bits: tuple[int, ...], counts) -> Mixer:
+    """A mixer learned over all training texts: each task's is averaged by its curvature, their maps are summed. ``counts`` is the broadcast tables."""
 
     def task(pieces, number):
         mixer, curve, tables = Mixer(), np.zeros((GATES, ORDERS + 1, ORDERS + 1)), counts.value
-        for words, classes, n in pieces:
-            for of, y, slots in decisions(tree, table_bits, words, classes):
+        for words, before, n in pieces:
+            for of, y, slots in decisions(tree, table_bits, words, before):
                 x, total = np.ones((len(y), ORDERS + 1)), []
                 for k in range(ORDERS):
                     n0, n1 = tables[k][slots[k] * 2] - (y == 0), tables[k][slots[k] * 2 + 1] - (y == 1)
@@ -323,7 +350,7 @@ def _fit(vocab: DataFrame, tree: Tree, table_bits: tuple[int, ...], counts) -> M
         pulled = np.einsum("gij,gj->gi", curve, mixer.weights)
         yield pa.RecordBatch.from_arrays([pa.array(range(GATES), pa.int32()), *[pa.array(list(a.reshape(GATES, -1)), pa.list_(pa.float64())) for a in (curve, pulled, mixer.seen)]], names=["gate", "curve", "pulled", "seen"])
 
-    made = materialize(_rows(vocab.where("n > 0"), task, "gate int, curve array<double>, pulled array<double>, seen array<double>"), "mixers")
+    made = materialize(_rows(table, task, "gate int, curve array<double>, pulled array<double>, seen array<double>"), "mixers")
     sizes = (("curve", (ORDERS + 1) ** 2), ("pulled", ORDERS + 1), ("seen", 2 * BUCKETS))
     sums = made.groupBy("gate").agg(*[F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c) for c, n in sizes]).collect()
     mixer = Mixer()
@@ -335,31 +362,47 @@ def _fit(vocab: DataFrame, tree: Tree, table_bits: tuple[int, ...], counts) -> M
     return mixer
 
 
-def _assemble(table: DataFrame, scored: DataFrame, model: Model, ends: np.ndarray, known: tuple[int, int, int], id_kind: str) -> DataFrame:
-    """Texts' scores: each slice gets its words' counts and scores back, and adds them up by its documents' counts. ``known``: training tokens, distinct ones, texts."""
-    total, distinct, texts = known
+def _score(table: DataFrame, held) -> DataFrame:
+    """The slices' documents with their scores: each pair's log10 probability under the broadcast model ``held``, added up by the documents' counts."""
+
+    def run(batches):
+        for b in slices(batches, 1):
+            row = {c: b.column(c)[0].as_py() for c in ("firsts", "seconds", "learned", "text", "places", "counts", "ends")}
+            lp = np.concatenate([held.value(words, before) for words, before, _ in _pieces(row, False)])
+            each = unpress(row["counts"], np.int64) * lp[unpress(row["places"], np.int32)]
+            found = [float(each[a:z].sum()) for a, z in zip(row["ends"], row["ends"][1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in SCORED), pa.array([found])], names=[*SCORED, "score"])
+
+    whole = table.where("ids is not null").select(*WHOLE)
+    types = dict(whole.dtypes)
+    return whole.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in SCORED) + ", score array<double>")
+
+
+SCORED = ("slice", "ids", "train", "bytes", "ends", "places", "counts", "seconds")
+
+
+def _assemble(scored: DataFrame, back: DataFrame, known: tuple[int, int], id_kind: str) -> DataFrame:
+    """Texts' rows: each slice gets its words' counts back, and adds up the base by its documents' counts. ``known``: training tokens and distinct ones."""
+    total, distinct = known
     log_base = np.log10(total + 0.5 * (distinct + 1))
-    end_base, shares = np.log10(texts + 0.5) - log_base, np.log10(model.shares)
-    whole = table.where("ids is not null").select("slice", "ids", "train", "classes", "tokens", "bytes", "ends", "places", "counts")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         r = {c: left[c].combine_chunks() for c in left.column_names}
-        flat = {c: r[c].flatten().to_numpy(zero_copy_only=False) for c in ("train", "classes", "tokens", "bytes", "ends")}
+        flat = {c: r[c].flatten().to_numpy(zero_copy_only=False) for c in ("train", "bytes", "ends", "score")}
         place = right["place"].to_numpy()
-        c, lp = np.zeros(len(place), np.int64), np.zeros(len(place))
-        c[place], lp[place] = right["c"].to_numpy(), right["lp"].to_numpy()
-        at, n = unpress(r["places"][0].as_py(), np.int32), unpress(r["counts"][0].as_py(), np.int64)
+        c = np.zeros(len(place), np.int64)
+        c[place] = right["c"].to_numpy()
+        word, n = unpress(r["seconds"][0].as_py(), np.int32)[unpress(r["places"][0].as_py(), np.int32)], unpress(r["counts"][0].as_py(), np.int64)
         starts = flat["ends"]
         sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[starts])
-        base = np.array([v[a:b].sum() for v in [n * (np.log10(c + 0.5) - log_base)[at]] for a, b in zip(starts, starts[1:], strict=False)]) + end_base
-        cost = np.array([v[a:b].sum() for v in [n * lp[at]] for a, b in zip(starts, starts[1:], strict=False)])
-        score = cost + (ends + shares)[flat["classes"]]
-        size = flat["bytes"]
+        each = n * (np.log10(c + 0.5) - log_base)[word]
+        base = np.array([each[a:b].sum() for a, b in zip(starts, starts[1:], strict=False)])
+        score, size = flat["score"], flat["bytes"]
         per_byte = pa.array(-score * np.log2(10) / np.maximum(size, 1), mask=size == 0)
-        columns = [r["ids"].flatten(), pa.array(~flat["train"].astype(bool)), pa.array(flat["tokens"]), pa.array(sums(n * (c > 0)[at]) + int(texts > 0)), pa.array([total] * len(size), pa.int64()), pa.array(base), pa.array(score), per_byte]
+        columns = [r["ids"].flatten(), pa.array(~flat["train"].astype(bool)), pa.array(sums(n)), pa.array(sums(n * (c > 0)[word])), pa.array([total] * len(size), pa.int64()), pa.array(base), pa.array(score), per_byte]
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    return whole.groupBy("slice").cogroup(scored.groupBy("slice")).applyInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return scored.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def language_model_scores(
@@ -368,39 +411,24 @@ def language_model_scores(
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row.
 
     ``base_score`` is the log10 probability of the tokens, the end among them, by their counts plus one half over all training tokens; ``score`` the
-    context-mixing model's. ``table_bits``: the sizes of the tables, as powers of two, for the class, one, two and three bytes, the prefix, and
-    the prefix with the class.
+    context-mixing model's. ``table_bits``: the sizes of the tables, as powers of two, for the place in the word, one, two and four bytes, the prefix,
+    and the prefix with the word before.
     """
     spark, kind = docs.sparkSession, id_type(docs, id_col)
     table = materialize(cut(docs, id_col, text_col, words_per_slice, entries), "slices")
-    facts = table.where("ids is not null").agg(*[F.sum(F.col("histogram")[i]).alias(f"h{i}") for i in range(256)], *[F.sum(F.col("texts")[i]).alias(f"t{i}") for i in range(CLASSES)], F.count("*").alias("slices")).first()
-    texts = np.array([facts[f"t{i}"] or 0 for i in range(CLASSES)], np.int64)
+    facts = table.where("ids is not null").agg(*[F.sum(F.col("histogram")[i]).alias(f"h{i}") for i in range(256)], F.count("*").alias("slices")).first()
     tree = Tree([facts[f"h{i}"] or 0 for i in range(256)])
-    # Slices have summed their words, so one exchange, by the word alone, serves the counts by class, those over all classes, and the way back: a row
-    # lists where at most some ``PART`` slices have the word.
-    words = table.where("word is not null").select("word", "cls", "n", F.struct("slice", "place").alias("at"), F.pmod(F.xxhash64("slice"), F.lit(max(1, facts["slices"] // PART))).alias("part"))
-    grouped = words.repartition("word").groupBy("word", "cls", "part").agg(F.sum("n").alias("m"), F.collect_list("at").alias("at"))
-    by_word, by_class = Window.partitionBy("word"), Window.partitionBy("word", "cls")
-    first = lambda w, *order: F.row_number().over(w.orderBy(*order)) == 1
-    vocab = materialize(grouped.select("word", "cls", "at", F.sum("m").over(by_class).alias("n"), F.sum("m").over(by_word).alias("c"), first(by_class, "part").alias("lead"), first(by_word, "cls", "part").alias("new")), "vocabulary")
+    # Slices have summed their words, so one exchange, by the word alone, serves their counts and the way back: a row lists where at most some ``PART``
+    # slices have the word.
+    words = table.where("word is not null").select("word", "n", F.struct("slice", "place").alias("at"), F.pmod(F.xxhash64("slice"), F.lit(max(1, facts["slices"] // PART))).alias("part"))
+    grouped = words.repartition("word").groupBy("word", "part").agg(F.sum("n").alias("m"), F.collect_list("at").alias("at"))
+    by_word = Window.partitionBy("word")
+    vocab = materialize(grouped.select("at", F.sum("m").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("part")) == 1).alias("new")), "vocabulary")
     tokens, distinct = vocab.where("new").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    total = int(texts.sum())
-    ends = spark.createDataFrame([(b"", c, int(n)) for c, n in enumerate(texts)], "word binary, cls int, n long")
-    learned = vocab.where("lead").select("word", "cls", "n").union(ends)
-    counts = _count(learned, tree, table_bits)
+    counts = _count(table, tree, table_bits)
     shared = spark.sparkContext.broadcast(counts)
-    shares = (texts + 0.5) / (total + 0.5 * CLASSES)
-    model = Model(tree, table_bits, counts, _fit(learned, tree, table_bits, shared), shares)
+    model = Model(tree, table_bits, counts, _fit(table, tree, table_bits, shared))
     shared.destroy()
     del counts
-    held = spark.sparkContext.broadcast(model)
-
-    def score(batches):
-        for b in slices(batches, 20_000):
-            lp = held.value(b.column(0).to_pylist(), b.column(1).to_numpy())
-            at, size = b.column(3).flatten(), np.diff(b.column(3).offsets.to_numpy())
-            yield pa.RecordBatch.from_arrays([*at.flatten(), pa.array(np.repeat(b.column(2).to_numpy(), size)), pa.array(np.repeat(lp, size))], names=["slice", "place", "c", "lp"])
-
-    scored = vocab.select("word", "cls", "c", "at").mapInArrow(score, "slice long, place int, c long, lp double")
-    end_costs = model([b""] * CLASSES, np.arange(CLASSES))
-    return _assemble(table, scored, model, end_costs, (tokens + total, distinct + int(total > 0), total), kind)
+    back = vocab.select("c", F.explode("at").alias("at")).select("at.slice", "at.place", "c")
+    return _assemble(_score(table, spark.sparkContext.broadcast(model)), back, (tokens, distinct), kind)

@@ -216,6 +216,21 @@ def test_language_model_beats_its_base_on_held_out_texts(spark, sf):
     assert len(typical) > 50 and sum(r["score"] for r in typical) > sum(r["base_score"] for r in typical)
 
 
+def test_language_model_reads_words_in_order(spark):
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:60]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, "alpha beta gamma delta " * 5) for i in train] + [(held[0], "alpha beta gamma delta"), (held[1], "delta gamma beta alpha")]
+    got = {r["doc_id"]: r for r in context_mixing.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), table_bits=TABLES).collect()}
+    like, other = got[held[0]], got[held[1]]
+    assert like["base_score"] == pytest.approx(other["base_score"]) and like["score"] > other["score"] + 3
+    # Bytes of the word before stand in the contexts of the next one, as far back as the last three.
+    tree = context_mixing.Tree([1] * 256)
+    slots = lambda w: next(context_mixing.decisions(tree, TABLES, [b"a"], np.array([context_of(w)])))[2][:, 0].tolist()
+    context_of = context_mixing.context_of
+    same = [[a == b for a, b in zip(slots(b"xabc"), slots(w), strict=True)] for w in (b"yabc", b"zbc", b"xabd")]
+    assert same == [[True, True, True, True, True, False], [True, True, True, False, True, False], [True, True, False, False, True, False]]
+
+
 def test_language_model_without_texts(spark):
     schema = "doc_id long, text string"
     assert context_mixing.language_model_scores(spark.createDataFrame([], schema), table_bits=TABLES).collect() == []
