@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -231,6 +232,52 @@ def test_language_model_reads_words_in_order(spark):
     assert same == [[True, True, True, True, True, False], [True, True, True, False, True, False], [True, True, False, False, True, False]]
 
 
+def test_language_model_works_once_on_what_pairs_share_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    words = [b""] + list(dict.fromkeys(bytes(rng.choice(list(b"abcdefgh"), rng.integers(1, 9)).tolist()) for _ in range(3000)))
+    code = np.unique(rng.integers(0, len(words), 40_000) << 32 | rng.integers(0, 300, 40_000))
+    seconds, firsts, n = (code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.int32), rng.integers(0, 4, len(code))
+    knows, text = np.array([context_mixing.context_of(w) for w in words]), np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    tree = context_mixing.Tree(np.bincount(text, minlength=256).tolist())
+    tracemalloc.start()
+    units = context_mixing.Units(text, seconds, firsts, knows, n)
+    counts = [np.zeros(2 << b, np.float32) for b in TABLES]
+    for a, z, bits in units.pieces(tree, TABLES):
+        slots = np.stack([*(s[bits.at] for s in bits.slots), bits.joint])
+        for k, which, own in bits.reach:
+            slots[k, which] = own
+        for k in range(context_mixing.ORDERS):
+            np.add.at(counts[k], slots[k] * 2 + bits.y[bits.at], units.n[a:z][bits.of])
+    model = context_mixing.Model(tree, TABLES, counts, context_mixing.Mixer())
+    got = units.of_pairs(model.of_units(units))
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    plain, log10 = [np.zeros(2 << b, np.float32) for b in TABLES], np.zeros(len(code))
+    for of, y, slots in context_mixing.decisions(tree, TABLES, [words[i] for i in seconds], knows[firsts]):
+        x = np.column_stack([*[model.logits[k][slots[k]] for k in range(6)], np.ones(len(y))])
+        gate = model.sure[1][slots[5]].astype(int) * 8 + model.sure[0][slots[3]]
+        p = model.mixer.refine(model.mixer.mix(x, gate), gate)
+        np.add.at(log10, of, np.log10(np.where(y == 1, p, 1 - p)))
+        for k in range(context_mixing.ORDERS):
+            np.add.at(plain[k], slots[k] * 2 + y, n[of])
+    assert all(np.array_equal(a, b) for a, b in zip(counts, plain, strict=True)) and np.allclose(got, log10, atol=1e-4)
+    size = np.array([len(w) + 1 for w in words])
+    assert np.where(units.start < 3, 1, size[units.seconds] - 3).sum() < size[seconds].sum() / 2
+
+
+def test_language_model_counts_past_what_a_table_holds(spark):
+    words, pairs = [b"", b"ab", b"abcde"], np.array([(1, 0), (2, 0), (0, 1), (2, 1)], np.int32)
+    press, n = context_mixing.press, np.array([5, 70_000, 3, 1 << 33])
+    row = tuple(bytearray(press(x)) for x in (pairs[:, 1].copy(), pairs[:, 0].copy(), n, np.frombuffer(b" ".join(words), np.uint8)))
+    df = spark.createDataFrame([([1], *row)], "ids array<long>, firsts binary, seconds binary, learned binary, text binary")
+    got = context_mixing._count(df, context_mixing.Tree([1] * 256), TABLES, 1 << 28)
+    want = [np.zeros(2 << b) for b in TABLES]
+    for of, y, slots in context_mixing.decisions(context_mixing.Tree([1] * 256), TABLES, [words[i] for i in pairs[:, 0]], np.array([context_mixing.context_of(words[i]) for i in pairs[:, 1]])):
+        for k in range(context_mixing.ORDERS):
+            np.add.at(want[k], slots[k] * 2 + y, n[of])
+    assert all(np.allclose(a, b, rtol=1e-6) for a, b in zip(got, want, strict=True))
+
+
 def test_language_model_without_texts(spark):
     schema = "doc_id long, text string"
     assert context_mixing.language_model_scores(spark.createDataFrame([], schema), table_bits=TABLES).collect() == []
