@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..functions.scratch import discard, materialize
+from . import nearby
 from .graph import ancestors, subtree_sizes, subtree_sums, tree_depths
 
 
@@ -153,13 +154,7 @@ def member_radii(members: DataFrame, tree: DataFrame, *, bins: int = 13) -> Data
     centre; the nodes of a chain, each with one child, have the mode of all their members' distances from the axis to the next
     node, taken together and each distance once; a fork the root of the sum of its children's squares.
     Leaves and chains without members have radius 0."""
-    kids = tree.where("parent <> node").select(F.col("parent").alias("node"), F.col("node").alias("kid"), *[F.col(a).alias(f"k{a}") for a in "xyz"])
-    count = kids.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct("kx", "ky", "kz"), "kid").alias("k"))
-    at = materialize(tree.select("node", "parent", *[F.col(a).alias(f"c{a}") for a in "xyz"]).join(count, "node", "left"), "kids")
-    single = at.where("n = 1").select("node", F.coalesce("parent", "node").alias("parent"))
-    above = single.select(F.col("node").alias("parent"), F.col("node").alias("up"))
-    heads = tree_depths(single.join(above, "parent", "left").select("node", F.coalesce("up", "node").alias("parent"))).select("node", F.col("root").alias("head"))
-    heads = materialize(heads, "heads")
+    kids, at, heads = _chains(tree)
     m = members.select("node", "id", "x", "y", "z").join(at.drop("parent"), "node")
     p, c = geom.vec("x", "y", "z"), geom.vec("cx", "cy", "cz")
     axis = geom.vec(F.col("k.kx"), F.col("k.ky"), F.col("k.kz"))
@@ -172,7 +167,34 @@ def member_radii(members: DataFrame, tree: DataFrame, *, bins: int = 13) -> Data
     full = binned.groupBy("head", "bin").agg(F.count("*").alias("m"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     mode = full.groupBy("head").agg(F.max(F.struct(F.col("m"), (-F.col("bin")).alias("b"), "lo", "hi")).alias("t"))
     mode = mode.select("head", F.when(F.col("t.hi") > F.col("t.lo"), F.col("t.lo") + (F.lit(0.5) - F.col("t.b")) * (F.col("t.hi") - F.col("t.lo")) / bins).otherwise(F.lit(0.0)).alias("radius"))
-    known = leaf.union(heads.join(mode, "head", "left").select("node", "radius"))
+    return _with_forks(kids, at, leaf.union(heads.join(mode, "head", "left").select("node", "radius")))
+
+
+def member_radii_within(points: DataFrame, tree: DataFrame, near: float, *, bins: int = 13) -> DataFrame:
+    """``member_radii`` where the members of a node are the points nearer than ``near`` to it; no member becomes a row."""
+    kids, at, heads = _chains(tree)
+    place = [F.col(f"c{a}").alias(a) for a in "xyz"]
+    ends = at.where("n is null").select(F.col("node").alias("id"), *place)
+    far = nearby.weighted(ends, points, near, [], length=True)
+    leaf = ends.select(F.col("id").alias("node")).join(far.select(F.col("id").alias("node"), (F.col("w") / F.col("n")).alias("radius")), "node", "left")
+    axis = at.where("n = 1").join(heads, "node").select("head", "node", *place, *[(F.col(f"k.k{a}") - F.col(f"c{a}")).alias(f"u{a}") for a in "xyz"])
+    mode = nearby.modes(axis, points, near, bins=bins)
+    return _with_forks(kids, at, leaf.union(heads.join(mode, "head", "left").select("node", "radius")))
+
+
+def _chains(tree: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The children of each node, the nodes with their number of children and the place of the first, and the heads of chains."""
+    kids = tree.where("parent <> node").select(F.col("parent").alias("node"), F.col("node").alias("kid"), *[F.col(a).alias(f"k{a}") for a in "xyz"])
+    count = kids.groupBy("node").agg(F.count("*").alias("n"), F.min_by(F.struct("kx", "ky", "kz"), "kid").alias("k"))
+    at = materialize(tree.select("node", "parent", *[F.col(a).alias(f"c{a}") for a in "xyz"]).join(count, "node", "left"), "kids")
+    single = at.where("n = 1").select("node", F.coalesce("parent", "node").alias("parent"))
+    above = single.select(F.col("node").alias("parent"), F.col("node").alias("up"))
+    heads = tree_depths(single.join(above, "parent", "left").select("node", F.coalesce("up", "node").alias("parent"))).select("node", F.col("root").alias("head"))
+    return kids, at, materialize(heads, "heads")
+
+
+def _with_forks(kids: DataFrame, at: DataFrame, known: DataFrame) -> DataFrame:
+    """``node, radius`` of all nodes from those of leaves and chains."""
     known = materialize(known.select("node", F.coalesce("radius", F.lit(0.0)).alias("radius")), "radii")
     # A fork's square is the sum of those of all leaves and chains that are reached through forks alone.
     forks = at.where("n > 1").select("node", "parent")
