@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize
-from .spatial import knn, radius_join, spread, with_self
-from .stats import iteration_stats, linearity, smooth
+from . import nearby
+from .spatial import knn, spread, with_self
+from .stats import iteration_stats, linearity, linearity_within, smooth, smooth_within
 
 
 @dataclass(frozen=True)
@@ -53,14 +54,26 @@ def contraction_step(state: DataFrame, edges: DataFrame, radius: float, *, first
     return measured(points, edges, radius, frozen_above)
 
 
+def contraction_step_within(points: DataFrame, state: DataFrame, near: float, radius: float, *, first: bool, frozen_above: float = 0.99) -> DataFrame:
+    """``contraction_step`` of ``state`` where the neighbours are all pairs of ``points`` nearer than ``near``; no pair becomes a row."""
+    sums = nearby.scatter(points, near, state)
+    shift = sums.select("id", *[(F.col(f"m{a}") / F.col("n")).alias(f"u{a}") for a in "xyz"])
+    moved = materialize(move(state, shift, along_axis=not first).select("id", "x", "y", "z", "k"), "moved")
+    s = materialize(linearity_within(points, near, moved=moved).drop("k"), "linearity")
+    return _after(moved, s, smooth_within(s, points, near, radius, moved=moved), frozen_above)
+
+
+def _after(points: DataFrame, s: DataFrame, even: DataFrame, frozen_above: float) -> DataFrame:
+    out = points.join(s.drop("sigma"), "id", "left").join(even, "id", "left")
+    return out.select("id", "x", "y", "z", F.coalesce("sigma", F.lit(0.5)).alias("sigma"), "dx", "dy", "dz", (F.coalesce("sigma", F.lit(0.5)) > frozen_above).alias("frozen"), "k")
+
+
 def measured(points: DataFrame, edges: DataFrame, radius: float, frozen_above: float = 0.99) -> DataFrame:
     s = linearity(edges, points).drop("k")
     near = edges.join(points.select(F.col("id").alias("src"), *[F.col(a).alias(f"p{a}") for a in "xyz"]), "src").join(points.select(F.col("id").alias("dst"), *[F.col(a).alias(f"q{a}") for a in "xyz"]), "dst")
     d = {a: F.col(f"q{a}") - F.col(f"p{a}") for a in "xyz"}
     near = near.select("src", "dst", F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]).alias("dist"))
-    even = smooth(s, near, radius)
-    out = points.join(s.drop("sigma"), "id", "left").join(even, "id", "left")
-    return out.select("id", "x", "y", "z", F.coalesce("sigma", F.lit(0.5)).alias("sigma"), "dx", "dy", "dz", (F.coalesce("sigma", F.lit(0.5)) > frozen_above).alias("frozen"), "k")
+    return _after(points, s, smooth(s, near, radius), frozen_above)
 
 
 def k_update(state: DataFrame, k0: int, mean_distance: float, *, iteration: int, iteration_num: int, increase: float = 1.0, floor: int = 20) -> DataFrame:
@@ -73,9 +86,9 @@ def k_update(state: DataFrame, k0: int, mean_distance: float, *, iteration: int,
     top = max(floor, (r["active"] or 0) // 4)
     s = F.col("sigma") - F.lit(r["m"] or 0.0)
     grown = state.select("id", "x", "y", "z", F.least(F.lit(float(top)), F.greatest(F.lit(float(floor)), F.col("k") + grow * F.exp(-s * s / (width * width)))).alias("k"))
-    near = radius_join(grown, grown, 3 * mean_distance)
-    k = grown.select(F.col("id").alias("dst"), "k")
-    return near.join(k, "dst").groupBy(F.col("src").alias("id")).agg(F.floor(F.avg("k")).cast("int").alias("k"))
+    grown = materialize(grown, "grown")
+    near = nearby.weighted(grown, grown, 3 * mean_distance, ["k"])
+    return near.select("id", F.floor(F.col("k") / F.col("n")).cast("int").alias("k"))
 
 
 def contract(points: DataFrame, params: ContractionParams = ContractionParams(), on_iteration=None) -> DataFrame:

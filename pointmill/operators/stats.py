@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from .spatial import knn, radius_join
+from . import nearby
+from .spatial import knn
 
 
 def bounding_box(points: DataFrame) -> DataFrame:
@@ -113,7 +114,16 @@ def linearity(edges: DataFrame, points: DataFrame, *, mode: str = "reference") -
     two eigenvalues other than zero, so sigma is (1 + sqrt(2 tr(C^2) / tr(C)^2 - 1)) / 2. ``mode="pca"`` takes those of the
     neighbours' covariance. Without extent sigma is 0.5 and the direction null.
     """
-    s = _scatter(edges, points)
+    return _line(_scatter(edges, points), mode)
+
+
+def linearity_within(points: DataFrame, radius: float, *, moved: DataFrame | None = None, mode: str = "reference") -> DataFrame:
+    """``linearity`` with all points nearer than ``radius`` as neighbours, or with their places in ``moved``; no pair becomes a row."""
+    return _line(nearby.scatter(points, radius, moved).withColumnRenamed("id", "src"), mode)
+
+
+def _line(s: DataFrame, mode: str = "reference") -> DataFrame:
+    """``id, sigma, dx, dy, dz, k`` of the sums ``src, sxx .. szz, mx, my, mz, n``."""
     if mode == "pca":
         e = _eigen(s.select("src", "n", *[v.alias(k) for k, v in _mean_covariance().items()]), ["src", "n"])
         total = F.nullif(F.col("l0") + F.col("l1") + F.col("l2"), F.lit(0.0))
@@ -141,11 +151,21 @@ def smooth(values: DataFrame, edges: DataFrame, radius: float, column: str = "si
     return own.join(sums, "id", "left").select("id", ((F.col("own") + F.coalesce("a", F.lit(0.0))) / (1.0 + F.coalesce("b", F.lit(0.0)))).alias(column))
 
 
+def smooth_within(values: DataFrame, points: DataFrame, near: float, radius: float, column: str = "sigma", *, moved: DataFrame | None = None) -> DataFrame:
+    """``smooth`` over all points nearer than ``near``; with ``moved`` the weights follow from the places there."""
+    p = points.select("id", "x", "y", "z")
+    if moved is not None:
+        p = p.join(moved.select("id", *[F.col(a).alias(f"a{a}") for a in "xyz"]), "id")
+    own = values.select("id", F.col(column).alias("own"))
+    sums = nearby.weighted(p, p.join(own, "id"), near, ["own"], rate=16.0 / (radius * radius), others=True, moved=moved is not None)
+    sums = sums.select("id", F.col("own").alias("a"), F.col("w").alias("b"))
+    return own.join(sums, "id", "left").select("id", ((F.col("own") + F.coalesce("a", F.lit(0.0))) / (1.0 + F.coalesce("b", F.lit(0.0)))).alias(column))
+
+
 def density(points: DataFrame, radius: float, *, invert: bool = False, root: bool = False) -> DataFrame:
     """``id, rho``: 1 plus the Gaussian weights exp(-4 d^2 / radius^2) of the other points within the radius; its inverse or root if asked."""
-    e = radius_join(points, points, radius).where("src <> dst")
-    sums = e.groupBy(F.col("src").alias("id")).agg(F.sum(geom.gauss(F.col("dist"), radius)).alias("s"))
-    rho = 1.0 + F.coalesce("s", F.lit(0.0))
+    sums = nearby.weighted(points, points, radius, [], rate=4.0 / (radius * radius), others=True)
+    rho = 1.0 + F.coalesce("w", F.lit(0.0))
     return points.select("id").join(sums, "id", "left").select("id", (1.0 / rho if invert else F.sqrt(rho) if root else rho).alias("rho"))
 
 
