@@ -135,8 +135,8 @@ def linearity_pca(spark, sf_dir):
 
 
 def sigma_smooth(spark, sf_dir):
-    e, p = _edges(spark, sf_dir)
-    return _round(stats.smooth(stats.linearity(e, p).select("id", "sigma"), e, 0.3), "sigma", digits=5)
+    p = pts(spark, sf_dir).select("id", "x", "y", "z")
+    return _round(stats.smooth_within(stats.linearity_within(p, 0.15).select("id", "sigma"), p, 0.15, 0.3), "sigma", digits=5)
 
 
 SCATTER = EDGES_SIGMA + ", s AS (SELECT src, sum(ux*ux) AS sxx, sum(ux*uy) AS sxy, sum(ux*uz) AS sxz, sum(uy*uy) AS syy, sum(uy*uz) AS syz, sum(uz*uz) AS szz, sum(ux) AS mx, sum(uy) AS my, sum(uz) AS mz, count(*) AS n FROM e GROUP BY src)"
